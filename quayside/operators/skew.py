@@ -1,0 +1,48 @@
+"""Joins of a large, possibly skewed side with a side that is unique per key."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A key with more left rows than this is joined by broadcast instead of by shuffle.
+HOT_ROWS = 1_000_000
+
+
+def _on(left: DataFrame, right: DataFrame, keys: list[str]):
+    cond = F.lit(True)
+    for key in keys:
+        cond = cond & left[key].eqNullSafe(right[key])
+    return cond
+
+
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys holding more than ``hot_rows`` rows: at most rows / hot_rows of them."""
+    return df.groupBy(*keys).count().where(F.col("count") > hot_rows).drop("count")
+
+
+def skew_join(
+    left: DataFrame,
+    unique: DataFrame,
+    keys: list[str],
+    how: str = "left",
+    hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
+) -> DataFrame:
+    """``left`` joined with ``unique`` (one row per key) where a few keys may dominate ``left``.
+
+    Hot keys never meet in one shuffle partition: their rows stay where they are and the
+    matching rows of ``unique`` are broadcast. Their number is bounded by
+    ``rows(left) / hot_rows``. All other keys go through an ordinary shuffle join.
+    """
+    if hot is None:
+        hot = hot_keys(left, keys, hot_rows)
+    # one row per hot key: small enough to ask for, and to skip the split when there is none
+    if hot.isEmpty():
+        return left.join(unique, keys, how)
+    hot = F.broadcast(hot)
+    wide = left.join(hot, keys, "left_semi").join(
+        F.broadcast(unique.join(hot, keys, "left_semi")), keys, how
+    )
+    rest = left.join(hot, keys, "left_anti").join(unique, keys, how)
+    return wide.unionByName(rest)
