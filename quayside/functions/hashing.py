@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType
 
 from quayside.functions.paths import _col
 
@@ -68,7 +69,7 @@ def content_hash(content: Column | str, algorithm: str = "xxh3_128") -> Column:
         return F.sha2(_col(content), 256)
     digest = _REGISTERED.get(algorithm) or _package_digest(algorithm)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def apply(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else digest(_as_bytes(v)))
 
@@ -93,7 +94,7 @@ def weak_checksum_bytes(data: bytes) -> int:
     return ((b << 16) & 0xFFFFFFFF) | (a & 0xFFFF)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def weak_checksum(data: pd.Series) -> pd.Series:
     """Weak block checksum (unsigned 32 bits, held in a bigint)."""
     return data.map(lambda v: None if v is None else weak_checksum_bytes(_as_bytes(v)))
@@ -112,7 +113,7 @@ def rotate_left(value: Column, bits: Column) -> Column:
     return F.when(bits == 0, value).otherwise(turned)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def xor_digests(digests: pd.Series) -> bytes:
     """Grouped aggregate: XOR of equally long binary digests (any width)."""
     total = b""

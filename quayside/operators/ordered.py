@@ -40,11 +40,12 @@ def running(
     order: list[str],
     sums: dict[str, Column | str],
     totals: dict[str, str] | None = None,
+    lows: dict[str, Column | str] | None = None,
     segments: int | None = None,
     segmented: bool = False,
 ) -> DataFrame:
     """Running sums (current row included) per key in order; ``totals`` names the matching
-    whole-key sums: ``{sum_name: total_name}``.
+    whole-key sums: ``{sum_name: total_name}``, ``lows`` adds whole-key minima.
 
     ``order`` must be a total order within a key. ``segmented`` says that ``df`` still has
     the segments of an earlier :func:`segment`.
@@ -52,6 +53,8 @@ def running(
     totals = totals or {}
     values = {name: F.expr(v) if isinstance(v, str) else v for name, v in sums.items()}
     raw = {f"_v_{name}": value for name, value in values.items()}
+    minima = {name: F.expr(v) if isinstance(v, str) else v for name, v in (lows or {}).items()}
+    raw |= {f"_v_{name}": value for name, value in minima.items()}
     seg = df.select("*", *[v.alias(n) for n, v in raw.items()])
     if not segmented:
         seg = segment(seg, keys, order, segments)
@@ -63,7 +66,10 @@ def running(
         seg.join(F.broadcast(edges), SEG)
         .where((key == F.col("_first")) | (key == F.col("_last")))
         .groupBy(SEG, key.alias("_key"))
-        .agg(*[F.sum(f"_v_{n}").alias(f"_p_{n}") for n in values])
+        .agg(
+            *[F.sum(f"_v_{n}").alias(f"_p_{n}") for n in values],
+            *[F.min(f"_v_{n}").alias(f"_p_{n}") for n in minima],
+        )
     )
     earlier = Window.partitionBy("_key").orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("_key")
@@ -72,6 +78,7 @@ def running(
         F.col("_key"),
         *[F.coalesce(F.sum(f"_p_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in values],
         *[F.sum(f"_p_{n}").over(whole).alias(f"_t_{n}") for n in totals],
+        *[F.min(f"_p_{n}").over(whole).alias(f"_t_{n}") for n in minima],
     )
     inside = Window.partitionBy(SEG, *keys).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -82,11 +89,13 @@ def running(
         key.alias("_key"),
         *[F.sum(f"_v_{n}").over(inside).alias(f"_r_{n}") for n in values],
         *[F.sum(f"_v_{n}").over(local).alias(f"_l_{n}") for n in totals],
+        *[F.min(f"_v_{n}").over(local).alias(f"_l_{n}") for n in minima],
     ).join(F.broadcast(carry), [SEG, "_key"], "left")
     return out.select(
         *[c for c in df.columns if c != SEG],
         *[(F.col(f"_r_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0))).alias(n) for n in values],
         *[F.coalesce(f"_t_{n}", f"_l_{n}").alias(t) for n, t in totals.items()],
+        *[F.coalesce(f"_t_{n}", f"_l_{n}").alias(n) for n in minima],
     )
 
 

@@ -100,7 +100,7 @@ def plan_dirs(plan: DataFrame, existing: DataFrame | None = None, path: str = "p
     needed = parents.select(F.explode(paths.ancestors("_dir")).alias("path")).where("path <> ''").distinct()
     if existing is not None:
         needed = needed.join(existing.select("path"), "path", "left_anti")
-    return needed.withColumn("depth", paths.depth("path")).orderBy("depth", "path")
+    return needed.withColumn("depth", paths.depth("path").cast("bigint")).orderBy("depth", "path")
 
 
 def map_keys(df: DataFrame, prefix: str) -> DataFrame:
