@@ -131,7 +131,7 @@ QUERIES = {
         oracle("SELECT a.path, a.text <> b.text AS changed FROM content a JOIN content_new b ON a.path = b.path", "content_new"),
     ),
     "split_blocks": (
-        lambda t: _blocks(t.content()),
+        lambda t: _blocks(t.content()).withColumn("data", F.col("data").cast("string")),
         oracle('SELECT file_id, path, block_index, "offset", size, data FROM blocks', "blocks"),
     ),
     "block_signatures": (

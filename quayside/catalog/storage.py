@@ -138,7 +138,7 @@ def _history_json(t: Tables):
         F.struct("threads", "verify").alias("config"),
     )
     documents = t.history().groupBy("source", "destination").agg(F.to_json(F.collect_list(entry)).alias("content")).select(
-        F.concat(F.regexp_replace(F.concat("source", "destination"), "/", "_"), F.lit(".json")).alias("path"), "content"
+        F.concat(F.lit("history"), F.regexp_replace(F.concat("source", "destination"), "/", "-"), F.lit(".json")).alias("path"), "content"
     )
     flat = manifests.flat_history(manifests.read_history_json(t.spark, _write_documents(t, documents)))
     return flat.select(F.col("id").cast("bigint").alias("id"), "status", "total_files", "bytes_transferred", "threads", "verify")

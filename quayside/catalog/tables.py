@@ -104,8 +104,13 @@ class Tables:
             )
         )
 
+    def documents(self) -> DataFrame:
+        """Documents, spread over all cores where the file has fewer splits than there are."""
+        df, cores = self.read("documents"), self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     def content(self) -> DataFrame:
-        return self.read("documents").select(
+        return self.documents().select(
             F.col("doc_id").alias("file_id"),
             F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
             F.regexp_replace("text", "[^ -~]", "").alias("text"),
@@ -249,7 +254,8 @@ class Tables:
 
         blocks = split_blocks(self.content(), "text", 256, keep=["file_id", "path"])
         return blocks.withColumn(
-            "data", F.when(F.col("block_index") % 3 > 0, F.repeat(F.lit("\0"), F.col("size").cast("int"))).otherwise(F.col("data"))
+            "data",
+            F.when(F.col("block_index") % 3 > 0, F.repeat(F.lit("\0"), F.col("size").cast("int")).cast("binary")).otherwise(F.col("data")),
         )
 
     def listing_text(self) -> DataFrame:

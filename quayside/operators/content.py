@@ -22,16 +22,21 @@ def split_blocks(
 ) -> DataFrame:
     """One row per fixed-size block of a content column: block_index, offset, size, data.
 
-    The last block may be shorter; empty content has none. The blocks are cut into one array
-    per row before the explode, so exploded rows do not each drag the whole content along.
+    Text is cut by its UTF-8 bytes; ``data`` is binary. The last block may be shorter; empty
+    content has none. The blocks are cut into one array per row before the explode, so that
+    exploded rows do not each drag the whole content along.
     """
     keep = keep if keep is not None else [c for c in df.columns if c != content]
-    n = F.floor((F.length(content) + (block - 1)) / block).cast("int")
-    cut = F.transform(
-        F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(content), i * block + 1, F.lit(block))
+    raw = df.select(*keep, F.col(content).cast("binary").alias("_raw"))
+    n = F.floor((F.length("_raw") + (block - 1)) / block).cast("int")
+    cut = F.when(
+        n > 0,
+        F.transform(
+            F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+            lambda i: F.substring(F.col("_raw"), i * block + 1, F.lit(block)),
+        ),
     )
-    pieces = df.where(F.length(content) > 0).select(*keep, F.posexplode(cut).alias("_i", "data"))
-    return pieces.select(
+    return raw.select(*keep, F.posexplode(cut).alias("_i", "data")).select(
         *keep,
         F.col("_i").cast("bigint").alias("block_index"),
         (F.col("_i").cast("bigint") * block).alias("offset"),

@@ -105,12 +105,14 @@ def apply_summary(applied: DataFrame) -> DataFrame:
 
 
 def assemble(blocks: DataFrame, offset: str = "dest_offset") -> DataFrame:
-    """One row per file with its whole text, for files that came from one row.
+    """One row per file with its whole content (binary), for files that came from one row.
 
     Larger files stay in blocks and are written at their offsets (see sources.copying).
     """
     parts = F.array_sort(F.collect_list(F.struct(offset, "data")))
-    return blocks.groupBy("path").agg(F.array_join(F.transform(parts, lambda p: p["data"]), "").alias("content"))
+    # joined as hex text: concatenating binary step by step would copy it once per block
+    joined = F.unhex(F.array_join(F.transform(parts, lambda p: F.hex(p["data"])), ""))
+    return blocks.groupBy("path").agg(joined.alias("content"))
 
 
 def delta_summary(matches: DataFrame) -> DataFrame:
