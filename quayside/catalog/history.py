@@ -40,7 +40,7 @@ LONG_SQL = """SELECT id, source, destination, started_at, metric, value FROM his
 
 COMPARE_SQL = """SELECT {by} metric, round(min(value), 3) AS min, round(max(value), 3) AS max, round(avg(value), 3) AS avg,
   round(stddev_pop(value), 3) AS stddev,
-  round(CASE WHEN arg_min(value, {pos}) <> 0 THEN (arg_max(value, {pos}) - arg_min(value, {pos})) / arg_min(value, {pos}) * 100.0 ELSE 0.0 END, 3) AS percent_change
+  round(CASE WHEN arg_min(value, {pos}) <> 0 THEN (arg_max(value, {pos}) - arg_min(value, {pos})) / arg_min(value, {pos}) * 100.0 ELSE 0.0 END, 3) + 0.0::DOUBLE AS percent_change
   {values} FROM {table} GROUP BY {by} metric"""
 
 TREND_SQL = """SELECT {by} n, slope, mean - slope * (n - 1) / 2.0 AS intercept,

@@ -14,7 +14,7 @@ from quayside.functions import paths
 from quayside.operators.filters import filter_globs, filter_size
 from quayside.session import persist_shared
 
-_LISTED = """root string, dir string, depth int, above array<string>, path string, raw_path binary, size bigint,
+_LISTED = """root string, dir binary, depth int, above array<string>, path string, raw_path binary, size bigint,
 mtime_us bigint, created_us bigint, is_dir boolean, is_symlink boolean, symlink_target string, permissions int, uid bigint,
 gid bigint, st_blocks bigint, hidden boolean, descend boolean, error string"""
 _NAMES = [part.split()[0] for part in _LISTED.replace("\n", " ").split(",")]
@@ -24,9 +24,9 @@ def _entry(root: str, full: str, relative: str, depth: int, above: list[str], fo
     """One listed entry, described by itself and not by what a link points to."""
     row = dict.fromkeys(_NAMES)
     name = os.path.basename(full)
-    readable = os.fsencode(relative).decode("utf-8", "replace")
+    readable = _readable(relative)
     row.update(
-        root=root, dir=full, depth=depth, above=above, path=readable, hidden=name.startswith("."), descend=False
+        root=root, dir=os.fsencode(full), depth=depth, above=above, path=readable, hidden=name.startswith("."), descend=False
     )
     if readable.encode() != os.fsencode(relative):
         row["raw_path"] = os.fsencode(relative)
@@ -39,7 +39,7 @@ def _entry(root: str, full: str, relative: str, depth: int, above: list[str], fo
             created_us=int(info.st_birthtime * 1e6) if hasattr(info, "st_birthtime") else None,
             is_dir=stat.S_ISDIR(info.st_mode),
             is_symlink=link,
-            symlink_target=os.readlink(full) if link else None,
+            symlink_target=_readable(os.readlink(full)) if link else None,
             permissions=info.st_mode,
             uid=info.st_uid,
             gid=info.st_gid,
@@ -49,20 +49,25 @@ def _entry(root: str, full: str, relative: str, depth: int, above: list[str], fo
             info = os.stat(full)
             ident = f"{info.st_dev}:{info.st_ino}"
             if ident in above:
-                row["error"] = f"{full}: link loop"
+                row["error"] = f"{_readable(full)}: link loop"
             else:
                 row.update(descend=True, above=[*above, ident])
         elif row["is_dir"]:
             row.update(descend=True, above=[*above, f"{info.st_dev}:{info.st_ino}"])
     except OSError as e:
-        row["error"] = f"{full}: {e.strerror}"
+        row["error"] = f"{_readable(full)}: {e.strerror}"
     return row
 
 
+def _readable(path: str) -> str:
+    """The path as valid text; bytes that are none become a replacement mark."""
+    return os.fsencode(path).decode("utf-8", "replace")
+
+
 def _list_children(batches: Iterator[pd.DataFrame], follow: bool) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for root, directory, depth, above in zip(pdf["root"], pdf["dir"], pdf["depth"], pdf["above"]):
-            rows = []
+        for root, raw, depth, above in zip(pdf["root"], pdf["dir"], pdf["depth"], pdf["above"]):
+            rows, directory = [], os.fsdecode(bytes(raw))
             prefix = root.rstrip("/") + "/"
             try:
                 with os.scandir(directory) as entries:
@@ -75,7 +80,10 @@ def _list_children(batches: Iterator[pd.DataFrame], follow: bool) -> Iterator[pd
                             rows = []
             except OSError as e:
                 row = dict.fromkeys(_NAMES)
-                row.update(root=root, dir=directory, path=directory.removeprefix(prefix), depth=int(depth), above=[], error=f"{directory}: {e.strerror}", hidden=False, descend=False)
+                row.update(
+                    root=root, dir=raw, path=_readable(directory.removeprefix(prefix)), depth=int(depth), above=[],
+                    error=f"{_readable(directory)}: {e.strerror}", hidden=False, descend=False,
+                )
                 rows.append(row)
             if rows:
                 yield pd.DataFrame(rows, columns=_NAMES)

@@ -79,9 +79,7 @@ def last_batch(batches: DataFrame) -> DataFrame:
 
 def dropped_rows(query: StreamingQuery) -> int:
     """Rows dropped as later than the watermark, over the progress reports still kept."""
-    return sum(
-        op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"]
-    )
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
 
 
 # ---------------------------------------------------------------- inventories
