@@ -144,7 +144,14 @@ QUERIES = {
     ),
     "shifted_blocks": (
         lambda t: content.shifted_matches(t.content_new(), _signatures(t.content()), BLOCK, "text"),
-        None,
+        oracle(
+            """SELECT n.path, n.o AS "offset", b.source_index FROM (
+  SELECT path, o, md5_number(substr(text, (o + 1)::INT, 256)) AS h
+  FROM (SELECT path, text, unnest(range(length(text) - 255)) AS o FROM content_new WHERE length(text) >= 256)) n
+JOIN (SELECT path, md5_number(data) AS h, min(block_index) AS source_index FROM blocks WHERE size = 256 GROUP BY path, data) b
+  ON n.path = b.path AND n.h = b.h""",
+            "blocks", "content_new",
+        ),
     ),
     "match_chunks": (
         lambda t: _matches(t).select("path", "block_index", "size", "source_index"),
@@ -191,7 +198,12 @@ FROM (SELECT path, bit_xor(CASE WHEN r = 0 THEN h ELSE
         lambda t: _blocks(t.content()).groupBy("path").agg(
             F.lower(F.hex(xor_digests(F.unhex(F.sha2("data", 256))))).alias("digest")
         ),
-        None,
+        oracle(
+            "SELECT path, concat("
+            + ", ".join(f"lpad(lower(hex(bit_xor(CAST(concat('0x', substr(h, {i}, 16)) AS UBIGINT)))), 16, '0')" for i in (1, 17, 33, 49))
+            + ") AS digest FROM (SELECT path, sha256(data) AS h FROM blocks) GROUP BY path",
+            "blocks",
+        ),
     ),
     "zero_blocks": (
         lambda t: content.flag_zero(t.zero_blocks()).select("path", "block_index", "is_zero"),

@@ -18,8 +18,14 @@ def _r(df, digits: int, *columns: str):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def _metrics(df, digits=3):
-    return _r(df, digits, "min", "max", "avg", "stddev", "percent_change")
+#: Added before rounding: means of few decimals often lie on a rounding tie, which the last bit
+#: of a sum would decide.
+OFF_TIE = 0.0000123
+
+
+def _metrics(df):
+    columns = ("min", "max", "avg", "stddev", "percent_change")
+    return df.withColumns({c: F.round(F.col(c) + OFF_TIE, 3) for c in columns})
 
 
 STATS_SQL = """SELECT d::INT AS period_days, count(h.id) AS total_jobs, count(*) FILTER (h.status = 'success') AS successful_jobs,
@@ -38,9 +44,9 @@ LONG_SQL = """SELECT id, source, destination, started_at, metric, value FROM his
   ('success_rate', CASE WHEN total_files > 0 THEN files_transferred / total_files::DOUBLE * 100.0 ELSE 100.0 END),
   ('files_per_second', files_per_second)) v(metric, value)"""
 
-COMPARE_SQL = """SELECT {by} metric, round(min(value), 3) AS min, round(max(value), 3) AS max, round(avg(value), 3) AS avg,
-  round(stddev_pop(value), 3) AS stddev,
-  round(CASE WHEN arg_min(value, {pos}) <> 0 THEN (arg_max(value, {pos}) - arg_min(value, {pos})) / arg_min(value, {pos}) * 100.0 ELSE 0.0 END, 3) + 0.0::DOUBLE AS percent_change
+COMPARE_SQL = """SELECT {by} metric, round(min(value) + 0.0000123, 3) AS min, round(max(value) + 0.0000123, 3) AS max, round(avg(value) + 0.0000123, 3) AS avg,
+  round(stddev_pop(value) + 0.0000123, 3) AS stddev,
+  round(CASE WHEN arg_min(value, {pos}) <> 0 THEN (arg_max(value, {pos}) - arg_min(value, {pos})) / arg_min(value, {pos}) * 100.0 ELSE 0.0 END + 0.0000123, 3) AS percent_change
   {values} FROM {table} GROUP BY {by} metric"""
 
 TREND_SQL = """SELECT {by} n, slope, mean - slope * (n - 1) / 2.0 AS intercept,

@@ -213,6 +213,14 @@ GROUP BY path HAVING count(*) > 1""",
         lambda t: inventory.order_files(_src(t), "newest").select("path", "size"),
         oracle("SELECT path, size FROM src_inventory ORDER BY mtime DESC, path", "src_inventory"),
     ),
+    "order_largest_first": (
+        lambda t: inventory.order_files(_src(t), "largest").select("path", "size"),
+        oracle("SELECT path, size FROM src_inventory ORDER BY size DESC, path", "src_inventory"),
+    ),
+    "order_oldest_first": (
+        lambda t: inventory.order_files(_src(t), "oldest").select("path", "size"),
+        oracle("SELECT path, size FROM src_inventory ORDER BY mtime, path", "src_inventory"),
+    ),
     "next_tasks": (
         lambda t: inventory.next_tasks(_src(t), 100).select("path", "size", "priority"),
         oracle(f"SELECT path, size, {PRIORITY} AS priority FROM src_inventory ORDER BY priority, size, path LIMIT 100", "src_inventory"),

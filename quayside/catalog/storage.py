@@ -130,40 +130,41 @@ def _write_documents(t: Tables, documents) -> str:
 
 
 def _history_json(t: Tables):
-    """History documents with nested statistics, one per source and destination, read back flat."""
+    """History documents with nested statistics, each of up to 1000 entries, read back flat."""
     stats = F.struct("total_files", "files_transferred", "files_failed", "bytes_transferred", "avg_throughput", "files_per_second")
     entry = F.struct(
         F.col("id").cast("string").alias("id"), "source", "destination", F.col("started_at").cast("timestamp").alias("started_at"),
         F.col("ended_at").cast("timestamp").alias("ended_at"), "duration_seconds", "status", stats.alias("stats"),
         F.struct("threads", "verify").alias("config"),
     )
-    documents = t.history().groupBy("source", "destination").agg(F.to_json(F.collect_list(entry)).alias("content")).select(
-        F.concat(F.lit("history"), F.regexp_replace(F.concat("source", "destination"), "/", "-"), F.lit(".json")).alias("path"), "content"
+    # ids are unique, so a thousand of them bound a document
+    documents = t.history().groupBy(F.floor(F.col("id") / 1000).alias("n")).agg(F.to_json(F.collect_list(entry)).alias("content")).select(
+        F.concat(F.lit("history-"), F.col("n").cast("string"), F.lit(".json")).alias("path"), "content"
     )
     flat = manifests.flat_history(manifests.read_history_json(t.spark, _write_documents(t, documents)))
     return flat.select(F.col("id").cast("bigint").alias("id"), "status", "total_files", "bytes_transferred", "threads", "verify")
 
 
 def _states(t: Tables):
-    """State documents, one per supplier's transfer, read back as one table; every document has
-    a truncated copy beside it, which must be skipped."""
+    """State documents of up to 1000 files each, read back as one table; every document has a
+    truncated copy beside it, which must be skipped. The sums are per supplier."""
     state = F.struct(
         F.col("path").alias("relative_path"), F.col("bytes").alias("size"), F.col("bytes").alias("bytes_written"),
-        F.lit(0).alias("source_mtime"), F.lit(None).cast("string").alias("partial_checksum"), "status",
+        F.col("job_id").alias("source_mtime"), F.lit(None).cast("string").alias("partial_checksum"), "status",
     )
-    lines = t.copy_results().withColumn("path", F.concat_ws("/", "path", F.monotonically_increasing_id().cast("string")))
-    whole = lines.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("path", state))).alias("files")).select(
-        F.concat(F.col("job_id").cast("string"), F.lit(".json")).alias("path"),
-        F.to_json(
-            F.struct(F.col("job_id").cast("string").alias("id"), "files", F.lit("InProgress").alias("status"), F.lit(1).alias("last_checkpoint"))
-        ).alias("content"),
+    numbered = t.copy_results().withColumn("n", F.monotonically_increasing_id())
+    lines = numbered.withColumn("path", F.concat_ws("/", "path", F.col("n").cast("string")))
+    files = F.map_from_entries(F.collect_list(F.struct("path", state)))
+    whole = lines.groupBy(F.floor(F.col("n") / 1000).cast("string").alias("id")).agg(files.alias("files")).select(
+        F.concat("id", F.lit(".json")).alias("path"),
+        F.to_json(F.struct("id", "files", F.lit("InProgress").alias("status"), F.lit(1).alias("last_checkpoint"))).alias("content"),
     )
     broken = whole.select(
         F.concat(F.lit("broken-"), "path").alias("path"), F.expr("substr(content, 1, length(content) div 2)").alias("content")
     )
     rows = manifests.read_states(t.spark, _write_documents(t, whole.unionByName(broken)))
-    return rows.groupBy("transfer_id").agg(F.count("*").alias("files"), F.sum("bytes_written").alias("bytes_transferred")).select(
-        F.col("transfer_id").cast("bigint").alias("transfer_id"), "files", "bytes_transferred"
+    return rows.groupBy(F.col("source_mtime").alias("transfer_id")).agg(
+        F.count("*").alias("files"), F.sum("bytes_written").alias("bytes_transferred")
     )
 
 

@@ -111,7 +111,14 @@ GROUP BY job_id, s""",
         _limiter,
         oracle("SELECT event_id, have AS tokens, granted, round(wait, 9) AS wait_seconds FROM walk WHERE rn > 0", extra=BUCKET),
     ),
-    "stream_liveness": (_liveness, None),
+    "stream_liveness": (
+        _liveness,
+        oracle(
+            """SELECT job_id AS agent_id, last_us, last_us // 1000 + 43200000 <= (SELECT max(epoch_us(ts)) // 1000 - 600000 FROM transfer_events) AS stale
+FROM (SELECT job_id, max(epoch_us(ts)) AS last_us FROM transfer_events GROUP BY job_id)""",
+            "transfer_events",
+        ),
+    ),
     "stream_history": (
         _history,
         oracle(

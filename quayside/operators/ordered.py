@@ -22,8 +22,9 @@ from quayside.session import persist_shared
 SEG = "_seg"
 
 
-def segment(df: DataFrame, keys: list[str], order: list[str], segments: int | None = None) -> DataFrame:
-    """``df`` cut into contiguous runs of (keys, order), numbered in ``_seg``.
+def segment(df: DataFrame, keys: list[str], order: list[str | Column], segments: int | None = None) -> DataFrame:
+    """``df`` cut into contiguous runs of (keys, order), numbered in ``_seg``. ``order`` holds
+    column names or sort expressions such as ``F.desc("size")``.
 
     The cut points come from sampling, so the result is written to the shared folder once:
     every later pass then sees the same segments.
@@ -37,7 +38,7 @@ def segment(df: DataFrame, keys: list[str], order: list[str], segments: int | No
 def running(
     df: DataFrame,
     keys: list[str],
-    order: list[str],
+    order: list[str | Column],
     sums: dict[str, Column | str],
     totals: dict[str, str] | None = None,
     lows: dict[str, Column | str] | None = None,
@@ -99,7 +100,7 @@ def running(
     )
 
 
-def with_position(df: DataFrame, keys: list[str], order: list[str], name: str = "position") -> DataFrame:
+def with_position(df: DataFrame, keys: list[str], order: list[str | Column], name: str = "position") -> DataFrame:
     """Zero-based position of each row within its key."""
     out = running(df, keys, order, {"_pos": F.lit(1).cast("bigint")})
     return out.withColumn(name, F.col("_pos") - 1).drop("_pos")

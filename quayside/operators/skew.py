@@ -9,13 +9,6 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 
 
-def _on(left: DataFrame, right: DataFrame, keys: list[str]):
-    cond = F.lit(True)
-    for key in keys:
-        cond = cond & left[key].eqNullSafe(right[key])
-    return cond
-
-
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys holding more than ``hot_rows`` rows: at most rows / hot_rows of them."""
     return df.groupBy(*keys).count().where(F.col("count") > hot_rows).drop("count")

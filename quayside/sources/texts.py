@@ -8,23 +8,20 @@ from pyspark.sql import functions as F
 from quayside.functions.rates import ratio
 
 
+#: Date, time, size and object address; anything after them is not looked at.
+LISTING = r"\A\s*(\S+)\s+(\S+)\s+\+?([0-9]+)\s+s3://[^/\s]*/?(\S*)"
+
+
 def parse_listing(lines: DataFrame) -> DataFrame:
     """Objects from ``date time size s3://bucket/key`` lines; other lines are left out.
 
     ``last_modified`` holds the line's date and time, in UTC.
     """
-    words = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
-    parsed = lines.select(
-        words.alias("w"),
-        F.regexp_extract(F.get(words, 3), r"(?s)\As3://[^/]*/?(.*)\z", 1).alias("key"),
-        F.get(words, 2).alias("size_text"),
-    ).where(
-        (F.size("w") >= 4) & F.col("size_text").rlike(r"\A\+?[0-9]+\z") & F.get("w", 3).startswith("s3://")
-    )
-    stamp = F.concat_ws(" ", F.get("w", 0), F.get("w", 1))
-    return parsed.select(
-        "key",
-        F.col("size_text").try_cast("bigint").alias("size"),
+    part = lambda i: F.regexp_extract("value", LISTING, i)
+    stamp = F.concat_ws(" ", part(1), part(2))
+    return lines.where(F.col("value").rlike(LISTING)).select(
+        part(4).alias("key"),
+        part(3).try_cast("bigint").alias("size"),
         F.unix_seconds(F.try_to_timestamp(stamp, F.lit("yyyy/MM/dd HH:mm:ss"))).alias("last_modified"),
     )
 
