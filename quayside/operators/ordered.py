@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
@@ -112,6 +113,37 @@ Columns = dict[str, np.ndarray]
 Step = Callable[[Any, Columns], tuple[Any, Columns]]
 
 
+@dataclass(frozen=True)
+class Shortcut:
+    """What a whole segment does to any state, as a short table, for folds that jump.
+
+    ``table`` gets all rows of the segment (``columns`` only) and returns JSON data, or None
+    where it would grow too long; ``follow(table, state)`` is the state after the segment.
+    """
+
+    columns: list[str]
+    table: Callable[[Columns], Any]
+    follow: Callable[[Any, Any], Any]
+
+
+#: Longest table of a :class:`Shortcut`; one per segment reaches the driver.
+MAX_TABLE = 20_000
+
+
+def last_jump(following: np.ndarray) -> np.ndarray:
+    """Where the chain i -> following[i] ends for every i; an end points to itself."""
+    while True:
+        further = following[following]
+        if np.array_equal(further, following):
+            return following
+        following = further
+
+
+def run_ends(values: np.ndarray) -> np.ndarray:
+    """Index of the last element of every run of equal values."""
+    return np.flatnonzero(np.append(values[1:] != values[:-1], True))
+
+
 def _key_runs(pdf: pd.DataFrame, keys: list[str]) -> list[tuple[int, int]]:
     """[start, end) of the runs of equal keys in a sorted frame."""
     change = np.zeros(len(pdf), dtype=bool)
@@ -140,80 +172,103 @@ def fold(
     outputs: dict[str, str],
     segments: int | None = None,
     keep_segments: bool = False,
+    shortcut: Shortcut | None = None,
 ) -> DataFrame:
     """A sequential fold per key, run in parallel over segments; adds the ``outputs`` columns.
 
     A segment that begins in the middle of a key needs the state its predecessor ends with.
-    All such segments are first run from a fresh state; where the guessed state turns out
-    wrong, only the segments concerned are run again, until nothing changes. Folds that
-    forget their past (throttles, buckets, moving averages, batch filling) settle after one
-    or two rounds; any other fold is still exact, it just takes more rounds. States are
-    small, and one per segment is held by the driver.
+    Those end states are first worked out from a fresh state each; where a segment turns out
+    to have begun with another state, it is worked out again, until nothing changes. Only
+    rows of keys that cross a border take part in this. Folds that forget their past (moving
+    averages, buckets) settle after a round or two; any other fold is still exact, it just
+    takes more rounds. A ``shortcut`` spares the rounds: it tells for every segment where any
+    state leads. States are small, and one per segment is held by the driver.
     """
     seg = segment(df, keys, order, segments)
     fields = [f for f in seg.schema.fields if keep_segments or f.name != SEG]
     cols = [f.name for f in fields]
     key_cols = list(keys)
+    incoming = _border_states(seg, key_cols, cols, step, shortcut)
 
-    def run(batches: Iterator[pd.DataFrame], incoming: dict[int, Any], emit: bool):
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: Any = None
         previous: tuple | None = None
-        segno: int | None = None
-        n_keys = 0
-        first_key: tuple | None = None
         for pdf in batches:
             if not len(pdf):
                 continue
-            if segno is None:
-                segno = int(pdf[SEG].iloc[0])
             produced: dict[str, list[np.ndarray]] = {name: [] for name in outputs}
             arrays = {c: pdf[c].to_numpy() for c in cols}
             for start, end in _key_runs(pdf, key_cols):
                 key = tuple(arrays[k][start] for k in key_cols)
-                if previous is None or key != previous:
-                    state = incoming.get(segno) if previous is None else None
-                    n_keys += 1
-                    first_key = key if first_key is None else first_key
+                if previous is None:
+                    state = incoming.get(int(pdf[SEG].iloc[0]))
+                elif key != previous:
+                    state = None
                 previous = key
                 state, out = step(state, {c: a[start:end] for c, a in arrays.items()})
-                if emit:
-                    for name in outputs:
-                        produced[name].append(out[name])
-            if emit:
-                yield pdf[cols].assign(**{n: np.concatenate(v) for n, v in produced.items()})
-        if not emit and segno is not None:
-            label = json.dumps([[str(k) for k in first_key], [str(k) for k in previous]])
-            yield pd.DataFrame(
-                {"seg": [segno], "edge": [label], "n_keys": [n_keys], "state": [json.dumps(state)]}
-            )
-
-    def ends(incoming: dict[int, Any], only: list[int] | None) -> dict[int, tuple[list, int, Any]]:
-        part = seg if only is None else seg.where(F.col(SEG).isin(only))
-        rows = part.mapInPandas(
-            lambda it: run(it, incoming, False), "seg int, edge string, n_keys int, state string"
-        ).collect()  # one row per segment
-        return {r.seg: (json.loads(r.edge), r.n_keys, json.loads(r.state)) for r in rows}
+                for name in outputs:
+                    produced[name].append(out[name])
+            yield pdf[cols].assign(**{n: np.concatenate(v) for n, v in produced.items()})
 
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    schema += "".join(f", `{n}` {t}" for n, t in outputs.items())
+    return seg.mapInPandas(replay, schema)
+
+
+def _border_states(
+    seg: DataFrame, keys: list[str], cols: list[str], step: Step, shortcut: Shortcut | None
+) -> dict[int, Any]:
+    """State with which every segment that begins in the middle of a key begins."""
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    edges = seg.groupBy(SEG).agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    known = sorted((r[SEG], r["_first"], r["_last"]) for r in edges.collect())  # one row per segment
+    borders = [(a[0], b[0]) for a, b in zip(known, known[1:]) if a[2] == b[1]]
+    if not borders:
+        return {}
+    whole = {s for s, first, last in known if first == last}
+    ending = seg.join(F.broadcast(edges), SEG).where(key.eqNullSafe(F.col("_last"))).select(*seg.columns)
+
+    def ends(incoming: dict[int, Any], only: list[int], tables: bool) -> dict[int, tuple[Any, Any]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            state, number, table = None, None, None
+            kept: dict[str, list[np.ndarray]] = {c: [] for c in shortcut.columns} if tables else {}
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                if number is None:
+                    number = int(pdf[SEG].iloc[0])
+                    state = incoming.get(number) if number in whole else None
+                state, _ = step(state, {c: pdf[c].to_numpy() for c in cols})
+                for c in kept:
+                    kept[c].append(pdf[c].to_numpy())
+            if number is None:
+                return
+            if tables and number in whole:
+                table = shortcut.table({c: np.concatenate(v) for c, v in kept.items()})
+            yield pd.DataFrame({"seg": [number], "state": [json.dumps(state)], "table": [json.dumps(table)]})
+
+        # the segments stay in their partitions: a broadcast join moves no row of theirs
+        rows = ending.where(F.col(SEG).isin(only)).mapInPandas(run, "seg int, state string, table string")
+        return {r.seg: (json.loads(r.state), json.loads(r.table)) for r in rows.collect()}
+
+    leading = {a for a, _ in borders}
     incoming: dict[int, Any] = {}
-    known = ends(incoming, None)
-    numbers = sorted(known)
+    found = ends(incoming, sorted(leading), shortcut is not None)
+    states = {s: state for s, (state, _) in found.items()}
+    tables = {s: table for s, (_, table) in found.items() if table is not None}
     while True:
         again = []
-        for before, here in zip(numbers, numbers[1:]):
-            (_, last), _, state = known[before]
-            (first, _), n_keys, _ = known[here]
-            if first != last:
+        for before, here in borders:
+            if before in incoming and before in tables:
+                state = shortcut.follow(tables[before], incoming[before])
+            else:
+                state = states[before]
+            if here in incoming and _same(incoming[here], state):
                 continue
-            if not _same(incoming.get(here), state):
-                incoming[here] = state
-                # a segment with further keys ends in a state its first key has no part in
-                if n_keys == 1:
-                    again.append(here)
-                    # what follows in a chain of single-key segments waits for this one
+            incoming[here] = state
+            # a segment of one key passes what it was given on to the next border
+            if here in whole and here in leading and here not in tables:
+                again.append(here)
         if not again:
-            break
-        known.update(ends(incoming, again))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    schema += "".join(f", `{n}` {t}" for n, t in outputs.items())
-    return seg.mapInPandas(lambda it: run(it, incoming, True), schema)
+            return incoming
+        states.update({s: state for s, (state, _) in ends(incoming, again, False).items()})

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions import paths
 from quayside.functions.sizes import MIB
-from quayside.operators.ordered import fold, running
+from quayside.operators.ordered import MAX_TABLE, Shortcut, fold, last_jump, run_ends, running
 from quayside.session import persist_shared
 
 
@@ -82,8 +84,28 @@ def assign_batches(
             at = end
         return (used, filled), {"_opens": opens}
 
+    def table(rows):
+        # a batch opened at row p ends at row end[p]; the last one of each chain stays open
+        before = np.concatenate([[0], np.cumsum(rows["size"].astype(np.int64))])
+        n = len(before) - 1
+        end = np.maximum(np.searchsorted(before, before[:-1] + limit, side="right") - 1, np.arange(1, n + 1))
+        last = last_jump(np.where(end < n, end, np.arange(n)))
+        left = before[n] - before[last]
+        # the batch that was open before can end no later than an empty one would
+        reach = min(n - 1, int(np.searchsorted(before, limit, side="right")) - 1)
+        groups = run_ends(left[: reach + 1])
+        if len(groups) > MAX_TABLE:
+            return None
+        return [before[groups + 1].tolist(), left[groups].tolist(), int(before[n])]
+
+    def follow(jumps, state):
+        bounds, left, total = jumps
+        at = bisect.bisect_right(bounds, limit - state[0])
+        return (left[at] if at < len(bounds) else state[0] + total, True)
+
     small = df.where(F.col("size") < threshold)
-    opened = fold(small, shard, order, step, {"_opens": "bigint"}, segments, keep_segments=True)
+    shortcut = Shortcut(["size"], table, follow)
+    opened = fold(small, shard, order, step, {"_opens": "bigint"}, segments, True, shortcut)
     numbered = running(persist_shared(opened), shard, order, {"_n": "_opens"}, segmented=True)
     batched = numbered.select(*df.columns, (F.col("_n") - 1).alias("batch"))
     large = df.where(F.col("size") >= threshold).withColumn("batch", F.lit(None).cast("bigint"))

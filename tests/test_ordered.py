@@ -68,6 +68,34 @@ def test_throttle(log):
     assert got == want and any(want.values())
 
 
+@pytest.mark.parametrize("longest", [20_000, 0])
+def test_one_key_over_all_segments(spark, monkeypatch, longest):
+    """With tables, and with rounds where the tables would be too long."""
+    from quayside.operators import transfers
+    from quayside.plans import transfer
+
+    monkeypatch.setattr(transfers, "MAX_TABLE", longest)
+    monkeypatch.setattr(transfer, "MAX_TABLE", longest)
+    rng = random.Random(11)
+    rows = [(i, i * 90 + rng.randrange(3), rng.randrange(120)) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, ms long, size long")
+    got = [r.reported for r in throttle_reports(df, [], "ms", "event_id", 1000, SEGMENTS).orderBy("event_id").collect()]
+    last, want = rows[0][1], []
+    for _, ms, _ in rows:
+        want.append(ms - last >= 1000)
+        last = ms if want[-1] else last
+    assert got == want
+    files = df.selectExpr("lpad(event_id, 4, '0') AS path", "size")
+    got = [r.batch for r in assign_batches(files, ["path"], 700, 1000, segments=SEGMENTS).orderBy("path").collect()]
+    batch, used, want = 0, 0, []
+    for i, (_, _, size) in enumerate(rows):
+        if used + size > 700 and i and want:
+            batch, used = batch + 1, 0
+        want.append(batch)
+        used += size
+    assert got == want
+
+
 def test_adaptive(log):
     rows, df = log
     got = {r.event_id: (r.ema_throughput, r.batch_files) for r in adaptive_sizes(df, ["key"], ["event_id"], segments=SEGMENTS).collect()}
