@@ -23,8 +23,12 @@ def _events(t: Tables):
     )
 
 
+def _run(t: Tables, stream, mode: str = "append", name: str = "stream"):
+    return live.run_now(stream, mode, name, t.spark.sparkContext.defaultParallelism)
+
+
 def _progress(t: Tables):
-    out = live.latest(live.run_now(live.stream_progress(_events(t)), "update", "progress"), ["job_id"])
+    out = live.latest(_run(t, live.stream_progress(_events(t)), "update", "progress"), ["job_id"])
     return out.select("job_id", "bytes", "files", F.round("elapsed", 6).alias("elapsed"), F.round("throughput", 3).alias("throughput"))
 
 
@@ -32,20 +36,20 @@ def _adaptive(t: Tables):
     reports = _events(t).select(
         "event_id", "job_id", F.floor(F.col("bytes") / 1000000).cast("bigint").alias("files"), ((F.col("bytes") % 7000000) / 1e6).alias("seconds")
     )
-    out = live.run_now(live.stream_adaptive(reports), name="adaptive")
+    out = _run(t, live.stream_adaptive(reports), name="adaptive")
     return out.select("event_id", F.round("ema_throughput", 6).alias("ema_throughput"), "batch_files")
 
 
 def _limiter(t: Tables):
     requests = _events(t).select("state", "event_id", "bytes", F.floor(F.unix_micros("ts") / 1000).cast("bigint").alias("us"))
-    out = live.run_now(live.stream_limiter(requests, "state", BUCKET_LIMIT), name="limiter")
+    out = _run(t, live.stream_limiter(requests, "state", BUCKET_LIMIT), name="limiter")
     return out.select("event_id", "tokens", "granted", F.round("wait_seconds", 9).alias("wait_seconds"))
 
 
 def _liveness(t: Tables):
     """State after the last word on every agent: stale once half a day behind the watermark."""
     beats = _events(t).select(F.col("job_id").alias("agent_id"), "ts")
-    out = live.run_now(live.stream_liveness(beats, 12 * 3600), name="liveness")
+    out = _run(t, live.stream_liveness(beats, 12 * 3600), name="liveness")
     return out.groupBy("agent_id").agg(F.max("last_us").alias("last_us"), F.bool_or("stale").alias("stale"))
 
 
@@ -73,7 +77,7 @@ FROM transfer_events GROUP BY job_id""",
     ),
     "stream_throughput": (
         lambda t: live.latest(
-            live.run_now(live.stream_throughput(_events(t), "2 hours", "1 hour"), "update", "throughput"), ["start"]
+            _run(t, live.stream_throughput(_events(t), "2 hours", "1 hour"), "update", "throughput"), ["start"]
         ),
         oracle(
             """SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) - 3600 * back AS start, count(*) AS events, CAST(sum(bytes) AS BIGINT) AS bytes
@@ -82,7 +86,7 @@ FROM transfer_events, (VALUES (0), (1)) v(back) GROUP BY 1""",
         ),
     ),
     "stream_sessions": (
-        lambda t: live.last_batch(live.run_now(live.stream_sessions(_events(t), "6 hours"), "complete", "sessions")),
+        lambda t: live.last_batch(_run(t, live.stream_sessions(_events(t), "6 hours"), "complete", "sessions")),
         oracle(
             """SELECT job_id, min(us) AS start_us, max(us) + 21600000000 AS end_us, count(*) AS events, CAST(sum(bytes) AS BIGINT) AS bytes
 FROM (SELECT *, sum(CASE WHEN us - prev < 21600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY job_id ORDER BY us, event_id) AS s
@@ -93,7 +97,7 @@ GROUP BY job_id, s""",
     ),
     "stream_compliance": (
         lambda t: live.latest(
-            live.run_now(live.stream_compliance(_events(t), bandwidth.business_hours(2_000_000, 0)), "update", "compliance"), ["minute"]
+            _run(t, live.stream_compliance(_events(t), bandwidth.business_hours(2_000_000, 0)), "update", "compliance"), ["minute"]
         ),
         oracle(
             f"""SELECT CAST(epoch(minute) AS BIGINT) AS minute, bytes, rule, "limit", "limit" > 0 AND bytes > "limit" * 60 AS exceeded FROM (

@@ -27,12 +27,14 @@ def segment(df: DataFrame, keys: list[str], order: list[str | Column], segments:
     """``df`` cut into contiguous runs of (keys, order), numbered in ``_seg``. ``order`` holds
     column names or sort expressions such as ``F.desc("size")``.
 
-    The cut points come from sampling, so the result is written to the shared folder once:
-    every later pass then sees the same segments.
+    Without ``segments`` the session's shuffle partitions bound their number, and adaptive
+    execution joins neighbours until each is worth a task. The cut points come from sampling,
+    so the result is written to the shared folder once: every later pass then sees the same
+    segments.
     """
-    n = segments or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = [*keys, *order]
-    cut = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    ranged = df.repartitionByRange(segments, *cols) if segments else df.repartitionByRange(*cols)
+    cut = ranged.sortWithinPartitions(*cols)
     return persist_shared(cut.withColumn(SEG, F.spark_partition_id()))
 
 

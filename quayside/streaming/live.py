@@ -40,25 +40,46 @@ def new_folder(spark: SparkSession, name: str) -> str:
 # ---------------------------------------------------------------- sinks
 
 
-def write_batches(stream: DataFrame, table: str, checkpoint: str, mode: str = "append", trigger: dict | None = None) -> StreamingQuery:
+PARTITIONS = "spark.sql.shuffle.partitions"
+
+
+def write_batches(
+    stream: DataFrame,
+    table: str,
+    checkpoint: str,
+    mode: str = "append",
+    trigger: dict | None = None,
+    state_partitions: int | None = None,
+) -> StreamingQuery:
     """Writes every micro-batch to its own folder of a Parquet table.
 
     A batch that is run again after a failure overwrites its own folder, so the table holds
     each batch once. :func:`latest` reads the newest row per key of update-mode results.
+    ``state_partitions`` is kept by the checkpoint for the life of the query; without it the
+    session's shuffle partitions count.
     """
+    conf = stream.sparkSession.conf
+    usual = conf.get(PARTITIONS)
 
     def save(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{table}/batch={batch}")
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).foreachBatch(save).start()
+    writer = writer.trigger(**(trigger or {"availableNow": True})).foreachBatch(save)
+    try:
+        # a query takes the settings of the moment it is started
+        conf.set(PARTITIONS, str(state_partitions or usual))
+        return writer.start()
+    finally:
+        conf.set(PARTITIONS, usual)
 
 
-def run_now(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
+def run_now(stream: DataFrame, mode: str = "append", name: str = "stream", state_partitions: int | None = None) -> DataFrame:
     """Runs the stream over what its source holds now and returns all batches (column batch)."""
     spark = stream.sparkSession
     table = new_folder(spark, name)
-    query = write_batches(stream, table, new_folder(spark, f"{name}-checkpoint"), mode)
+    checkpoint = new_folder(spark, f"{name}-checkpoint")
+    query = write_batches(stream, table, checkpoint, mode, state_partitions=state_partitions)
     query.awaitTermination()
     fields = StructType(stream.schema.fields).add("batch", IntegerType())
     return spark.read.schema(fields).option("basePath", table).parquet(table)

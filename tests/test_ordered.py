@@ -142,7 +142,7 @@ def test_next_fit_batches(spark, limit, threshold, top):
     assert got == want
 
 
-def test_batches_of_the_reference_case(spark):
+def test_one_large_file_and_two_batches(spark):
     files = [(f"s{i:02d}", 100 * 1024) for i in range(20)] + [("big", 2 * 1024 * 1024)]
     out = assign_batches(spark.createDataFrame(files, "path string, size long"), ["path"], 1024 * 1024, 512 * 1024).collect()
     assert sum(r.batch is None for r in out) == 1
