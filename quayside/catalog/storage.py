@@ -6,6 +6,8 @@ of every one of these grows with the tables.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quayside.catalog.tables import Tables, oracle
@@ -20,9 +22,17 @@ from quayside.streaming import live
 from quayside.streaming.live import new_folder
 
 
+def _mounted(folder: str) -> str:
+    """Path of a folder for plain file access."""
+    path = re.sub(r"\Afile:(//)?", "", folder)
+    if "://" in path:
+        raise RuntimeError(f"files need a shared folder that is mounted, not {folder}")
+    return path
+
+
 def _tree(t: Tables) -> str:
     """The contents as a tree of files; empty ones included."""
-    root = new_folder(t.spark, "tree").removeprefix("file:")
+    root = _mounted(new_folder(t.spark, "tree"))
     copying.write_files(t.content().select("path", F.col("text").alias("content")), root).agg(F.sum("bytes")).collect()
     return root
 
@@ -124,7 +134,7 @@ def _history(t: Tables):
 
 def _write_documents(t: Tables, documents) -> str:
     """(path, content) rows as one JSON file each."""
-    folder = new_folder(t.spark, "documents").removeprefix("file:")
+    folder = _mounted(new_folder(t.spark, "documents"))
     copying.write_files(documents, folder).agg(F.sum("bytes")).collect()
     return folder
 

@@ -60,6 +60,43 @@ def _copy_bytes(source: str, target: str, algorithm: str | None) -> tuple[int, s
     return done, digest.hexdigest() if digest else None
 
 
+def _copy_between_stores(source_root: str, dest_root: str, path: str, size: int, dry_run: bool, incremental: bool, algorithm: str | None):
+    """One file where a root is a URI (``s3://bucket/prefix``, ``hdfs://...``, ``file:///...``).
+
+    An object appears when its upload is closed, so it needs no renaming; on other stores the
+    file is written beside its name and moved.
+    """
+    from pyarrow import fs
+
+    def store(root: str):
+        if "://" in root:
+            return fs.FileSystem.from_uri(root.rstrip("/"))
+        return fs.LocalFileSystem(), root.rstrip("/")
+
+    (src, src_base), (dst, dst_base) = store(source_root), store(dest_root)
+    source, target = f"{src_base}/{path}", f"{dst_base}/{path}"
+    if incremental:
+        here, there = src.get_file_info(source), dst.get_file_info(target)
+        if there.is_file and there.size == here.size and there.mtime_ns >= here.mtime_ns:
+            return path, "skipped", 0, None, None
+    if dry_run:
+        return path, "planned", int(size), None, None
+    is_object = dst.type_name in ("s3", "gcs", "abfs")
+    if not is_object:
+        dst.create_dir(os.path.dirname(target), recursive=True)
+    beside = target if is_object else f"{target}.part-{uuid.uuid4().hex}"
+    digest, done = incremental_digest(algorithm) if algorithm else None, 0
+    with src.open_input_stream(source) as reader, dst.open_output_stream(beside) as writer:
+        while piece := reader.read(BUFFER):
+            if digest:
+                digest.update(piece)
+            writer.write(piece)
+            done += len(piece)
+    if not is_object:
+        dst.move(beside, target)
+    return path, "copied", done, digest.hexdigest() if digest else None, None
+
+
 def copy_files(
     plan: DataFrame,
     source_root: str,
@@ -75,7 +112,8 @@ def copy_files(
 
     status is copied, skipped (``incremental``: same size and a destination not older),
     planned (``dry_run``: nothing is created) or failed with its error. ``hash_algorithm``
-    hashes in the same pass. ``on_error='fail'`` fails the job at the first error.
+    hashes in the same pass. ``on_error='fail'`` fails the job at the first error. A root may
+    also be a URI of an object store or distributed file system, where attributes are not kept.
     The result is lazy: reading it twice copies twice, so write it before using it.
     """
     spark = plan.sparkSession
@@ -84,6 +122,8 @@ def copy_files(
     def one(path: str, size: int) -> tuple:
         source, target = os.path.join(source_root, path), os.path.join(dest_root, path)
         try:
+            if "://" in source_root or "://" in dest_root:
+                return _copy_between_stores(source_root, dest_root, path, size, dry_run, incremental, hash_algorithm)
             info = os.stat(source)
             if incremental and os.path.exists(target):
                 there = os.stat(target)

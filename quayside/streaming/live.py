@@ -311,16 +311,26 @@ def stream_liveness(heartbeats: DataFrame, stale_after: int, late: str = "10 min
 
 
 def stream_history(
-    entries: DataFrame, store: str, checkpoint: str, by: list[str] | None = None, trigger: dict | None = None
+    entries: DataFrame,
+    store: str,
+    checkpoint: str,
+    by: list[str] | None = None,
+    trigger: dict | None = None,
+    window_batches: int | None = None,
 ) -> StreamingQuery:
     """Appends finished transfers to ``store/entries`` and the anomalies among them, judged
-    against all entries stored so far, to ``store/anomalies``; both once per batch."""
+    against the entries stored so far, to ``store/anomalies``; both once per batch.
+
+    ``window_batches`` judges against that many latest batches only, so that a long history
+    is not read again for every batch; older folders are not opened."""
 
     def save(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
         df.write.mode("overwrite").parquet(f"{store}/entries/batch={batch}")
         # later batches do not exist yet, and a repeated batch has overwritten itself
         stored = spark.read.option("basePath", f"{store}/entries").parquet(f"{store}/entries")
+        if window_batches:
+            stored = stored.where(F.col("batch") > batch - window_batches)
         new = stored.where(F.col("batch") == batch).select(F.col("id").alias("entry_id"))
         found = detect_anomalies(stored, by).join(new, "entry_id", "left_semi")
         found.write.mode("overwrite").parquet(f"{store}/anomalies/batch={batch}")

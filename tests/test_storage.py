@@ -99,6 +99,19 @@ def test_copy_verify_and_skip(spark, tree, tmp_path):
     assert sync.verify_summary(sync.verify_trees(src, dst)).first().failed == 1
 
 
+def test_copy_by_uri(spark, tree, tmp_path):
+    root, files = tree
+    plan = spark.createDataFrame([(n, len(d)) for n, d in files.items()] + [("gone", 1)], "path string, size long")
+    target = f"file://{tmp_path}/uri"
+    rows = {r.path: r for r in copying.copy_files(plan, f"file://{root}", target, hash_algorithm="sha256").collect()}
+    assert rows.pop("gone").status == "failed"
+    assert {p: r.hash for p, r in rows.items()} == {n: hashlib.sha256(d).hexdigest() for n, d in files.items()}
+    assert all((tmp_path / "uri" / n).read_bytes() == d for n, d in files.items())
+    assert not list((tmp_path / "uri").rglob("*.part-*"))
+    again = copying.copy_files(plan.where("path <> 'gone'"), str(root), target, incremental=True).collect()
+    assert {r.status for r in again} == {"skipped"}
+
+
 def test_copy_attributes(spark, tree, tmp_path):
     root, _ = tree
     os.chmod(root / "small.txt", 0o640)
