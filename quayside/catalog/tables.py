@@ -2,7 +2,9 @@
 
 ``Tables`` builds them with the DataFrame API; ``CTES`` states the same views in SQL, so a
 query and its oracle share no code. The destination inventory is made to differ from the
-source in every way a synchronisation must tell apart (missing, resized, older, newer, extra).
+source in every way a synchronisation must tell apart (missing, resized, older, newer, extra),
+and the new contents from the old ones likewise (gone, edited, extended). Every view covers
+its whole table; remainders of ids only decide which of these cases a row becomes.
 """
 
 from __future__ import annotations

@@ -78,8 +78,8 @@ def test_hex_of_unreadable_path(spark):
 
 GLOBS = [
     ("*.bin", "a/b.bin", True), ("*.bin", "b.bin.txt", False), ("?.txt", "/.txt", True), ("a?c", "abc", True),
-    ("[a-c]x", "bx", True), ("[!a-c]x", "bx", False), ("[!a-c]x", "dx", True), ("{foo,bar*}.rs", "barn.rs", True),
-    ("{foo,bar*}.rs", "baz.rs", False), ("**/x", "x", True), ("**/x", "a/b/x", True), ("**/x", "ax", False),
+    ("[a-c]x", "bx", True), ("[!a-c]x", "bx", False), ("[!a-c]x", "dx", True), ("{foo,bar*}.md", "barn.md", True),
+    ("{foo,bar*}.md", "baz.md", False), ("**/x", "x", True), ("**/x", "a/b/x", True), ("**/x", "ax", False),
     ("src/**", "src/a/b", True), ("src/**", "src", False), ("a/**/b", "a/b", True), ("a/**/b", "a/x/y/b", True),
     ("a/**/b", "ab", False), ("\\*", "*", True), ("\\*", "x", False), ("a.c", "abc", False), ("[]]", "]", True),
     ("x[\\]", "x\\", True), ("a\nb*", "a\nbc", True),
@@ -381,7 +381,7 @@ def test_pagination(spark):
 
 
 def test_paths_as_a_set(spark):
-    rows = [(f"/data/project/module{i % 100}/file{i}.rs",) for i in range(10_000)]
+    rows = [(f"/data/project/module{i % 100}/file{i}.dat",) for i in range(10_000)]
     df = spark.createDataFrame(rows + rows[:10], "path string")
     assert tuple(inventory.path_stats(df).first()) == (10_010, 10_000, 10)
     approx = inventory.path_stats(df, approximate=True).first()
