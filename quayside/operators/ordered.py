@@ -157,6 +157,11 @@ def _key_runs(pdf: pd.DataFrame, keys: list[str]) -> list[tuple[int, int]]:
     return list(zip(starts, np.append(starts[1:], len(pdf))))
 
 
+def _same_key(a: tuple, b: tuple) -> bool:
+    """Equal keys; missing values (NaN where a numeric key has nulls) equal each other."""
+    return all(x == y or (x != x and y != y) for x, y in zip(a, b))
+
+
 def _same(a: Any, b: Any) -> bool:
     """Equal states; floating parts may differ by rounding only."""
     if isinstance(a, (list, tuple)) and isinstance(b, (list, tuple)):
@@ -184,7 +189,8 @@ def fold(
     rows of keys that cross a border take part in this. Folds that forget their past (moving
     averages, buckets) settle after a round or two; any other fold is still exact, it just
     takes more rounds. A ``shortcut`` spares the rounds: it tells for every segment where any
-    state leads. States are small, and one per segment is held by the driver.
+    state leads. States are small, and one per segment is held by the driver. All columns of
+    ``df`` go through Arrow, so select the needed ones first.
     """
     seg = segment(df, keys, order, segments)
     fields = [f for f in seg.schema.fields if keep_segments or f.name != SEG]
@@ -204,7 +210,7 @@ def fold(
                 key = tuple(arrays[k][start] for k in key_cols)
                 if previous is None:
                     state = incoming.get(int(pdf[SEG].iloc[0]))
-                elif key != previous:
+                elif not _same_key(key, previous):
                     state = None
                 previous = key
                 state, out = step(state, {c: a[start:end] for c, a in arrays.items()})

@@ -68,6 +68,20 @@ def test_throttle(log):
     assert got == want and any(want.values())
 
 
+def test_null_key_is_one_key(spark):
+    rows = [(None if i % 2 else 1, i * 400, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "key long, ms long, event_id long")
+    got = {r.event_id for r in throttle_reports(df, ["key"], "ms", "event_id", 1000, SEGMENTS).collect() if r.reported}
+    want = set()
+    for odd in (0, 1):
+        last = odd * 400
+        for i in range(odd, 300, 2):
+            if i * 400 - last >= 1000:
+                want.add(i)
+                last = i * 400
+    assert got == want
+
+
 @pytest.mark.parametrize("longest", [20_000, 0])
 def test_one_key_over_all_segments(spark, monkeypatch, longest):
     """With tables, and with rounds where the tables would be too long."""
