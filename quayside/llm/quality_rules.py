@@ -112,9 +112,9 @@ def with_facts(docs: DataFrame, text: str, out: str) -> DataFrame:
         lambda total, x: total + x,
     )
     facts = [*FACTS, "n_lines", "n_ended_lines", "n_capitals", "n_exclamations"]
-    return work.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).select(
-        "_row.*", F.struct(*facts).alias(out)
-    )
+    work = work.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+    # explode of one element: else a filter on the facts is pushed below all this and repeats it per mention
+    return work.select("_row", F.explode(F.array(F.struct(*facts))).alias(out)).select("_row.*", out)
 
 
 def base_failed(facts: str) -> Column:
