@@ -7,8 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import quality_rules
-from quayside.llm.common import table
+from quayside.llm import packing, quality_rules
+from quayside.llm.common import stored, table
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; texts go to Python workers some hundred at a time, so that long ones do not fill their memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return table(spark, sf_dir, "documents")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(stored(packing.pieces(documents(spark, sf_dir), tokenizer_path())))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +36,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
