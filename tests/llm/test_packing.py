@@ -15,7 +15,7 @@ from quayside.llm.common import stored
 def test_plan_uses_every_piece_and_fills(spark):
     rng = random.Random(5)
     for size, n in ((16, 300), (2048, 5000), (2048, 3)):
-        counts = Counter(rng.randint(1, size) for _ in range(n))
+        counts = Counter(min(size, int(size * rng.random() ** 3) + 1) for _ in range(n))
         steps = packing.plan(dict(counts), size)
         used = Counter()
         for pattern, times in steps:
