@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import packing, quality_rules
+from quayside.llm import decontamination, oracles, packing, quality_rules
 from quayside.llm.common import stored, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,6 +29,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(stored(packing.pieces(documents(spark, sf_dir), tokenizer_path())))
 
 
+def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontamination.build_index(documents(spark, sf_dir))
+    hits = decontamination.search(index, table(spark, sf_dir, "benchmark"), size=10)
+    return decontamination.verdicts(hits).drop("n_near_items")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", *quality_rules.FACTS, "base_failed", "kept", "p_good"
@@ -37,7 +43,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op8_positional_index": op8_positional_index,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_positional_index": oracles.DECONTAMINATION,
+}
