@@ -17,3 +17,24 @@ it AS (SELECT r, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER B
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(it.n, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)"""
+
+
+LINE_RUNS = r"""WITH l AS (
+  SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i, len(ls) AS n
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l),
+s AS (SELECT doc_id, i, n,
+    list(line) OVER nx AS ls, list(w) OVER nx AS ws FROM w
+  WINDOW nx AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+k AS (SELECT doc_id, i, m, array_to_string(ls[1:m], chr(10)) AS t FROM s, (SELECT unnest(range(1, 5)) AS m)
+  WHERE len(ws) >= m AND (m = 4 OR list_sum(ws[1:m]) >= 50)
+    AND (m = 1 OR list_sum(ws[1:m - 1]) < 50 OR list_sum(ws[2:m]) < 50)),
+later AS (SELECT doc_id, i, m FROM k QUALIFY row_number() OVER (PARTITION BY m, t ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + m)) AS i FROM later),
+r AS (SELECT w.doc_id, w.i, w.line, gone.i IS NOT NULL AS gone FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.i = w.i),
+f AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM r),
+o AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_deleted, count(*) FILTER (starts) AS n_runs,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, coalesce(n_runs, 0) AS n_runs,
+  CAST(coalesce(length(kept), 0) AS BIGINT) AS kept_chars, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN o USING (doc_id)"""

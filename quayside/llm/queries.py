@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import decontamination, oracles, packing, quality_rules
+from quayside.llm import decontamination, line_dedup, oracles, packing, quality_rules
 from quayside.llm.common import stored, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,6 +29,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(stored(packing.pieces(documents(spark, sf_dir), tokenizer_path())))
 
 
+def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.delete_copies(documents(spark, sf_dir).select("doc_id", "text"), facts="facts")
+    kept = F.coalesce("text", F.lit(""))
+    return cleaned.select(
+        "doc_id", "facts.*", F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256")
+    )
+
+
 def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontamination.build_index(documents(spark, sf_dir))
     hits = decontamination.search(index, table(spark, sf_dir, "benchmark"), size=10)
@@ -43,10 +51,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_line_runs": op6_line_runs,
     "op8_positional_index": op8_positional_index,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_line_runs": oracles.LINE_RUNS,
     "op8_positional_index": oracles.DECONTAMINATION,
 }
