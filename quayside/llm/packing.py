@@ -20,67 +20,131 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.llm.common import stored
 
-#: Code points whose Unicode classes have long been settled; texts with others are encoded whole by the tokenizer.
-_SETTLED = re.compile("[^\t\n\r -ɏ‐-‧€]")
+#: Code points whose Unicode classes have long been settled.
+_SETTLED = "\t\n\r -\u024f\u2010-\u2027\u20ac"
+#: Texts that the tokenizer gets whole: other code points, contractions, and marks of special tokens.
+_WHOLE = re.compile(f"[^{_SETTLED}]|'(?:[stmd]|re|ve|ll)|<\\|")
+_BLANK, _SPACE = 3, 4
+CHARS = 2_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes. Ids of a word depend on the word alone, so words met before
-    come from a dictionary; new ones go to the tokenizer in one call per batch. The dictionary is emptied when full."""
+    """Token ids of whole texts.
 
-    def __init__(self, path: str, most_words: int = 1_000_000):
-        import public_tokenizers
+    The tokenizer's rule splits a text into words where the class of the characters changes (letters, digits, blanks,
+    others), and ids of a word depend on the word alone. So a batch of texts is split at once, by comparing arrays of
+    classes; each distinct word is looked up, and the tokenizer encodes those not known. Two dictionaries of bounded size hold the
+    known words: when the young one is full it becomes the old one, and words used again move back.
+    """
+
+    def __init__(self, path: str, most_words: int = 400_000):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.most_words = most_words
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.most_words:
-            self.known.clear()
-        plain = [None if _SETTLED.search(t) or "<|" in t else self.split(t) for t in texts]
-        new = list({w for words in plain if words for w in words if w not in self.known})
-        self.known.update(zip(new, self._raw(new)))
-        look_up = self.known.__getitem__
-        return [self._raw([t])[0] if words is None else b"".join(map(look_up, words)) for t, words in zip(texts, plain)]
-
-
-def cut(ids: bytes, size: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document; the first takes the remainder."""
-    n = len(ids) // 4
+        characters = "".join(map(chr, range(0x2100)))
+        self.classes = np.zeros(0x2100, dtype=np.uint8)
+        for number, pattern in ((1, r"\p{L}"), (2, r"\p{N}"), (_BLANK, r"\s")):
+            self.classes[[m.start() for m in regex.finditer(pattern, characters)]] = number
+        self.classes[ord(" ")] = _SPACE
+
+    def _raw(self, texts: list[str], at_once: int = 4000) -> list[bytes]:
+        """Straight from the tokenizer, some thousand at a time: what it returns per text is large."""
+        out: list[bytes] = []
+        for at in range(0, len(texts), at_once):
+            encoded = self.tokenizer.encode_batch_fast(texts[at : at + at_once], add_special_tokens=False)
+            out += [array("I", e.ids).tobytes() for e in encoded]
+        return out
+
+    def _words(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Words of all texts, and how many each text has."""
+        lengths = np.array([len(t) for t in texts])
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")
+        first = np.zeros(len(points) + 1, dtype=bool)
+        first[np.cumsum(lengths)] = True
+        first[0] = True
+        kind = self.classes[np.minimum(points, 0x20FF)]
+        blank = kind >= _BLANK
+        last = first[1:]
+        before = np.concatenate([[0], kind[:-1]])
+        after_blank = np.concatenate([[False], blank[:-1]])
+        before_word = np.concatenate([~blank[1:], [False]]) & ~last
+        starts = first[:-1] | np.where(
+            blank,
+            ~after_blank | before_word,  # of several blanks all but the last are one word
+            np.where(after_blank, before != _SPACE, kind != before),  # a space belongs to the word behind it
+        )
+        at = np.flatnonzero(starts)
+        size = 1 + (points >= 0x80).astype(np.int32) + (points >= 0x800)
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        ends = np.concatenate([offsets[at], offsets[-1:]]).astype(np.int32)
+        found = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(ends), pa.py_buffer("".join(texts).encode())])
+        owner = np.searchsorted(np.cumsum(lengths), at, side="right")
+        return found, np.bincount(owner, minlength=len(texts))
+
+    def _fast(self, texts: list[str]) -> list[np.ndarray]:
+        if not any(texts):
+            return [np.zeros(0, dtype="<u4")] * len(texts)
+        words, counts = self._words(texts)
+        coded = words.dictionary_encode()
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        young, old = self.young.get, self.old.get
+        ids = [young(w) or old(w) for w in distinct]
+        new = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(new, self._raw([distinct[k] for k in new])):
+            ids[k] = x
+        if len(self.young) > self.most_words:
+            self.young, self.old = {}, self.young
+        self.young.update(zip(distinct, ids))
+        sizes = np.array([len(x) // 4 for x in ids])
+        flat, begin = np.frombuffer(b"".join(ids), dtype="<u4"), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        n = sizes[codes]
+        out_at = np.cumsum(n)
+        everything = flat[np.repeat(begin[codes] - (out_at - n), n) + np.arange(out_at[-1])]
+        per_text = np.add.reduceat(np.concatenate([n, [0]]), np.concatenate([[0], np.cumsum(counts)[:-1]])) * (counts > 0)
+        return np.split(everything, np.cumsum(per_text)[:-1])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [bool(_WHOLE.search(t)) for t in texts]
+        fast = iter(self._fast([t for t, w in zip(texts, whole) if not w]))
+        slow = (np.frombuffer(x, dtype="<u4") for x in self._raw([t for t, w in zip(texts, whole) if w], 16))
+        return [next(slow) if w else next(fast) for w in whole]
+
+
+def cut(n: int, size: int) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of a document of n ids; the first takes the remainder."""
     first = n if n <= size else n % size or size
     return [(0, first), *((s, size) for s in range(first, n, size))]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document. Memory per task: some hundred texts at a time."""
+    """(doc_id, piece, start, length, ids_crc32) of every document. A task holds about CHARS characters at a time, or one text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = Encoder(tokenizer_path), np.uint32(end_id).tobytes()
+        encoder, end = Encoder(tokenizer_path), np.array([end_id], dtype="<u4")
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
+            held = np.cumsum(batch["text"].str.len()) // CHARS
+            for _, part in batch.groupby(held, sort=False):
                 out = []
                 for doc_id, ids in zip(part["doc_id"], encoder.encode(list(part["text"]))):
-                    ids += end
-                    for k, (start, length) in enumerate(cut(ids, size)):
-                        out.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
+                    raw = np.concatenate([ids, end]).tobytes()
+                    for k, (start, length) in enumerate(cut(len(ids) + 1, size)):
+                        out.append((doc_id, k, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)])))
                 yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, PIECES)
