@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import decontamination, line_dedup, oracles, packing, quality_rules
+from quayside.llm import decontamination, line_dedup, oracles, packing, quality_rules, shingle_join
 from quayside.llm.common import stored, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -25,6 +25,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op2_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.join_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(stored(packing.pieces(documents(spark, sf_dir), tokenizer_path())))
 
@@ -50,6 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_adaptive_prefix_join": op2_adaptive_prefix_join,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_line_runs": op6_line_runs,
     "op8_positional_index": op8_positional_index,
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_adaptive_prefix_join": oracles.SHINGLE_JOIN,
     "op6_line_runs": oracles.LINE_RUNS,
     "op8_positional_index": oracles.DECONTAMINATION,
 }
