@@ -29,13 +29,13 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import stored
+from quayside.llm.common import fresh, stored
 
 #: Fixed value: what separates words (all of ASCII but digits and small letters).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = 64  # places between two documents of a segment
-INDEX = "segment long, term string, places binary, docs array<struct<doc_id:long,first:int,n_words:int>>"
-HITS = "segment long, doc int, doc_id long, n_words long, runs array<struct<first:int,last:int>>, items array<long>, near array<long>"
+INDEX = "segment long, term string, places binary, docs array<struct<doc_id:long,t:long,first:int,n_words:int>>"
+HITS = "segment long, doc int, doc_id long, t long, n_words long, runs array<struct<first:int,last:int>>, items array<long>, near array<long>"
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -54,17 +54,18 @@ def build_index(docs: DataFrame, segment_chars: int = 8_000_000) -> DataFrame:
             ("segment", pa.int64()),
             ("term", pa.string()),
             ("places", pa.binary()),
-            ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("first", pa.int32()), ("n_words", pa.int32())]))),
+            ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("t", pa.int64()), ("first", pa.int32()), ("n_words", pa.int32())]))),
         ]
     )
 
-    def one(number: int, doc_ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    def one(number: int, whole: pa.Table) -> Iterator[pa.RecordBatch]:
+        doc_ids, hashes, texts = (whole[c].combine_chunks() for c in ("doc_id", "t", "text"))
         flat, owner = words(texts)
         n_words = np.bincount(owner, minlength=len(texts)).astype(np.int32)
         before = np.concatenate([[0], np.cumsum(n_words)[:-1]]).astype(np.int32) if len(n_words) else n_words
         gaps = np.arange(len(texts), dtype=np.int32) * GAP
         rows = pa.StructArray.from_arrays(
-            [doc_ids, pa.array(before + gaps, pa.int32()), pa.array(n_words)], ["doc_id", "first", "n_words"]
+            [doc_ids, hashes, pa.array(before + gaps, pa.int32()), pa.array(n_words)], ["doc_id", "t", "first", "n_words"]
         )
         listed = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
         yield pa.RecordBatch.from_arrays(
@@ -92,14 +93,13 @@ def build_index(docs: DataFrame, segment_chars: int = 8_000_000) -> DataFrame:
                 held.append(batch.slice(at, 500))
                 size += pc.sum(pc.binary_length(held[-1].column("text"))).as_py() or 0
                 if size >= segment_chars:
-                    whole = pa.Table.from_batches(held).combine_chunks()
-                    yield from one(number, whole["doc_id"].combine_chunks(), whole["text"].combine_chunks())
+                    yield from one(number, pa.Table.from_batches(held))
                     number, held, size = number + 1, [], 0
         if held:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            yield from one(number, whole["doc_id"].combine_chunks(), whole["text"].combine_chunks())
+            yield from one(number, pa.Table.from_batches(held))
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string").alias("text")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), text)
     return stored(narrow.mapInArrow(run, INDEX))
 
 
@@ -184,6 +184,7 @@ def _search_segment(group: pd.DataFrame, windows: Windows, slop: int) -> pd.Data
             "segment": int(group["segment"].iloc[0]),
             "doc": np.arange(len(docs), dtype=np.int32),
             "doc_id": pd.array(ids, dtype="Int64"),
+            "t": np.array([d["t"] for d in docs], dtype=np.int64),
             "n_words": n_words,
             "runs": runs,
             "items": [sorted(x) for x in found],
@@ -200,7 +201,7 @@ def _searcher(held: Broadcast, slop: int) -> Callable[[pd.DataFrame], pd.DataFra
 
 
 def search(index: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, block_words: int = 1_000_000) -> DataFrame:
-    """Per document (segment, doc, doc_id, n_words): the hit word runs and the items with exact and with near matches.
+    """Per document (segment, doc, doc_id, t - a hash of its text -, n_words): the hit word runs and the items with exact and with near matches.
 
     ``items`` is (item_id, text). They are split by a hash of their id into blocks of about ``block_words`` words,
     and each block is one pass over the index with windows of that size in the tasks; ``2 * slop + size`` must stay below GAP.
@@ -229,6 +230,7 @@ def search(index: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, bl
         return found
     merged = found.groupBy("segment", "doc").agg(
         F.first("doc_id").alias("doc_id"),
+        F.first("t").alias("t"),
         F.first("n_words").alias("n_words"),
         *[F.flatten(F.collect_list(c)).alias(c) for c in ("runs", "items", "near")],  # a list per block
     )
@@ -256,3 +258,12 @@ def verdicts(hits: DataFrame) -> DataFrame:
         (F.size("runs") > 0).alias("contaminated"),
         F.size(F.array_distinct("near")).cast("long").alias("n_near_items"),
     )
+
+
+def drop_hit(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """``docs`` without those that hold a window of an item; all columns as they are."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    hits = search(build_index(docs), items, size).where(F.size("runs") > 0).select(key.alias("d"), "t").distinct()
+    row = fresh(docs, "_row")
+    keyed = docs.select(F.struct("*").alias(row), key.alias("d"), F.xxhash64("text").alias("t"))
+    return keyed.join(stored(hits), ["d", "t"], "left_anti").select(f"{row}.*")

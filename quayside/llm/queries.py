@@ -13,9 +13,13 @@ from quayside.llm.common import stored, table
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents; texts go to Python workers some hundred at a time, so that long ones do not fill their memory."""
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers some hundred at a time, so that long ones do not fill their memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return table(spark, sf_dir, "documents")
 
 
