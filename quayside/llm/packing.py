@@ -22,6 +22,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ _SETTLED = "\t\n\r -\u024f\u2010-\u2027\u20ac"
 #: Texts that the tokenizer gets whole: other code points, contractions, and marks of special tokens.
 _WHOLE = re.compile(f"[^{_SETTLED}]|'(?:[stmd]|re|ve|ll)|<\\|")
 _BLANK, _SPACE = 3, 4
-CHARS = 2_000_000
+CHARS = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -49,7 +50,7 @@ class Encoder:
     known words: when the young one is full it becomes the old one, and words used again move back.
     """
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 250_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -126,6 +127,12 @@ class Encoder:
         return [next(slow) if w else next(fast) for w in whole]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One per Python worker, so that the tasks a worker runs one after the other share the known words."""
+    return Encoder(path)
+
+
 def cut(n: int, size: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n ids; the first takes the remainder."""
     first = n if n <= size else n % size or size
@@ -136,12 +143,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int =
     """(doc_id, piece, start, length, ids_crc32) of every document. A task holds about CHARS characters at a time, or one text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = Encoder(tokenizer_path), np.array([end_id], dtype="<u4")
+        encode, end = encoder(tokenizer_path).encode, np.array([end_id], dtype="<u4")
         for batch in batches:
             held = np.cumsum(batch["text"].str.len()) // CHARS
             for _, part in batch.groupby(held, sort=False):
                 out = []
-                for doc_id, ids in zip(part["doc_id"], encoder.encode(list(part["text"]))):
+                for doc_id, ids in zip(part["doc_id"], encode(list(part["text"]))):
                     raw = np.concatenate([ids, end]).tobytes()
                     for k, (start, length) in enumerate(cut(len(ids) + 1, size)):
                         out.append((doc_id, k, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)])))
