@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quayside.session import shared_dir
 
@@ -36,6 +38,14 @@ def fresh(df: DataFrame, base: str) -> str:
     return base
 
 
+def relaxed(schema: StructType) -> StructType:
+    """``schema`` with nulls allowed everywhere, as Arrow tables declare it."""
+    text = schema.json()
+    for name in ("nullable", "containsNull", "valueContainsNull"):
+        text = text.replace(f'"{name}":false', f'"{name}":true')
+    return StructType.fromJson(json.loads(text))
+
+
 def words_of(text: Column) -> Column:
     """Words of a text as an array; none for null or blank texts. Evaluates ``text`` twice."""
     trimmed = F.btrim(text, F.lit(BLANKS))

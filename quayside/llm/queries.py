@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import decontamination, line_dedup, oracles, packing, quality_rules, shingle_join
+from quayside.llm import decontamination, line_dedup, oracles, packing, pii, quality_rules, sharding, shingle_join
 from quayside.llm.common import stored, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,6 +29,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+#: Key of the registered query; in production the caller keeps its own.
+PII_KEY = b"a key of the registered query, not a secret"
+
+
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
+
+
 def op2_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.join_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
@@ -51,6 +59,17 @@ def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.verdicts(hits).drop("n_near_items")
 
 
+def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    narrow = documents(spark, sf_dir).select(
+        "doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32")
+    )
+    none = F.lit(None).cast("int").alias("grown_shard")
+    return sharding.shuffle(narrow, shards=8).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", none
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", *quality_rules.FACTS, "base_failed", "kept", "p_good"
@@ -58,10 +77,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_adaptive_prefix_join": op2_adaptive_prefix_join,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_line_runs": op6_line_runs,
     "op8_positional_index": op8_positional_index,
+    "op9_hypergeometric_shards": op9_hypergeometric_shards,
     "op10_quality_rules": op10_quality_rules,
 }
 

@@ -1,0 +1,66 @@
+from __future__ import annotations
+
+import re
+
+import pytest
+from conftest import SF
+
+from quayside.llm import pii, queries
+
+KEY = b"test"
+
+
+@pytest.mark.parametrize("size", [1, 2, 10, 97, 1000])
+def test_permutation(size):
+    f = pii.Feistel(KEY, "x", size)
+    image = [f.encrypt(x) for x in range(size)]
+    assert sorted(image) == list(range(size)) and [f.decrypt(y) for y in image] == list(range(size))
+
+
+VALID = [
+    "4539578763621486", "4539 5787 6362 1486", "+1 (275) 555-5927", "(212) 555-0199", "212-555-0199", "219-09-9999", "DE89 3704 0044 0532 0130 00",
+    "GB82WEST12345698765432", "235.58.234.215", "2024-02-29", "31.12.1999", "12/31/1999", "the.72@mail3.example.com", "+49 30 1234567",
+    "9c8b45435718dcc700c184a7e303cdc64c6a8f7f", "9233A8ECF7C5B09FE00000B6B82BC439E9329B00",
+]
+INVALID = ["4539578763621487", "300.1.2.3", "2023-02-30", "000-12-3456", "DE88370400440532013000", "1.2", "12345", "version 1.2.3", "a@b", "(111) 555-5927"]
+
+
+@pytest.mark.parametrize("value", VALID)
+def test_values(value):
+    there, back = pii.Pseudonyms(KEY), pii.Pseudonyms(KEY, inverse=True)
+    text = f"Call {value}, or {value}."
+    new, found = there.replace(text)
+    assert len(found) == 2 and value not in new
+    assert re.sub("[0-9a-f]" if len(value) == 40 and value.islower() else "[0-9A-Za-z]", "x", new) == re.sub("[0-9a-f]" if len(value) == 40 and value.islower() else "[0-9A-Za-z]", "x", text) or "." in value
+    assert len(set(re.findall(r"Call (.+), or (.+)\.", new)[0])) == 1
+    assert there.replace(new)[1] and [k for k, *_ in there.replace(new)[1]] == [k for k, *_ in found]
+    assert back.replace(new)[0] == text
+
+
+@pytest.mark.parametrize("value", INVALID)
+def test_left_alone(value):
+    assert pii.Pseudonyms(KEY).replace(f"Call {value}, or {value}.")[1] == []
+
+
+def test_linked_and_distinct():
+    p = pii.Pseudonyms(KEY)
+    assert p.replace("4539578763621486")[0] == p.replace("4539 5787 6362 1486")[0].replace(" ", "")
+    assert len({p.replace(f"10.0.{a}.{b}")[0] for a in range(20) for b in range(50)}) == 1000
+    assert p.replace("10.0.0.1")[0] != pii.Pseudonyms(b"other").replace("10.0.0.1")[0]
+
+
+def test_query_and_odd_rows(spark):
+    before = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    after = {r.doc_id: r for r in queries.op1_feistel_pseudonyms(spark, SF).collect()}
+    assert before.keys() == after.keys() and sum(r.n_replaced for r in after.values()) > 5
+    for k, r in after.items():
+        for card in re.findall(r"(?<!\d)\d{16}(?!\d)", before[k]):
+            assert (card in r.text) == (pii.luhn(card) != 0)
+        for private in re.findall(r"\S+@\S+\.com|\+1 \(\d{3}\) \d{3}-\d{4}|token = \"\w+", before[k]):
+            assert private not in r.text
+        assert (r.text == before[k]) == (r.n_replaced == 0)
+    odd = spark.createDataFrame([(1, None), (2, ""), (2, ""), (None, "x " * 100_000 + "10.1.2.3")], "doc_id long, text string")
+    odd = odd.selectExpr("*", "map(1, 2) as n_replaced", "1 as row")
+    rows = pii.pseudonymise(odd, KEY).collect()
+    assert sorted((r[1] is None, r["n_replaced_"]) for r in rows) == [(False, 0), (False, 0), (False, 1), (True, 0)]
+    assert pii.pseudonymise(odd.where("false"), KEY).collect() == []
