@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import decontamination, line_dedup, oracles, packing, pii, quality_rules, sharding, shingle_join
+from quayside.llm import decontamination, html_extract, line_dedup, oracles, packing, pii, quality_rules, sharding, shingle_join
 from quayside.llm.common import stored, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -45,6 +45,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(stored(packing.pieces(documents(spark, sf_dir), tokenizer_path())))
 
 
+def op4_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.delete_copies(documents(spark, sf_dir).select("doc_id", "text"), facts="facts")
     kept = F.coalesce("text", F.lit(""))
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_adaptive_prefix_join": op2_adaptive_prefix_join,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_line_blocks": op4_line_blocks,
     "op6_line_runs": op6_line_runs,
     "op8_positional_index": op8_positional_index,
     "op9_hypergeometric_shards": op9_hypergeometric_shards,
