@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import decontamination, html_extract, line_dedup, oracles, packing, pii, quality_rules, sharding, shingle_join
+from quayside.llm import decontamination, html_extract, line_dedup, lm_bloom, oracles, packing, pii, quality_rules, sharding, shingle_join
 from quayside.llm.common import stored, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -58,6 +58,10 @@ def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_bloom.score(documents(spark, sf_dir))
+
+
 def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontamination.build_index(documents(spark, sf_dir))
     hits = decontamination.search(index, table(spark, sf_dir, "benchmark"), size=10)
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_line_blocks": op4_line_blocks,
     "op6_line_runs": op6_line_runs,
+    "op7_bloom_lm": op7_bloom_lm,
     "op8_positional_index": op8_positional_index,
     "op9_hypergeometric_shards": op9_hypergeometric_shards,
     "op10_quality_rules": op10_quality_rules,
