@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import decontamination, html_extract, line_dedup, lm_bloom, oracles, packing, pii, quality_rules, sharding, shingle_join
+from quayside.llm import decontamination, html_extract, line_dedup, lm_bloom, oracles, packing, pii, quality_rules, sharding, shingle_join, suffix_dedup
 from quayside.llm.common import stored, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -50,6 +50,10 @@ def op4_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.delete_copies(documents(spark, sf_dir).select("doc_id", "text"), facts="facts")
     kept = F.coalesce("text", F.lit(""))
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_adaptive_prefix_join": op2_adaptive_prefix_join,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_line_blocks": op4_line_blocks,
+    "op5_suffix_family": op5_suffix_family,
     "op6_line_runs": op6_line_runs,
     "op7_bloom_lm": op7_bloom_lm,
     "op8_positional_index": op8_positional_index,
