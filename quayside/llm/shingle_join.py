@@ -14,7 +14,8 @@ document, and it comes last in the order.
 
 Documents with equal sets are one class and go on as one. Groups of near copies are not paired all with all: in each of the first rounds
 every document is verified against one leader of a list it shares, and what is linked is one component; only pairs
-of different components are enumerated in the last round. Links within a component cannot change it, so none is lost.
+of different components are enumerated in the last round, and of those only pairs that can be similar by their sizes and by
+how many of their tokens occur elsewhere at all. Links within a component cannot change it, so none is lost.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing; fewer than five words are one shingle;
 repeated rows are separate documents (with equal sets, so linked); null doc_ids are never the smallest id, and a component with no
@@ -31,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.llm.common import fresh, stored
@@ -213,8 +214,8 @@ def token_lists(docs: DataFrame, percent: int = 80, range_bits: int = 10) -> Dat
     return stored(counted.groupBy("batch").applyInPandas(lambda group: _lists(group, percent), LISTS))
 
 
-def prefixes(classes: DataFrame, percent: int, most: int = 4, verify_cost: int = 20) -> DataFrame:
-    """(token, row, n, level, asked): the prefix tokens of each document. ``asked`` is its l, the prefix length of least estimated
+def prefixes(classes: DataFrame, percent: int, longest: int = 4, verify_cost: int = 20) -> DataFrame:
+    """(token, row, n, most, level, asked): the prefix tokens of each document. ``asked`` is its l, the prefix length of least estimated
     cost; ``level`` is the shortest l-prefix a token belongs to.
 
     The cost of l is the number of entries in the lists of its prefix plus, for each candidate these may give (entries / l, since a
@@ -222,17 +223,17 @@ def prefixes(classes: DataFrame, percent: int, most: int = 4, verify_cost: int =
     least = F.ceil(F.col("n") * percent / 100)  # tokens that a partner must share
     alone = F.col("n") - F.size("tokens")
     one = F.greatest(F.lit(0), F.col("n") - least + 1 - alone).cast("int")  # shared tokens in the 1-prefix
-    work = classes.select("row", "n", "tokens", "times", one.alias("one"), F.least(F.lit(most), least).cast("int").alias("longest"))
+    work = classes.select("row", "n", "most", "tokens", "times", one.alias("one"), F.least(F.lit(longest), least).cast("int").alias("longest"))
 
     def cost(k: int):
         entries = F.aggregate(F.slice("times", 1, F.col("one") + k - 1), F.lit(0).cast("long"), lambda a, x: a + x)
         return F.when(F.lit(k) <= F.col("longest"), entries * (1 + verify_cost / k))
 
-    costs = work.select("row", "n", "tokens", "one", F.array(*[cost(k) for k in range(1, most + 1)]).alias("costs"))
+    costs = work.select("row", "n", "most", "tokens", "one", F.array(*[cost(k) for k in range(1, longest + 1)]).alias("costs"))
     asked = F.array_position("costs", F.array_min("costs")).cast("int").alias("asked")
-    taken = costs.select("row", "n", "tokens", "one", asked)
-    each = taken.select("row", "n", "one", "asked", F.posexplode(F.slice("tokens", 1, F.col("one") + F.col("asked") - 1)).alias("p", "token"))
-    return each.select("token", "row", "n", F.greatest(F.lit(1), F.col("p") + 2 - F.col("one")).alias("level"), "asked")
+    taken = costs.select("row", "n", "most", "tokens", "one", asked)
+    each = taken.select("row", "n", "most", "one", "asked", F.posexplode(F.slice("tokens", 1, F.col("one") + F.col("asked") - 1)).alias("p", "token"))
+    return each.select("token", "row", "n", "most", F.greatest(F.lit(1), F.col("p") + 2 - F.col("one")).alias("level"), "asked")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -249,13 +250,24 @@ def linked_rows(lists: DataFrame, percent: int = 80, rounds: int = 2) -> DataFra
     able = lists.where("tokens IS NOT NULL")
     full = able.where(F.size("tokens") == F.col("n"))
     exact = full.select("row", "n", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(7), F.col("tokens")).alias("h2"))
-    firsts = stored(exact.groupBy("n", "h1", "h2").agg(F.min("row").alias("least"), F.count("*").alias("k")).where("k > 1").drop("k"))
-    copies = stored(exact.join(firsts, ["n", "h1", "h2"]).where("row > least").select(F.col("row").alias("a"), F.col("least").alias("b")))
-    classes = stored(able.join(copies.select(F.col("a").alias("row")), "row", "left_anti"))
+    firsts = stored(exact.groupBy("n", "h1", "h2").agg(F.min("row").alias("least"), F.count("*").alias("k")).where("k > 1"))
+    copies = stored(exact.join(firsts, ["n", "h1", "h2"]).select(F.col("row").alias("a"), F.col("least").alias("b"), "k"))
+    known = able.join(copies.withColumnRenamed("a", "row"), "row", "left").where("b IS NULL OR b = row")
+    # what a class can share with others at most: tokens that occur in more documents than its own
+    shared = F.size(F.filter("times", lambda x: x > F.coalesce("k", F.lit(1)))).cast("long")
+    classes = stored(known.select("row", "n", "tokens", "times", shared.alias("most")))
     entries = stored(prefixes(classes, percent))
-    links = copies
+    links = copies.where("a > b").select("a", "b")
     labels = None
-    close = lambda n, m: (100 * F.col(n) >= percent * F.col(m)) & (100 * F.col(m) >= percent * F.col(n))
+
+    def possible(n: str, most: str, m: str, most2: str) -> Column:
+        """No more can be common than either shares with anyone."""
+        common = F.least(F.col(most), F.col(most2))
+        return 100 * common >= percent * (F.col(n) + F.col(m) - common)
+
+    def band(n: Column) -> Column:
+        return F.floor(F.log(n.cast("double")) * 20).cast("int")
+
     for turn in range(rounds + 1):
         mine = entries.withColumn("own", F.col("row"))
         if labels is not None:
@@ -263,21 +275,29 @@ def linked_rows(lists: DataFrame, percent: int = 80, rounds: int = 2) -> DataFra
             mine = entries.join(of, "row", "left").withColumn("own", F.coalesce("l", "row")).drop("l")
         mine = stored(mine)
         if turn < rounds:
-            # one leader per list, another in each turn; each document meets the one it shares most lists with
-            leader = F.min_by(F.struct("row", "own", "n"), F.xxhash64("row", F.lit(turn))).alias("leader")
+            # a leader per list: first the one with the least of its own, then another; each document meets the leader
+            # it shares most lists with
+            choice = F.struct((1 - F.col("most") / F.col("n")) if turn == 0 else F.lit(0.0), F.xxhash64("row", F.lit(turn)))
+            leader = F.min_by(F.struct("row", "own", "n", "most"), choice).alias("leader")
             leaders = stored(mine.groupBy("token").agg(leader, F.count("*").alias("k")).where("k > 1").drop("k"))
-            met = mine.join(leaders, "token").where((F.col("own") != F.col("leader.own")))
-            met = met.select("row", "n", F.col("leader.row").alias("b"), F.col("leader.n").alias("m")).where(close("n", "m"))
+            met = mine.join(leaders, "token").where(F.col("own") != F.col("leader.own"))
+            met = met.where(possible("n", "most", "leader.n", "leader.most")).select("row", F.col("leader.row").alias("b"))
             votes = met.groupBy("row", "b").agg(F.count("*").alias("k"))
             pairs = votes.groupBy(F.col("row").alias("a")).agg(F.max_by("b", F.struct("k", "b")).alias("b"))
         else:
             several = mine.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("token")
             left = stored(mine.join(stored(several), "token", "left_semi"))
-            right = left.select("token", *[F.col(c).alias(f"{c}2") for c in ("row", "n", "level", "asked", "own")])
-            least = F.least("asked", "asked2")
-            together = left.join(right, "token").where((F.col("row") < F.col("row2")) & (F.col("own") != F.col("own2")) & close("n", "n2"))
-            together = together.where((F.col("level") <= least) & (F.col("level2") <= least))
-            counted = together.groupBy(F.col("row").alias("a"), F.col("row2").alias("b")).agg(F.count("*").alias("k"), F.first(least).alias("asked"))
+            # partners are met in bands of size, only in those whose sizes are possible for a document
+            least_size = F.ceil(F.col("n") * percent / 100)
+            most_size = F.floor(((100 + percent) * F.col("most") - percent * F.col("n")) / percent)
+            bands = F.explode(F.sequence(band(least_size), band(most_size))).alias("band")
+            probes = stored(left.where(least_size <= most_size).select("*", bands))
+            names = ("row", "n", "most", "level", "asked", "own")
+            right = left.select("token", band(F.col("n")).alias("band"), *[F.col(c).alias(f"{c}2") for c in names])
+            asked = F.least("asked", "asked2")
+            together = probes.join(right, ["token", "band"]).where((F.col("row") < F.col("row2")) & (F.col("own") != F.col("own2")))
+            together = together.where(possible("n", "most", "n2", "most2") & (F.col("level") <= asked) & (F.col("level2") <= asked))
+            counted = together.groupBy(F.col("row").alias("a"), F.col("row2").alias("b")).agg(F.count("*").alias("k"), F.first(asked).alias("asked"))
             pairs = counted.where("k >= asked")
         links = stored(links.unionByName(_verified(pairs, classes, percent)))
         labels = components(links)
