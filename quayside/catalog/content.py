@@ -1,4 +1,4 @@
-"""Queries on contents, blocks and deltas. Block size is 256 bytes of ASCII text."""
+"""Queries on contents, blocks and deltas. Block size is 256 bytes of UTF-8 text."""
 
 from __future__ import annotations
 
@@ -24,8 +24,9 @@ def _matches(t: Tables):
     return delta.match_chunks(_signatures(t.content_new()), _signatures(t.content()))
 
 
-WEAK = """(list_sum(list_transform(range(size), lambda i: (size - i) * ascii(data[i + 1])))::BIGINT * 65536) % 4294967296
-  + list_sum(list_transform(range(size), lambda i: ascii(data[i + 1])))::BIGINT % 65536"""
+BYTE = "CAST(concat('0x', substr(h, (2 * i + 1)::INT, 2)) AS BIGINT)"
+WEAK = f"""(list_sum(list_transform(range(size), lambda i: (size - i) * {BYTE}))::BIGINT * 65536) % 4294967296
+  + list_sum(list_transform(range(size), lambda i: {BYTE}))::BIGINT % 65536"""
 
 MATCHES = {
     "base": "SELECT path, data, min(block_index) AS source_index FROM blocks GROUP BY path, data",
@@ -41,7 +42,7 @@ FROM (SELECT *, block_index - row_number() OVER (PARTITION BY path ORDER BY bloc
 
 HOLES = """SELECT path, min("offset") AS "offset", CAST(sum(size) AS BIGINT) AS length FROM (
   SELECT *, block_index - row_number() OVER (PARTITION BY path ORDER BY block_index) AS island
-  FROM zero_blocks WHERE data = repeat(chr(0), size::INT)) GROUP BY path, island HAVING sum(size) >= 512"""
+  FROM zero_blocks WHERE h = repeat('00', size::INT)) GROUP BY path, island HAVING sum(size) >= 512"""
 
 
 def _apply(t: Tables):
@@ -52,20 +53,19 @@ def _apply(t: Tables):
 
 
 def _rebuilt(t: Tables):
-    whole = delta.assemble(_apply(t))
+    whole = delta.assemble(_apply(t), files=t.content_new())
     return whole.select("path", F.length("content").cast("bigint").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 def _resume(t: Tables):
     """Interrupted copies of every file: two thirds were written, some copies got damaged, and
     some sources have changed since (``content_new``)."""
-    old = t.content().where(F.length("text") > 0)
-    size = F.length("text").cast("bigint")
+    old, size, raw = t.content(), F.octet_length("text").cast("bigint"), F.col("text").cast("binary")
     written = F.when(F.col("file_id") % 4 == 0, 0).otherwise(F.floor(size * 2 / 3)).cast("bigint")
     states = old.select(
-        "path", size.alias("size"), written.alias("bytes_written"), content.partial_checksum("text", written).alias("partial_checksum")
+        "path", size.alias("size"), written.alias("bytes_written"), content.partial_checksum(raw, written).alias("partial_checksum")
     )
-    damaged = F.when(F.col("file_id") % 9 == 0, F.concat(F.lit("?"), "text")).otherwise(F.col("text"))
+    damaged = F.when(F.col("file_id") % 9 == 0, F.concat(F.lit("?"), "text")).otherwise(F.col("text")).cast("binary")
     partial = old.select("path", content.partial_checksum(damaged, written).alias("checksum"))
     source = t.content_new().select("path", size.alias("size"))
     return content.resume_actions(states, source, partial)
@@ -73,11 +73,11 @@ def _resume(t: Tables):
 
 RESUME = """SELECT path, action, CASE WHEN action IN ('start', 'restart') THEN 0 WHEN action = 'resume' THEN written END AS "offset",
   CASE WHEN action IN ('start', 'restart') THEN size WHEN action = 'resume' THEN size - written END AS remaining FROM (
-  SELECT o.path, o.size, written, CASE WHEN n.path IS NULL THEN 'source_missing' WHEN length(n.text) <> o.size THEN 'source_changed'
+  SELECT o.path, o.size, written, CASE WHEN n.path IS NULL THEN 'source_missing' WHEN strlen(n.text) <> o.size THEN 'source_changed'
     WHEN written = 0 THEN 'start'
-    WHEN o.file_id % 9 = 0 AND substr(o.text, 1, written::INT) <> substr(concat('?', o.text), 1, written::INT) THEN 'restart' ELSE 'resume' END AS action
-  FROM (SELECT file_id, path, text, length(text) AS size,
-      CASE WHEN file_id % 4 = 0 THEN 0 ELSE CAST(floor(length(text) * 2 / 3.0) AS BIGINT) END AS written FROM content WHERE length(text) > 0) o
+    WHEN o.file_id % 9 = 0 AND substr(hex(encode(o.text)), 1, (2 * written)::INT) <> substr(hex(encode(concat('?', o.text))), 1, (2 * written)::INT) THEN 'restart' ELSE 'resume' END AS action
+  FROM (SELECT file_id, path, text, strlen(text) AS size,
+      CASE WHEN file_id % 4 = 0 THEN 0 ELSE CAST(floor(strlen(text) * 2 / 3.0) AS BIGINT) END AS written FROM content) o
   LEFT JOIN content_new n ON n.path = o.path)"""
 
 
@@ -87,11 +87,9 @@ def _key():
 
 def _sealed(t: Tables):
     """Every third file sealed, the others left in clear."""
-    raw = t.content().select("file_id", "path", "text", F.encode("text", "UTF-8").alias("content"))
-    sealed = content.encrypt_content(raw, _key())
-    return raw.select("file_id", "path", "text", "content").join(
-        sealed.select("file_id", F.col("content").alias("sealed")), "file_id"
-    ).withColumn("content", F.when(F.col("file_id") % 3 == 0, F.col("sealed")).otherwise(F.col("content"))).drop("sealed")
+    raw = t.content().select("file_id", "path", F.encode("text", "UTF-8").alias("content"))
+    sealed = content.encrypt_content(raw.withColumn("clear", F.col("content")), _key())
+    return sealed.withColumn("content", F.when(F.col("file_id") % 3 == 0, F.col("content")).otherwise(F.col("clear"))).drop("clear")
 
 
 def _round_trip(t: Tables):
@@ -102,7 +100,7 @@ def _round_trip(t: Tables):
 
 
 def _overhead(t: Tables):
-    plain = t.content().select("path", F.encode("text", "UTF-8").alias("content"), F.length("text").alias("size"))
+    plain = t.content().select("path", F.encode("text", "UTF-8").alias("content"), F.octet_length("text").alias("size"))
     sealed = content.encrypt_content(plain, _key())
     grown = F.length("content")
     return sealed.select(
@@ -131,24 +129,24 @@ QUERIES = {
         oracle("SELECT a.path, a.text <> b.text AS changed FROM content a JOIN content_new b ON a.path = b.path", "content_new"),
     ),
     "split_blocks": (
-        lambda t: _blocks(t.content()).withColumn("data", F.col("data").cast("string")),
-        oracle('SELECT file_id, path, block_index, "offset", size, data FROM blocks', "blocks"),
+        lambda t: _blocks(t.content_new()).withColumn("data", F.hex("data")),
+        oracle('SELECT file_id, path, block_index, "offset", size, h AS data FROM blocks_new', "blocks_new"),
     ),
     "block_signatures": (
         lambda t: _signatures(t.content()),
         oracle(f'SELECT file_id, path, block_index, "offset", size, {WEAK} AS weak, sha256(data) AS strong FROM blocks', "blocks"),
     ),
     "signature_summary": (
-        lambda t: content.signature_summary(_signatures(t.content())),
-        oracle("SELECT path, CAST(sum(size) AS BIGINT) AS file_size, count(*) AS num_chunks FROM blocks GROUP BY path", "blocks"),
+        lambda t: content.signature_summary(_signatures(t.content_new()), files=t.content_new()),
+        oracle("SELECT path, strlen(text) AS file_size, (strlen(text) + 255) // 256 AS num_chunks FROM content_new", "content_new"),
     ),
     "shifted_blocks": (
         lambda t: content.shifted_matches(t.content_new(), _signatures(t.content()), BLOCK, "text"),
         oracle(
             """SELECT n.path, n.o AS "offset", b.source_index FROM (
-  SELECT path, o, md5_number(substr(text, (o + 1)::INT, 256)) AS h
-  FROM (SELECT path, text, unnest(range(length(text) - 255)) AS o FROM content_new WHERE length(text) >= 256)) n
-JOIN (SELECT path, md5_number(data) AS h, min(block_index) AS source_index FROM blocks WHERE size = 256 GROUP BY path, data) b
+  SELECT path, o, md5_number(substr(x, (2 * o + 1)::INT, 512)) AS h
+  FROM (SELECT path, x, unnest(range(length(x) // 2 - 255)) AS o FROM (SELECT path, hex(encode(text)) AS x FROM content_new) WHERE length(x) >= 512)) n
+JOIN (SELECT path, md5_number(x) AS h, source_index FROM (SELECT path, h AS x, min(block_index) AS source_index FROM blocks WHERE size = 256 GROUP BY path, h)) b
   ON n.path = b.path AND n.h = b.h""",
             "blocks", "content_new",
         ),
@@ -162,41 +160,44 @@ JOIN (SELECT path, md5_number(data) AS h, min(block_index) AS source_index FROM
         oracle(OPS, "blocks", "blocks_new", extra=MATCHES),
     ),
     "delta_summary": (
-        lambda t: delta.delta_summary(_matches(t)).withColumn("savings_percent", F.round("savings_percent", 6)),
+        lambda t: delta.delta_summary(_matches(t), t.content_new()).withColumn("savings_percent", F.round("savings_percent", 6)),
         oracle(
-            """SELECT path, CAST(sum(size) AS BIGINT) AS target_size,
+            """SELECT c.path, CAST(strlen(c.text) AS BIGINT) AS target_size,
   CAST(coalesce(sum(size) FILTER (source_index IS NULL), 0) AS BIGINT) AS transfer_size,
-  count(source_index) AS matched_chunks, count(*) AS total_chunks,
-  round((sum(size) - coalesce(sum(size) FILTER (source_index IS NULL), 0))::DOUBLE / sum(size)::DOUBLE * 100.0, 6) AS savings_percent
-FROM matches GROUP BY path""",
+  count(source_index) AS matched_chunks, count(size) AS total_chunks,
+  round(CASE WHEN strlen(c.text) = 0 THEN 0.0
+    ELSE (sum(size) - coalesce(sum(size) FILTER (source_index IS NULL), 0))::DOUBLE / sum(size)::DOUBLE * 100.0 END, 6) AS savings_percent
+FROM content_new c LEFT JOIN matches m ON c.path = m.path GROUP BY c.path, c.text""",
             "blocks", "blocks_new", extra=MATCHES,
         ),
     ),
     "apply_delta": (
         _rebuilt,
-        oracle("SELECT path, length(text) AS size, sha256(text) AS sha256 FROM content_new WHERE length(text) > 0", "content_new"),
+        oracle("SELECT path, strlen(text) AS size, sha256(text) AS sha256 FROM content_new", "content_new"),
     ),
     "apply_delta_summary": (
-        lambda t: delta.apply_summary(_apply(t)),
+        lambda t: delta.apply_summary(_apply(t), t.content_new()),
         oracle(
-            """SELECT path, CAST(coalesce(sum(size) FILTER (source_index IS NOT NULL), 0) AS BIGINT) AS bytes_copied,
-  CAST(coalesce(sum(size) FILTER (source_index IS NULL), 0) AS BIGINT) AS bytes_written FROM matches GROUP BY path""",
+            """SELECT c.path, CAST(coalesce(sum(size) FILTER (source_index IS NOT NULL), 0) AS BIGINT) AS bytes_copied,
+  CAST(coalesce(sum(size) FILTER (source_index IS NULL), 0) AS BIGINT) AS bytes_written
+FROM content_new c LEFT JOIN matches m ON c.path = m.path GROUP BY c.path""",
             "blocks", "blocks_new", extra=MATCHES,
         ),
     ),
     "composite_hash": (
-        lambda t: delta.composite_hash(_blocks(t.content()).withColumn("strong", F.sha2("data", 256))),
+        lambda t: delta.composite_hash(_blocks(t.content_new()).withColumn("strong", F.sha2("data", 256)), files=t.content_new()),
         oracle(
             """SELECT path, CAST(CASE WHEN u >= 9223372036854775808 THEN u::HUGEINT - 18446744073709551616 ELSE u::HUGEINT END AS BIGINT) AS composite
-FROM (SELECT path, bit_xor(CASE WHEN r = 0 THEN h ELSE
-    (((h::UHUGEINT * (CAST(1 AS UHUGEINT) << CAST(r AS UHUGEINT))) % 18446744073709551616::UHUGEINT)::UBIGINT | (h >> (64 - r))) END) AS u
-  FROM (SELECT path, (block_index % 64)::INT AS r, CAST(concat('0x', substr(sha256(data), 1, 16)) AS UBIGINT) AS h FROM blocks) GROUP BY path)""",
-            "blocks",
+FROM (SELECT c.path, coalesce(bit_xor(CASE WHEN r = 0 THEN h ELSE
+    (((h::UHUGEINT * (CAST(1 AS UHUGEINT) << CAST(r AS UHUGEINT))) % 18446744073709551616::UHUGEINT)::UBIGINT | (h >> (64 - r))) END), 0::UBIGINT) AS u
+  FROM content_new c LEFT JOIN (SELECT path, (block_index % 64)::INT AS r, CAST(concat('0x', substr(sha256(data), 1, 16)) AS UBIGINT) AS h FROM blocks_new) b
+    ON c.path = b.path GROUP BY c.path)""",
+            "blocks_new",
         ),
     ),
     "composite_digest": (
         lambda t: _blocks(t.content()).groupBy("path").agg(
-            F.lower(F.hex(xor_digests(F.unhex(F.sha2("data", 256))))).alias("digest")
+            xor_digests(F.sha2("data", 256)).alias("digest")
         ),
         oracle(
             "SELECT path, concat("
@@ -207,14 +208,14 @@ FROM (SELECT path, bit_xor(CASE WHEN r = 0 THEN h ELSE
     ),
     "zero_blocks": (
         lambda t: content.flag_zero(t.zero_blocks()).select("path", "block_index", "is_zero"),
-        oracle("SELECT path, block_index, data = repeat(chr(0), size::INT) AS is_zero FROM zero_blocks", "zero_blocks"),
+        oracle("SELECT path, block_index, h = repeat('00', size::INT) AS is_zero FROM zero_blocks", "zero_blocks"),
     ),
     "find_holes": (
         lambda t: content.find_holes(t.zero_blocks(), ["path"], BLOCK, 512),
         oracle(HOLES, "zero_blocks"),
     ),
     "sparse_summary": (
-        lambda t: content.sparse_summary(t.zero_blocks(), ["path"], BLOCK, 512).withColumn("sparse_ratio", F.round("sparse_ratio", 9)),
+        lambda t: content.sparse_summary(t.zero_blocks(), ["path"], BLOCK, 512, t.content()).withColumn("sparse_ratio", F.round("sparse_ratio", 9)),
         oracle(
             """SELECT b.path, logical_size, coalesce(saved, 0) AS space_saved, logical_size - coalesce(saved, 0) AS bytes_written,
   coalesce(n, 0) AS holes, round(coalesce(saved, 0) / logical_size::DOUBLE, 9) AS sparse_ratio
@@ -232,8 +233,8 @@ LEFT JOIN (SELECT path, CAST(sum(length) AS BIGINT) AS saved, count(*) AS n FROM
     "encryption_overhead": (
         _overhead,
         oracle(
-            """SELECT path, length(text) + 34 AS sealed_size,
-  round(CASE WHEN length(text) > 0 THEN ((length(text) + 34) / length(text)::DOUBLE - 1.0) * 100.0 ELSE 0.0 END, 6) AS overhead FROM content""",
+            """SELECT path, strlen(text) + 34 AS sealed_size,
+  round(CASE WHEN strlen(text) > 0 THEN ((strlen(text) + 34) / strlen(text)::DOUBLE - 1.0) * 100.0 ELSE 0.0 END, 6) AS overhead FROM content""",
             "content",
         ),
     ),

@@ -43,7 +43,7 @@ def _scan(t: Tables):
 
 
 def _sizes(t: Tables):
-    return t.content().select("path", F.length("text").cast("bigint").alias("size"))
+    return t.content().select("path", F.octet_length("text").cast("bigint").alias("size"))
 
 
 def _list_tree(t: Tables):
@@ -119,7 +119,7 @@ def _manifest_json(t: Tables):
 
 def _hash_manifest(t: Tables):
     folder = new_folder(t.spark, "hashes")
-    hashed = hash_content(t.content().withColumn("size", F.length("text").cast("bigint")), "text", "sha256")
+    hashed = hash_content(t.content().withColumn("size", F.octet_length("text").cast("bigint")), "text", "sha256")
     manifests.write_hash_manifest(hashed.withColumn("mtime", F.lit(0)), folder, "sha256", "/src", 1_700_000_000)
     _, rows = manifests.read_hash_manifest(t.spark, folder)
     return rows.select("path", "size", "algorithm", "hash")
@@ -184,18 +184,18 @@ def _stream_inventory(t: Tables):
     return live.current_manifest(batches).select(F.substring_index("path", "/", -3).alias("path"), "size")
 
 
-SIZES = "SELECT path, length(text) AS size FROM content"
+SIZES = "SELECT path, strlen(text) AS size FROM content"
 
 QUERIES = {
     "scan_inventory": (
         lambda t: _scan(t).where("NOT is_dir").select("path", "size", "is_symlink"),
-        oracle("SELECT path, length(text) AS size, false AS is_symlink FROM content", "content"),
+        oracle("SELECT path, strlen(text) AS size, false AS is_symlink FROM content", "content"),
     ),
     "scan_tree_totals": (
         lambda t: scan_totals(_scan(t)),
         oracle(
             """SELECT count(*) AS file_count, 1 + count(DISTINCT split_part(path, '/', 1)) + count(DISTINCT regexp_replace(path, '/[^/]*$', '')) AS dir_count,
-  CAST(sum(length(text)) AS BIGINT) AS total_size FROM content""",
+  CAST(sum(strlen(text)) AS BIGINT) AS total_size FROM content""",
             "content",
         ),
     ),
@@ -204,15 +204,15 @@ QUERIES = {
     "read_blocks": (
         _read_blocks,
         oracle(
-            """SELECT path, i AS block_index, i * 4096 AS "offset", length(substr(text, (i * 4096 + 1)::INT, 4096)) AS size,
-  sha256(substr(text, (i * 4096 + 1)::INT, 4096)) AS sha256
-FROM (SELECT path, text, unnest(range((length(text) + 4095) // 4096)) AS i FROM content)""",
+            """SELECT path, i AS block_index, i * 4096 AS "offset", length(substr(h, (i * 8192 + 1)::INT, 8192)) // 2 AS size,
+  sha256(unhex(substr(h, (i * 8192 + 1)::INT, 8192))) AS sha256
+FROM (SELECT path, h, unnest(range((length(h) + 8191) // 8192)) AS i FROM (SELECT path, hex(encode(text)) AS h FROM content))""",
             "content",
         ),
     ),
     "copy_files": (
         _copy,
-        oracle("SELECT path, 'copied' AS status, length(text) AS bytes, sha256(text) AS hash, 'match' AS result FROM content", "content"),
+        oracle("SELECT path, 'copied' AS status, strlen(text) AS bytes, sha256(text) AS hash, 'match' AS result FROM content", "content"),
     ),
     "copy_incremental": (
         _incremental,
@@ -224,19 +224,19 @@ FROM (SELECT path, text, unnest(range((length(text) + 4095) // 4096)) AS i FROM
     ),
     "copy_dry_run": (
         _dry_run,
-        oracle("SELECT 'planned' AS status, count(*) AS files, CAST(sum(length(text)) AS BIGINT) AS bytes FROM content", "content"),
+        oracle("SELECT 'planned' AS status, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM content", "content"),
     ),
     "copy_chunks": (
         _copy_chunks,
         oracle(
-            """SELECT path, length(text) AS bytes, CASE WHEN length(text) >= 8192 THEN (length(text) + 4095) // 4096 ELSE 1 END AS chunks,
-  true AS complete, sha256(text) AS hash FROM content WHERE length(text) > 0""",
+            """SELECT path, strlen(text) AS bytes, CASE WHEN strlen(text) >= 8192 THEN (strlen(text) + 4095) // 4096 ELSE 1 END AS chunks,
+  true AS complete, sha256(text) AS hash FROM content WHERE strlen(text) > 0""",
             "content",
         ),
     ),
     "archive_round_trip": (
         _archives,
-        oracle("SELECT path, length(text) AS size, sha256(text) AS sha256 FROM content", "content"),
+        oracle("SELECT path, strlen(text) AS size, sha256(text) AS sha256 FROM content", "content"),
     ),
     "manifest_round_trip": (
         lambda t: manifests.read_manifest(t.spark, _manifest(t)).select("path", "size", "mtime_secs", "mtime_nsecs", "permissions", "setuid", "file_type"),
@@ -260,7 +260,7 @@ FROM (SELECT path, text, unnest(range((length(text) + 4095) // 4096)) AS i FROM
     ),
     "hash_manifest_round_trip": (
         _hash_manifest,
-        oracle("SELECT path, length(text) AS size, 'sha256' AS algorithm, sha256(text) AS hash FROM content", "content"),
+        oracle("SELECT path, strlen(text) AS size, 'sha256' AS algorithm, sha256(text) AS hash FROM content", "content"),
     ),
     "history_store": (
         _history,

@@ -106,16 +106,11 @@ class Tables:
             )
         )
 
-    def documents(self) -> DataFrame:
-        """Documents, spread over all cores where the file has fewer splits than there are."""
-        df, cores = self.read("documents"), self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
     def content(self) -> DataFrame:
-        return self.documents().select(
+        return self.read("documents").select(
             F.col("doc_id").alias("file_id"),
             F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
-            F.regexp_replace("text", "[^ -~]", "").alias("text"),
+            "text",
         )
 
     def content_new(self) -> DataFrame:
@@ -123,6 +118,7 @@ class Tables:
         edited = (
             F.when((k % 5 == 0) & (F.length(text) > 300), F.expr("concat(substr(text,1,260), '#', substr(text,262))"))
             .when(k % 5 == 1, F.concat(text, F.lit(" appended")))
+            .when(k % 5 == 2, F.when(k % 3 == 0, "").otherwise(text))
             .otherwise(text)
         )
         return self.content().where(k % 7 != 0).withColumn("text", edited)
@@ -308,17 +304,19 @@ FROM orders o JOIN (
     CAST(sum(CAST(floor(l_extendedprice * 1000) AS BIGINT)) AS BIGINT) AS bytes
   FROM lineitem GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey""",
     "content": """SELECT doc_id AS file_id, concat(source, '/', lang, '/', CAST(doc_id AS VARCHAR), '.txt') AS path,
-  regexp_replace(text, '[^ -~]', '', 'g') AS text FROM documents""",
+  text FROM documents""",
     "content_new": """SELECT file_id, path, CASE WHEN file_id % 5 = 0 AND length(text) > 300
     THEN concat(substr(text,1,260), '#', substr(text,262))
-  WHEN file_id % 5 = 1 THEN concat(text, ' appended') ELSE text END AS text
+  WHEN file_id % 5 = 1 THEN concat(text, ' appended') WHEN file_id % 15 = 12 THEN '' ELSE text END AS text
 FROM content WHERE file_id % 7 <> 0""",
-    "blocks": """SELECT file_id, path, i AS block_index, i * 256 AS "offset", substr(text, CAST(i * 256 + 1 AS INT), 256) AS data,
-  length(substr(text, CAST(i * 256 + 1 AS INT), 256)) AS size
-FROM (SELECT file_id, path, text, unnest(range((length(text) + 255) // 256)) AS i FROM content) t""",
-    "blocks_new": """SELECT file_id, path, i AS block_index, i * 256 AS "offset", substr(text, CAST(i * 256 + 1 AS INT), 256) AS data,
-  length(substr(text, CAST(i * 256 + 1 AS INT), 256)) AS size
-FROM (SELECT file_id, path, text, unnest(range((length(text) + 255) // 256)) AS i FROM content_new) t""",
+    "blocks": """SELECT file_id, path, i AS block_index, i * 256 AS "offset", unhex(substr(h, i * 512 + 1, 512)) AS data,
+  substr(h, i * 512 + 1, 512) AS h, length(substr(h, i * 512 + 1, 512)) // 2 AS size
+FROM (SELECT file_id, path, h, unnest(range((length(h) + 511) // 512)) AS i
+  FROM (SELECT file_id, path, hex(encode(text)) AS h FROM content) u) t""",
+    "blocks_new": """SELECT file_id, path, i AS block_index, i * 256 AS "offset", unhex(substr(h, i * 512 + 1, 512)) AS data,
+  substr(h, i * 512 + 1, 512) AS h, length(substr(h, i * 512 + 1, 512)) // 2 AS size
+FROM (SELECT file_id, path, h, unnest(range((length(h) + 511) // 512)) AS i
+  FROM (SELECT file_id, path, hex(encode(text)) AS h FROM content_new) u) t""",
     "transfer_events": """SELECT event_id, ts, user_id AS job_id, event_type AS state,
   CAST(floor(value * 1000000) AS BIGINT) AS bytes FROM events""",
     "manifest": "SELECT path, size, CAST(floor(epoch(mtime)) AS BIGINT) AS mtime FROM dst_inventory",
@@ -361,7 +359,7 @@ FROM orders JOIN history h ON o_orderkey = h.id""",
   nullif(o_orderkey % 7, 0)::INT AS num_tasks, nullif(o_orderkey % 5, 0)::INT AS cpus_per_task
 FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS p FROM orders) o""",
     "zero_blocks": """SELECT file_id, path, block_index, "offset", size,
-  CASE WHEN block_index % 3 > 0 THEN repeat(chr(0), size::INT) ELSE data END AS data FROM blocks""",
+  CASE WHEN block_index % 3 > 0 THEN repeat('00', size::INT) ELSE h END AS h FROM blocks""",
     "listing_text": """SELECT concat(strftime(mtime, '%Y/%m/%d %H:%M:%S'), '   ', size, ' s3://bucket/', path) AS value FROM src_inventory
 UNION ALL
 SELECT DISTINCT concat('DIR  s3://bucket/', regexp_replace(path, '[^/]*$', '')) FROM src_inventory""",

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType
+from pyspark.sql.types import LongType, StringType
 
 from quayside.functions.paths import _col
 
@@ -113,11 +113,9 @@ def rotate_left(value: Column, bits: Column) -> Column:
     return F.when(bits == 0, value).otherwise(turned)
 
 
-@F.pandas_udf(BinaryType())
-def xor_digests(digests: pd.Series) -> bytes:
-    """Grouped aggregate: XOR of equally long binary digests (any width)."""
-    total = b""
-    for digest in digests:
-        value = bytes(digest)
-        total = bytes(a ^ b for a, b in zip(total, value)) if total else value
-    return total
+def xor_digests(hex_digests: Column | str, width: int = 64) -> Column:
+    """Aggregate: XOR of hex digests of ``width`` digits, as hex. Sixteen digits at a time are one number for
+    ``bit_xor``, which Spark combines before the shuffle."""
+    digest = _col(hex_digests)
+    parts = [F.conv(F.substring(digest, i, 16), 16, -10).cast("bigint") for i in range(1, width, 16)]
+    return F.concat(*[F.lower(F.lpad(F.hex(F.bit_xor(p)), 16, "0")) for p in parts])

@@ -51,9 +51,17 @@ def signatures(blocks: DataFrame, strong: str = "sha256") -> DataFrame:
     return blocks.select(*rest, weak_checksum("data").alias("weak"), content_hash("data", strong).alias("strong"))
 
 
-def signature_summary(sigs: DataFrame, key: str = "path") -> DataFrame:
-    """File size and number of chunks per signature."""
-    return sigs.groupBy(key).agg(F.sum("size").alias("file_size"), F.count("*").alias("num_chunks"))
+def for_all_files(sums: DataFrame, files: DataFrame | None, keys: list[str], **empty) -> DataFrame:
+    """``sums`` of blocks with a row for every file: one of ``files`` that has no blocks gets the values of ``empty``."""
+    if files is None:
+        return sums
+    return files.select(*keys).join(sums, keys, "left").na.fill(empty)
+
+
+def signature_summary(sigs: DataFrame, key: str = "path", files: DataFrame | None = None) -> DataFrame:
+    """File size and number of chunks per signature; empty files have a row if ``files`` names them."""
+    sums = sigs.groupBy(key).agg(F.sum("size").alias("file_size"), F.count("*").alias("num_chunks"))
+    return for_all_files(sums, files, [key], file_size=0, num_chunks=0)
 
 
 def rolling_weak(data: bytes, window: int) -> np.ndarray:
@@ -138,9 +146,11 @@ def find_holes(blocks: DataFrame, keys: list[str], block: int, min_hole: int = 4
     )
 
 
-def sparse_summary(blocks: DataFrame, keys: list[str], block: int, min_hole: int = 4096) -> DataFrame:
-    """Per file: logical size, hole bytes, written bytes, holes, ratio of holes."""
-    whole = blocks.groupBy(*keys).agg(F.sum("size").alias("logical_size"))
+def sparse_summary(
+    blocks: DataFrame, keys: list[str], block: int, min_hole: int = 4096, files: DataFrame | None = None
+) -> DataFrame:
+    """Per file: logical size, hole bytes, written bytes, holes, ratio of holes. Empty files have a row if ``files`` names them."""
+    whole = for_all_files(blocks.groupBy(*keys).agg(F.sum("size").alias("logical_size")), files, keys, logical_size=0)
     holes = find_holes(blocks, keys, block, min_hole).groupBy(*keys).agg(
         F.sum("length").alias("space_saved"), F.count("*").alias("holes")
     )

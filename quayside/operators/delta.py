@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions.hashing import hash_to_bigint, rotate_left
+from quayside.operators.content import for_all_files
 from quayside.operators.islands import runs
 from quayside.operators.skew import skew_join
 from quayside.session import persist_shared
@@ -96,27 +97,30 @@ def apply_delta(base_blocks: DataFrame, ops: DataFrame, literals: DataFrame, blo
     return copied.drop("source_index").unionByName(written)
 
 
-def apply_summary(applied: DataFrame) -> DataFrame:
-    """Bytes copied from the old version and bytes written from literals, per file."""
-    return applied.groupBy("path").agg(
+def apply_summary(applied: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Bytes copied from the old version and bytes written from literals, per file; empty files have a row if ``files`` names them."""
+    sums = applied.groupBy("path").agg(
         F.coalesce(F.sum(F.when(F.col("op") == "copy", F.col("size"))), F.lit(0)).alias("bytes_copied"),
         F.coalesce(F.sum(F.when(F.col("op") == "insert", F.col("size"))), F.lit(0)).alias("bytes_written"),
     )
+    return for_all_files(sums, files, ["path"], bytes_copied=0, bytes_written=0)
 
 
-def assemble(blocks: DataFrame, offset: str = "dest_offset") -> DataFrame:
-    """One row per file with its whole content (binary), for files that came from one row.
+def assemble(blocks: DataFrame, offset: str = "dest_offset", files: DataFrame | None = None) -> DataFrame:
+    """One row per file with its whole content (binary), for files that came from one row; empty files if ``files`` names them.
 
     Larger files stay in blocks and are written at their offsets (see sources.copying).
     """
     parts = F.array_sort(F.collect_list(F.struct(offset, "data")))
     # joined as hex text: concatenating binary step by step would copy it once per block
     joined = F.unhex(F.array_join(F.transform(parts, lambda p: F.hex(p["data"])), ""))
-    return blocks.groupBy("path").agg(joined.alias("content"))
+    whole = for_all_files(blocks.groupBy("path").agg(joined.alias("content")), files, ["path"])
+    return whole.withColumn("content", F.coalesce("content", F.lit(b"")))
 
 
-def delta_summary(matches: DataFrame) -> DataFrame:
-    """Per file: target size, bytes to transfer, saved percent, chunks matched and in all."""
+def delta_summary(matches: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Per file: target size, bytes to transfer, saved percent, chunks matched and in all; empty files have a
+    row if ``files`` names them."""
     literal = F.col("source_index").isNull()
     sums = matches.groupBy("path").agg(
         F.sum("size").alias("target_size"),
@@ -124,15 +128,18 @@ def delta_summary(matches: DataFrame) -> DataFrame:
         F.count_if(~literal).alias("matched_chunks"),
         F.count("*").alias("total_chunks"),
     )
+    sums = for_all_files(sums, files, ["path"], target_size=0, transfer_size=0, matched_chunks=0, total_chunks=0)
     saved = (F.col("target_size") - F.col("transfer_size")).cast("double") / F.col("target_size") * 100.0
     return sums.withColumn("savings_percent", F.when(F.col("target_size") > 0, saved).otherwise(F.lit(0.0)))
 
 
-def composite_hash(chunks: DataFrame, key: str = "path", value: Column | str | None = None) -> DataFrame:
+def composite_hash(
+    chunks: DataFrame, key: str = "path", value: Column | str | None = None, files: DataFrame | None = None
+) -> DataFrame:
     """File hash from 64-bit chunk hashes: XOR of each rotated left by its index mod 64.
 
     ``value`` defaults to the first 64 bits of ``strong``. XOR is combined map-side.
     """
     h = hash_to_bigint("strong") if value is None else (F.col(value) if isinstance(value, str) else value)
     turned = rotate_left(h, (F.col("block_index") % 64).cast("int"))
-    return chunks.groupBy(key).agg(F.bit_xor(turned).alias("composite"))
+    return for_all_files(chunks.groupBy(key).agg(F.bit_xor(turned).alias("composite")), files, [key], composite=0)
