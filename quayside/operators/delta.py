@@ -8,25 +8,22 @@ from pyspark.sql import functions as F
 from quayside.functions.hashing import hash_to_bigint, rotate_left
 from quayside.operators.content import for_all_files
 from quayside.operators.islands import runs
-from quayside.operators.skew import skew_join
 from quayside.session import persist_shared
 
 SIGNATURE = ["path", "weak", "strong", "size"]
 
 
-def match_chunks(new: DataFrame, base: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def match_chunks(new: DataFrame, base: DataFrame) -> DataFrame:
     """Every block signature of ``new`` with ``source_index``: the lowest base block of the
     same file with equal weak checksum, strong hash and size, or null.
 
     The base is reduced to one row per signature before the join, so that zero blocks or
-    boilerplate cannot multiply; on the new side such blocks are a hot key, which
-    :func:`skew_join` keeps out of the shuffle. Both sides are written once as narrow
-    signature rows, so that looking for hot keys never reads a content again.
+    boilerplate cannot multiply; on the new side such blocks are a hot key, which adaptive execution splits. The base
+    side and the matches are written once as narrow rows: whoever reads the matches again neither joins nor
+    reads a content again.
     """
-    new = persist_shared(new)
     lowest = persist_shared(base.groupBy(*SIGNATURE).agg(F.min("block_index").alias("source_index")))
-    options = {} if hot_rows is None else {"hot_rows": hot_rows}
-    return skew_join(new, lowest, SIGNATURE, "left", **options)
+    return persist_shared(new.join(lowest, SIGNATURE, "left"))
 
 
 def delta_ops(matches: DataFrame, block: int, max_literal_blocks: int | None = None) -> DataFrame:
@@ -77,7 +74,7 @@ def literal_blocks(new_blocks: DataFrame, matches: DataFrame) -> DataFrame:
     return new_blocks.join(missing, ["path", "block_index"], "left_semi")
 
 
-def apply_delta(base_blocks: DataFrame, ops: DataFrame, literals: DataFrame, block: int, hot_rows: int | None = None) -> DataFrame:
+def apply_delta(base_blocks: DataFrame, ops: DataFrame, literals: DataFrame, block: int) -> DataFrame:
     """Target file as block rows (path, dest_offset, size, data, op).
 
     ``literals`` are block rows (path, block_index, data). The result stays in blocks, so a
@@ -85,8 +82,7 @@ def apply_delta(base_blocks: DataFrame, ops: DataFrame, literals: DataFrame, blo
     """
     copies = ops.where("op = 'copy'").select("path", "source_index", "dest_offset", "size", "op")
     source = base_blocks.select("path", F.col("block_index").alias("source_index"), "data")
-    options = {} if hot_rows is None else {"hot_rows": hot_rows}
-    copied = skew_join(copies, source, ["path", "source_index"], "left", **options)
+    copied = copies.join(source, ["path", "source_index"], "left")
     written = literals.select(
         "path",
         (F.col("block_index") * block).alias("dest_offset"),

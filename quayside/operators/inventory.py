@@ -110,24 +110,17 @@ def next_tasks(df: DataFrame, k: int) -> DataFrame:
     )
 
 
-#: Pages that start further down than this are cut by position instead of by a sorted limit.
-DEEP_PAGE_ROWS = 100_000
-
-
 def paginate(df: DataFrame, order: list, page: int = 1, per_page: int = 20) -> tuple[DataFrame, dict]:
     """Rows of one page (counted from 1) and its header.
 
-    A sorted limit keeps all rows up to the page's end in one task, so deep pages are picked
-    by the rows' positions, which are worked out in parallel.
+    A sorted limit keeps all rows up to the page's end in one task, so pages are picked by the rows' positions, which
+    are worked out in parallel.
     """
     if page < 1:
         raise ValueError("pages are counted from 1")
     total, first = df.count(), (page - 1) * per_page
-    if first + per_page <= DEEP_PAGE_ROWS:
-        rows = df.orderBy(*order).offset(first).limit(per_page)
-    else:
-        placed = with_position(df, [], order, "_position")
-        rows = placed.where(F.col("_position").between(first, first + per_page - 1)).orderBy("_position").drop("_position")
+    placed = with_position(df, [], order, "_position")
+    rows = placed.where(F.col("_position").between(first, first + per_page - 1)).orderBy("_position").drop("_position")
     header = {
         "total": total,
         "page": page,

@@ -185,14 +185,6 @@ def assign_mount(df: DataFrame, mounts: DataFrame, path: str = "path") -> DataFr
     the longest hit is kept with one aggregate per row's own array, without a shuffle of paths.
     """
     points = mounts.select(F.col("mount_point").alias("mount")).distinct()
-    n = points.count()
-    if n <= MAX_LISTED_MOUNTS:
-        listed = sorted((r.mount for r in points.collect()), key=lambda m: (-len(m), m))
-        found = None
-        for point in listed:
-            test = F.col(path).startswith(point)
-            found = F.when(test, point) if found is None else found.when(test, point)
-        return df.withColumn("mount", found if found is not None else F.lit(None).cast("string"))
     lengths = [r[0] for r in points.select(F.length("mount")).distinct().collect()]
     cuts = F.array(*[F.substring(path, 1, size) for size in sorted(lengths, reverse=True)])
     per_path = df.select(path).distinct()
@@ -202,11 +194,7 @@ def assign_mount(df: DataFrame, mounts: DataFrame, path: str = "path") -> DataFr
         .groupBy(path)
         .agg(F.max_by("mount", F.length("mount")).alias("mount"))
     )
-    return df.join(hits, path, "left")
-
-
-#: Mount tables up to this size become one CASE expression.
-MAX_LISTED_MOUNTS = 200
+    return df.join(hits, path, "left").select(*df.columns, "mount")
 
 
 def check_space(plan: DataFrame, mounts: DataFrame, path: str = "path") -> DataFrame:

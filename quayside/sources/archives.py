@@ -19,23 +19,19 @@ from quayside.sources.scan import scan_content
 SUFFIX = {"tar": ".tar", "tar-gz": ".tar.gz", "tar-zstd": ".tar.zst"}
 _MODE = {"tar": "w", "tar-gz": "w:gz", "tar-zstd": "w"}
 
-#: Members of one archive file; a batch with more (say, of empty files) gets several.
-MAX_MEMBERS = 100_000
-
-
 def write_archives(
-    batches: DataFrame, source_root: str, out_dir: str, fmt: str = "tar", max_members: int = MAX_MEMBERS
+    batches: DataFrame, source_root: str, out_dir: str, fmt: str = "tar", max_members: int | None = None
 ) -> DataFrame:
     """Packs every batch (path, size, batch) into archives named by batch and part.
 
     Returns (archive, files, missing, bytes) rows. Only names are shuffled; each task reads
-    the files of its archives itself. Missing files are left out and counted. Batches hold a
-    bounded number of bytes, and ``max_members`` bounds the names in one group.
+    the files of its archives itself. Missing files are left out and counted. A batch is one archive; with ``max_members``
+    it is cut into several of at most that many files.
     """
     if fmt not in SUFFIX:
         raise ValueError(f"unknown archive format {fmt!r}")
     placed = with_position(batches.where("batch IS NOT NULL").select("path", "size", "batch"), ["batch"], ["path"], "_at")
-    parts = placed.withColumn("part", F.floor(F.col("_at") / max_members).cast("bigint"))
+    parts = placed.withColumn("part", F.floor(F.col("_at") / (max_members or 2**62)).cast("bigint"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         name = f"batch-{int(pdf['batch'].iloc[0]):08d}-{int(pdf['part'].iloc[0]):04d}{SUFFIX[fmt]}"

@@ -70,33 +70,29 @@ def parquet_entries(inventory: DataFrame) -> DataFrame:
 
 
 def manifest_count(spark: SparkSession, path: str) -> DataFrame:
-    """Number of entries, answered from the file footers: the v2 Parquet source pushes the
-    count down, and without it the scan still reads no column."""
-    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    """Number of entries. The scan reads no column; with the v2 Parquet source and
+    ``spark.sql.parquet.aggregatePushdown`` (see get_spark) footers alone answer it."""
     return spark.read.parquet(path).agg(F.count("*").alias("entries"))
 
 
 def read_manifest_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(header, entries) of one manifest document or of a folder of them.
-
-    Header documents and JSON-lines entries written by :func:`write_manifest_json` with
-    ``lines=True`` are told apart by their file layout (``header/`` and ``entries/``).
+    """(header, entries) of a manifest: what :func:`write_manifest_json` wrote (a header beside JSON lines), a single
+    document, or a folder of documents. A folder named ``header`` below the path tells the first from the others.
     """
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/header")
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        header = spark.read.schema(schemas.MANIFEST_DOCUMENT).json(f"{path}/header").drop("entries")
+        return header, spark.read.schema(schemas.MANIFEST_ENTRY.replace(":", "")).json(f"{path}/entries")
     doc = spark.read.schema(schemas.MANIFEST_DOCUMENT).option("multiLine", "true").json(path)
     return doc.drop("entries"), doc.select(F.explode("entries").alias("e")).select("e.*")
 
 
-def read_manifest_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    header = spark.read.schema(schemas.MANIFEST_DOCUMENT).json(f"{path}/header").drop("entries")
-    entry = schemas.MANIFEST_ENTRY.replace(":", "")
-    return header, spark.read.schema(entry).json(f"{path}/entries")
-
-
 def write_manifest_json(
-    entries: DataFrame, path: str, source_root: str, dest_root: str, now: int, max_document_entries: int = 1_000_000
+    entries: DataFrame, path: str, source_root: str, dest_root: str, now: int, single_document: bool = False
 ) -> None:
-    """JSON manifest. Up to ``max_document_entries`` it is one document; a larger one is
-    written as a header and JSON lines, spread over tasks."""
+    """JSON manifest: a header and JSON lines of entries, spread over tasks, whatever their number.
+
+    ``single_document`` writes one document instead, for tools that expect that; one task then holds all entries."""
     columns = ["path", "path_bytes", "size", "mtime", "hash", "hash_algorithm", "permissions"]
     totals = entries.agg(
         F.count("*").alias("total_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_size")
@@ -109,7 +105,7 @@ def write_manifest_json(
         "total_files",
         "total_size",
     )
-    if entries.count() <= max_document_entries:
+    if single_document:
         all_of = entries.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("entries"))
         totals.select("*", all_of.scalar().alias("entries")).coalesce(1).write.json(path)
     else:

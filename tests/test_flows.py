@@ -76,9 +76,9 @@ def test_bucketed_tables_plan_without_shuffle(spark):
             spark.sql(f"DROP TABLE IF EXISTS bucketed_{name}")
 
 
-def test_deep_pages_equal_shallow_ones(spark, monkeypatch):
+def test_pages_equal_sorted_rows(spark):
     df = spark.createDataFrame([(i, i * 7 % 50) for i in range(200)], "id long, v long")
     order = [F.desc("v"), F.col("id")]
-    shallow = [tuple(r) for r in inventory.paginate(df, order, 4, 30)[0].collect()]
-    monkeypatch.setattr(inventory, "DEEP_PAGE_ROWS", 0)
-    assert [tuple(r) for r in inventory.paginate(df, order, 4, 30)[0].collect()] == shallow
+    whole = [tuple(r) for r in df.orderBy(*order).collect()]
+    for page in (1, 4, 7):
+        assert [tuple(r) for r in inventory.paginate(df, order, page, 30)[0].collect()] == whole[30 * page - 30 : 30 * page]

@@ -190,8 +190,8 @@ def test_anomalies_need_three_entries(spark):
     assert history.detect_anomalies(two).count() == 0
     many = _history(spark, [100] * 20 + [1], files_failed=F.when(F.col("id") == "3", 1).otherwise(0))
     found = {r.entry_id: r for r in history.detect_anomalies(many).collect()}
-    assert found["20"].anomaly_type == "throughput_drop" and "below average" in found["20"].description
-    assert found["3"].description == "10.0% of files failed (1 of 10)"
+    assert found["20"].anomaly_type == "throughput_drop" and "deviations below the mean" in found["20"].description
+    assert found["3"].description == "1 of 10 files failed, 10.0 percent"
     assert set(found) == {"20", "3"}
 
 
@@ -293,28 +293,41 @@ def test_signature_of_repeated_bytes(spark):
     assert sigs.select("weak", "strong").distinct().count() == 1
 
 
-def _delta(spark, old: bytes, new: bytes, block: int, **options):
+def _delta(spark, old: bytes, new: bytes, block: int):
     frame = lambda data: content.split_blocks(spark.createDataFrame([("f", data)], "path string, content binary"), "content", block)
     base, target = frame(old), frame(new)
-    matches = delta.match_chunks(content.signatures(target), content.signatures(base), **options)
+    matches = delta.match_chunks(content.signatures(target), content.signatures(base))
     ops = delta.delta_ops(matches, block)
-    applied = delta.apply_delta(base, ops, delta.literal_blocks(target, matches), block, **options)
+    applied = delta.apply_delta(base, ops, delta.literal_blocks(target, matches), block)
     return matches, ops, applied
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 1])
-def test_delta_savings_and_round_trip(spark, hot_rows):
+def test_delta_savings_and_round_trip(spark):
     old = bytes([0xAB]) * (3 << 20)
     new = bytes([0xCD]) * 1000 + old[1000:]
-    matches, _, _ = _delta(spark, old, old, 1 << 20, hot_rows=hot_rows)
+    matches, _, _ = _delta(spark, old, old, 1 << 20)
     assert delta.delta_summary(matches).first().savings_percent > 95
     assert [r.source_index for r in matches.collect()] == [0, 0, 0]
-    matches, ops, applied = _delta(spark, old, new, 1 << 20, hot_rows=hot_rows)
+    matches, ops, applied = _delta(spark, old, new, 1 << 20)
     assert 50 < delta.delta_summary(matches).first().savings_percent < 70
     assert bytes(delta.assemble(applied).first().content) == new
     assert sorted((r.op, r.dest_offset, r["size"]) for r in ops.collect())[-1] == ("insert", 0, 1 << 20)
 
 
+@pytest.mark.parametrize("letter", ["é", "漢", "😀"])
+def test_blocks_cut_through_letters(spark, letter):
+    """Characters of two, three and four bytes across block borders; an empty file beside them."""
+    text = "a" + letter * 50
+    df = spark.createDataFrame([("f", text), ("empty", "")], "path string, text string")
+    blocks = content.split_blocks(df, "text", 16, keep=["path"])
+    rows = sorted((r.block_index, bytes(r.data)) for r in blocks.collect())
+    assert b"".join(d for _, d in rows) == text.encode() and {len(d) for _, d in rows[:-1]} == {16}
+    sums = {r.path: (r.file_size, r.num_chunks) for r in content.signature_summary(content.signatures(blocks), files=df).collect()}
+    assert sums == {"f": (len(text.encode()), len(rows)), "empty": (0, 0)}
+    whole = {r.path: bytes(r.content) for r in delta.assemble(blocks, "offset", files=df).collect()}
+    assert whole == {"f": text.encode(), "empty": b""}
+
+
 def test_long_literals_are_cut(spark):
     matches, _, _ = _delta(spark, b"", bytes(range(250)) * 4, 100)
     whole = delta.delta_ops(matches, 100).collect()
@@ -363,15 +376,17 @@ def test_encryption(spark):
     assert wrong.where("content IS NOT NULL").count() == 0
 
 
-def test_mounts_by_case_and_by_join(spark, monkeypatch):
+def test_mounts(spark):
     files = spark.createDataFrame([("/data/x", 5), ("/database/y", 7), ("/data/deep/z", 1), ("other", 2)], "path string, size long")
     mounts = spark.createDataFrame([("/data", 10), ("/data/deep", 0), ("/", 100)], "mount_point string, available long")
     want = {"/data/x": "/data", "/database/y": "/data", "/data/deep/z": "/data/deep", "other": None}
     assert {r.path: r.mount for r in transfer.assign_mount(files, mounts).collect()} == want
     space = {r.mount: (r.required, r.fits) for r in transfer.check_space(files, mounts).collect()}
     assert space == {"/data": (12, False), "/data/deep": (1, False), None: (2, False)}
-    monkeypatch.setattr(transfer, "MAX_LISTED_MOUNTS", 0)
-    assert {r.path: r.mount for r in transfer.assign_mount(files, mounts).collect()} == want
+    assert transfer.assign_mount(files, mounts).columns == ["path", "size", "mount"]
+    many = mounts.union(spark.range(300).selectExpr("concat('/none/', id)", "id"))
+    assert {r.path: r.mount for r in transfer.assign_mount(files, many).collect()} == want
+    assert transfer.assign_mount(files, mounts.where("false")).where("mount IS NULL").count() == 4
 
 
 def test_pagination(spark):

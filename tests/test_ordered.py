@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from quayside.operators.islands import runs
 from quayside.operators.ordered import running, with_position
-from quayside.operators.skew import skew_join
 from quayside.operators.transfers import adaptive_sizes, next_size, throttle_reports
 from quayside.plans.bandwidth import token_bucket
 from quayside.plans.transfer import assign_batches
@@ -175,12 +174,3 @@ def test_runs_across_buckets(spark, bucket):
             want.add(("a", start, here, (here - start + 1) * 10, here - start + 1))
             start = following
     assert got == want | {("b", 0, 49, 50, 50)}
-
-
-@pytest.mark.parametrize("how", ["left", "inner"])
-def test_skew_join_equals_plain_join(spark, how):
-    left = spark.createDataFrame([("hot" if i % 3 else f"k{i % 50}", i) for i in range(900)], "k string, v long")
-    right = spark.createDataFrame([("hot", -1), *[(f"k{i}", i) for i in range(0, 50, 2)]], "k string, w long")
-    plain = sorted(map(tuple, left.join(right, ["k"], how).select("k", "v", "w").collect()), key=repr)
-    mine = skew_join(left, right, ["k"], how, hot_rows=100).select("k", "v", "w")
-    assert sorted(map(tuple, mine.collect()), key=repr) == plain

@@ -175,14 +175,21 @@ def test_json_manifest(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps(doc, indent=2))
     header, rows = manifests.read_manifest_json(spark, str(tmp_path / "m.json"))
     assert header.first().total_size == 5 and rows.first().path == "a"
-    for name, bound in (("one", 10), ("lines", 0)):
-        manifests.write_manifest_json(rows, str(tmp_path / name), "/s", "/d", 9, max_document_entries=bound)
-        read = manifests.read_manifest_json if bound else manifests.read_manifest_lines
-        header, back = read(spark, str(tmp_path / name))
+    for name, single in (("one", True), ("lines", False)):
+        manifests.write_manifest_json(rows, str(tmp_path / name), "/s", "/d", 9, single_document=single)
+        header, back = manifests.read_manifest_json(spark, str(tmp_path / name))
         assert tuple(header.select("total_files", "total_size", "updated").first()) == (1, 5, 9)
         assert [(r.path, r["size"], r.permissions) for r in back.collect()] == [("a", 5, 420)]
 
 
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_json_manifest_of_any_size(spark, tmp_path, n):
+    rows = spark.range(n).selectExpr("concat('f', id) path", "cast(null as binary) path_bytes", "id size", "id mtime", "cast(null as string) hash", "cast(null as string) hash_algorithm", "420 permissions")
+    manifests.write_manifest_json(rows, str(tmp_path / "m"), "/s", "/d", 9)
+    header, back = manifests.read_manifest_json(spark, str(tmp_path / "m"))
+    assert header.first().total_files == n and back.count() == n and back.select("path").distinct().count() == n
+
+
 def test_hash_manifest_document(spark, tmp_path):
     doc = {"algorithm": "xxhash3", "created": 1, "root": "/r", "entries": [{"path": "a", "size": 1, "hash": "ff", "algorithm": "xxhash3", "mtime": 2}]}
     (tmp_path / "h.json").write_text(json.dumps(doc))
