@@ -214,10 +214,9 @@ UNION ALL SELECT * FROM manifest WHERE path NOT IN (SELECT path FROM src_invento
         ),
     ),
     "manifest_remove": (
-        lambda t: manifest.manifest_totals(manifest.remove(t.manifest(), t.src_inventory())),
+        lambda t: manifest.remove(t.manifest(), t.src_inventory()),
         oracle(
-            """SELECT count(*) AS total_files, CAST(coalesce(sum(size), 0) AS BIGINT) AS total_size
-FROM manifest WHERE path NOT IN (SELECT path FROM src_inventory)""",
+            "SELECT path, size, mtime FROM manifest WHERE path NOT IN (SELECT path FROM src_inventory)",
             "src_inventory", "manifest",
         ),
     ),

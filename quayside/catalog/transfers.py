@@ -366,12 +366,14 @@ FROM resume_states GROUP BY transfer_id""",
         oracle(STATUS_SQL, "jobs", "agents"),
     ),
     "metrics_table": (
-        lambda t: transfers.metrics_table(t.jobs(), t.agents()).select("name", "type", "value"),
+        lambda t: transfers.metrics_table(t.jobs(), t.agents()),
         oracle(
-            """SELECT concat('quayside_', n) AS name, k AS type, v::DOUBLE AS value FROM s, LATERAL (VALUES
-  ('jobs_active', 'gauge', active_jobs), ('jobs_pending', 'gauge', pending_jobs), ('jobs_completed_total', 'counter', completed_jobs),
-  ('jobs_failed_total', 'counter', failed_jobs), ('agents_connected', 'gauge', connected_agents),
-  ('bytes_transferred_total', 'counter', total_bytes), ('files_transferred_total', 'counter', total_files)) m(n, k, v)""",
+            """SELECT concat('quayside_', n) AS name, k AS type, h AS help, v::DOUBLE AS value FROM s, LATERAL (VALUES
+  ('jobs_active', 'gauge', 'Jobs that are moving data now', active_jobs), ('jobs_pending', 'gauge', 'Jobs that wait for their turn', pending_jobs),
+  ('jobs_completed_total', 'counter', 'Jobs that ended well', completed_jobs), ('jobs_failed_total', 'counter', 'Jobs that ended with an error', failed_jobs),
+  ('agents_connected', 'gauge', 'Agents heard from of late', connected_agents),
+  ('bytes_transferred_total', 'counter', 'Bytes moved by all jobs', total_bytes),
+  ('files_transferred_total', 'counter', 'Files moved by all jobs', total_files)) m(n, k, h, v)""",
             "jobs", "agents", extra={"s": STATUS_SQL},
         ),
     ),
