@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from quayside.catalog.tables import Tables, oracle
 from quayside.functions import paths
-from quayside.functions.hashing import hash_content, quick_hash, xor_digests
+from quayside.functions.hashing import hash_content, quick_hash, register_hash, xor_digests
 from quayside.operators import content, delta
 
 BLOCK = 256
@@ -57,6 +59,12 @@ def _rebuilt(t: Tables):
     return whole.select("path", F.length("content").cast("bigint").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
+def _registered(t: Tables):
+    """A hash that the caller brings along, under its own name."""
+    register_hash("md5", lambda data: hashlib.md5(data).hexdigest())
+    return hash_content(t.content(), "text", "md5").select("path", "algorithm", "hash")
+
+
 def _same_hash(t: Tables, hashed):
     """Files with the first path that has the same hash: equal contents are found by their hashes alone."""
     narrow = hashed.select("path", "hash")
@@ -130,6 +138,7 @@ QUERIES = {
     ),
     "hash_xxh3_128": (lambda t: _same_hash(t, hash_content(t.content(), "text", "xxh3_128")), oracle(SAME_TEXT, "content")),
     "hash_xxhash64": (lambda t: _same_hash(t, hash_content(t.content(), "text", "xxhash64")), oracle(SAME_TEXT, "content")),
+    "hash_registered": (_registered, oracle("SELECT path, 'md5' AS algorithm, md5(text) AS hash FROM content", "content")),
     "quick_hash": (lambda t: _same_hash(t, t.content().withColumn("hash", quick_hash("text"))), oracle(SAME_TEXT, "content")),
     "quick_hash_changes": (
         lambda t: t.content().select("path", quick_hash("text").alias("a")).join(

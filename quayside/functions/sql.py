@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
 from quayside.functions import sizes
 from quayside.functions.hashing import weak_checksum
 from quayside.functions.paths import OBJECT_URL, REMOTE_PATH
 
 
-class _ExplodeBlocks:
-    def eval(self, content: bytes, block: int):
-        if content is None:
-            return
-        data = content.encode() if isinstance(content, str) else bytes(content)
-        for i, at in enumerate(range(0, len(data), block)):
-            piece = data[at : at + block]
-            yield i, at, len(piece), piece
+#: Blocks of a binary content, cut in one array per row; none of an empty or null one.
+_BLOCKS = """RETURNS TABLE (block_index BIGINT, offset BIGINT, size BIGINT, data BINARY) RETURN
+SELECT CAST(i AS BIGINT), CAST(i AS BIGINT) * block, CAST(length(d) AS BIGINT), d
+FROM (SELECT posexplode(transform(
+  filter(sequence(0, length(content) div block), k -> k * block < length(content)),
+  k -> substring(content, k * block + 1, block))) AS (i, d))"""
 
 
 def _split(text: str, pattern: str, fields: list[str]) -> str:
@@ -30,7 +27,7 @@ def register(spark: SparkSession) -> list[str]:
     """Registers parse_size, parse_bandwidth, split_object_url, split_remote_path,
     weak_checksum and the table function explode_blocks; returns their names.
 
-    The first four are SQL functions, which the optimizer inlines; nothing of them runs in Python.
+    All but weak_checksum are SQL functions, which the optimizer inlines; nothing of them runs in Python.
     """
     bodies = {
         "parse_size": ("BIGINT", sizes.parse_size_sql("text")),
@@ -43,6 +40,5 @@ def register(spark: SparkSession) -> list[str]:
     for name, (kind, body) in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(text STRING) RETURNS {kind} RETURN {body}")
     spark.udf.register("weak_checksum", weak_checksum)
-    blocks = udtf(_ExplodeBlocks, returnType="block_index bigint, offset bigint, size bigint, data binary")
-    spark.udtf.register("explode_blocks", blocks)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION explode_blocks(content BINARY, block INT) {_BLOCKS}")
     return [*bodies, "weak_checksum", "explode_blocks"]
