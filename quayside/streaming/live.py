@@ -316,24 +316,33 @@ def stream_history(
     checkpoint: str,
     by: list[str] | None = None,
     trigger: dict | None = None,
-    window_batches: int | None = None,
 ) -> StreamingQuery:
     """Appends finished transfers to ``store/entries`` and the anomalies among them, judged
     against the entries stored so far, to ``store/anomalies``; both once per batch.
 
-    ``window_batches`` judges against that many latest batches only, so that a long history
-    is not read again for every batch; older folders are not opened."""
+    What was stored before is known by ``store/stats``, a row per group and batch with count, mean and sum of
+    squares about it, so a batch reads its own entries and that small table only."""
+
+    groups = by or []
 
     def save(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
         df.write.mode("overwrite").parquet(f"{store}/entries/batch={batch}")
+        new = spark.read.schema(df.schema).parquet(f"{store}/entries/batch={batch}")
+        rate = F.col("avg_throughput")
+        own = new.groupBy(*groups).agg(
+            F.count(rate).alias("k"), F.count("*").alias("n"), F.avg(rate).alias("mean"), (F.var_pop(rate) * F.count(rate)).alias("m2")
+        )
+        own.write.mode("overwrite").parquet(f"{store}/stats/batch={batch}")
         # later batches do not exist yet, and a repeated batch has overwritten itself
-        stored = spark.read.option("basePath", f"{store}/entries").parquet(f"{store}/entries")
-        if window_batches:
-            stored = stored.where(F.col("batch") > batch - window_batches)
-        new = stored.where(F.col("batch") == batch).select(F.col("id").alias("entry_id"))
-        found = detect_anomalies(stored, by).join(new, "entry_id", "left_semi")
-        found.write.mode("overwrite").parquet(f"{store}/anomalies/batch={batch}")
+        every = spark.read.option("basePath", f"{store}/stats").parquet(f"{store}/stats").where(F.col("k") > 0)
+        sums = every.groupBy(*groups).agg(
+            F.sum("n").alias("_n"), F.sum("k").alias("_k"), (F.sum(F.col("mean") * F.col("k")) / F.sum("k")).alias("_avg"),
+            F.sum(F.col("m2") + F.col("k") * F.col("mean") * F.col("mean")).alias("_squares"),
+        )
+        spread = F.greatest(F.lit(0.0), F.col("_squares") / F.col("_k") - F.col("_avg") * F.col("_avg"))
+        stats = sums.select(*groups, "_n", "_avg", F.sqrt(spread).alias("_std"))
+        detect_anomalies(new, by, stats).write.mode("overwrite").parquet(f"{store}/anomalies/batch={batch}")
 
     writer = entries.writeStream.option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).foreachBatch(save).start()
