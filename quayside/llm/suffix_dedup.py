@@ -173,14 +173,16 @@ class SuffixFamily:
 
 
 def _equal_windows(group: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Of the windows of one class those with an equal one at the same offset from the elected place."""
+    """Of the windows of some classes those with an equal one of their class at the same offset from the elected place."""
     hashes = np.concatenate([np.asarray(h) for h in group["hashes"]])
     n = np.array([len(h) for h in group["hashes"]])
     member = np.repeat(np.arange(len(group)), n)
     within = np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)
-    offset = group["offset"].to_numpy()[member] + within
-    order = np.lexsort((hashes, offset))
-    same = (hashes[order][1:] == hashes[order][:-1]) & (offset[order][1:] == offset[order][:-1])
+    offset, g = group["offset"].to_numpy()[member] + within, group["g"].to_numpy()[member]
+    order = np.lexsort((hashes, offset, g))
+    same = np.ones(max(0, len(order) - 1), dtype=bool)
+    for values in (hashes, offset, g):
+        same &= values[order][1:] == values[order][:-1]
     twice = np.zeros(len(hashes), dtype=bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
@@ -230,7 +232,8 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch
     texts = docs.select(*_doc_key(), _bytes())
     windows = stored(texts.join(by_doc, ["d", "t"]).select("d", "t", "raw", "es").mapInArrow(show, WINDOWS))
     few = windows.where("NOT many").select("g", "d", "t", "first", "offset", "hashes")
-    few = few.groupBy("g").applyInPandas(lambda group: _equal_windows(group, length), MARKS)
+    shares = few.count() // most_in_task + 1  # whole classes, so that a task has some ten thousand entries at a time
+    few = few.groupBy(F.pmod(F.xxhash64("g"), F.lit(shares)).alias("share")).applyInPandas(lambda group: _equal_windows(group, length), MARKS)
     # classes too large for one task: a row per window
     each = windows.where("many").select("g", "d", "t", "first", "offset", F.posexplode("hashes").alias("i", "h"))
     each = each.select("g", (F.col("offset") + F.col("i")).alias("o"), "h", "d", "t", (F.col("first") + F.col("i")).alias("first"))
