@@ -51,3 +51,18 @@ ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, ends.b FROM reach JOIN ends ON ends.a = reach.b),
 least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents LEFT JOIN n USING (doc_id) JOIN least ON a = doc_id"""
+
+REPEATS = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT r, i, md5_number(substr(h, 2 * i + 1, 800)) AS k
+  FROM (SELECT r, h, unnest(range(length(h) // 2 - 399)) AS i FROM d WHERE length(h) >= 800)),
+t AS (SELECT r, i FROM s QUALIFY count(*) OVER (PARTITION BY k) > 1),
+n AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM t),
+g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM n),
+runs AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY r, run),
+p AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM runs),
+o AS (SELECT d.r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last,
+    string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS front
+  FROM p JOIN d ON d.r = p.r GROUP BY d.r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN o.r IS NULL THEN h ELSE concat(front, substr(h, 2 * last + 1)) END)) AS kept_sha256
+FROM d LEFT JOIN o ON o.r = d.r"""

@@ -104,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_adaptive_prefix_join": oracles.SHINGLE_JOIN,
+    "op5_suffix_family": oracles.REPEATS,
     "op6_line_runs": oracles.LINE_RUNS,
     "op8_positional_index": oracles.DECONTAMINATION,
 }
