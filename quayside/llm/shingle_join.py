@@ -216,7 +216,8 @@ def token_lists(docs: DataFrame, percent: int = 80, range_bits: int = 10) -> Dat
 
 def prefixes(classes: DataFrame, percent: int, longest: int = 4, verify_cost: int = 20) -> DataFrame:
     """(token, row, n, most, level, asked): the prefix tokens of each document. ``asked`` is its l, the prefix length of least estimated
-    cost; ``level`` is the shortest l-prefix a token belongs to.
+    cost; ``level`` is the shortest l-prefix a token belongs to, for a partner of the least possible size; for larger partners, of which more must be
+    shared, prefixes are shorter, and tokens of a level below one may still be in.
 
     The cost of l is the number of entries in the lists of its prefix plus, for each candidate these may give (entries / l, since a
     candidate needs l of them), ``verify_cost``."""
@@ -233,7 +234,7 @@ def prefixes(classes: DataFrame, percent: int, longest: int = 4, verify_cost: in
     asked = F.array_position("costs", F.array_min("costs")).cast("int").alias("asked")
     taken = costs.select("row", "n", "most", "tokens", "one", asked)
     each = taken.select("row", "n", "most", "one", "asked", F.posexplode(F.slice("tokens", 1, F.col("one") + F.col("asked") - 1)).alias("p", "token"))
-    return each.select("token", "row", "n", "most", F.greatest(F.lit(1), F.col("p") + 2 - F.col("one")).alias("level"), "asked")
+    return each.select("token", "row", "n", "most", (F.col("p") + 2 - F.col("one")).alias("level"), "asked")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -296,7 +297,10 @@ def linked_rows(lists: DataFrame, percent: int = 80, rounds: int = 2) -> DataFra
             right = left.select("token", band(F.col("n")).alias("band"), *[F.col(c).alias(f"{c}2") for c in names])
             asked = F.least("asked", "asked2")
             together = probes.join(right, ["token", "band"]).where((F.col("row") < F.col("row2")) & (F.col("own") != F.col("own2")))
-            together = together.where(possible("n", "most", "n2", "most2") & (F.col("level") <= asked) & (F.col("level2") <= asked))
+            # how many tokens these two must share, and so how much shorter their prefixes are than for the smallest partner
+            must = F.ceil(percent * (F.col("n") + F.col("n2")) / (100 + percent))
+            inside = [F.col(v) + must - F.ceil(F.col(m) * percent / 100) <= asked for v, m in (("level", "n"), ("level2", "n2"))]
+            together = together.where(possible("n", "most", "n2", "most2") & inside[0] & inside[1])
             counted = together.groupBy(F.col("row").alias("a"), F.col("row2").alias("b")).agg(F.count("*").alias("k"), F.first(asked).alias("asked"))
             pairs = counted.where("k >= asked")
         links = stored(links.unionByName(_verified(pairs, classes, percent)))
