@@ -2,9 +2,11 @@
 
 Markup is stripped so that every block element is a line of text. Each line counts with its length; lines of menus, headers,
 footers, sidebars, adverts, notices, forms and comments (told by element or by class, id and role), and lines that are
-links for the most part, count nothing. The lengths are summed over sliding windows of lines. Where the sums surge from nothing a
-stretch of text begins, where they dive to nothing it ends, and the stretch with the most text is the main one. If the page marks
-its article (``article``, ``main`` or the role), the stretches inside it are the text, with what stands between them but what counts nothing.
+links for the most part, count nothing. The lengths are summed over sliding windows of lines. Where the sums
+surge from nothing a stretch of text begins, where they dive to nothing it ends; this is done for every page, and a stretch that crosses the
+border of a marked article (``article``, ``main`` or the role) is cut there. The stretch with the most text is the main one,
+where text of a marked article weighs ``IN_ARTICLE`` times. If the main one is in a marked article, the other stretches in articles are
+joined whose fullest window holds ``IN_KEEPING / IN_ARTICLE`` of its usual window.
 
 Defined cases: a null page has the empty text, as have pages without text; repeated rows are treated alike; pages of any length
 are read whole; unclosed and stray tags are taken as browsers do, roughly; an empty table gives an empty result; extra
@@ -48,6 +50,8 @@ _BOILERPLATE = re.compile(
 )
 _ARTICLE = re.compile(r"\brole\s*=\s*[\"']?(?:main|article)\b", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: How much more text of a marked article weighs, and which part of the main stretch's usual window others must reach.
+IN_ARTICLE, IN_KEEPING = 10, 0.25
 
 
 @dataclass
@@ -144,15 +148,23 @@ def stretches(weights: np.ndarray, window: int = 3) -> list[tuple[int, int]]:
 
 def main_text(page: str | None, window: int = 3) -> str:
     found = lines(page or "")
-    inside = [x for x in found if x.article]
-    if any(x.weight for x in inside):
-        return "\n".join(x.text for x in inside if x.weight)
     weights = np.array([x.weight for x in found], dtype=np.int64)
-    places = stretches(weights, window)
+    places = []
+    for first, last in stretches(weights, window):
+        full = [i for i in range(first, last) if found[i].weight]
+        cuts = [j for i, j in zip(full, full[1:]) if found[i].article != found[j].article]
+        places += [(a, b) for a, b in zip([first, *cuts], [*cuts, last])]
     if not places:
         return ""
-    first, last = max(places, key=lambda p: (int(weights[p[0] : p[1]].sum()), -p[0]))
-    return "\n".join(x.text for x in found[first:last] if x.weight)
+
+    def sums(p: tuple[int, int]) -> np.ndarray:
+        return np.convolve(weights[p[0] : p[1]], np.ones(min(window, p[1] - p[0]), dtype=np.int64), "valid")
+
+    main = max(places, key=lambda p: (int(weights[p[0] : p[1]].sum()) * (IN_ARTICLE if found[p[0]].article else 1), -p[0]))
+    marked = found[main[0]].article
+    least = IN_KEEPING * float(np.median(sums(main))) / (IN_ARTICLE if marked else 1)
+    kept = [p for p in places if p == main or (marked and found[p[0]].article and sums(p).max() >= least)]
+    return "\n".join(x.text for first, last in kept for x in found[first:last] if x.weight)
 
 
 def extract(pages: DataFrame, window: int = 3) -> DataFrame:

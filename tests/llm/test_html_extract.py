@@ -37,6 +37,21 @@ def test_odd_pages(spark):
     assert html_extract.extract(df.where("false")).collect() == []
 
 
+PROSE = [f"Paragraph {k} has a good deal of text in it, as paragraphs of articles have." for k in range(8)]
+LIST = "<ul class=related>" + "<li>One of the others to read</li>" * 5 + "</ul>"
+
+
+def paragraphs(texts):
+    return "".join(f"<p>{x}</p>" for x in texts)
+
+
+def test_stretches_decide_pages_with_an_article():
+    teaser = "<article><p>A short card.</p></article>"
+    assert main_text(f"{teaser}{LIST}<div>{paragraphs(PROSE)}</div>") == "\n".join(PROSE)
+    assert main_text(f"<article>{paragraphs(PROSE)}{LIST}<p>Up</p></article>{LIST}<p>{PROSE[0]}</p>") == "\n".join(PROSE)
+    assert main_text(f"<p>{PROSE[7]}</p><article>{paragraphs(PROSE[:4])}{LIST}{paragraphs(PROSE[4:6])}</article>") == "\n".join(PROSE[:6])
+
+
 def test_query(spark):
     """The pages have one form, so that a plain pattern can tell what stands in the article."""
     raw = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
