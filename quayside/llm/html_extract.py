@@ -1,12 +1,16 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped so that every block element is a line of text. Each line counts with its length; lines of menus, headers,
-footers, sidebars, adverts, notices, forms and comments (told by element or by class, id and role), and lines that are
-links for the most part, count nothing. The lengths are summed over sliding windows of lines. Where the sums
+footers, sidebars, adverts, notices, forms and comments (told by element or by class, id and role), and lines outside
+articles that are links for the most part, count nothing. The lengths are summed over sliding windows of lines. Where the sums
 surge from nothing a stretch of text begins, where they dive to nothing it ends; this is done for every page, and a stretch that crosses the
 border of a marked article (``article``, ``main`` or the role) is cut there. The stretch with the most text is the main one,
-where text of a marked article weighs ``IN_ARTICLE`` times. If the main one is in a marked article, the other stretches in articles are
-joined whose fullest window holds ``IN_KEEPING / IN_ARTICLE`` of its usual window.
+where text of a marked article weighs ``IN_ARTICLE`` times. The text is the main stretch and all stretches in keeping with it: their
+fullest window holds ``IN_KEEPING`` of the usual window of the main one, or, if both are in a marked article, that part of it divided by
+``IN_ARTICLE``. If the main one is in a marked article, stretches outside are not text.
+
+A marked article inside an element named as boilerplate, a form or a header is read, but weighs as other text; one inside a menu,
+``aside``, footer or hidden element is not.
 
 Defined cases: a null page has the empty text, as have pages without text; repeated rows are treated alike; pages of any length
 are read whole; unclosed and stray tags are taken as browsers do, roughly; an empty table gives an empty result; extra
@@ -38,27 +42,55 @@ BLOCK = set(
     "tfoot th thead tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-ASIDE = set("nav aside footer form menu dialog button fieldset head".split())
+ASIDE = set("nav aside footer menu dialog button fieldset head".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Elements that end an open paragraph, and elements whose end tag closes what is open inside.
 CLOSES_P = BLOCK - {"br", "body", "html", "head"}
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: Names of areas of a page; only as a whole class, id or role, since with-sidebar or entry-header name no such area.
+_HEAD = re.compile(r"(?:(?:site|global|main|top)[_-])?(?:header|masthead|banner)", re.I)
+_AREA = re.compile(
+    r"(?:(?:site|global|main|primary|secondary|left|right|top|bottom|footer|header)[_-])?"
+    r"(?:breadcrumbs?|footer|menu|nav|navbar|navigation|pagination|pager|related|search|sidebar|tags?|toolbar|topbar|widget|complementary|contentinfo)"
+    r"(?:[_-](?:left|right|top|bottom|links?|menu|posts?|stories|articles|list|items?|box|form|area|\d+))*",
+    re.I,
+)
+#: Names of what is not the text wherever it stands; also as parts of a class, id or role.
 _BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|breadcrumbs?|comments?|comment[\s_-]?(?:list|section|form)|respond|disqus|consent|cookies?|cookie\w*|footer|gdpr|"
-    r"header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|pagination|pager|popup|privacy|promo\w*|related|"
-    r"search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|subscription|tags?|toolbar|topbar|widget|complementary|contentinfo|alert)(?:$|[\s_-])",
+    r"(?:^|[_-])(?:ads?|advert\w*|adbox|comments?|respond|disqus|consent|cookie\w*|gdpr|"
+    r"modal|newsletter|notice|notification|popup|privacy|promo\w*|"
+    r"share|sharing|signup|skip|social|sponsor\w*|subscribe|subscription|alert)(?:$|[_-])",
     re.I,
 )
+#: What a class says about the state of an element is not its name.
+_STATE = re.compile(r"(?:with|without|has|have|no|is|show|hide)[_-]", re.I)
 _ARTICLE = re.compile(r"\brole\s*=\s*[\"']?(?:main|article)\b", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 #: How much more text of a marked article weighs, and which part of the main stretch's usual window others must reach.
 IN_ARTICLE, IN_KEEPING = 10, 0.25
+#: How firmly an element is no text: a heading in an article is text below NAMED_HEAD, an article below both that and NAMED, nothing below FIRM.
+NAMED_HEAD, NAMED, FIRM = 1, 2, 3
 
 
 @dataclass
 class Line:
     text: str
     weight: int  # characters that count
-    article: bool
+    article: bool  # in a marked article
+
+
+def _firmness(name: str, attributes: str, inside: bool) -> int:
+    """0 for an element that may hold text, else how firmly it does not; ``inside``: in an article."""
+    if name in ASIDE or (attributes and _HIDDEN.search(attributes)):
+        return FIRM
+    if name == "form" or (name == "header" and not inside):
+        return NAMED
+    if not attributes or name in ("html", "body", "article", "main"):
+        return 0
+    names = [x for value in _NAMES.findall(attributes) for x in value.strip("\"'").split() if not _STATE.match(x)]
+    if any(_AREA.fullmatch(x) or _BOILERPLATE.search(x) for x in names):
+        return NAMED
+    return NAMED_HEAD if any(_HEAD.fullmatch(x) for x in names) else 0
 
 
 def lines(page: str) -> list[Line]:
@@ -66,24 +98,19 @@ def lines(page: str) -> list[Line]:
     out: list[Line] = []
     parts: list[str] = []
     linked = 0  # characters in links
-    stack: list[tuple[str, bool, bool]] = []  # element, boilerplate, article
-    state = [False, False, 0]  # boilerplate, article, open links
+    stack: list[tuple[str, int, bool, bool, int]] = []  # element, and for all down to it: firmness, in an article, in a marked one, open links
+    root = ("", 0, False, False, 0)
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            counts = not state[0] and 2 * linked <= len(text)
-            out.append(Line(text, len(text) if counts else 0, state[1]))
+            _, firm, inside, marked, _ = stack[-1] if stack else root
+            counts = not firm and (inside or 2 * linked <= len(text))
+            out.append(Line(text, len(text) if counts else 0, marked))
         linked = 0
 
-    def close(depth: int) -> None:
-        del stack[depth:]
-        state[0] = any(s[1] for s in stack)
-        state[1] = any(s[2] for s in stack)
-        state[2] = sum(s[0] == "a" for s in stack)
-
     at = 0
     for m in _TOKEN.finditer(page):
         raw = page[at : m.start()]
@@ -91,7 +118,7 @@ def lines(page: str) -> list[Line]:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            linked += len(text.strip()) if state[2] else 0
+            linked += len(text.strip()) if stack and stack[-1][4] else 0
         name = m[3]
         if not name:
             continue
@@ -102,7 +129,7 @@ def lines(page: str) -> list[Line]:
         if m[2]:  # end tag: closes down to its own element, but nothing beyond an article or table around it
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
-                    close(depth)
+                    del stack[depth:]
                     break
                 if block is False and stack[depth][0] in BLOCK:
                     break
@@ -112,21 +139,23 @@ def lines(page: str) -> list[Line]:
         if name in CLOSES_P and stack:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == "p":
-                    close(depth)
+                    del stack[depth:]
                     break
                 if stack[depth][0] in BLOCK:
                     break
         if name in ("li", "td", "tr", "th", "dd", "dt", "option") and stack and stack[-1][0] == name:
-            close(len(stack) - 1)
-        inside = state[1]
-        article = name in ("article", "main") or bool(_ARTICLE.search(m[4]))
-        named = " ".join(x.strip("\"'") for x in _NAMES.findall(m[4])) if m[4] else ""
-        aside = name in ASIDE or (name == "header" and not inside) or bool(m[4] and _HIDDEN.search(m[4]))
-        aside = aside or (name not in ("html", "body", "article", "main") and bool(named and _BOILERPLATE.search(named)))
-        stack.append((name, aside, article))
-        state[0] = state[0] or aside
-        state[1] = state[1] or article
-        state[2] += name == "a"
+            stack.pop()
+        _, firm, inside, marked, links = stack[-1] if stack else root
+        own = _firmness(name, m[4], inside)
+        if name in ("article", "main") or _ARTICLE.search(m[4]):
+            marked = marked or firm == 0
+            firm = firm if firm == FIRM else own if own == FIRM else 0
+            inside = True
+        elif name in HEADINGS and inside and firm == NAMED_HEAD:
+            firm = own
+        else:
+            firm = max(firm, own)
+        stack.append((name, firm, inside, marked, links + (name == "a")))
     parts.append(html.unescape(page[at:]))
     flush()
     return out
@@ -163,7 +192,7 @@ def main_text(page: str | None, window: int = 3) -> str:
     main = max(places, key=lambda p: (int(weights[p[0] : p[1]].sum()) * (IN_ARTICLE if found[p[0]].article else 1), -p[0]))
     marked = found[main[0]].article
     least = IN_KEEPING * float(np.median(sums(main))) / (IN_ARTICLE if marked else 1)
-    kept = [p for p in places if p == main or (marked and found[p[0]].article and sums(p).max() >= least)]
+    kept = [p for p in places if p == main or ((found[p[0]].article or not marked) and sums(p).max() >= least)]
     return "\n".join(x.text for first, last in kept for x in found[first:last] if x.weight)
 
 

@@ -52,6 +52,28 @@ def test_stretches_decide_pages_with_an_article():
     assert main_text(f"<p>{PROSE[7]}</p><article>{paragraphs(PROSE[:4])}{LIST}{paragraphs(PROSE[4:6])}</article>") == "\n".join(PROSE[:6])
 
 
+def test_list_inside_the_text():
+    page = f"<p>Hi</p>{LIST}{paragraphs(PROSE[:5])}{LIST}{paragraphs(PROSE[5:])}{LIST}<p>Bye</p>"
+    assert main_text(page) == "\n".join(PROSE)
+
+
+def test_names_around_an_article():
+    text = "\n".join(PROSE)
+    for name in ("layout with-sidebar", "has-comments", "sidebar", "header", "related", "share"):
+        assert main_text(f'<div class="{name}"><article>{paragraphs(PROSE)}</article></div>') == text
+    assert main_text(f"<form id=all><main>{paragraphs(PROSE)}</main></form>") == text
+    for name in ("entry-header", "header"):
+        page = f'<article><header class="{name}"><h1>The title</h1></header>{paragraphs(PROSE)}</article><div class="related"><article>Card</article></div>'
+        assert main_text(page) == f"The title\n{text}"
+    for element in ("aside", "nav", "div hidden"):
+        assert main_text(f"<{element}><article>{paragraphs(PROSE)}</article></{element.split()[0]}>") == ""
+
+
+def test_links_inside_an_article():
+    page = f"<p><a href=1>{PROSE[0]}</a></p><article><p>{PROSE[1]}</p><p><a href=2>{PROSE[2]}</a></p><p>{PROSE[3]}</p></article>"
+    assert main_text(page) == "\n".join(PROSE[1:4])
+
+
 def test_query(spark):
     """The pages have one form, so that a plain pattern can tell what stands in the article."""
     raw = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
