@@ -4,7 +4,8 @@ A rule looks at one trait of a text and votes *good* or *bad*, or abstains where
 nothing. No rule is believed outright. The votes of all documents are counted by pattern (at most
 three to the power of the number of rules, whatever the corpus size), and a latent class model with
 rules independent within a class is fitted to those counts by expectation-maximisation: the share of
-good documents and of each way to be bad, and how often each rule votes bad in each class. The
+good documents and of each way to be bad, and how often each rule votes bad in each class. A rule whose bad
+votes the other rules do not bear out founds no class: the fit then finds how often it errs among good documents. The
 posterior probability of *good* then replaces an all-must-pass filter.
 
 Everything is built-in column functions; only the pattern counts come to the driver.
@@ -30,6 +31,9 @@ SYMBOLS = "#*$%&|<>"
 #: Where the fit starts: the share of good documents, and bad votes of a rule among good documents, among those bad in
 #: its own way and among those bad in another; and the weight of that start against the documents' votes.
 GOOD, BAD_IF_GOOD, BAD_IF_OWN, BAD_IF_OTHER, PRIOR = 0.85, 0.002, 0.9, 0.05, 0.01
+#: A rule founds a class if the share of its bad votes that another rule bears out, by a bad vote or an abstention, is greater by
+#: this than the same share of its good votes; and so many imagined bad votes of each rule are borne out.
+AGREEMENT, IMAGINED = 1 / 3, 5
 FACTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -135,8 +139,8 @@ def _votes(facts: str, rules: tuple[Rule, ...]) -> list[Column]:
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Class 0 holds the good documents, class k + 1 those bad in the way of rule k. Per class its share
-    of the documents, and per rule the share of bad votes where the rule votes."""
+    """Class 0 holds the good documents, each further one those bad in the way of one rule that others bear out, in the order of
+    the rules. Per class its share of the documents, and per rule the share of bad votes where the rule votes."""
 
     rules: tuple[Rule, ...]
     shares: tuple[float, ...]
@@ -164,27 +168,42 @@ class LabelModel:
 
         good = log_likelihood(0)
         against = [F.exp(log_likelihood(c) - good) for c in range(1, len(self.shares))]
-        return 1 / (1 + sum(against[1:], against[0]))
+        return 1 / (1 + sum(against, F.lit(0.0)))
+
+
+def borne_out(patterns: list[tuple[tuple[int | None, ...], int]], n_rules: int) -> list[int]:
+    """The rules whose bad votes other rules bear out. One that others contradict wherever it fires tells of nothing but itself."""
+    found = []
+    for k in range(n_rules):
+        share = []
+        for vote, imagined in ((0, IMAGINED), (1, 0)):
+            cast = [(any(v != 1 for v in votes[:k] + votes[k + 1 :]), n) for votes, n in patterns if votes[k] == vote]
+            share.append((sum(n for agrees, n in cast if agrees) + imagined) / (sum(n for _, n in cast) + IMAGINED))
+        if share[0] - share[1] >= AGREEMENT:
+            found.append(k)
+    return found
 
 
 def em(patterns: list[tuple[tuple[int | None, ...], int]], rules: tuple[Rule, ...] = RULES, rounds: int = 50) -> LabelModel:
     """Fit by expectation-maximisation to (votes, documents) counts.
 
     Texts are bad in different ways, and each way is seen by few of the rules; with a single bad class the
-    good votes of all the others would outweigh those few. So every rule founds a class of its own,
-    and the rounds find out how often the other rules join in, and how much of each class there is. A share of
+    good votes of all the others would outweigh those few. So every rule that others bear out founds a class of its own,
+    and the rounds find out how often the other rules join in, and how much of each class there is. A class of a rule
+    that nobody bears out would explain each of its errors, however many; such a rule has none. A share of
     imagined documents that vote as at the start keeps every estimate off 0 and 1.
     """
     n_rules = len(rules)
+    own = borne_out(patterns, n_rules)
     start = [[BAD_IF_GOOD] * n_rules]
-    start += [[BAD_IF_OWN if j == k else BAD_IF_OTHER for j in range(n_rules)] for k in range(n_rules)]
-    shares = [GOOD] + [(1 - GOOD) / n_rules] * n_rules
+    start += [[BAD_IF_OWN if j == k else BAD_IF_OTHER for j in range(n_rules)] for k in own]
+    shares = [GOOD, *[(1 - GOOD) / len(own)] * len(own)] if own else [1.0]
     model = LabelModel(rules, tuple(shares), tuple(map(tuple, start)))
     weight = 1 + PRIOR * sum(n for _, n in patterns)
     for _ in range(rounds):
         rows = [(votes, n, model.posterior(votes)) for votes, n in patterns]
         found, bad_votes = [], []
-        for c in range(n_rules + 1):
+        for c in range(len(shares)):
             found.append(sum(n * p[c] for _, n, p in rows) + weight * shares[c])
             of, no = [weight * shares[c]] * n_rules, [weight * shares[c] * x for x in start[c]]
             for votes, n, p in rows:

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
+import pytest
 from conftest import SF
 
 from quayside.llm import quality_rules, queries
@@ -36,6 +38,33 @@ def test_facts_and_labels(spark):
     assert sum(bool(q) == k for q, k in judged) >= 0.95 * len(judged)
 
 
+@pytest.mark.parametrize("share", [0.005, 0.02, 0.1, 0.45])
+def test_contradicted_rule(share):
+    """Good documents on which one rule alone votes bad, with and without documents that it rightly calls bad."""
+    for k in range(8):
+        lone = tuple(int(j != k) for j in range(8))
+        bad = tuple(int((j - k) % 8 > 2) for j in range(8))  # rule k and the next two
+        patterns = [((1,) * 8, round(1e6 * (1 - share))), (lone, round(1e6 * share))]
+        assert quality_rules.em(patterns).posterior(lone)[0] > 0.8
+        if share >= 0.1:
+            model = quality_rules.em([*patterns, (bad, 40_000)])
+            assert model.posterior(lone)[0] > 0.9 and model.posterior(bad)[0] < 0.1 and model.posterior((1,) * 8)[0] > 0.9
+
+
+def test_noisy_rule(spark):
+    """Line ends fire on three in ten of the clean documents."""
+    rng = random.Random(1)
+
+    def lines(end):
+        return "\n".join(" ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 8))) for _ in range(10)) + end for _ in range(8))
+
+    texts = {k: lines("" if k % 10 < 3 else ".") for k in range(400)}
+    texts |= {k: lines("!").upper().replace(" ", "! ") for k in range(400, 440)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in quality_rules.judge(df).collect() if r.kept) == list(range(400))
+    assert sorted(r.doc_id for r in quality_rules.keep_good(df).collect()) == list(range(400))
+
+
 def test_odd_rows(spark):
     long = "word " * 3 + " ".join(f"w{i}" for i in range(60_000))
     texts = {1: None, 2: "", 3: " \t\n", 4: "a b a b a b", 5: long, 6: "x\ny\nx\n\n \n", 7: "é|ü <b>", 8: None}
