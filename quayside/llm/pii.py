@@ -7,7 +7,9 @@ the result is written in the same form, with valid check digits, the same separa
 equal pseudonyms in all documents, so records stay linked; without the key they cannot be told, and distinct
 values stay distinct. Numbers that fail validation are left alone.
 
-Dates move within 1900-2099. E-mail local parts and long hexadecimal secrets are permuted character class by character class.
+Dates move within 1900-2099, those with one-digit parts among dates with one-digit parts; months may be names in English, German, French
+or Spanish. One date in two forms gets two pseudonyms. E-mail local parts, keys with a known prefix and secrets of mixed case are
+permuted character class by character class, hexadecimal secrets as numbers.
 
 Defined cases: a null text stays null; texts of any length are read whole; repeated rows are treated alike; an empty table gives
 an empty result; extra columns are carried through, whatever their names.
@@ -17,7 +19,9 @@ from __future__ import annotations
 
 import datetime
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from math import isqrt
 
@@ -83,6 +87,36 @@ def _iban_rest(bban: str, country: str, check: str) -> int:
 
 #: First and last day of the date domain.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
+#: Names of the months by language, long and short. A name stands for the first list that has it, and
+#: dates move among the months of that list.
+_MONTHS = [
+    "January February March April May June July August September October November December",
+    "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec",
+    "Januar Februar März April Mai Juni Juli August September Oktober November Dezember",
+    "Jan Feb Mär Apr Mai Jun Jul Aug Sep Okt Nov Dez",
+    "Janvier Février Mars Avril Mai Juin Juillet Août Septembre Octobre Novembre Décembre",
+    "Enero Febrero Marzo Abril Mayo Junio Julio Agosto Septiembre Octubre Noviembre Diciembre",
+    "Sept",
+]
+#: As written -> (list and case, month).
+MONTHS: dict[str, tuple[tuple[int, int], int]] = {}
+for _k, _names in enumerate(_MONTHS):
+    for _month, _name in enumerate(_names.split(), 1 if _names != "Sept" else 9):
+        for _case, _written in enumerate((_name, _name.lower(), _name.upper())):
+            MONTHS.setdefault(_written, ((_k, _case), _month))
+_NAME = r"[^\W\d_]{3,10}"
+_DAY = r"\d{1,2}(?:st|nd|rd|th)?"
+
+
+@lru_cache(1000)
+def _days(months: tuple[int, ...], least: int, most: int) -> list[int]:
+    """Days of the date domain with these months and a day of the month from ``least`` to ``most``."""
+    days = (FIRST_DAY + datetime.timedelta(days=d) for d in range((LAST_DAY - FIRST_DAY).days + 1))
+    return [(d - FIRST_DAY).days for d in days if d.month in months and least <= d.day <= most]
+
+
+def _ordinal(day: int) -> str:
+    return "th" if 10 < day < 14 else {1: "st", 2: "nd", 3: "rd"}.get(day % 10, "th")
 
 
 class Pseudonyms:
@@ -97,10 +131,12 @@ class Pseudonyms:
             ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]){11,30}\b"), self._iban),
             ("secret", re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])"), self._secret),
             ("ip", re.compile(edge + r"\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"), self._ip),
-            ("date", re.compile(edge + r"(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?!\w|[-/.]\d)"), self._date),
+            ("token", re.compile(r"(?<![0-9A-Za-z])(?:(AKIA|ASIA)[0-9A-Z]{16}|(gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|sk-|[sr]k_(?:live|test)_|AIza)[0-9A-Za-z_-]{20,255}|[0-9A-Za-z]{32,255})(?![0-9A-Za-z])"), self._token),
+            ("date", re.compile(r"(?<![^\W_])(?<![@.+-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![^\W_T]|T(?!\d)|[-/.]\d)"), self._date),
+            ("named date", re.compile(rf"(?<!\w)(?:({_DAY})(\.? |-|\.? de | of )({_NAME})(\.?,? |-| de | del )(\d{{4}})|({_NAME})(\.? |-)({_DAY})(,? |-)(\d{{4}}))(?!\w)"), self._named_date),
             ("ssn", re.compile(edge + r"\d{3}-\d{2}-\d{4}" + end), self._ssn),
-            ("phone", re.compile(r"(?<![\w.+-])(?:\+1[ .-]?\(\d{3}\) ?|\+1[ .-]?\d{3}[ .-]|\(\d{3}\) ?|\d{3}[.-](?=\d{3}[.-]))\d{3}[ .-]\d{4}(?!\w|[.-]\d)"), self._phone),
-            ("foreign phone", re.compile(r"(?<![\w.+-])\+[2-9]\d(?:[ .-]?\(?\d\)?){6,12}(?!\w|[.-]\d)"), self._foreign),
+            ("phone", re.compile(r"(?<![\w.+-])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|(?:1[ .-])?(?:\(\d{3}\) ?\d{3}[ .-]|\d{3}[.-]\d{3}[.-])\d{4}|(?<!\d )(?:1[ .-])?\d{3} \d{3}[ .-]\d{4}(?! \d))(?!\w|[.-]\d)"), self._phone),
+            ("foreign phone", re.compile(r"(?<![\w.+-])\+(?:7|[2-9]\d)(?:[ .-]?\(?\d\)?){6,12}(?!\w|[.-]\d)"), self._foreign),
             ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w|[.-]\d)"), self._card),
         ]
 
@@ -142,6 +178,7 @@ class Pseudonyms:
         gap = m[1] or m[2]
         a, b, c = map(int, m[0].split(gap))
         forms = ["ymd"] if m[1] else ["mdy", "dmy"] if gap == "/" else ["dmy", "mdy"]
+        wide = [len(x) == 2 for x in m[0].split(gap) if len(x) < 4]
         for form in forms:
             year, month, day = (a, b, c) if form == "ymd" else (c, a, b) if form == "mdy" else (c, b, a)
             try:
@@ -150,18 +187,33 @@ class Pseudonyms:
                 continue
             if not FIRST_DAY <= date <= LAST_DAY:
                 return None
-            size = (LAST_DAY - FIRST_DAY).days + 1
-            new = FIRST_DAY + datetime.timedelta(days=self._permute("date", size, (date - FIRST_DAY).days))
-            if form != forms[0] and new.day <= 12:  # must be read the same way again
-                days = [d for d in range(size) if (FIRST_DAY + datetime.timedelta(days=d)).day > 12]
-                return self._write(form, gap, FIRST_DAY + datetime.timedelta(days=days[self._permute("late date", len(days), days.index((date - FIRST_DAY).days))]))
-            return self._write(form, gap, new)
+            two = dict(zip(form.replace("y", ""), wide))  # parts keep their width
+            least = 1 if form == forms[0] else 13  # must be read the same way again
+            new = self._move(f"date {form}" if least > 1 else "date", date, tuple(range(1, 13 if two["m"] else 10)), least, 31 if two["d"] else 9)
+            parts = {"y": f"{new.year:04d}", "m": f"{new.month:0{1 + two['m']}d}", "d": f"{new.day:0{1 + two['d']}d}"}
+            return gap.join(parts[c] for c in form)
         return None
 
-    @staticmethod
-    def _write(form: str, gap: str, d: datetime.date) -> str:
-        parts = {"y": f"{d.year:04d}", "m": f"{d.month:02d}", "d": f"{d.day:02d}"}
-        return gap.join(parts[c] for c in form)
+    def _move(self, kind: str, date: datetime.date, months: tuple[int, ...], least: int, most: int) -> datetime.date:
+        days = _days(months, least, most)
+        return FIRST_DAY + datetime.timedelta(days=days[self._permute(kind, len(days), bisect_left(days, (date - FIRST_DAY).days))])
+
+    def _named_date(self, m: re.Match) -> str | None:
+        day, gap, name, gap2, year = m.groups()[:5] if m[1] else (m[8], m[7], m[6], m[9], m[10])
+        if name not in MONTHS:
+            return None
+        digits, (style, month) = day.rstrip("stndrh"), MONTHS[name]
+        try:
+            date = datetime.date(int(year), month, int(digits))
+        except ValueError:
+            return None
+        if not FIRST_DAY <= date <= LAST_DAY or (digits != day and day != digits + _ordinal(date.day)):
+            return None
+        names = {k: written for written, (s, k) in MONTHS.items() if s == style}
+        new = self._move(f"named date {style}", date, tuple(sorted(names)), 1, 31 if len(digits) == 2 else 9)
+        day = f"{new.day:0{len(digits)}d}" + (_ordinal(new.day) if digits != day else "")
+        first, second = (day, names[new.month]) if m[1] else (names[new.month], day)
+        return f"{first}{gap}{second}{gap2}{new.year:04d}"
 
     def _ssn(self, m: re.Match) -> str | None:
         area, group, serial = map(int, m[0].split("-"))
@@ -175,17 +227,18 @@ class Pseudonyms:
     def _phone(self, m: re.Match) -> str | None:
         digits = re.sub(r"\D", "", m[0])
         own, lead = digits[-10:], digits[:-10]
-        if lead:  # written with the country code, any ten digits are a number
+        if m[0][0] == "+":  # written with the country code, any ten digits are a number
             return _refill(m[0], lead + self._digits("phone with country", own))
         if own[0] in "01" or own[3] in "01":
             return None
         x = ((int(own[:3]) - 200) * 800 + int(own[3:6]) - 200) * 10_000 + int(own[6:])
         x, last = divmod(self._permute("phone", 800 * 800 * 10_000, x), 10_000)
-        return _refill(m[0], f"{x // 800 + 200:03d}{x % 800 + 200:03d}{last:04d}")
+        return _refill(m[0], f"{lead}{x // 800 + 200:03d}{x % 800 + 200:03d}{last:04d}")
 
     def _foreign(self, m: re.Match) -> str | None:
         digits = re.sub(r"\D", "", m[0])
-        return _refill(m[0], digits[:2] + self._digits("foreign phone", digits[2:]))
+        code = 1 if digits[0] == "7" else 2
+        return _refill(m[0], digits[:code] + self._digits("foreign phone", digits[code:]))
 
     def _secret(self, m: re.Match) -> str | None:
         if m[0].isdigit():
@@ -197,28 +250,48 @@ class Pseudonyms:
     def _email(self, m: re.Match) -> str | None:
         """Letters of the local part stay letters, digits digits; the domain stays."""
         local, domain = m[0].rsplit("@", 1)
-        bases = [(26, "a") if c.islower() and c.isascii() else (26, "A") if c.isupper() and c.isascii() else (10, "0") if c.isascii() and c.isdigit() else None for c in local]
+        new = self._by_class("email", local, self._permute)
+        return None if new is None else f"{new}@{domain}"
+
+    def _token(self, m: re.Match) -> str | None:
+        """A key with a known prefix, which stays, or a secret with small and capital letters and digits."""
+        prefix = m[1] or m[2] or ""
+        if not prefix and not all(re.search(c, m[0]) for c in ("[a-z]", "[A-Z]", "[0-9]")):
+            return None
+        if m[2] and not re.search("[0-9]", m[0][len(prefix) :]):
+            return None
+
+        def once(kind: str, size: int, x: int) -> int:  # hardly any two have one form: no network is kept
+            network = Feistel(self.key, kind, size)
+            return network.decrypt(x) if self.inverse else network.encrypt(x)
+
+        new = self._by_class("token", m[0][len(prefix) :], once)
+        return None if new is None else prefix + new
+
+    @staticmethod
+    def _by_class(kind: str, text: str, permute: Callable[[str, int, int], int]) -> str | None:
+        bases = [(26, "a") if c.islower() and c.isascii() else (26, "A") if c.isupper() and c.isascii() else (10, "0") if c.isascii() and c.isdigit() else None for c in text]
         size = x = 0
-        for base, c in zip(bases, local):
+        for base, c in zip(bases, text):
             if base:
                 size, x = (size or 1) * base[0], x * base[0] + ord(c) - ord(base[1])
         if not size:
             return None
-        form = "".join(b[1] if b else c for b, c in zip(bases, local))
-        x = self._permute(f"email {form}", size, x)
-        out = list(local)
-        for k in reversed(range(len(local))):
+        form = "".join(b[1] if b else c for b, c in zip(bases, text))
+        x = permute(f"{kind} {form}", size, x)
+        out = list(text)
+        for k in reversed(range(len(text))):
             if bases[k]:
                 x, d = divmod(x, bases[k][0])
                 out[k] = chr(ord(bases[k][1]) + d)
-        return f"{''.join(out)}@{domain}"
+        return "".join(out)
 
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The new text, and (kind, begin, end) of what was replaced. Where forms overlap, the kind listed first wins."""
         taken: list[tuple[int, int, str, str]] = []
         digits = bool(_DIGIT.search(text))
         for kind, pattern, new in self.kinds:
-            if not (("@" in text) if kind == "email" else digits):
+            if not (("@" in text) if kind == "email" else _YEAR.search(text) if kind == "named date" else digits or kind == "token"):
                 continue
             for m in pattern.finditer(text):
                 if any(a < m.end() and m.start() < b for a, b, *_ in taken):
@@ -235,6 +308,7 @@ class Pseudonyms:
         return "".join([*out, text[at:]]), [(kind, a, b) for a, b, kind, _ in sorted(taken)]
 
 
+_YEAR = re.compile(r"(?:19|20)\d\d")
 _DIGIT = re.compile(r"[0-9]|[0-9a-fA-F]{32}")
 
 
