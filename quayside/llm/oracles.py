@@ -66,3 +66,31 @@ o AS (SELECT d.r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans,
 SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
   sha256(unhex(CASE WHEN o.r IS NULL THEN h ELSE concat(front, substr(h, 2 * last + 1)) END)) AS kept_sha256
 FROM d LEFT JOIN o ON o.r = d.r"""
+
+
+def _codes(rounds: int = 4) -> str:
+    """Parts and codebooks as lists; every round joins each part with all entries of its place."""
+    nearest = """SELECT r, j, list_min(list({'d': list_sum(list_transform(list_zip(p, e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'i': i})) AS m
+  FROM parts JOIN {book} USING (j) GROUP BY r, j"""
+    steps = []
+    for k in range(rounds):
+        book = f"b{k}"
+        steps.append(f"a{k} AS MATERIALIZED ({nearest.replace('{book}', book)})")
+        steps.append(
+            f"""n{k} AS (SELECT j, i, list(v ORDER BY x) AS e FROM (SELECT parts.j, m.i AS i, x, CAST(floor(sum(CAST(p[x] AS HUGEINT)) / count(*)) AS BIGINT) AS v
+  FROM a{k} JOIN parts USING (r, j), (SELECT unnest(range(1, (SELECT max(len(p)) FROM parts) + 1)) AS x) GROUP BY ALL) GROUP BY j, i),
+b{k + 1} AS MATERIALIZED (SELECT j, i, coalesce(n{k}.e, {book}.e) AS e FROM {book} LEFT JOIN n{k} USING (j, i))"""
+        )
+    last = nearest.replace("{book}", f"b{rounds}")
+    return f"""WITH v AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, j, x[j * len(x) // 4 + 1:(j + 1) * len(x) // 4] AS p FROM v, (SELECT unnest(range(4)) AS j)),
+b0 AS MATERIALIZED (SELECT j, r - 1 AS i, p AS e FROM parts WHERE r <= 256),
+{", ".join(steps)},
+z AS ({last}),
+c AS (SELECT r, string_agg(printf('%02x', m.i), '' ORDER BY j) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM z GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY j, i)) AS s FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256 FROM v JOIN c USING (r), h"""
+
+
+PIVOT_CODES = _codes()

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import decontamination, html_extract, line_dedup, lm_bloom, oracles, packing, pii, quality_rules, sharding, shingle_join, suffix_dedup
+from quayside.llm import (
+    code_compression, decontamination, html_extract, line_dedup, lm_bloom, oracles, packing, pii, piece_codec, quality_rules, sharding,
+    shingle_join, suffix_dedup, whitening,
+)
 from quayside.llm.common import stored, table
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -23,10 +27,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 #: Key of the registered query; in production the caller keeps its own.
@@ -89,6 +93,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_characteristic_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_codec.encode(documents(spark, sf_dir), tokenizer_path(PIECE_MODEL))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_pivot_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_compression.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_adaptive_prefix_join": op2_adaptive_prefix_join,
@@ -100,6 +123,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_positional_index": op8_positional_index,
     "op9_hypergeometric_shards": op9_hypergeometric_shards,
     "op10_quality_rules": op10_quality_rules,
+    "op11_characteristic_whitening": op11_characteristic_whitening,
+    "op12_merge_rounds": op12_merge_rounds,
+    "op13_pivot_codes": op13_pivot_codes,
 }
 
 ORACLES: dict[str, str] = {
@@ -107,4 +133,5 @@ ORACLES: dict[str, str] = {
     "op5_suffix_family": oracles.REPEATS,
     "op6_line_runs": oracles.LINE_RUNS,
     "op8_positional_index": oracles.DECONTAMINATION,
+    "op13_pivot_codes": oracles.PIVOT_CODES,
 }

@@ -12,7 +12,7 @@ from quayside.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     result = con.execute(queries.ORACLES[name])
