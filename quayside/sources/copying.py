@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions.hashing import incremental_digest
 from quayside.operators.ordered import SEG, running
+from quayside.sources.stores import open_store
 
 BUFFER = 4 << 20
 
@@ -66,14 +67,7 @@ def _copy_between_stores(source_root: str, dest_root: str, path: str, size: int,
     An object appears when its upload is closed, so it needs no renaming; on other stores the
     file is written beside its name and moved.
     """
-    from pyarrow import fs
-
-    def store(root: str):
-        if "://" in root:
-            return fs.FileSystem.from_uri(root.rstrip("/"))
-        return fs.LocalFileSystem(), root.rstrip("/")
-
-    (src, src_base), (dst, dst_base) = store(source_root), store(dest_root)
+    (src, src_base), (dst, dst_base) = open_store(source_root), open_store(dest_root)
     source, target = f"{src_base}/{path}", f"{dst_base}/{path}"
     if incremental:
         here, there = src.get_file_info(source), dst.get_file_info(target)
