@@ -25,9 +25,19 @@ def stored(df: DataFrame) -> DataFrame:
 
     Later readers neither compute it again nor depend on an executor that may be lost. The
     folder is ``spark.checkpoint.dir``; its owner clears it, as with checkpoints."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored_at(df))
+
+
+def stored_at(df: DataFrame) -> str:
+    """``df`` written like that, and where; tasks may open it by themselves."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def range_bits_of(docs: DataFrame, least: int = 10, rows: int = 2000) -> int:
+    """Bits of hash ranges that leave a range the tokens of about ``rows`` documents; footers have the count."""
+    return max(least, min(24, (max(1, docs.count()) // rows).bit_length()))
 
 
 def fresh(df: DataFrame, base: str) -> str:

@@ -6,7 +6,9 @@ arrays of hashes. A word w behind h has probability (c(h w) + s p(w)) / (c(h) +
 seen fall back to words. Texts begin and end with the same mark, which is counted as a word.
 
 Counts come from all training documents: each batch of texts sends the hashes of its distinct words and pairs, in blocks by hash range, and
-each range is summed up in one task that also builds its segment of the filter. The model then goes to all workers in parts. A part
+each range is summed up in one task that also builds its segment of the filter. Ranges get more with the number of documents, so that
+a task has the words of some thousand documents. The model stays a stored table; workers are told (by broadcast) which hash ranges
+they need and load those once, so it never passes through the driver. A part
 has the words of two hash blocks (for h and for w) and the pairs between them, or a share of those, and is at most about ``part_bytes``
 long, whatever the corpus; every part scores the pairs it is for in one pass over the texts, and the sums are added up. Corpora whose model
 fits one part, some hundred million distinct pairs, need one pass.
@@ -19,22 +21,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+import pyarrow.dataset as ds
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import stored
+from quayside.llm.common import range_bits_of, stored_at
+from quayside.sources.stores import open_store
 
 END = np.uint64(0x1F83D9ABFB41BD6B)
+#: Bits of the hash ranges of small corpora.
 RANGE_BITS = 10
 HASHES, BITS_PER_ENTRY = 6, 10
 CHARS = 3_000_000
 BLOCKS = "kind int, part int, keys binary, times binary"
-SUMMED = "kind int, part int, keys binary, times binary, entries long"
+SUMMED = "kind int, part int, keys binary, times binary, entries long, total long"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -99,19 +105,19 @@ def held_out(doc_id: str, folds: int = 10) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def count(training: DataFrame) -> DataFrame:
-    """Stored (kind, part, keys, times, entries): kind 1 words with 64-bit keys, kind 2 pairs as filter segments (times has the bits)."""
+def count(training: DataFrame, range_bits: int = RANGE_BITS) -> str:
+    """Path of the stored (kind, part, keys, times, entries, total): kind 1 words with 64-bit keys, kind 2 pairs as filter segments (times has the bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         for chunk in _in_chunks(batches):
             w, h, _ = tokens(chunk["text"].combine_chunks())
             for kind, keys in ((1, mix(w)), (2, pair_keys(h, w))):
                 keys, times = _counted(keys)
-                cuts = np.searchsorted(keys, np.arange(1, 1 << RANGE_BITS, dtype=np.uint64) << np.uint64(64 - RANGE_BITS))
+                cuts = np.searchsorted(keys, np.arange(1, 1 << range_bits, dtype=np.uint64) << np.uint64(64 - range_bits))
                 cuts = np.concatenate([[0], cuts, [len(keys)]])
                 parts = np.flatnonzero(np.diff(cuts))
                 if kind == 2:  # the range and 32 bits more tell pairs apart
-                    keys = (keys >> np.uint64(32 - RANGE_BITS) & np.uint64(0xFFFFFFFF)).astype("<u4")
+                    keys = (keys >> np.uint64(32 - range_bits) & np.uint64(0xFFFFFFFF)).astype("<u4")
                 times = times.astype("<u4")
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -127,14 +133,14 @@ def count(training: DataFrame) -> DataFrame:
         kind = int(key[0])
         keys = np.frombuffer(b"".join(group["keys"]), dtype="<u8" if kind == 1 else "<u4")
         keys, times = _counted(keys, np.frombuffer(b"".join(group["times"]), dtype="<u4").astype(np.int64))
-        row = {"kind": kind, "part": int(key[1]), "entries": len(keys)}
+        row = {"kind": kind, "part": int(key[1]), "entries": len(keys), "total": int(times.sum())}
         if kind == 1:
             return pd.DataFrame([row | {"keys": keys.tobytes(), "times": times.astype("<u8").tobytes()}])
         return pd.DataFrame([row | {"keys": b"", "times": segment(keys.astype(np.uint64), times)}])
 
     texts = training.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     summed = texts.mapInArrow(run, BLOCKS).groupBy("kind", "part").applyInPandas(add, SUMMED)
-    return stored(summed)
+    return stored_at(summed)
 
 
 def _bit(keys: np.ndarray, level: int, k: int, size: np.ndarray | int) -> np.ndarray:
@@ -172,6 +178,7 @@ class Part:
     n_tokens: int
     n_words: int
     smoothing: float = field(default=200.0)
+    range_bits: int = field(default=RANGE_BITS)
 
     @staticmethod
     def look_up(keys: np.ndarray, times: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -182,8 +189,8 @@ class Part:
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts as the filter tells them: the middle of the highest level it has."""
-        part = (keys >> np.uint64(64 - RANGE_BITS)).astype(np.int64) - self.pairs[0]
-        rest = keys >> np.uint64(32 - RANGE_BITS) & np.uint64(0xFFFFFFFF)
+        part = (keys >> np.uint64(64 - self.range_bits)).astype(np.int64) - self.pairs[0]
+        rest = keys >> np.uint64(32 - self.range_bits) & np.uint64(0xFFFFFFFF)
         begin, size = self.begins[part], (self.begins[part + 1] - self.begins[part]) * 8
         levels = np.zeros(len(keys), dtype=np.int64)
         alive = np.flatnonzero(size > 0)
@@ -205,7 +212,7 @@ class Part:
         for name, keys, times in (("w", self.w_keys, self.w_times), ("h", self.h_keys, self.h_times)):
             c_of[name] = self.look_up(keys, times, distinct)
         c_w, c_h = c_of["w"][code[: len(w)]], c_of["h"][code[len(w) :]]
-        shift = np.uint64(64 - RANGE_BITS)
+        shift = np.uint64(64 - self.range_bits)
         range_w, range_h = (w_hash >> shift).astype(np.int64), (h_hash >> shift).astype(np.int64)
         mine_w = (range_w >= self.words[0]) & (range_w < self.words[1])
         mine = mine_w & (range_h >= self.histories[0]) & (range_h < self.histories[1])
@@ -227,70 +234,77 @@ class Part:
         )
 
 
-def _cuts(weights: np.ndarray, most: float) -> list[tuple[int, int]]:
-    """Hash ranges in runs of at most about ``most``, one range at least."""
-    out, begin, total = [], 0, 0.0
-    for k, x in enumerate(weights):
-        if k > begin and total + x > most:
-            out.append((begin, k))
-            begin, total = k, 0.0
-        total += x
-    return [*out, (begin, len(weights))]
-
-
-def parts(counted: DataFrame, part_bytes: int = 400_000_000, smoothing: float = 200.0) -> Iterator[Part]:
-    """The model, one part after the other; the driver holds one at a time."""
-    ranges = 1 << RANGE_BITS
-    sizes = counted.select("kind", "part", "entries", F.length("times").alias("bytes")).collect()  # a row per range
-    words, pairs, n_words = np.zeros(ranges), np.zeros(ranges), 0
-    for r in sizes:
-        if r["kind"] == 1:
-            words[r["part"]], n_words = 2 * r["bytes"], n_words + r["entries"]
-        else:
-            pairs[r["part"]] = r["bytes"]
-    n_tokens = 0
-
-    def load(kind: int, own: tuple[int, int]) -> list:
-        rows = counted.where((F.col("kind") == kind) & F.col("part").between(own[0], own[1] - 1)).select("part", "keys", "times")
-        return sorted(rows.toLocalIterator(), key=lambda r: r["part"])
-
-    word_cuts = _cuts(words, part_bytes / 4)
-    tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-
-    def table(own: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        rows = load(1, own)
-        return np.frombuffer(b"".join(r["keys"] for r in rows), dtype="<u8"), np.frombuffer(b"".join(r["times"] for r in rows), dtype="<u8")
-
-    for own in word_cuts:
-        keys, times = table(own)
-        n_tokens += int(times.sum())
-        if len(word_cuts) == 1:
-            tables[own] = keys, times
-    for histories in word_cuts:
-        h = tables.get(histories) or table(histories)
-        for own in word_cuts:
-            w = h if own == histories else table(own)
-            for share in _cuts(pairs, part_bytes / 2):
-                rows = {r["part"]: r["times"] for r in load(2, share)}
-                segments = [rows.get(p, b"") for p in range(*share)]
-                begins = np.concatenate([[0], np.cumsum([len(s) for s in segments])]).astype(np.int64)
-                bits = np.frombuffer(b"".join(segments), dtype=np.uint8)
-                yield Part(histories, own, share, *h, *w, bits, begins, n_tokens, n_words, smoothing)
+def _cuts(ranges: int, size: float, most: float) -> list[tuple[int, int]]:
+    """All hash ranges, of ``size`` bytes together, in even runs of at most about ``most``. Hashes fill ranges evenly."""
+    n = min(ranges, max(1, -(-int(size) // max(1, int(most)))))
+    return [(ranges * k // n, ranges * (k + 1) // n) for k in range(n)]
+
+
+@dataclass(frozen=True)
+class Share:
+    """Where a part of the model is stored, and which hash ranges it has."""
+
+    path: str
+    range_bits: int
+    histories: tuple[int, int]
+    words: tuple[int, int]
+    pairs: tuple[int, int]
+    n_tokens: int
+    n_words: int
+    smoothing: float
+
+
+def shares(spark: SparkSession, path: str, range_bits: int, part_bytes: int = 400_000_000, smoothing: float = 200.0) -> list[Share]:
+    """The parts of the model. The driver sees two rows of totals."""
+    totals = spark.read.parquet(path).groupBy("kind").agg(
+        F.sum(F.length("keys") + F.length("times")).alias("bytes"), F.sum("entries").alias("entries"), F.sum("total").alias("total")
+    )
+    found = {r["kind"]: r for r in totals.collect()}
+    words, pairs = (found[k]["bytes"] if k in found else 0 for k in (1, 2))
+    n_words, n_tokens = (found[1]["entries"], found[1]["total"]) if 1 in found else (0, 0)
+    word_cuts = _cuts(1 << range_bits, words, part_bytes / 4)
+    pair_cuts = _cuts(1 << range_bits, pairs, part_bytes / 2)
+    return [Share(path, range_bits, h, w, p, n_tokens, n_words, smoothing) for h in word_cuts for w in word_cuts for p in pair_cuts]
+
+
+@lru_cache(maxsize=1)
+def loaded(share: Share) -> Part:
+    """The part itself, read once by each worker that scores with it."""
+    place, base = open_store(share.path)
+    stored_rows = ds.dataset(base, filesystem=place, format="parquet")
+
+    def rows(kind: int, own: tuple[int, int], columns: list[str]) -> pa.Table:
+        wanted = (ds.field("kind") == kind) & (ds.field("part") >= own[0]) & (ds.field("part") < own[1])
+        return stored_rows.to_table(columns=["part", *columns], filter=wanted).sort_by("part")
+
+    def words(own: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        found = rows(1, own, ["keys", "times"])
+        return tuple(np.frombuffer(b"".join(found[c].to_pylist()), dtype="<u8") for c in ("keys", "times"))
+
+    h = words(share.histories)
+    w = h if share.words == share.histories else words(share.words)
+    found = rows(2, share.pairs, ["times"])
+    sizes = np.zeros(share.pairs[1] - share.pairs[0], dtype=np.int64)
+    sizes[found["part"].to_numpy() - share.pairs[0]] = pc.binary_length(found["times"]).to_numpy()
+    bits = np.frombuffer(b"".join(found["times"].to_pylist()), dtype=np.uint8)
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    return Part(share.histories, share.words, share.pairs, *h, *w, bits, begins, share.n_tokens, share.n_words, share.smoothing, share.range_bits)
 
 
 def score(docs: DataFrame, part_bytes: int = 400_000_000, smoothing: float = 200.0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document, learnt from those not held out."""
     out = held_out("doc_id")
-    counted = count(docs.where(~out))
     spark = docs.sparkSession
+    range_bits = range_bits_of(docs, RANGE_BITS)
+    path = count(docs.where(~out), range_bits)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), text)
     found: DataFrame | None = None
     n = 0
     train_tokens = 0
-    for part in parts(counted, part_bytes, smoothing):
-        train_tokens = part.n_tokens
-        scored = narrow.mapInArrow(_scorer(spark.sparkContext.broadcast(part)), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    for share in shares(spark, path, range_bits, part_bytes, smoothing):
+        train_tokens = share.n_tokens
+        scored = narrow.mapInArrow(_scorer(spark.sparkContext.broadcast(share)), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
         found, n = scored if found is None else found.unionByName(scored), n + 1
     if n > 1:  # the same scan in each pass gives a row the same number
         sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
@@ -301,7 +315,7 @@ def score(docs: DataFrame, part_bytes: int = 400_000_000, smoothing: float = 200
 def _scorer(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _in_chunks(batches):
-            found = model.value.score(chunk["text"].combine_chunks())
+            found = loaded(model.value).score(chunk["text"].combine_chunks())
             columns = [chunk[c].combine_chunks() for c in ("row", "doc_id", "held_out")]
             yield pa.RecordBatch.from_arrays(
                 [*columns, *map(pa.array, found)], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]

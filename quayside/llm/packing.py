@@ -18,26 +18,27 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.llm.common import stored
+from quayside.llm.known_words import Encoded, KnownWords, of_texts
 
-#: Code points whose Unicode classes have long been settled.
-_SETTLED = "\t\n\r -\u024f\u2010-\u2027\u20ac"
+#: Code points whose Unicode classes have long been settled, as a class of RE2.
+_SETTLED = r"\t\n\r -\x{24f}\x{2010}-\x{2027}\x{20ac}"
 #: Texts that the tokenizer gets whole: other code points, contractions, and marks of special tokens.
-_WHOLE = re.compile(f"[^{_SETTLED}]|'(?:[stmd]|re|ve|ll)|<\\|")
+_WHOLE = rf"[^{_SETTLED}]|'(?:[stmd]|re|ve|ll)|<\|"
 _BLANK, _SPACE = 3, 4
-CHARS = 1_000_000
+CHARS = 3_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -46,31 +47,29 @@ class Encoder:
 
     The tokenizer's rule splits a text into words where the class of the characters changes (letters, digits, blanks,
     others), and ids of a word depend on the word alone. So a batch of texts is split at once, by comparing arrays of
-    classes; each distinct word is looked up, and the tokenizer encodes those not known. Two dictionaries of bounded size hold the
-    known words: when the young one is full it becomes the old one, and words used again move back.
+    classes; each distinct word is looked up among the words known from earlier batches, and the tokenizer encodes the others.
     """
 
-    def __init__(self, path: str, most_words: int = 250_000):
+    def __init__(self, path: str, most_words: int = 400_000):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.most_words = most_words
+        self.known = KnownWords(most_words)
         characters = "".join(map(chr, range(0x2100)))
         self.classes = np.zeros(0x2100, dtype=np.uint8)
         for number, pattern in ((1, r"\p{L}"), (2, r"\p{N}"), (_BLANK, r"\s")):
             self.classes[[m.start() for m in regex.finditer(pattern, characters)]] = number
         self.classes[ord(" ")] = _SPACE
 
-    def _raw(self, texts: list[str], at_once: int = 4000) -> list[bytes]:
+    def _raw(self, texts: list[str], at_once: int = 4000) -> Encoded:
         """Straight from the tokenizer, some thousand at a time: what it returns per text is large."""
-        out: list[bytes] = []
+        flat, sizes = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
         for at in range(0, len(texts), at_once):
-            encoded = self.tokenizer.encode_batch_fast(texts[at : at + at_once], add_special_tokens=False)
-            out += [array("I", e.ids).tobytes() for e in encoded]
-        return out
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + at_once], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes[-1].sum())))
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def _words(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
         """Words of all texts, and how many each text has."""
@@ -100,30 +99,15 @@ class Encoder:
 
     def _fast(self, texts: list[str]) -> list[np.ndarray]:
         if not any(texts):
-            return [np.zeros(0, dtype="<u4")] * len(texts)
-        words, counts = self._words(texts)
-        coded = words.dictionary_encode()
-        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        young, old = self.young.get, self.old.get
-        ids = [young(w) or old(w) for w in distinct]
-        new = [k for k, x in enumerate(ids) if x is None]
-        for k, x in zip(new, self._raw([distinct[k] for k in new])):
-            ids[k] = x
-        if len(self.young) > self.most_words:
-            self.young, self.old = {}, self.young
-        self.young.update(zip(distinct, ids))
-        sizes = np.array([len(x) // 4 for x in ids])
-        flat, begin = np.frombuffer(b"".join(ids), dtype="<u4"), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        n = sizes[codes]
-        out_at = np.cumsum(n)
-        everything = flat[np.repeat(begin[codes] - (out_at - n), n) + np.arange(out_at[-1])]
-        per_text = np.add.reduceat(np.concatenate([n, [0]]), np.concatenate([[0], np.cumsum(counts)[:-1]])) * (counts > 0)
+            return [np.zeros(0, dtype=np.uint32)] * len(texts)
+        everything, per_text = of_texts(self.known, *self._words(texts), lambda words: self._raw(words.to_pylist()))
         return np.split(everything, np.cumsum(per_text)[:-1])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [bool(_WHOLE.search(t)) for t in texts]
+        whole = pc.match_substring_regex(pa.array(texts, pa.string()), _WHOLE).to_pylist()
         fast = iter(self._fast([t for t, w in zip(texts, whole) if not w]))
-        slow = (np.frombuffer(x, dtype="<u4") for x in self._raw([t for t, w in zip(texts, whole) if w], 16))
+        raw, sizes = self._raw([t for t, w in zip(texts, whole) if w], 16)
+        slow = iter(np.split(raw, np.cumsum(sizes)[:-1]) if len(sizes) else [])
         return [next(slow) if w else next(fast) for w in whole]
 
 

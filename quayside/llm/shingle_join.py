@@ -20,7 +20,8 @@ how many of their tokens occur elsewhere at all. Links within a component cannot
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing; fewer than five words are one shingle;
 repeated rows are separate documents (with equal sets, so linked); null doc_ids are never the smallest id, and a component with no
 other id has none; an empty table gives an empty result; texts of any length are hashed whole; extra columns do not matter.
-Tokens have 32 + ``range_bits`` bits of a 64-bit hash; 10 range bits suit some ten million documents, add some beyond.
+Tokens have 32 + ``range_bits`` bits of a 64-bit hash; the range bits follow the number of documents, so that a task counts the tokens of some
+thousand documents.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.llm.common import fresh, stored
+from quayside.llm.common import fresh, range_bits_of, stored
 from quayside.llm.components import components
 
 BLOCKS = (
@@ -207,10 +208,10 @@ def _lists(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     )
 
 
-def token_lists(docs: DataFrame, percent: int = 80, range_bits: int = 10) -> DataFrame:
+def token_lists(docs: DataFrame, percent: int = 80, range_bits: int | None = None) -> DataFrame:
     """Stored (row, doc_id, t, n, tokens, times): for every document its number of distinct shingles, and, if it
     shares enough of them with others to match, the shared tokens in global order and how often each occurs."""
-    counted = _blocks(docs, range_bits).groupBy("part").applyInPandas(_count_range, COUNTED)
+    counted = _blocks(docs, range_bits_of(docs) if range_bits is None else range_bits).groupBy("part").applyInPandas(_count_range, COUNTED)
     return stored(counted.groupBy("batch").applyInPandas(lambda group: _lists(group, percent), LISTS))
 
 
@@ -308,7 +309,7 @@ def linked_rows(lists: DataFrame, percent: int = 80, rounds: int = 2) -> DataFra
     return labels
 
 
-def join_components(docs: DataFrame, percent: int = 80, range_bits: int = 10) -> DataFrame:
+def join_components(docs: DataFrame, percent: int = 80, range_bits: int | None = None) -> DataFrame:
     """(row, doc_id, t, n_shingles, component, component_id): every document, the least row of its component and
     the smallest doc_id there."""
     lists = token_lists(docs, percent, range_bits)
