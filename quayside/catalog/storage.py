@@ -30,13 +30,18 @@ def _mounted(folder: str) -> str:
     return path
 
 
-def _tree(t: Tables) -> str:
+def _tree(t: Tables, path="path") -> str:
     """The contents as a tree of files; empty ones included."""
     root = _mounted(new_folder(t.spark, "tree"))
-    copying.write_files(t.content().select("path", F.col("text").alias("content")), root).agg(F.sum("bytes")).collect()
+    copying.write_files(t.content().select(F.expr(path).alias("path"), F.col("text").alias("content")), root).agg(F.sum("bytes")).collect()
     return root
 
 
+#: Paths of which three quarters have a hidden directory or name, in Spark and in DuckDB alike.
+HIDDEN = """concat(CASE file_id % 4 WHEN 2 THEN '_' ELSE '' END, split_part(path, '/', 1), CASE file_id % 4 WHEN 3 THEN '/.' ELSE '/' END,
+  split_part(path, '/', 2), CASE file_id % 4 WHEN 1 THEN '/.' WHEN 3 THEN '/_' ELSE '/' END, split_part(path, '/', 3))"""
+
+
 def _scan(t: Tables):
     inventory, _ = scan.scan_inventory(t.spark, [_tree(t)])
     return inventory
@@ -47,7 +52,7 @@ def _sizes(t: Tables):
 
 
 def _list_tree(t: Tables):
-    return scan.list_objects(t.spark, _tree(t)).select("path", "size")
+    return scan.list_objects(t.spark, _tree(t, HIDDEN)).select("path", "size")
 
 
 def _read_content(t: Tables):
@@ -179,12 +184,12 @@ def _states(t: Tables):
 
 
 def _stream_inventory(t: Tables):
-    root = _tree(t)
+    root = _tree(t, HIDDEN)
     batches = live.run_now(live.stream_inventory(t.spark, root), name="inventory")
-    return live.current_manifest(batches).select(F.substring_index("path", "/", -3).alias("path"), "size")
+    return live.current_manifest(batches).select("path", "size")
 
 
-SIZES = "SELECT path, strlen(text) AS size FROM content"
+SIZES = f"SELECT {HIDDEN} AS path, strlen(text) AS size FROM content"
 
 QUERIES = {
     "scan_inventory": (

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quayside.functions import paths
 from quayside.operators.filters import filter_globs, filter_size
 from quayside.session import persist_shared
+from quayside.sources.objects import list_objects, read_content
 
 _LISTED = """root string, dir binary, depth int, above array<string>, path string, raw_path binary, size bigint,
 mtime_us bigint, created_us bigint, is_dir boolean, is_symlink boolean, symlink_target string, permissions int, uid bigint,
@@ -152,34 +153,16 @@ def scan_inventory(
 
 
 def scan_content(spark: SparkSession, roots: list[str], glob: str | None = None) -> DataFrame:
-    """File bytes: path, modificationTime, length, content. Columns not selected are not read.
+    """File bytes: path, modificationTime, length, content. ``glob`` is matched with the name of the file.
 
-    Spark's own listing leaves out names that start with a dot or an underscore, and a row
-    holds at most 2 GB; :func:`read_blocks` has neither limit.
-    """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    Tasks list and read the files, hidden ones included; see :mod:`quayside.sources.objects`."""
+    listed = [list_objects(spark, root) for root in roots]
+    files = listed[0]
+    for more in listed[1:]:
+        files = files.unionByName(more)
     if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(roots)
-
-
-def list_objects(spark: SparkSession, prefix: str) -> DataFrame:
-    """Objects below a prefix of any file system Spark knows, in the inventory's columns."""
-    root = prefix.rstrip("/")
-    listed = scan_content(spark, [prefix]).select("path", "length", "modificationTime")
-    # the reported path is a full URI, the prefix may be written without its scheme
-    below = F.regexp_replace("path", r"\A.*?" + _quoted(root.split("://")[-1].removeprefix("file:")) + "/", "")
-    return listed.select(
-        F.lit(root).alias("root"),
-        below.alias("path"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("mtime"),
-        F.lit(False).alias("is_dir"),
-    )
-
-
-def _quoted(text: str) -> str:
-    return r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"
+        files = files.where(paths.matches_any(paths.last_segment("path"), [glob]))
+    return read_content(files)
 
 
 def read_blocks(files: DataFrame, block: int, root: str | None = None, per_task: int | None = None) -> DataFrame:

@@ -23,6 +23,7 @@ from quayside.operators.history import detect_anomalies
 from quayside.operators.transfers import INITIAL_FILES, next_size
 from quayside.plans.bandwidth import Schedule, apply_schedule
 from quayside.session import shared_dir
+from quayside.streaming.arrivals import Arrivals
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -106,16 +107,12 @@ def dropped_rows(query: StreamingQuery) -> int:
 # ---------------------------------------------------------------- inventories
 
 
-def stream_inventory(spark: SparkSession, directory: str, max_files: int = 10_000) -> DataFrame:
-    """Arriving files as inventory rows. Their content is not read."""
-    found = (
-        spark.readStream.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", max_files)
-        .schema("path string, modificationTime timestamp, length bigint, content binary")
-        .load(directory)
-    )
-    return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+def stream_inventory(spark: SparkSession, directory: str, levels: int = 2, settle: float = 0.05) -> DataFrame:
+    """Arriving and changed files as inventory rows (path below the root, size, mtime), hidden ones included. Their
+    content is not read, and no list of them is kept; see :mod:`quayside.streaming.arrivals`."""
+    spark.dataSource.register(Arrivals)
+    found = spark.readStream.format("arrivals").option("root", directory).option("levels", levels).option("settle", settle).load()
+    return found.select("path", "size", "mtime")
 
 
 def current_manifest(batches: DataFrame) -> DataFrame:
