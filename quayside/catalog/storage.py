@@ -18,6 +18,7 @@ from quayside.operators.manifest import manifest_from_scan
 from quayside.plans import sync, transfer
 from quayside.session import persist_shared
 from quayside.sources import archives, copying, manifests, scan
+from quayside.sources.manifest_log import ManifestLog
 from quayside.streaming import live
 from quayside.streaming.live import new_folder
 
@@ -189,6 +190,20 @@ def _stream_inventory(t: Tables):
     return live.current_manifest(batches).select("path", "size")
 
 
+def _manifest_log(t: Tables):
+    """Five change sets with removed, changed and doubled paths through a log that merges its levels."""
+    entries = manifest_from_scan(t.src_inventory().withColumn("raw_path", F.lit(None).cast("binary")))
+    numbered = entries.join(t.src_inventory().select("path", "file_id"), "path")
+    numbered = persist_shared(numbered)
+    log = ManifestLog.create(t.spark, new_folder(t.spark, "manifest-log"), entries.schema, buckets=8, fanout=2)
+    for b in range(5):
+        now = numbered.where(F.col("file_id") % (b + 1) == 0).withColumn("size", F.col("size") + b)
+        older = now.withColumns({"size": F.col("size") + 7, "mtime": F.col("mtime") - 1})
+        log.apply(now.unionByName(older), numbered.where(F.col("file_id") % 11 == b), order=["mtime"])
+    log.vacuum()
+    return log.state().select("path", "size", "mtime")
+
+
 SIZES = f"SELECT {HIDDEN} AS path, strlen(text) AS size FROM content"
 
 QUERIES = {
@@ -263,6 +278,15 @@ FROM (SELECT path, h, unnest(range((length(h) + 8191) // 8192)) AS i FROM (SELEC
         _manifest_json,
         oracle("SELECT path, size, CAST(floor(epoch(mtime)) AS BIGINT) AS mtime FROM src_inventory", "src_inventory"),
     ),
+    "manifest_log": (
+        _manifest_log,
+        oracle(
+            """SELECT path, size + b AS size, mtime FROM (SELECT path, size, CAST(floor(epoch(mtime)) AS BIGINT) AS mtime,
+    list_max(list_filter(range(5), lambda b: file_id % (b + 1) = 0)) AS b,
+    list_max(list_filter(range(5), lambda b: file_id % 11 = b)) AS g FROM src_inventory) WHERE b >= coalesce(g, -1)""",
+            "src_inventory",
+        ),
+    ),
     "hash_manifest_round_trip": (
         _hash_manifest,
         oracle("SELECT path, strlen(text) AS size, 'sha256' AS algorithm, sha256(text) AS hash FROM content", "content"),

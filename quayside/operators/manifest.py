@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.plans.sync import epoch_seconds
@@ -29,10 +29,22 @@ def manifest_from_scan(inventory: DataFrame) -> DataFrame:
     )
 
 
-def upsert(manifest: DataFrame, changes: DataFrame) -> DataFrame:
-    """Manifest with the rows of ``changes`` (one per path) added or put in place of old ones."""
-    kept = manifest.join(changes.select("path"), "path", "left_anti")
-    return kept.unionByName(changes, allowMissingColumns=True)
+def newest_per_path(rows: DataFrame, order: list[str | Column], keys: list[str] | None = None) -> DataFrame:
+    """The row of each path that is greatest by ``order``; of rows that agree in it the greatest by all columns."""
+    keys = keys or ["path"]
+    rest = [c for c in rows.columns if c not in keys]
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranked = F.struct(*[c.alias(f"o{n}") for n, c in enumerate(by)], *[F.col(c).alias(f"c{n}") for n, c in enumerate(rest)])
+    newest = rows.groupBy(*keys).agg(F.max(ranked).alias("_r"))
+    return newest.select(*keys, *[F.col(f"_r.c{n}").alias(c) for n, c in enumerate(rest)]).select(*rows.columns)
+
+
+def upsert(manifest: DataFrame, changes: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Manifest with the rows of ``changes`` added or put in place of old ones; of doubled paths in ``changes``
+    the row that is greatest by ``order`` counts (``mtime`` first, if there is one)."""
+    single = newest_per_path(changes, order or [c for c in ("mtime", "mtime_secs") if c in changes.columns])
+    kept = manifest.join(single.select("path"), "path", "left_anti")
+    return kept.unionByName(single, allowMissingColumns=True)
 
 
 def remove(manifest: DataFrame, gone: DataFrame) -> DataFrame:
