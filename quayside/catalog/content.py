@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.catalog.tables import Tables, oracle
+from quayside.catalog.trees import sizes, tree
 from quayside.functions import paths
 from quayside.functions.hashing import hash_content, quick_hash, register_hash, xor_digests
 from quayside.operators import content, delta
+from quayside.session import persist_shared
+from quayside.sources import copying, scan
 
 BLOCK = 256
 
@@ -47,16 +51,29 @@ HOLES = """SELECT path, min("offset") AS "offset", CAST(sum(size) AS BIGINT) AS
   FROM zero_blocks WHERE h = repeat('00', size::INT)) GROUP BY path, island HAVING sum(size) >= 512"""
 
 
-def _apply(t: Tables):
-    new = _blocks(t.content_new())
-    matches = _matches(t)
-    ops = delta.delta_ops(matches, BLOCK)
-    return delta.apply_delta(_blocks(t.content()), ops, delta.literal_blocks(new, matches), BLOCK)
+def _file_signatures(t: Tables, contents, root: str):
+    """Signatures of files that are read by range."""
+    return content.signatures(scan.read_blocks(sizes(contents), BLOCK, root))
+
+
+def _write(t: Tables) -> tuple[str, DataFrame]:
+    """The new version rebuilt as files from ranges of the old one and of itself: (folder, result rows)."""
+    old_root, new_root = tree(t), tree(t, t.content_new())
+    matches = delta.match_chunks(_file_signatures(t, t.content_new(), new_root), _file_signatures(t, t.content(), old_root))
+    ranges = delta.delta_ranges(delta.delta_ops(matches, BLOCK), BLOCK, most=4096)
+    target = new_root + "-rebuilt"
+    return target, persist_shared(copying.write_ranges(ranges, sizes(t.content_new()), old_root, new_root, target))
 
 
 def _rebuilt(t: Tables):
-    whole = delta.assemble(_apply(t), files=t.content_new())
-    return whole.select("path", F.length("content").cast("bigint").alias("size"), F.sha2("content", 256).alias("sha256"))
+    target, _ = _write(t)
+    return copying.hash_files(sizes(t.content_new()), target, "sha256").select("path", "size", F.col("hash").alias("sha256"))
+
+
+def _shifted(t: Tables):
+    old_root, new_root = tree(t), tree(t, t.content_new())
+    base = _file_signatures(t, t.content(), old_root)
+    return content.shifted_matches_in_files(sizes(t.content_new()), new_root, base, BLOCK, span=8192)
 
 
 def _registered(t: Tables):
@@ -159,7 +176,7 @@ QUERIES = {
         oracle("SELECT path, strlen(text) AS file_size, (strlen(text) + 255) // 256 AS num_chunks FROM content_new", "content_new"),
     ),
     "shifted_blocks": (
-        lambda t: content.shifted_matches(t.content_new(), _signatures(t.content()), BLOCK, "text"),
+        _shifted,
         oracle(
             """SELECT n.path, n.o AS "offset", b.source_index FROM (
   SELECT path, o, md5_number(substr(x, (2 * o + 1)::INT, 512)) AS h
@@ -194,7 +211,7 @@ FROM content_new c LEFT JOIN matches m ON c.path = m.path GROUP BY c.path, c.tex
         oracle("SELECT path, strlen(text) AS size, sha256(text) AS sha256 FROM content_new", "content_new"),
     ),
     "apply_delta_summary": (
-        lambda t: delta.apply_summary(_apply(t), t.content_new()),
+        lambda t: delta.apply_summary(_write(t)[1].where("op IS NOT NULL"), t.content_new()),
         oracle(
             """SELECT c.path, CAST(coalesce(sum(size) FILTER (source_index IS NOT NULL), 0) AS BIGINT) AS bytes_copied,
   CAST(coalesce(sum(size) FILTER (source_index IS NULL), 0) AS BIGINT) AS bytes_written

@@ -6,11 +6,10 @@ of every one of these grows with the tables.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from quayside.catalog.tables import Tables, oracle
+from quayside.catalog.trees import mounted, sizes, tree
 from quayside.functions.hashing import hash_content
 from quayside.operators import transfers
 from quayside.operators.inventory import manifest_head, scan_totals
@@ -23,52 +22,37 @@ from quayside.streaming import live
 from quayside.streaming.live import new_folder
 
 
-def _mounted(folder: str) -> str:
-    """Path of a folder for plain file access."""
-    path = re.sub(r"\Afile:(//)?", "", folder)
-    if "://" in path:
-        raise RuntimeError(f"files need a shared folder that is mounted, not {folder}")
-    return path
-
-
-def _tree(t: Tables, path="path") -> str:
-    """The contents as a tree of files; empty ones included."""
-    root = _mounted(new_folder(t.spark, "tree"))
-    copying.write_files(t.content().select(F.expr(path).alias("path"), F.col("text").alias("content")), root).agg(F.sum("bytes")).collect()
-    return root
-
-
 #: Paths of which three quarters have a hidden directory or name, in Spark and in DuckDB alike.
 HIDDEN = """concat(CASE file_id % 4 WHEN 2 THEN '_' ELSE '' END, split_part(path, '/', 1), CASE file_id % 4 WHEN 3 THEN '/.' ELSE '/' END,
   split_part(path, '/', 2), CASE file_id % 4 WHEN 1 THEN '/.' WHEN 3 THEN '/_' ELSE '/' END, split_part(path, '/', 3))"""
 
 
 def _scan(t: Tables):
-    inventory, _ = scan.scan_inventory(t.spark, [_tree(t)])
+    inventory, _ = scan.scan_inventory(t.spark, [tree(t)])
     return inventory
 
 
 def _sizes(t: Tables):
-    return t.content().select("path", F.octet_length("text").cast("bigint").alias("size"))
+    return sizes(t.content())
 
 
-def _list_tree(t: Tables):
-    return scan.list_objects(t.spark, _tree(t, HIDDEN)).select("path", "size")
+def _list_objects(t: Tables):
+    return scan.list_objects(t.spark, tree(t, path=HIDDEN)).select("path", "size")
 
 
 def _read_content(t: Tables):
-    df = scan.scan_content(t.spark, [_tree(t)], "*.txt")
+    df = scan.scan_content(t.spark, [tree(t)], "*.txt")
     return df.select(F.substring_index("path", "/", -3).alias("path"), F.sha2("content", 256).alias("sha256"))
 
 
 def _read_blocks(t: Tables):
-    blocks = scan.read_blocks(_sizes(t), 4096, _tree(t))
+    blocks = scan.read_blocks(_sizes(t), 4096, tree(t))
     return blocks.select("path", "block_index", "offset", "size", F.sha2("data", 256).alias("sha256"))
 
 
 def _copy(t: Tables):
     """Copies the tree while hashing, then hashes the copies and compares."""
-    root = _tree(t)
+    root = tree(t)
     results = persist_shared(copying.copy_files(_sizes(t), root, root + "-copy", hash_algorithm="sha256"))
     there = copying.hash_files(_sizes(t), root + "-copy", "sha256")
     verified = sync.verify_trees(results.select("path", "hash"), there.select("path", "hash"))
@@ -76,19 +60,19 @@ def _copy(t: Tables):
 
 
 def _incremental(t: Tables):
-    root = _tree(t)
+    root = tree(t)
     persist_shared(copying.copy_files(_sizes(t), root, root + "-copy"))
     return transfers.copy_summary(copying.copy_files(_sizes(t), root, root + "-copy", incremental=True))
 
 
 def _dry_run(t: Tables):
-    root = _tree(t)
+    root = tree(t)
     planned = copying.copy_files(_sizes(t), root, root + "-none", dry_run=True)
     return planned.groupBy("status").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
 
 
 def _copy_chunks(t: Tables):
-    root = _tree(t)
+    root = tree(t)
     chunks = transfer.chunk_plan(_sizes(t).where("size > 0"), chunk=4096, minimum=8192)
     results = persist_shared(copying.copy_chunks(chunks, root, root + "-chunks"))
     whole = copying.chunk_completeness(results)
@@ -97,7 +81,7 @@ def _copy_chunks(t: Tables):
 
 
 def _archives(t: Tables):
-    root = _tree(t)
+    root = tree(t)
     batches = transfer.assign_batches(_sizes(t), ["path"], limit=256 * 1024)
     persist_shared(archives.write_archives(batches, root, root + "-archives", "tar-gz"))
     members = archives.read_archives(t.spark, root + "-archives")
@@ -140,7 +124,7 @@ def _history(t: Tables):
 
 def _write_documents(t: Tables, documents) -> str:
     """(path, content) rows as one JSON file each."""
-    folder = _mounted(new_folder(t.spark, "documents"))
+    folder = mounted(new_folder(t.spark, "documents"))
     copying.write_files(documents, folder).agg(F.sum("bytes")).collect()
     return folder
 
@@ -185,7 +169,7 @@ def _states(t: Tables):
 
 
 def _stream_inventory(t: Tables):
-    root = _tree(t, HIDDEN)
+    root = tree(t, path=HIDDEN)
     batches = live.run_now(live.stream_inventory(t.spark, root), name="inventory")
     return live.current_manifest(batches).select("path", "size")
 
@@ -219,7 +203,7 @@ QUERIES = {
             "content",
         ),
     ),
-    "list_objects": (_list_tree, oracle(SIZES, "content")),
+    "list_objects": (_list_objects, oracle(SIZES, "content")),
     "scan_content": (_read_content, oracle("SELECT path, sha256(text) AS sha256 FROM content", "content")),
     "read_blocks": (
         _read_blocks,

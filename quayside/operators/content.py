@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -15,6 +16,7 @@ from pyspark.sql.types import LongType
 from quayside.functions.hashing import content_hash, weak_checksum
 from quayside.functions.rates import ratio
 from quayside.operators.islands import runs
+from quayside.sources.stores import open_store
 
 
 def split_blocks(
@@ -114,17 +116,134 @@ def rolling_signatures(
     )
 
 
-def shifted_matches(new: DataFrame, base_signatures: DataFrame, window: int, content: str = "content") -> DataFrame:
-    """Offsets of the new content where a whole base block of the same file reappears.
+def _mixed(x: np.ndarray, factor: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = x.astype(np.uint64) * np.uint64(factor)
+        return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def filter_places(weak: np.ndarray, bits: np.ndarray | int, probes: int = 7) -> np.ndarray:
+    """The bits of a Bloom filter that belong to each weak checksum: checksums x probes."""
+    first, step = _mixed(weak, 0x9E3779B97F4A7C15) >> np.uint64(16), _mixed(weak, 0xD6E8FEB86659FD93) >> np.uint64(17) | np.uint64(1)
+    places = first[:, None] + np.arange(probes, dtype=np.uint64) * step[:, None]
+    return (places % np.asarray(bits, dtype=np.uint64).reshape(-1, 1)).astype(np.int64)
+
+
+def weak_filters(base: DataFrame, bits_per_block: int = 10) -> DataFrame:
+    """(path, bits, words, values): a Bloom filter of the weak checksums of each base file, by its words of 64 bits that are not 0.
+
+    Words are put together by a combined OR before and after the shuffle, so no task sees the signatures of a whole file."""
+    sizes = base.groupBy("path").agg((F.max("block_index") * bits_per_block + 64).alias("bits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = batch.column("bits").to_numpy()
+            places = filter_places(batch.column("weak").to_numpy(), bits)
+            row = pa.array(np.repeat(np.arange(len(places)), places.shape[1]))
+            values = (np.uint64(1) << (places.ravel() & 63).astype(np.uint64)).view(np.int64)
+            columns = [batch.column("path").take(row), batch.column("bits").take(row), pa.array(places.ravel() >> 6), pa.array(values)]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "bits", "word", "value"])
+
+    marks = base.select("path", "weak").distinct().join(sizes, "path").select("path", "weak", "bits")
+    words = marks.mapInArrow(run, "path string, bits bigint, word bigint, value bigint").groupBy("path", "bits", "word").agg(F.bit_or("value").alias("value"))
+    gathered = words.groupBy("path", "bits").agg(F.collect_list(F.struct("word", "value")).alias("w"))
+    return gathered.select("path", "bits", F.col("w.word").alias("words"), F.col("w.value").alias("values"))
+
+
+def _constant(data: np.ndarray, window: int) -> np.ndarray:
+    """Which windows have one and the same byte throughout."""
+    change = np.concatenate([[0], np.cumsum(data[1:] != data[:-1])])
+    return change[window - 1 :] == change[: len(data) - window + 1]
+
+
+def _rolled(data: bytes, at: int, window: int, wanted: np.ndarray, bits: int) -> list[tuple[int, int, int, str]]:
+    """(first, last, weak, strong) of runs of offsets with equal windows that the filter lets through."""
+    weak = rolling_weak(data, window)
+    hit = np.arange(len(weak))
+    for probes in (slice(0, 1), slice(1, 7)):  # most offsets are looked up once
+        places = filter_places(weak[hit], bits)[:, probes] if probes.start else filter_places(weak, bits, 1)
+        hit = hit[((wanted[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1) == 1).all(axis=1)]
+    constant = _constant(np.frombuffer(data, dtype=np.uint8), window)[hit]
+    found: list[tuple[int, int, int, str]] = []
+    known: dict[int, str] = {}
+    for o, same in zip(hit.tolist(), constant.tolist()):
+        if same and found and found[-1][1] == at + o - 1 and known.get(data[o]) == found[-1][3]:
+            found[-1] = (found[-1][0], at + o, *found[-1][2:])
+            continue
+        strong = known.get(data[o]) if same else None
+        if strong is None:
+            strong = hashlib.sha256(data[o : o + window]).hexdigest()
+            if same:
+                known[data[o]] = strong
+        found.append((at + o, at + o, int(weak[o]), strong))
+    return found
+
+
+_HITS = "path string, first bigint, last bigint, weak bigint, strong string"
+
+
+def _hits(slices: DataFrame, window: int, read: Callable[[str, int, int], bytes] | None) -> DataFrame:
+    """Candidates in slices (path, at, bits, words, values and data, or length to ``read``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, bits, wanted = None, 0, np.zeros(0, dtype=np.uint64)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k] for c in batch.schema.names}
+                path, at = row["path"].as_py(), row["at"].as_py()
+                if path != last:
+                    last, bits = path, row["bits"].as_py()
+                    wanted = np.zeros(bits // 64 + 1, dtype=np.uint64)
+                    wanted[row["words"].values.to_numpy()] = row["values"].values.to_numpy().view(np.uint64)
+                data = read(path, at, row["length"].as_py()) if read else row["data"].as_py()
+                found = _rolled(data, at, window, wanted, bits) if len(data) >= window else []
+                columns = list(zip(*found)) or [()] * 4
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path] * len(found), pa.string()), *(pa.array(c, t) for c, t in zip(columns, types))],
+                    names=["path", "first", "last", "weak", "strong"],
+                )
+
+    return slices.mapInArrow(run, _HITS)
+
+
+def _confirmed(hits: DataFrame, base: DataFrame) -> DataFrame:
+    """Offsets whose strong hash is that of a base block, with the lowest such block. Runs of equal windows are one row until here."""
+    first = base.groupBy("path", "weak", "strong").agg(F.min("block_index").alias("source_index"))
+    found = hits.join(first, ["path", "weak", "strong"])
+    return found.select("path", F.explode(F.sequence("first", "last")).alias("offset"), "source_index")
 
-    A weak hit is only a candidate; it counts if the strong hash agrees too. The set of weak
-    checksums of a file is no larger than the file itself, which is held in one row.
-    """
+
+def shifted_matches(new: DataFrame, base_signatures: DataFrame, window: int, content: str = "content", span: int = 1 << 20) -> DataFrame:
+    """Offsets of the new content where a whole base block of the same file reappears: (path, offset, source_index).
+
+    Contents are cut into slices of ``span`` offsets that overlap by a window. A Bloom filter of the base's weak checksums tells which
+    offsets are candidates, the strong hash is computed for those only and decides."""
     base = base_signatures.where(F.col("size") == window)
-    weak = base.groupBy("path").agg(F.collect_set("weak").alias("_weak"))
-    rolled = rolling_signatures(new.join(weak, "path"), window, "path", content, "_weak")
-    first = base.groupBy("path", "weak", "strong").agg(F.min("block_index").alias("source_index"))
-    return rolled.join(first, ["path", "weak", "strong"]).select("path", "offset", "source_index")
+    raw = new.select("path", F.col(content).cast("binary").alias("_raw")).join(weak_filters(base), "path")
+    n = F.floor((F.length("_raw") - window) / F.lit(span)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(F.col("_raw"), i * span + 1, F.lit(span + window - 1)))
+    slices = raw.where(F.length("_raw") >= window).select("path", "bits", "words", "values", F.posexplode(cut).alias("_i", "data"))
+    return _confirmed(_hits(slices.withColumn("at", F.col("_i").cast("bigint") * span), window, None), base)
+
+
+def shifted_matches_in_files(files: DataFrame, root: str, base_signatures: DataFrame, window: int, span: int = 32 << 20, tasks: int | None = None) -> DataFrame:
+    """The same for files (path, size) below ``root``, of any length: slices, not files, are spread over the tasks, which read them."""
+    base = base_signatures.where(F.col("size") == window)
+    starts = F.sequence(F.lit(0).cast("bigint"), F.col("size") - window, F.lit(span).cast("bigint"))
+    slices = files.where(F.col("size") >= window).select("path", "size", F.explode(starts).alias("at"))
+    slices = slices.select("path", "at", F.least(F.lit(span + window - 1), F.col("size") - F.col("at")).alias("length"))
+    spread = slices.join(weak_filters(base), "path").repartition(tasks or files.sparkSession.sparkContext.defaultParallelism)
+    return _confirmed(_hits(spread, window, _ranged(root)), base)
+
+
+def _ranged(root: str) -> Callable[[str, int, int], bytes]:
+    def read(path: str, at: int, length: int) -> bytes:
+        place, base = open_store(root)
+        with place.open_input_file(f"{base}/{path}") as source:
+            return source.read_at(length, at)
+
+    return read
 
 
 def flag_zero(blocks: DataFrame) -> DataFrame:

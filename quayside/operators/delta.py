@@ -68,6 +68,25 @@ def delta_ops(matches: DataFrame, block: int, max_literal_blocks: int | None = N
     return copies.unionByName(inserts)
 
 
+def delta_ranges(ops: DataFrame, block: int, most: int = 64 << 20) -> DataFrame:
+    """Instructions as byte ranges: (path, op, source_offset, dest_offset, size), none longer than ``most``.
+
+    Copies that follow each other in both versions become one range. An ``insert`` is read from the new version, at the
+    offset where it goes. The rows carry no bytes: whoever writes them (sources.copying.write_ranges) reads both versions by range."""
+    copies = ops.where("op = 'copy'").withColumn("_shift", F.col("source_index") - F.col("first_block"))
+    together = runs(copies, ["path", "_shift"], "first_block", "size")
+    copied = together.select(
+        "path", F.lit("copy").alias("op"), ((F.col("first") + F.col("_shift")) * block).alias("source_offset"), (F.col("first") * block).alias("dest_offset"), "size"
+    )
+    inserted = ops.where("op = 'insert'").select("path", "op", F.col("dest_offset").alias("source_offset"), "dest_offset", "size")
+    cut = F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(most).cast("bigint"))
+    pieces = copied.unionByName(inserted).select("*", F.explode(cut).alias("_at"))
+    return pieces.select(
+        "path", "op", (F.col("source_offset") + F.col("_at")).alias("source_offset"), (F.col("dest_offset") + F.col("_at")).alias("dest_offset"),
+        F.least(F.lit(most).cast("bigint"), F.col("size") - F.col("_at")).alias("size"),
+    )
+
+
 def literal_blocks(new_blocks: DataFrame, matches: DataFrame) -> DataFrame:
     """The block rows (with data) that a delta has to carry."""
     missing = matches.where(F.col("source_index").isNull()).select("path", "block_index")
@@ -75,10 +94,10 @@ def literal_blocks(new_blocks: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def apply_delta(base_blocks: DataFrame, ops: DataFrame, literals: DataFrame, block: int) -> DataFrame:
-    """Target file as block rows (path, dest_offset, size, data, op).
+    """Target contents of a table as block rows (path, dest_offset, size, data, op).
 
-    ``literals`` are block rows (path, block_index, data). The result stays in blocks, so a
-    file of any length can be rebuilt; see :func:`assemble` for files that fit a row.
+    ``literals`` are block rows (path, block_index, data). The bytes of all blocks are joined here; files are rebuilt by
+    :func:`delta_ranges` instead, which moves none. See :func:`assemble` for contents that fit a row.
     """
     copies = ops.where("op = 'copy'").select("path", "source_index", "dest_offset", "size", "op")
     source = base_blocks.select("path", F.col("block_index").alias("source_index"), "data")

@@ -27,14 +27,14 @@ _RESULT = "path string, status string, bytes bigint, hash string, error string"
 _RESULT_NAMES = ["path", "status", "bytes", "hash", "error"]
 
 
-def balance_by_bytes(df: DataFrame, tasks: int, per_file: int = 64 * 1024) -> DataFrame:
+def balance_by_bytes(df: DataFrame, tasks: int, per_file: int = 64 * 1024, order: list[str] | None = None) -> DataFrame:
     """Rows spread over ``tasks`` partitions of about equal bytes.
 
-    Each file weighs its size plus a fixed cost; its place on the running total of weights,
-    cut into equal pieces, is its partition.
+    Each row weighs its size plus a fixed cost; its place on the running total of weights in ``order`` (the path
+    without it; it must tell rows apart), cut into equal pieces, is its partition.
     """
     weighed = df.withColumn("_w", F.col("size") + per_file)
-    placed = running(weighed, [], ["path"], {"_upto": "_w"}, totals={"_upto": "_all"})
+    placed = running(weighed, [], order or ["path"], {"_upto": "_w"}, totals={"_upto": "_all"})
     piece = F.least(F.floor((F.col("_upto") - F.col("_w")) / F.col("_all") * tasks), F.lit(tasks - 1))
     # partitionById: the piece number itself is the partition
     return placed.withColumn("_piece", piece.cast("int")).repartitionById(tasks, "_piece").drop(
@@ -182,6 +182,48 @@ def copy_chunks(chunks: DataFrame, source_root: str, dest_root: str, tasks: int
     return spread.mapInPandas(work, "path string, part bigint, file_size bigint, bytes bigint, error string")
 
 
+def write_ranges(ranges: DataFrame, files: DataFrame, base_root: str, new_root: str, dest_root: str, tasks: int | None = None) -> DataFrame:
+    """Rebuilds files below ``dest_root`` from ranges (path, op, source_offset, dest_offset, size) of
+    :func:`quayside.operators.delta.delta_ranges`: one result row per range.
+
+    A copy is read from the old version below ``base_root``, an insert from the new one below ``new_root``, and each is written at its
+    own offset of a file set to its length. files: (path, size) of the new version; those without ranges (empty ones) are made, too.
+    Ranges are spread by bytes, so many tasks write one large file."""
+    n = tasks or files.sparkSession.sparkContext.defaultParallelism
+    wanted = files.select("path", F.col("size").alias("file_size")).join(ranges, "path", "left").fillna({"source_offset": 0, "dest_offset": 0, "size": 0})
+    spread = balance_by_bytes(wanted, n, order=["path", "dest_offset"])
+
+    def one(path, file_size, op, source_offset, dest_offset, size) -> tuple[int, str | None]:
+        target = os.path.join(dest_root, path)
+        try:
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            handle = os.open(target, os.O_WRONLY | os.O_CREAT, 0o644)  # not truncated: other tasks write here, too
+            try:
+                if os.fstat(handle).st_size != file_size:
+                    os.ftruncate(handle, file_size)
+                done = 0
+                if size:
+                    with open(os.path.join(base_root if op == "copy" else new_root, path), "rb") as source:
+                        source.seek(source_offset)
+                        while done < size and (piece := source.read(min(BUFFER, size - done))):
+                            os.pwrite(handle, piece, dest_offset + done)
+                            done += len(piece)
+            finally:
+                os.close(handle)
+            return done, None if done == size else f"{size - done} bytes missing"
+        except OSError as e:
+            return 0, f"{type(e).__name__}: {e.strerror}"
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            columns = ["path", "file_size", "op", "source_offset", "dest_offset", "size"]
+            rows = [one(p, int(f), op, int(s), int(d), int(n)) for p, f, op, s, d, n in zip(*(pdf[c] for c in columns))]
+            yield pdf[columns].assign(bytes=[r[0] for r in rows], error=[r[1] for r in rows])
+
+    schema = "path string, file_size bigint, op string, source_offset bigint, dest_offset bigint, size bigint, bytes bigint, error string"
+    return spread.select("path", "file_size", "op", "source_offset", "dest_offset", "size").mapInPandas(work, schema)
+
+
 def chunk_completeness(results: DataFrame) -> DataFrame:
     """Per file: bytes written, ranges, and whether all of it arrived."""
     return results.groupBy("path").agg(
