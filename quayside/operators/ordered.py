@@ -116,20 +116,66 @@ Step = Callable[[Any, Columns], tuple[Any, Columns]]
 
 
 @dataclass(frozen=True)
-class Shortcut:
-    """What a whole segment does to any state, as a short table, for folds that jump.
+class Jumps:
+    """What some rows do to a state that is one integer: piece by piece, it becomes a constant or is shifted.
+
+    Piece i is for states up to ``ends[i]`` (included) and beyond the piece before; the last one has no end (``TOP``)."""
+
+    ends: np.ndarray
+    shifts: np.ndarray
+    amounts: np.ndarray
+
+    @staticmethod
+    def of(ends: list[int] | np.ndarray, shifts: list[bool] | np.ndarray, amounts: list[int] | np.ndarray) -> Jumps:
+        """Pieces in order; empty ones and those like their neighbour are left out."""
+        ends, shifts, amounts = np.asarray(ends, dtype=np.int64), np.asarray(shifts, dtype=bool), np.asarray(amounts, dtype=np.int64)
+        full = np.concatenate([[True], ends[1:] > ends[:-1]])
+        ends, shifts, amounts = ends[full], shifts[full], amounts[full]
+        last = np.append((shifts[1:] != shifts[:-1]) | (amounts[1:] != amounts[:-1]), True)
+        return Jumps(ends[last], shifts[last], amounts[last])
+
+    @staticmethod
+    def constant(state: int) -> Jumps:
+        return Jumps.of([TOP], [False], [state])
+
+    def apply(self, state: int) -> int:
+        at = int(np.searchsorted(self.ends, state, side="left"))
+        return int(self.amounts[at]) + (state if self.shifts[at] else 0)
+
+    def then(self, other: Jumps) -> Jumps:
+        """Both, one after the other."""
+        ends, shifts, amounts, low = [], [], [], BOTTOM
+        for end, shift, amount in zip(self.ends.tolist(), self.shifts.tolist(), self.amounts.tolist()):
+            if not shift:
+                ends.append(end)
+                shifts.append(False)
+                amounts.append(other.apply(amount))
+            else:
+                first = int(np.searchsorted(other.ends, low + amount, side="right" if low > BOTTOM else "left"))
+                last = int(np.searchsorted(other.ends, end + amount, side="left")) if end < TOP else len(other.ends) - 1
+                own = other.ends[first : last + 1]
+                ends += [min(e - amount, end) if e < TOP else end for e in own.tolist()]
+                shifts += other.shifts[first : last + 1].tolist()
+                amounts += [x + amount if s else x for x, s in zip(other.amounts[first : last + 1].tolist(), other.shifts[first : last + 1].tolist())]
+            low = end
+        return Jumps.of(ends, shifts, amounts)
 
-    ``table`` gets all rows of the segment (``columns`` only) and returns JSON data, or None
-    where it would grow too long; ``follow(table, state)`` is the state after the segment.
-    """
 
-    columns: list[str]
-    table: Callable[[Columns], Any]
-    follow: Callable[[Any, Any], Any]
+#: No state is greater or less.
+TOP, BOTTOM = 2**62, -(2**62)
 
 
-#: Longest table of a :class:`Shortcut`; one per segment reaches the driver.
-MAX_TABLE = 20_000
+@dataclass(frozen=True)
+class Shortcut:
+    """How a fold whose state is one integer jumps over rows, so that segments can be put together before any is replayed.
+
+    ``jumps`` tells what the rows of a segment (``columns`` only) do to any state; ``enter`` and ``leave`` turn the integer
+    into the fold's state and back."""
+
+    columns: list[str]
+    jumps: Callable[[Columns], Jumps]
+    enter: Callable[[int], Any] = int
+    leave: Callable[[Any], int] = int
 
 
 def last_jump(following: np.ndarray) -> np.ndarray:
@@ -188,15 +234,23 @@ def fold(
     to have begun with another state, it is worked out again, until nothing changes. Only
     rows of keys that cross a border take part in this. Folds that forget their past (moving
     averages, buckets) settle after a round or two; any other fold is still exact, it just
-    takes more rounds. A ``shortcut`` spares the rounds: it tells for every segment where any
-    state leads. States are small, and one per segment is held by the driver. All columns of
-    ``df`` go through Arrow, so select the needed ones first.
+    takes more rounds; their small states, one per segment, are held by the driver. With a ``shortcut``
+    there are no rounds and no states on the driver: what segments do to a state is put together in pairs, pairs of
+    pairs and so on, and the states are handed down again, in logarithmically many passes over rows that
+    are few. All columns of ``df`` go through Arrow, so select the needed ones first.
     """
     seg = segment(df, keys, order, segments)
     fields = [f for f in seg.schema.fields if keep_segments or f.name != SEG]
     cols = [f.name for f in fields]
     key_cols = list(keys)
-    incoming = _border_states(seg, key_cols, cols, step, shortcut)
+    incoming: dict[int, Any] = {} if shortcut else _border_states(seg, key_cols, cols, step)
+    rows = _with_composed_states(seg, key_cols, cols, step, shortcut) if shortcut else seg
+
+    def begin(pdf: pd.DataFrame) -> Any:
+        if not shortcut:
+            return incoming.get(int(pdf[SEG].iloc[0]))
+        known = pdf[_STATE].iloc[0]
+        return None if pd.isna(known) else shortcut.enter(int(known))
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: Any = None
@@ -209,7 +263,7 @@ def fold(
             for start, end in _key_runs(pdf, key_cols):
                 key = tuple(arrays[k][start] for k in key_cols)
                 if previous is None:
-                    state = incoming.get(int(pdf[SEG].iloc[0]))
+                    state = begin(pdf)
                 elif not _same_key(key, previous):
                     state = None
                 previous = key
@@ -220,13 +274,81 @@ def fold(
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     schema += "".join(f", `{n}` {t}" for n, t in outputs.items())
-    return seg.mapInPandas(replay, schema)
+    return rows.mapInPandas(replay, schema)
+
+
+_STATE = "_state"
+_JUMPS = "no bigint, ends array<bigint>, shifts array<boolean>, amounts array<bigint>"
+
 
+def _jumps_row(no: int, jumps: Jumps) -> pd.DataFrame:
+    return pd.DataFrame({"no": [no], "ends": [jumps.ends], "shifts": [jumps.shifts], "amounts": [jumps.amounts]})
 
-def _border_states(
-    seg: DataFrame, keys: list[str], cols: list[str], step: Step, shortcut: Shortcut | None
-) -> dict[int, Any]:
-    """State with which every segment that begins in the middle of a key begins."""
+
+def _with_composed_states(seg: DataFrame, keys: list[str], cols: list[str], step: Step, shortcut: Shortcut) -> DataFrame:
+    """``seg`` with the state (or null) in which each segment begins, in ``_state``."""
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    edges = seg.groupBy(SEG).agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    line = Window.orderBy(SEG)  # one row per segment
+    numbered = persist_shared(
+        edges.select(
+            SEG, "_last", (F.row_number().over(line) - 1).cast("bigint").alias("_no"),
+            F.coalesce(F.lag("_last").over(line).eqNullSafe(F.col("_first")) & (F.row_number().over(line) > 1), F.lit(False)).alias("_goes_on"),
+            F.col("_first").eqNullSafe(F.col("_last")).alias("_whole"),
+        )
+    )
+    ending = seg.join(F.broadcast(numbered), SEG).where(key.eqNullSafe(F.col("_last")))
+
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """What a segment does to the state it begins with: nothing depends on that if its last key begins in it."""
+        state, no, through = None, None, False
+        kept: dict[str, list[np.ndarray]] = {c: [] for c in shortcut.columns}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            no, through = int(pdf["_no"].iloc[0]), bool(pdf["_goes_on"].iloc[0] and pdf["_whole"].iloc[0])
+            if through:
+                for c in kept:
+                    kept[c].append(pdf[c].to_numpy())
+            else:
+                state, _ = step(state, {c: pdf[c].to_numpy() for c in cols})
+        if through:
+            yield _jumps_row(no, shortcut.jumps({c: np.concatenate(v) for c, v in kept.items()}))
+        elif no is not None:
+            yield _jumps_row(no, Jumps.constant(shortcut.leave(state)))
+
+    def read(row: pd.Series) -> Jumps:
+        return Jumps(np.asarray(row["ends"]), np.asarray(row["shifts"]), np.asarray(row["amounts"]))
+
+    def pair(key: tuple, two: pd.DataFrame) -> pd.DataFrame:
+        rows = [read(r) for _, r in two.sort_values("no").iterrows()]
+        return _jumps_row(int(key[0]), rows[0].then(rows[1]) if len(rows) == 2 else rows[0])
+
+    # upwards: blocks of 1, 2, 4, ... segments
+    levels, blocks = [persist_shared(ending.mapInPandas(one, _JUMPS))], numbered.count()
+    while (blocks := (blocks + 1) // 2) > 1:
+        levels.append(persist_shared(levels[-1].groupBy(F.floor(F.col("no") / 2).alias("no")).applyInPandas(pair, _JUMPS)))
+
+    def hand_down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out: list[tuple[int, int]] = []
+            for _, row in pdf.iterrows():
+                out.append((2 * int(row["block"]), int(row["state"])))
+                if row["ends"] is not None:
+                    out.append((2 * int(row["block"]) + 1, read(row).apply(int(row["state"]))))
+            yield pd.DataFrame(out, columns=["block", "state"], dtype="int64")
+
+    # downwards: a block's first half begins as the block does, its second half as the first one ends
+    states = seg.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("state"))
+    for level in reversed(levels):
+        halves = level.where("no % 2 = 0").select((F.col("no") / 2).cast("bigint").alias("block"), "ends", "shifts", "amounts")
+        states = states.join(halves, "block", "left").mapInPandas(hand_down, "block bigint, state bigint")
+    begins = numbered.join(states, F.col("_no") == F.col("block")).select(SEG, F.when(F.col("_goes_on"), F.col("state")).alias(_STATE))
+    return seg.join(F.broadcast(persist_shared(begins)), SEG).select(*seg.columns, _STATE)
+
+
+def _border_states(seg: DataFrame, keys: list[str], cols: list[str], step: Step) -> dict[int, Any]:
+    """State with which every segment that begins in the middle of a key begins, by rounds."""
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
     edges = seg.groupBy(SEG).agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
     known = sorted((r[SEG], r["_first"], r["_last"]) for r in edges.collect())  # one row per segment
@@ -236,10 +358,9 @@ def _border_states(
     whole = {s for s, first, last in known if first == last}
     ending = seg.join(F.broadcast(edges), SEG).where(key.eqNullSafe(F.col("_last"))).select(*seg.columns)
 
-    def ends(incoming: dict[int, Any], only: list[int], tables: bool) -> dict[int, tuple[Any, Any]]:
+    def ends(incoming: dict[int, Any], only: list[int]) -> dict[int, Any]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            state, number, table = None, None, None
-            kept: dict[str, list[np.ndarray]] = {c: [] for c in shortcut.columns} if tables else {}
+            state, number = None, None
             for pdf in batches:
                 if not len(pdf):
                     continue
@@ -247,36 +368,25 @@ def _border_states(
                     number = int(pdf[SEG].iloc[0])
                     state = incoming.get(number) if number in whole else None
                 state, _ = step(state, {c: pdf[c].to_numpy() for c in cols})
-                for c in kept:
-                    kept[c].append(pdf[c].to_numpy())
-            if number is None:
-                return
-            if tables and number in whole:
-                table = shortcut.table({c: np.concatenate(v) for c, v in kept.items()})
-            yield pd.DataFrame({"seg": [number], "state": [json.dumps(state)], "table": [json.dumps(table)]})
+            if number is not None:
+                yield pd.DataFrame({"seg": [number], "state": [json.dumps(state)]})
 
         # the segments stay in their partitions: a broadcast join moves no row of theirs
-        rows = ending.where(F.col(SEG).isin(only)).mapInPandas(run, "seg int, state string, table string")
-        return {r.seg: (json.loads(r.state), json.loads(r.table)) for r in rows.collect()}
+        rows = ending.where(F.col(SEG).isin(only)).mapInPandas(run, "seg int, state string")
+        return {r.seg: json.loads(r.state) for r in rows.collect()}
 
     leading = {a for a, _ in borders}
     incoming: dict[int, Any] = {}
-    found = ends(incoming, sorted(leading), shortcut is not None)
-    states = {s: state for s, (state, _) in found.items()}
-    tables = {s: table for s, (_, table) in found.items() if table is not None}
+    states = ends(incoming, sorted(leading))
     while True:
         again = []
         for before, here in borders:
-            if before in incoming and before in tables:
-                state = shortcut.follow(tables[before], incoming[before])
-            else:
-                state = states[before]
-            if here in incoming and _same(incoming[here], state):
+            if here in incoming and _same(incoming[here], states[before]):
                 continue
-            incoming[here] = state
+            incoming[here] = states[before]
             # a segment of one key passes what it was given on to the next border
-            if here in whole and here in leading and here not in tables:
+            if here in whole and here in leading:
                 again.append(here)
         if not again:
             return incoming
-        states.update({s: state for s, (state, _) in ends(incoming, again, False).items()})
+        states.update(ends(incoming, again))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions import paths
 from quayside.functions.sizes import MIB
-from quayside.operators.ordered import MAX_TABLE, Shortcut, fold, last_jump, run_ends, running
+from quayside.operators.ordered import TOP, Jumps, Shortcut, fold, last_jump, run_ends, running
 from quayside.session import persist_shared
 
 
@@ -64,7 +62,8 @@ def assign_batches(
 
     A batch is closed when the next file would push it over ``limit``. The rule runs over the
     whole estate (or each ``shard``) in order; :func:`fold` runs it on all segments at once,
-    jumping from one batch border to the next by searching the running byte total.
+    jumping from one batch border to the next by searching the running byte total. What a segment does to a batch that is open
+    when it begins depends on the bytes in that batch alone, and is put together over segments in pairs.
     """
     shard = shard or []
 
@@ -84,7 +83,7 @@ def assign_batches(
             at = end
         return (used, filled), {"_opens": opens}
 
-    def table(rows):
+    def jumps(rows):
         # a batch opened at row p ends at row end[p]; the last one of each chain stays open
         before = np.concatenate([[0], np.cumsum(rows["size"].astype(np.int64))])
         n = len(before) - 1
@@ -93,18 +92,13 @@ def assign_batches(
         left = before[n] - before[last]
         # the batch that was open before can end no later than an empty one would
         reach = min(n - 1, int(np.searchsorted(before, limit, side="right")) - 1)
-        groups = run_ends(left[: reach + 1])
-        if len(groups) > MAX_TABLE:
-            return None
-        return [before[groups + 1].tolist(), left[groups].tolist(), int(before[n])]
-
-    def follow(jumps, state):
-        bounds, left, total = jumps
-        at = bisect.bisect_right(bounds, limit - state[0])
-        return (left[at] if at < len(bounds) else state[0] + total, True)
+        groups = run_ends(left[: reach + 1])[::-1]
+        # filled up to ``limit - before[p + 1]`` or less, it takes row p; the less it holds the later it ends
+        upto = limit - before[groups + 1]
+        return Jumps.of([*upto.tolist(), TOP], [True, *[False] * len(groups)], [int(before[n]), *left[groups].tolist()])
 
     small = df.where(F.col("size") < threshold)
-    shortcut = Shortcut(["size"], table, follow)
+    shortcut = Shortcut(["size"], jumps, lambda used: (used, True), lambda state: state[0])
     opened = fold(small, shard, order, step, {"_opens": "bigint"}, segments, True, shortcut)
     numbered = running(persist_shared(opened), shard, order, {"_n": "_opens"}, segmented=True)
     batched = numbered.select(*df.columns, (F.col("_n") - 1).alias("batch"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quayside.operators.islands import runs
-from quayside.operators.ordered import running, with_position
+from quayside.operators.ordered import TOP, Jumps, running, with_position
 from quayside.operators.transfers import adaptive_sizes, next_size, throttle_reports
 from quayside.plans.bandwidth import token_bucket
 from quayside.plans.transfer import assign_batches
@@ -81,25 +83,20 @@ def test_null_key_is_one_key(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("longest", [20_000, 0])
-def test_one_key_over_all_segments(spark, monkeypatch, longest):
-    """With tables, and with rounds where the tables would be too long."""
-    from quayside.operators import transfers
-    from quayside.plans import transfer
-
-    monkeypatch.setattr(transfers, "MAX_TABLE", longest)
-    monkeypatch.setattr(transfer, "MAX_TABLE", longest)
+@pytest.mark.parametrize("segments", [1, 7, 64])
+def test_one_key_over_all_segments(spark, segments):
+    """What segments do is put together over any number of them."""
     rng = random.Random(11)
     rows = [(i, i * 90 + rng.randrange(3), rng.randrange(120)) for i in range(400)]
     df = spark.createDataFrame(rows, "event_id long, ms long, size long")
-    got = [r.reported for r in throttle_reports(df, [], "ms", "event_id", 1000, SEGMENTS).orderBy("event_id").collect()]
+    got = [r.reported for r in throttle_reports(df, [], "ms", "event_id", 1000, segments).orderBy("event_id").collect()]
     last, want = rows[0][1], []
     for _, ms, _ in rows:
         want.append(ms - last >= 1000)
         last = ms if want[-1] else last
     assert got == want
     files = df.selectExpr("lpad(event_id, 4, '0') AS path", "size")
-    got = [r.batch for r in assign_batches(files, ["path"], 700, 1000, segments=SEGMENTS).orderBy("path").collect()]
+    got = [r.batch for r in assign_batches(files, ["path"], 700, 1000, segments=segments).orderBy("path").collect()]
     batch, used, want = 0, 0, []
     for i, (_, _, size) in enumerate(rows):
         if used + size > 700 and i and want:
@@ -109,6 +106,41 @@ def test_one_key_over_all_segments(spark, monkeypatch, longest):
     assert got == want
 
 
+@given(st.lists(st.lists(st.integers(0, 60), min_size=1, max_size=12), min_size=1, max_size=6), st.integers(0, 90))
+@settings(max_examples=200, deadline=None)
+def test_jumps_put_together(parts, start):
+    """Next-fit over several lists of sizes, from any open batch: one list after the other, and all at once."""
+    limit = 50
+
+    def plain(used: int, sizes: list[int]) -> int:
+        for size in sizes:
+            used = used + size if used + size <= limit else size
+        return used
+
+    def jumps(sizes: list[int]) -> Jumps:
+        states = range(-1, 400)
+        out = [plain(x, sizes) for x in states]
+        return Jumps.of([*list(states)[:-1], TOP], [False] * len(out), out)
+
+    def shifted(sizes: list[int]) -> Jumps:
+        """The same with a shift where no batch ends."""
+        whole = limit - sum(sizes)
+        states = range(whole + 1, 400) if whole < 399 else [399]
+        return Jumps.of([whole, *list(states)[:-1], TOP], [True, *[False] * len(states)], [sum(sizes), *(plain(x, sizes) for x in states)])
+
+    want = start
+    every = Jumps.of([TOP], [True], [0])
+    for sizes in parts:
+        assert jumps(sizes).apply(start) == shifted(sizes).apply(start) == plain(start, sizes)
+        want = plain(want, sizes)
+        every = every.then(shifted(sizes))
+    assert every.apply(start) == want
+    right = shifted(parts[-1])
+    for sizes in parts[-2::-1]:  # grouping does not matter
+        right = shifted(sizes).then(right)
+    assert [right.apply(x) for x in range(100)] == [every.apply(x) for x in range(100)]
+
+
 def test_adaptive(log):
     rows, df = log
     got = {r.event_id: (r.ema_throughput, r.batch_files) for r in adaptive_sizes(df, ["key"], ["event_id"], segments=SEGMENTS).collect()}
