@@ -16,7 +16,7 @@ from quayside.operators.inventory import manifest_head, scan_totals
 from quayside.operators.manifest import manifest_from_scan
 from quayside.plans import sync, transfer
 from quayside.session import persist_shared
-from quayside.sources import archives, copying, manifests, scan
+from quayside.sources import archives, copying, footers, manifests, scan
 from quayside.sources.manifest_log import ManifestLog
 from quayside.streaming import live
 from quayside.streaming.live import new_folder
@@ -73,21 +73,29 @@ def _dry_run(t: Tables):
 
 def _copy_chunks(t: Tables):
     root = tree(t)
-    chunks = transfer.chunk_plan(_sizes(t).where("size > 0"), chunk=4096, minimum=8192)
+    chunks = transfer.chunk_plan(_sizes(t), chunk=4096, minimum=8192)
     results = persist_shared(copying.copy_chunks(chunks, root, root + "-chunks"))
     whole = copying.chunk_completeness(results)
-    hashes = copying.hash_files(_sizes(t).where("size > 0"), root + "-chunks", "sha256").select("path", "hash")
+    hashes = copying.hash_files(_sizes(t), root + "-chunks", "sha256").select("path", "hash")
     return whole.join(hashes, "path").select("path", "bytes", "chunks", "complete", "hash")
 
 
-def _archives(t: Tables):
+def _archives(t: Tables, fmt: str):
     root = tree(t)
     batches = transfer.assign_batches(_sizes(t), ["path"], limit=256 * 1024)
-    persist_shared(archives.write_archives(batches, root, root + "-archives", "tar-gz"))
+    persist_shared(archives.write_archives(batches, root, root + "-archives", fmt))
     members = archives.read_archives(t.spark, root + "-archives")
     return members.select("path", "size", F.sha2("content", 256).alias("sha256"))
 
 
+def _one_archive(t: Tables):
+    """All files in one plain archive, which many tasks read by its index."""
+    root = tree(t)
+    persist_shared(archives.write_archives(_sizes(t).withColumn("batch", F.lit(0)), root, root + "-archive", "tar"))
+    index = persist_shared(archives.archive_members(t.spark, root + "-archive"))
+    return archives.read_members(index).select("archive", "path", "size", F.sha2("content", 256).alias("sha256"))
+
+
 def _manifest(t: Tables) -> str:
     folder = new_folder(t.spark, "manifest")
     inventory = t.src_inventory().select(
@@ -168,6 +176,21 @@ def _states(t: Tables):
     )
 
 
+def _latest_states(t: Tables):
+    """Two checkpoints of every transfer, the second of a third of the files and appended twice, as after a retry."""
+    folder = new_folder(t.spark, "state-log")
+    first = t.src_inventory().select(
+        (F.col("file_id") % 50).alias("transfer_id"), "path", "size", F.floor(F.col("size") / 2).cast("bigint").alias("bytes_written"),
+        F.lit(1).cast("bigint").alias("last_checkpoint"), F.lit("InProgress").alias("file_status"), "file_id",
+    )
+    second = first.where(F.col("file_id") % 3 == 0).withColumns(
+        {"bytes_written": F.col("size"), "last_checkpoint": F.lit(2).cast("bigint"), "file_status": F.lit("Completed")}
+    )
+    for rows in (first, second, second):
+        manifests.append_states(rows.drop("file_id"), folder)
+    return manifests.latest_states(manifests.read_stored_states(t.spark, folder))
+
+
 def _stream_inventory(t: Tables):
     root = tree(t, path=HIDDEN)
     batches = live.run_now(live.stream_inventory(t.spark, root), name="inventory")
@@ -234,12 +257,16 @@ FROM (SELECT path, h, unnest(range((length(h) + 8191) // 8192)) AS i FROM (SELEC
         _copy_chunks,
         oracle(
             """SELECT path, strlen(text) AS bytes, CASE WHEN strlen(text) >= 8192 THEN (strlen(text) + 4095) // 4096 ELSE 1 END AS chunks,
-  true AS complete, sha256(text) AS hash FROM content WHERE strlen(text) > 0""",
+  true AS complete, sha256(text) AS hash FROM content""",
             "content",
         ),
     ),
+    "archive_members": (
+        _one_archive,
+        oracle("SELECT 'batch-00000000-0000.tar' AS archive, path, strlen(text) AS size, sha256(text) AS sha256 FROM content", "content"),
+    ),
     "archive_round_trip": (
-        _archives,
+        lambda t: _archives(t, "tar-gz"),
         oracle("SELECT path, strlen(text) AS size, sha256(text) AS sha256 FROM content", "content"),
     ),
     "manifest_round_trip": (
@@ -254,6 +281,16 @@ FROM (SELECT path, h, unnest(range((length(h) + 8191) // 8192)) AS i FROM (SELEC
         lambda t: manifests.manifest_count(t.spark, _manifest(t)),
         oracle("SELECT count(*) AS entries FROM src_inventory", "src_inventory"),
     ),
+    "manifest_footers": (
+        lambda t: footers.footer_totals(footers.manifest_footers(t.spark, _manifest(t))).select("entries", "first", "last"),
+        oracle("SELECT count(*) AS entries, min(path) AS first, max(path) AS last FROM src_inventory", "src_inventory"),
+    ),
+    "manifest_range": (
+        lambda t: footers.entries_between(t.spark, _manifest(t), "p2/", "p3/O").select("path", "size", "permissions", "file_type"),
+        oracle(
+            """SELECT path, size, file_id % 4096 AS permissions, 'file' AS file_type FROM src_inventory WHERE path BETWEEN 'p2/' AND 'p3/O'""", "src_inventory"
+        ),
+    ),
     "manifest_head": (
         lambda t: manifest_head(manifests.read_manifest(t.spark, _manifest(t)), 20).select("path", "size"),
         oracle("SELECT path, size FROM src_inventory ORDER BY path LIMIT 20", "src_inventory"),
@@ -293,5 +330,14 @@ FROM (SELECT path, h, unnest(range((length(h) + 8191) // 8192)) AS i FROM (SELEC
             "copy_results",
         ),
     ),
+    "latest_transfer_states": (
+        _latest_states,
+        oracle(
+            """SELECT file_id % 50 AS transfer_id, path, size, CASE WHEN file_id % 3 = 0 THEN size ELSE size // 2 END AS bytes_written,
+  CAST(CASE WHEN file_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS last_checkpoint,
+  CASE WHEN file_id % 3 = 0 THEN 'Completed' ELSE 'InProgress' END AS file_status FROM src_inventory""",
+            "src_inventory",
+        ),
+    ),
     "stream_inventory": (_stream_inventory, oracle(SIZES, "content")),
 }

@@ -1,23 +1,37 @@
-"""Archives of small files: one per batch, and back to rows or files."""
+"""Archives of small files: one per batch, with an index of members beside it, and back to rows.
+
+Members of plain archives are read by range, wherever in the archive they are, so one large archive is shared by many tasks.
+Compressed ones have to be read from the front, each by one task and one member after the other.
+"""
 
 from __future__ import annotations
 
-import io
+import json
 import os
 import tarfile
 import uuid
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.operators.ordered import with_position
-from quayside.sources.scan import scan_content
+from quayside.session import persist_shared
+from quayside.sources.copying import balance_by_bytes
+from quayside.sources.objects import list_objects
+from quayside.sources.stores import open_store
 
 # Archive suffix per format.
 SUFFIX = {"tar": ".tar", "tar-gz": ".tar.gz", "tar-zstd": ".tar.zst"}
 _MODE = {"tar": "w", "tar-gz": "w:gz", "tar-zstd": "w"}
+#: Name of the index beside an archive: a line with the archive's size, then (path, offset, size) of each member.
+INDEX = ".index"
+MEMBERS = "root string, archive string, path string, offset bigint, size bigint"
+
 
 def write_archives(
     batches: DataFrame, source_root: str, out_dir: str, fmt: str = "tar", max_members: int | None = None
@@ -26,7 +40,7 @@ def write_archives(
 
     Returns (archive, files, missing, bytes) rows. Only names are shuffled; each task reads
     the files of its archives itself. Missing files are left out and counted. A batch is one archive; with ``max_members``
-    it is cut into several of at most that many files.
+    it is cut into several of at most that many files. Plain archives get their index beside them.
     """
     if fmt not in SUFFIX:
         raise ValueError(f"unknown archive format {fmt!r}")
@@ -38,6 +52,7 @@ def write_archives(
         os.makedirs(out_dir, exist_ok=True)
         target = os.path.join(out_dir, name)
         beside = f"{target}.part-{uuid.uuid4().hex}"
+        members: list[tuple[str, int, int]] = []
         files = missing = total = 0
         with open(beside, "wb") as raw:
             sink = raw
@@ -48,13 +63,26 @@ def write_archives(
             with tarfile.open(fileobj=sink, mode=_MODE[fmt]) as tar:
                 for path in sorted(pdf["path"]):
                     full = os.path.join(source_root, path)
-                    if os.path.exists(full):
-                        tar.add(full, arcname=path, recursive=False)
-                        files, total = files + 1, total + os.path.getsize(full)
-                    else:
+                    if not os.path.exists(full):
                         missing += 1
+                        continue
+                    info = tar.gettarinfo(full, arcname=path)
+                    if info.islnk():  # a second name of a file packed before: packed again, so that each member stands alone
+                        info.type, info.linkname, info.size = tarfile.REGTYPE, "", os.path.getsize(full)
+                    begin = tar.offset + len(info.tobuf(tar.format, tar.encoding, tar.errors))
+                    if info.isreg():
+                        with open(full, "rb") as body:
+                            tar.addfile(info, body)
+                        members.append((path, begin, info.size))
+                    else:
+                        tar.addfile(info)
+                    files, total = files + 1, total + os.path.getsize(full)
             if sink is not raw:
                 sink.close()
+        if fmt == "tar":
+            with open(beside + INDEX, "w") as out:
+                out.writelines(json.dumps(line) + "\n" for line in ([os.path.getsize(beside)], *members))
+            os.replace(beside + INDEX, target + INDEX)
         os.replace(beside, target)
         return pd.DataFrame({"archive": [name], "files": [files], "missing": [missing], "bytes": [total]})
 
@@ -63,29 +91,90 @@ def write_archives(
     )
 
 
-def _open(data: bytes, name: str) -> tarfile.TarFile:
-    if name.endswith(".zst"):
-        import zstandard
+def _indexed(place: fs.FileSystem, full: str, size: int) -> list[tuple[str, int, int]] | None:
+    """Members by the index beside an archive; None if there is none, or it is of another archive."""
+    if place.get_file_info(full + INDEX).type != fs.FileType.File:
+        return None
+    with place.open_input_stream(full + INDEX) as source:
+        lines = [json.loads(line) for line in source.read().decode().splitlines()]
+    return [tuple(line) for line in lines[1:]] if lines and lines[0] == [size] else None
+
+
+def _by_headers(place: fs.FileSystem, full: str) -> list[tuple[str, int, int]]:
+    """Members by the headers of a plain archive; their bytes are skipped, not read."""
+    with place.open_input_file(full) as source, tarfile.open(fileobj=source, mode="r:") as tar:
+        return [(m.name, m.offset_data, m.size) for m in tar if m.isfile()]
+
+
+def archive_members(spark: SparkSession, directory: str) -> DataFrame:
+    """(root, archive, path, offset, size): members of all plain archives below a folder, from their indexes or their headers."""
+    listed = list_objects(spark, directory).where(F.col("path").endswith(".tar")).select("root", "path", "size")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for root, archive, size in zip(*(batch.column(c).to_pylist() for c in ("root", "path", "size"))):
+                place, base = open_store(root)
+                found = _indexed(place, f"{base}/{archive}", size)
+                found = _by_headers(place, f"{base}/{archive}") if found is None else found
+                columns = list(zip(*found)) or [()] * 3
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([root] * len(found), pa.string()), pa.array([archive] * len(found), pa.string()), pa.array(columns[0], pa.string()),
+                     pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())],
+                    names=["root", "archive", "path", "offset", "size"],
+                )
+
+    return listed.repartition(spark.sparkContext.defaultParallelism).mapInArrow(read, MEMBERS)
+
+
+def read_members(members: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(archive, path, size, content) of indexed members, spread by bytes; each is read by its range of the archive."""
+    n = tasks or members.sparkSession.sparkContext.defaultParallelism
+    spread = balance_by_bytes(members, n, per_file=4096, order=["root", "archive", "offset", "path"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: tuple[str, str] | None = None
+        source: Any = None
+        try:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if opened != (row["root"], row["archive"]):
+                        if source:
+                            source.close()
+                        place, base = open_store(row["root"])
+                        opened, source = (row["root"], row["archive"]), place.open_input_file(f"{base}/{row['archive']}")
+                    data = source.read_at(row["size"], row["offset"]) if row["size"] else b""
+                    yield _member(row["archive"], row["path"], data)
+        finally:
+            if source:
+                source.close()
+
+    return spread.mapInArrow(read, "archive string, path string, size bigint, content binary")
+
 
-        return tarfile.open(fileobj=zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)), mode="r|")
-    return tarfile.open(fileobj=io.BytesIO(data), mode="r|*")
+def _member(archive: str, path: str, data: bytes) -> pa.RecordBatch:
+    columns = [pa.array([archive]), pa.array([path]), pa.array([len(data)], pa.int64()), pa.array([data], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["archive", "path", "size", "content"])
 
 
 def read_archives(spark: SparkSession, directory: str) -> DataFrame:
-    """Members of all archives in a folder: archive, path, size, content. Members are
-    streamed one after the other."""
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for full, data in zip(pdf["path"], pdf["content"]):
-                name = os.path.basename(full)
-                with _open(data, name) as tar:
-                    for member in tar:
-                        if member.isfile():
-                            body = tar.extractfile(member).read()
-                            yield pd.DataFrame(
-                                {"archive": [name], "path": [member.name], "size": [len(body)], "content": [body]}
-                            )
-
-    listed = scan_content(spark, [directory]).where(F.col("path").rlike(r"\.tar(\.gz|\.zst)?\z")).select("path", "content")
-    return listed.mapInPandas(unpack, "archive string, path string, size bigint, content binary")
+    """Members of all archives in a folder: archive, path, size, content. Links are no members."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for root, archive in zip(batch.column("root").to_pylist(), batch.column("path").to_pylist()):
+                place, base = open_store(root)
+                with place.open_input_stream(f"{base}/{archive}", compression=None) as source:
+                    reader = source
+                    if archive.endswith(".zst"):
+                        import zstandard
+
+                        reader = zstandard.ZstdDecompressor().stream_reader(source)
+                    with tarfile.open(fileobj=reader, mode="r|" if archive.endswith(".zst") else "r|*") as tar:
+                        for member in tar:
+                            if member.isfile():
+                                yield _member(archive, member.name, tar.extractfile(member).read())
+
+    plain = read_members(persist_shared(archive_members(spark, directory)))
+    packed = list_objects(spark, directory).where(F.col("path").rlike(r"\.tar\.(gz|zst)\z")).select("root", "path")
+    streamed = packed.repartition(spark.sparkContext.defaultParallelism).mapInArrow(stream, "archive string, path string, size bigint, content binary")
+    return plain.unionByName(streamed)

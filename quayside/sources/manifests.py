@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside import schemas
 from quayside.functions.security import decode_mode
+from quayside.sources.footers import footer_totals, manifest_footers
+from quayside.sources.stores import KNOWN, scheme_of
 
 #: Rows per row group of the Parquet manifest's files.
 ROWS_PER_FILE = 500_000
@@ -70,9 +72,11 @@ def parquet_entries(inventory: DataFrame) -> DataFrame:
 
 
 def manifest_count(spark: SparkSession, path: str) -> DataFrame:
-    """Number of entries. The scan reads no column; with the v2 Parquet source and
-    ``spark.sql.parquet.aggregatePushdown`` (see get_spark) footers alone answer it."""
-    return spark.read.parquet(path).agg(F.count("*").alias("entries"))
+    """Number of entries, from the footers alone: no data page is read. Where tasks cannot open the store, Spark counts; its
+    scan reads no column either."""
+    if scheme_of(path) not in KNOWN:
+        return spark.read.parquet(path).agg(F.count("*").alias("entries"))
+    return footer_totals(manifest_footers(spark, path)).select("entries")
 
 
 def read_manifest_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -199,11 +203,26 @@ def read_states(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def append_states(states: DataFrame, path: str) -> None:
-    states.write.mode("append").parquet(path)
+def append_states(states: DataFrame, path: str, batch: str | None = None) -> str:
+    """Adds state rows (transfer_id, path, last_checkpoint, ...) to a table of them, as batch ``batch``; tells its name.
+
+    Every batch is a folder, which writing it again replaces, so a repeated append changes nothing. Without a name the rows
+    name their batch by a hash of all of them."""
+    if batch is None:
+        row = F.xxhash64(*states.columns)
+        known = states.agg(F.bit_xor(row).alias("x"), F.sum(F.pmod(row, F.lit(2**31))).alias("s"), F.count("*").alias("n")).first()
+        batch = f"{(known['x'] or 0) & (2**64 - 1):016x}-{known['s'] or 0:x}-{known['n']}"
+    placed = states.withColumn("batch", F.lit(batch)).sortWithinPartitions("transfer_id", "path")
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+    return batch
+
+
+def read_stored_states(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("batch")
 
 
 def latest_states(states: DataFrame) -> DataFrame:
-    """Latest row per (transfer, file) of an append-only state table."""
-    newest = Window.partitionBy("transfer_id", "path").orderBy(F.desc("last_checkpoint"), F.desc("bytes_written"))
-    return states.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    """Latest row per (transfer, file) of a state table; of equally late ones that with more bytes written."""
+    rest = [c for c in states.columns if c not in ("transfer_id", "path")]
+    newest = F.max_by(F.struct(*rest), F.struct("last_checkpoint", "bytes_written")).alias("_r")
+    return states.groupBy("transfer_id", "path").agg(newest).select("transfer_id", "path", "_r.*").select(*states.columns)

@@ -107,3 +107,58 @@ def test_arrivals_once_each(spark, tree, tmp_path):
     assert [r[:2] for r in second] == [("d/e.txt", 7), ("empty/.old", 8), ("new/_f", 1)]
     state = live.current_manifest(spark.read.option("basePath", table).parquet(f"{table}/batch=*"))
     assert sizes(state) == files | {"d/e.txt": 7, "empty/.old": 8, "new/_f": 1}
+
+
+def test_footers_and_ranges(spark, tmp_path):
+    from quayside.sources import footers, manifests
+
+    path = str(tmp_path / "m")
+    rows = spark.range(0, 4000, 1, 4).selectExpr("lpad(cast(pmod(id * 7919, 4000) as string), 5, '0') AS path", "id AS size", "cast(null as string) AS hash")
+    rows.repartitionByRange(4, "path").sortWithinPartitions("path").write.option("parquet.block.size", 4096).option("parquet.page.size", 1024).option(
+        "parquet.block.size.row.check.min", 10
+    ).option("parquet.page.size.row.check.min", 10).parquet(path)
+    known = footers.manifest_footers(spark, path)
+    total = footers.footer_totals(known).first()
+    assert (total.files, total.entries, total["first"], total["last"]) == (4, 4000, "00000", "03999") and total.row_groups >= 4
+    hit = footers.matching_groups(known, "01500", "01520").collect()
+    assert 0 < len(hit) < total.row_groups
+    found = footers.entries_between(spark, path, "01500", "01520", known)
+    assert sorted(r.path for r in found.collect()) == [f"{i:05d}" for i in range(1500, 1521)] and found.columns == ["path", "size", "hash"]
+    assert [r["size"] for r in footers.find_path(spark, path, "00007", known).collect()] == [r["size"] for r in rows.where("path = '00007'").collect()]
+    assert footers.find_path(spark, path, "x", known).collect() == []
+    # a file without statistics is always opened
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"path": ["x"], "size": [1]}), f"{path}/plain.parquet", write_statistics=False)
+    assert [(r.path, r["size"], r["hash"]) for r in footers.find_path(spark, path, "x").collect()] == [("x", 1, None)]
+    empty = str(tmp_path / "empty")
+    rows.where("size < 0").write.parquet(empty)
+    assert manifests.manifest_count(spark, empty).first()[0] == 0 and footers.entries_between(spark, empty, "", "z").collect() == []
+
+
+def test_one_archive_is_read_by_several_tasks(spark, tmp_path):
+    import tarfile
+
+    from quayside.sources import archives
+
+    root = tmp_path / "in"
+    root.mkdir()
+    files = {f"f{k:03d}": bytes([k]) * (k * 50) for k in range(120)} | {"é" * 90: b"long name", "empty": b""}
+    for name, data in files.items():
+        (root / name).write_bytes(data)
+    os.link(root / "f100", root / "second")
+    files["second"] = files["f100"]
+    batches = spark.createDataFrame([(n, len(d), 0) for n, d in files.items()], "path string, size long, batch long")
+    assert archives.write_archives(batches, str(root), str(tmp_path / "a")).first().files == len(files)
+    index = archives.archive_members(spark, str(tmp_path / "a"))
+    by_index = sorted((r.path, r.offset, r["size"]) for r in index.collect())
+    read = archives.read_members(index, tasks=5).withColumn("task", F.spark_partition_id()).collect()
+    assert {r.path: bytes(r.content) for r in read} == files and len(read) == len(files) and len({r.task for r in read}) == 5
+    # an archive from elsewhere has no index; one that was replaced has an old one
+    (tmp_path / "a/batch-00000000-0000.tar.index").unlink()
+    assert sorted((r.path, r.offset, r["size"]) for r in archives.archive_members(spark, str(tmp_path / "a")).collect()) == by_index
+    with tarfile.open(tmp_path / "a/batch-00000000-0000.tar", "w") as tar:
+        tar.add(root / "f001", "one")
+    (tmp_path / "a/batch-00000000-0000.tar.index").write_text('[1]\n["other", 512, 50]\n')
+    assert {r.path: bytes(r.content) for r in archives.read_archives(spark, str(tmp_path / "a")).collect()} == {"one": files["f001"]}
