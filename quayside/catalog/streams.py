@@ -32,6 +32,12 @@ def _progress(t: Tables):
     return out.select("job_id", "bytes", "files", F.round("elapsed", 6).alias("elapsed"), F.round("throughput", 3).alias("throughput"))
 
 
+def _job_progress(t: Tables):
+    """The last row of every job: ended if it was idle for twelve hours before the watermark."""
+    out = live.latest(_run(t, live.stream_job_progress(_events(t), 12 * 3600), name="job-progress"), ["job_id"])
+    return out.select("job_id", "bytes", "files", F.round("elapsed", 6).alias("elapsed"), F.round("throughput", 3).alias("throughput"), "ended")
+
+
 def _adaptive(t: Tables):
     reports = _events(t).select(
         "event_id", "job_id", F.floor(F.col("bytes") / 1000000).cast("bigint").alias("files"), ((F.col("bytes") % 7000000) / 1e6).alias("seconds")
@@ -75,6 +81,27 @@ FROM transfer_events GROUP BY job_id""",
             "transfer_events",
         ),
     ),
+    "stream_job_progress": (
+        _job_progress,
+        oracle(
+            """SELECT job_id, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS files,
+  round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000.0::DOUBLE, 6) AS elapsed,
+  round(CASE WHEN max(ts) > min(ts) THEN sum(bytes)::DOUBLE / ((max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000.0::DOUBLE) ELSE 0.0 END, 3) AS throughput,
+  max(epoch_us(ts)) // 1000 + 43200000 <= (SELECT max(epoch_us(ts)) // 1000 - 600000 FROM transfer_events) AS ended
+FROM transfer_events GROUP BY job_id""",
+            "transfer_events",
+        ),
+    ),
+    "stream_closed_sessions": (
+        lambda t: _run(t, live.stream_closed_sessions(_events(t), 6 * 3600), name="closed-sessions").drop("batch"),
+        oracle(
+            """SELECT * FROM (SELECT job_id, min(us) AS start_us, max(us) + 21600000000 AS end_us, count(*) AS events, CAST(sum(bytes) AS BIGINT) AS bytes
+FROM (SELECT *, sum(CASE WHEN us - prev < 21600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY job_id ORDER BY us, event_id) AS s
+  FROM (SELECT *, lag(us) OVER (PARTITION BY job_id ORDER BY us, event_id) AS prev FROM (SELECT *, epoch_us(ts) AS us FROM transfer_events)))
+GROUP BY job_id, s) WHERE (end_us + 5400000000 + 999) // 1000 <= (SELECT max(epoch_us(ts)) // 1000 - 600000 FROM transfer_events)""",
+            "transfer_events",
+        ),
+    ),
     "stream_throughput": (
         lambda t: live.latest(
             _run(t, live.stream_throughput(_events(t), "2 hours", "1 hour"), "update", "throughput"), ["start"]

@@ -13,6 +13,8 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -147,6 +149,84 @@ def stream_progress(events: DataFrame, totals: DataFrame | None = None) -> DataF
     )
 
 
+def partial_sums(events: DataFrame, bucket_ms: int) -> DataFrame:
+    """(job_id, ts, bytes, files, first_us, last_us): events summed up per job and time bucket before any shuffle, Arrow batch
+    by Arrow batch, so that a busy job sends a few rows. ``ts`` is that of a bucket's last event."""
+    kind = events.schema["job_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            bucket = pc.floor(pc.divide(table["us"].cast(pa.float64()), 1000.0 * bucket_ms)).cast(pa.int64())
+            sums = table.append_column("bucket", bucket).group_by(["job_id", "bucket"]).aggregate(
+                [("bytes", "sum"), ("us", "count"), ("us", "min"), ("us", "max")]
+            )
+            columns = [sums["job_id"], sums["us_max"].cast(pa.timestamp("us", "UTC")), sums["bytes_sum"], sums["us_count"], sums["us_min"], sums["us_max"]]
+            names = ["job_id", "ts", "bytes", "files", "first_us", "last_us"]
+            yield from pa.table(columns, names=names).combine_chunks().to_batches()
+
+    narrow = events.select("job_id", F.unix_micros("ts").alias("us"), F.coalesce("bytes", F.lit(0)).cast("bigint").alias("bytes")).where("us IS NOT NULL")
+    return narrow.mapInArrow(run, f"job_id {kind}, ts timestamp, bytes bigint, files bigint, first_us bigint, last_us bigint")
+
+
+class _Progress(StatefulProcessor):
+    """Sums of a job while it goes on; a last row, and no state, once it was idle for long enough."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getValueState("sums", "bytes bigint, files bigint, first_us bigint, last_us bigint")
+
+    def _row(self, key, sums, ended: bool) -> pd.DataFrame:
+        return pd.DataFrame({"job_id": [key[0]], "bytes": [sums[0]], "files": [sums[1]], "first_us": [sums[2]], "last_us": [sums[3]], "ended": [ended]})
+
+    def handleInputRows(self, key, rows, timerValues):
+        before = self.sums.get() if self.sums.exists() else None
+        now = before
+        for pdf in rows:
+            new = (int(pdf["bytes"].sum()), int(pdf["files"].sum()), int(pdf["first_us"].min()), int(pdf["last_us"].max()))
+            now = new if now is None else (now[0] + new[0], now[1] + new[1], min(now[2], new[2]), max(now[3], new[3]))
+        if before is None or now[3] != before[3]:
+            if before is not None:
+                self.handle.deleteTimer(before[3] // 1000 + self.idle_ms)
+            self.handle.registerTimer(now[3] // 1000 + self.idle_ms)
+        self.sums.update(now)
+        yield self._row(key, now, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.sums.exists():
+            yield self._row(key, self.sums.get(), True)
+            self.sums.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_job_progress(events: DataFrame, idle_seconds: int, late: str = "10 minutes", totals: DataFrame | None = None) -> DataFrame:
+    """Per job: bytes, files, elapsed, throughput and whether it has ended; a row after each batch with news, and a last one
+    with ``ended`` once the watermark is ``idle_seconds`` past the job's last event. Then its state goes.
+
+    Events later than ``late`` are dropped (see :func:`dropped_rows`). News in the very batch that would have ended a job keep it
+    going; an event that comes after the end and is not that late begins a new count of the job."""
+    use_rocksdb(events.sparkSession)
+    kind = events.schema["job_id"].dataType.simpleString()
+    sums = partial_sums(events, 60_000).withWatermark("ts", late).groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=_Progress(idle_seconds * 1000),
+        outputStructType=f"job_id {kind}, bytes bigint, files bigint, first_us bigint, last_us bigint, ended boolean",
+        outputMode="append",
+        timeMode="eventTime",
+    )
+    elapsed = ((F.col("last_us") - F.col("first_us")) / 1e6).alias("elapsed")
+    out = sums.select("job_id", "bytes", "files", elapsed, "ended").withColumn("throughput", ratio("bytes", "elapsed"))
+    if totals is None:
+        return out
+    return out.join(totals, "job_id", "left").select(
+        *out.columns, "total_bytes", percent("bytes", "total_bytes").alias("percent"), eta_seconds("bytes", "total_bytes", "throughput").alias("eta_seconds")
+    )
+
+
 def stream_throughput(events: DataFrame, width: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Events and bytes per window of event time. In append mode a window is emitted once the
     watermark has passed it; rows later than ``late`` are dropped (see :func:`dropped_rows`)."""
@@ -168,6 +248,77 @@ def stream_sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> Da
     )
 
 
+class _Sessions(StatefulProcessor):
+    """Open sessions of a job; one is emitted, and forgotten, when no bucket that could still come reaches it."""
+
+    def __init__(self, gap_us: int, width_us: int):
+        self.gap, self.width = gap_us, width_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "first_us bigint, last_us bigint, events bigint, bytes bigint")
+
+    def _due(self, last: int) -> int:
+        return -(-(last + self.gap + self.width) // 1000)
+
+    def handleInputRows(self, key, rows, timerValues):
+        before = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+        parts = list(before)
+        for pdf in rows:
+            parts += list(zip(pdf["first_us"].tolist(), pdf["last_us"].tolist(), pdf["events"].tolist(), pdf["bytes"].tolist()))
+        merged: list[tuple] = []
+        for part in sorted(parts):
+            if merged and part[0] - merged[-1][1] < self.gap:
+                a = merged[-1]
+                merged[-1] = (a[0], max(a[1], part[1]), a[2] + part[2], a[3] + part[3])
+            else:
+                merged.append(part)
+        for due in {self._due(x[1]) for x in before} - {self._due(x[1]) for x in merged}:
+            self.handle.deleteTimer(due)
+        for due in {self._due(x[1]) for x in merged} - {self._due(x[1]) for x in before}:
+            self.handle.registerTimer(due)
+        self.open.put(merged)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        known = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+        over = [x for x in known if self._due(x[1]) <= due]
+        left = [x for x in known if self._due(x[1]) > due]
+        if left:
+            self.open.put(left)
+        else:
+            self.open.clear()
+        if over:
+            columns = list(zip(*over))
+            yield pd.DataFrame({"job_id": [key[0]] * len(over), "start_us": columns[0], "end_us": [x + self.gap for x in columns[1]], "events": columns[2], "bytes": columns[3]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_closed_sessions(events: DataFrame, gap_seconds: int, late: str = "10 minutes", buckets: int = 4) -> DataFrame:
+    """Stretches of activity per job between idle gaps, each once it is over; append mode.
+
+    Two stateful steps: sums per job and time bucket (a fraction of the gap, so that a bucket never spans one), which are spread by bucket and
+    combined before the shuffle, and sessions of a job's buckets, which are few. Both keep what the watermark has not passed, so state per job is
+    bounded by time, and a busy job is no hot key. A session is over when the watermark is a gap and a bucket past its last event."""
+    use_rocksdb(events.sparkSession)
+    kind = events.schema["job_id"].dataType.simpleString()
+    width = max(1, gap_seconds * 1_000_000 // buckets)
+    us = F.unix_micros("ts")
+    sums = events.withWatermark("ts", late).groupBy("job_id", F.window("ts", f"{width} microseconds").alias("w")).agg(
+        F.min(us).alias("first_us"), F.max(us).alias("last_us"), F.count("*").alias("events"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")
+    )
+    timed = sums.select("job_id", F.window_time("w").alias("ts"), "first_us", "last_us", "events", "bytes")
+    return timed.groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=_Sessions(gap_seconds * 1_000_000, width),
+        outputStructType=f"job_id {kind}, start_us bigint, end_us bigint, events bigint, bytes bigint",
+        outputMode="append",
+        timeMode="eventTime",
+    )
+
+
 def stream_compliance(events: DataFrame, schedule: Schedule, late: str = "10 minutes") -> DataFrame:
     """Bytes per minute against the limit in force in that minute."""
     window = F.window("ts", "1 minute")

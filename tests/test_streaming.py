@@ -135,3 +135,71 @@ def test_inventory_stream(spark, tmp_path):
     (tmp_path / "in/b").write_bytes(b"1")
     out = live.current_manifest(live.run_now(live.stream_inventory(spark, str(tmp_path / "in")), name="i"))
     assert sorted((r.path.rsplit("/", 1)[-1], r["size"]) for r in out.collect()) == [("a", 5), ("b", 1)]
+
+
+def _parts(spark, tmp_path, parts, schema):
+    """Rows of each part in a file of their own, read as one micro-batch each."""
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/p{n:02d}"))
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def _run_stream(spark, tmp_path, stream):
+    query = live.write_batches(stream, str(tmp_path / "out"), str(tmp_path / "cp"), state_partitions=2)
+    query.awaitTermination()
+    return query, spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out/batch=*"))
+
+
+START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+EVENTS = "job_id long, ts timestamp, bytes long"
+
+
+def _at(job, *seconds):
+    return [(job, START + dt.timedelta(seconds=s), 10) for s in seconds]
+
+
+def test_state_of_ended_jobs_goes(spark, tmp_path):
+    parts = [_at(1, 0, 60) + _at(2, 30), _at(3, 3600), _at(3, 4000), _at(1, 5), _at(3, 4100) + _at(1, 9000), _at(3, 9100)]
+    query, rows = _run_stream(spark, tmp_path, live.stream_job_progress(_parts(spark, tmp_path, parts, EVENTS), 600, "1 second"))
+    found = sorted((r.job_id, r.files, r["bytes"], r.elapsed, r.ended) for r in rows.collect())
+    assert found.count((1, 2, 20, 60.0, True)) == 1 and found.count((2, 1, 10, 0.0, True)) == 1
+    assert (1, 1, 10, 0.0, False) in found  # a new count after the end; the late row at second 5 is in none
+    assert not any(f[:2] == (1, 3) for f in found) and live.dropped_rows(query) == 1
+    # news in the batch that would have ended it keep a job going
+    assert (3, 4, 40, 5500.0, False) in found and not any(f[0] == 3 and f[4] for f in found)
+    totals = [sum(op.numRowsTotal for op in p.stateOperators) for p in query.recentProgress]
+    assert max(totals) > totals[-1] > 0
+
+
+def test_partial_sums_send_a_row_per_bucket(spark):
+    rows = [(7, START + dt.timedelta(milliseconds=k), k) for k in range(5000)] + [(8, START, None), (None, START, 1), (7, None, 5)]
+    sums = live.partial_sums(spark.createDataFrame(rows, EVENTS).coalesce(1), 60_000).collect()
+    assert sorted(((r.job_id, r["bytes"], r.files) for r in sums), key=repr) == sorted([(7, sum(range(5000)), 5000), (8, 0, 1), (None, 1, 1)], key=repr)
+
+
+def test_closed_sessions(spark, tmp_path):
+    import random
+
+    rnd = random.Random(4)
+    times = {job: sorted(rnd.sample(range(0, 40_000), 60 if job else 200)) for job in range(4)}
+    events = sorted((s, job) for job, seconds in times.items() for s in seconds)
+    parts = [_at_many(events[k : k + 40]) for k in range(0, len(events), 40)]
+    query, rows = _run_stream(spark, tmp_path, live.stream_closed_sessions(_parts(spark, tmp_path, parts, EVENTS), 600, "10 seconds"))
+    found = sorted((r.job_id, r.start_us, r.end_us, r.events, r["bytes"]) for r in rows.collect())
+    base, want = int(START.timestamp()), []
+    for job, seconds in times.items():
+        run = [seconds[0]]
+        for s in [*seconds[1:], 10**9]:
+            if s - run[-1] >= 600:
+                want.append((job, (base + run[0]) * 10**6, (base + run[-1] + 600) * 10**6, len(run), 10 * len(run)))
+                run = []
+            run.append(s)
+    closed = [w for w in want if w[2] + 150 * 10**6 <= (base + events[-1][0] - 10) * 10**6]
+    assert found == sorted(closed) and len(closed) > 20
+    kept = [p.stateOperators[-1].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    # sessions that can still grow and their timers: no more towards the end than at the beginning
+    assert max(kept[len(kept) // 2 :]) <= 1.3 * max(kept[: len(kept) // 2])
+
+
+def _at_many(pairs):
+    return [(job, START + dt.timedelta(seconds=s), 10) for s, job in pairs]
