@@ -73,15 +73,18 @@ ANOMALY_SQL = """SELECT {by} id AS entry_id, a.* FROM (
   SELECT h.*, s.n, s.m, s.sd, CASE WHEN sd > 0 THEN (avg_throughput - m) / sd ELSE 0.0 END AS z,
     CASE WHEN total_files > 0 THEN files_failed / total_files::DOUBLE ELSE 0.0 END AS fr
   FROM history h JOIN (SELECT {by} count(*) AS n, avg(avg_throughput) AS m, stddev_pop(avg_throughput) AS sd FROM history {group}) s {on}) h,
-LATERAL (VALUES (z < -2.0, 'throughput_drop', least(-z / 4.0, 1.0), 'throughput', m, avg_throughput),
-  (z > 2.0, 'throughput_spike', least(z / 4.0, 1.0), 'throughput', m, avg_throughput),
-  (fr > 0.05, 'high_failure_rate', least(fr * 2.0, 1.0), 'failure_rate', 0.0, fr)) a(hit, anomaly_type, severity, metric, expected, actual)
+LATERAL (VALUES (z < -2.0, 'throughput_drop', least(-z / 4.0, 1.0), 'throughput', m, avg_throughput,
+    printf('%.1f MB/s, %.1f deviations below the mean of %.1f MB/s', avg_throughput / 1e6, abs(z), m / 1e6)),
+  (z > 2.0, 'throughput_spike', least(z / 4.0, 1.0), 'throughput', m, avg_throughput,
+    printf('%.1f MB/s, %.1f deviations above the mean of %.1f MB/s', avg_throughput / 1e6, abs(z), m / 1e6)),
+  (fr > 0.05, 'high_failure_rate', least(fr * 2.0, 1.0), 'failure_rate', 0.0, fr,
+    printf('%d of %d files failed, %.1f percent', files_failed, total_files, fr * 100.0))) a(hit, anomaly_type, severity, metric, expected, actual, description)
 WHERE a.hit AND n >= 3"""
-ANOMALY_OUT = """SELECT {by} entry_id, anomaly_type, round(severity, 6) AS severity, metric, round(expected, 3) AS expected, round(actual, 6) AS actual FROM anomalies"""
+ANOMALY_OUT = """SELECT {by} entry_id, anomaly_type, round(severity, 6) AS severity, metric, round(expected, 3) AS expected, round(actual, 6) AS actual, description FROM anomalies"""
 
 
 def _anomalies(df):
-    return _r(_r(df, 6, "severity", "actual"), 3, "expected").drop("description")
+    return _r(_r(df, 6, "severity", "actual"), 3, "expected")
 
 
 RECOMMEND_SQL = """SELECT source, destination, CAST(row_number() OVER (PARTITION BY source, destination ORDER BY o) - 1 AS INT) AS rank, recommendation

@@ -85,6 +85,13 @@ FROM (SELECT *, position(':' IN uri) > 0 AND position('@' IN split_part(uri, ':'
     ELSE url END AS uri FROM pages))"""
 
 
+def _page(t: Tables):
+    """A page with its header on every row."""
+    rows, header = inventory.paginate(t.jobs(), [F.desc("created_at"), "id"], page=3, per_page=20)
+    counts = [F.lit(header[c]).cast("bigint").alias(c) for c in ("total", "total_pages")]
+    return rows.select("*", *counts, F.lit(header["page"]).alias("page"), F.lit(header["per_page"]).alias("per_page"))
+
+
 QUERIES = {
     "filter_size": (
         lambda t: filters.filter_size(_src(t), 4096, 100 * MIB).select("path", "size"),
@@ -226,8 +233,12 @@ GROUP BY path HAVING count(*) > 1""",
         oracle(f"SELECT path, size, {PRIORITY} AS priority FROM src_inventory ORDER BY priority, size, path LIMIT 100", "src_inventory"),
     ),
     "paginate_jobs": (
-        lambda t: inventory.paginate(t.jobs(), [F.desc("created_at"), "id"], page=3, per_page=20)[0].select("id", "status"),
-        oracle("SELECT id, status FROM jobs ORDER BY created_at DESC, id LIMIT 20 OFFSET 40", "jobs"),
+        _page,
+        oracle(
+            """SELECT *, (SELECT count(*) FROM jobs) AS total, 3 AS page, 20 AS per_page, (SELECT (count(*) + 19) // 20 FROM jobs) AS total_pages
+FROM jobs ORDER BY created_at DESC, id LIMIT 20 OFFSET 40""",
+            "jobs",
+        ),
     ),
     "plan_dirs": (
         lambda t: transfer.plan_dirs(t.dst_inventory(), transfer.plan_dirs(t.src_inventory())),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quayside.catalog import texts
 from quayside.catalog.content import WEAK
 from quayside.catalog.inventory import URIS_SQL, _uris
 from quayside.catalog.tables import Tables, oracle
@@ -33,7 +34,26 @@ FROM content, LATERAL explode_blocks(encode(text, 'UTF-8'), 256) b"""
     )
 
 
+def _accounting(t: Tables):
+    register(t.spark)
+    t.accounting().createOrReplaceTempView("accounting")
+    return t.spark.sql(
+        """SELECT job_id, memory_bytes, time_limit_seconds, format_time_limit(time_limit_seconds, true) AS time_limit_text,
+  format_time_limit(time_limit_seconds, false) AS hours_text, nodes
+FROM (SELECT job_id, memory_bytes(memory) AS memory_bytes, time_limit_seconds(time_limit) AS time_limit_seconds,
+  array_join(expand_nodes(node_list), ' ') AS nodes FROM accounting)"""
+    )
+
+
+def _states(t: Tables):
+    register(t.spark)
+    texts._raw_states(t).createOrReplaceTempView("raw_states")
+    return t.spark.sql("SELECT scheduler, raw, normalize_state(scheduler, raw) AS state, count(*) AS n FROM raw_states GROUP BY ALL")
+
+
 QUERIES = {
+    "sql_accounting": (_accounting, texts.QUERIES["normalize_jobs"][1]),
+    "sql_job_states": (_states, texts.STATES),
     "sql_parse_size": (
         _sizes,
         oracle(_parsed("bytes", [("T", 4), ("G", 3), ("M", 2), ("K", 1)], "[UB]+$", "B+$"), extra={"texts": SIZE_TEXTS}),

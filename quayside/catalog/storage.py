@@ -99,20 +99,26 @@ def _one_archive(t: Tables):
 def _manifest(t: Tables) -> str:
     folder = new_folder(t.spark, "manifest")
     inventory = t.src_inventory().select(
-        "path", "size", F.col("mtime").cast("timestamp").alias("mtime"), F.lit(False).alias("is_dir"), F.lit(False).alias("is_symlink"),
-        F.lit(None).cast("string").alias("symlink_target"), (F.col("file_id") % 4096).cast("int").alias("permissions"),
-        F.lit(1000).cast("bigint").alias("uid"), F.lit(1000).cast("bigint").alias("gid"),
+        "path", "size", F.col("mtime").cast("timestamp").alias("mtime"), F.lit(False).alias("is_dir"), (F.col("file_id") % 13 == 0).alias("is_symlink"),
+        F.when(F.col("file_id") % 13 == 0, F.concat(F.lit("to/"), "path")).alias("symlink_target"), (F.col("file_id") % 4096).cast("int").alias("permissions"),
+        (F.col("file_id") % 3 + 1000).alias("uid"), F.lit(1000).cast("bigint").alias("gid"),
     )
     manifests.write_manifest(manifests.parquet_entries(inventory), folder)
     return folder
 
 
 def _manifest_json(t: Tables):
+    """All columns of the entries, with the header on every row. Every seventh path is no valid text."""
     folder = new_folder(t.spark, "manifest-json")
-    entries = manifest_from_scan(t.src_inventory())
+    odd = F.col("file_id") % 7 == 0
+    scanned = t.src_inventory().withColumns(
+        {"raw_path": F.concat(F.encode("path", "UTF-8"), F.when(odd, F.unhex(F.lit("FF"))).otherwise(F.lit(b""))), "permissions": (F.col("file_id") % 512).cast("int")}
+    )
+    entries = manifest_from_scan(scanned).withColumns({"hash": F.sha2("path", 256), "hash_algorithm": F.lit("sha256")})
     manifests.write_manifest_json(entries, folder, "/src", "/dst", 1_700_000_000)
     header, rows = manifests.read_manifest_json(t.spark, folder)
-    return rows.select("path", "size", "mtime")
+    top = header.first()
+    return rows.select("*", *[F.lit(top[c]).alias(c) for c in ("version", "source_root", "dest_root", "created", "updated", "total_files", "total_size")])
 
 
 def _hash_manifest(t: Tables):
@@ -270,10 +276,12 @@ FROM (SELECT path, h, unnest(range((length(h) + 8191) // 8192)) AS i FROM (SELEC
         oracle("SELECT path, strlen(text) AS size, sha256(text) AS sha256 FROM content", "content"),
     ),
     "manifest_round_trip": (
-        lambda t: manifests.read_manifest(t.spark, _manifest(t)).select("path", "size", "mtime_secs", "mtime_nsecs", "permissions", "setuid", "file_type"),
+        lambda t: manifests.read_manifest(t.spark, _manifest(t)),
         oracle(
             """SELECT path, size, CAST(floor(epoch(mtime)) AS BIGINT) AS mtime_secs, CAST(0 AS BIGINT) AS mtime_nsecs, file_id % 4096 AS permissions,
-  (file_id % 4096) & 2048 <> 0 AS setuid, 'file' AS file_type FROM src_inventory""",
+  CAST(1000 + file_id % 3 AS BIGINT) AS uid, CAST(1000 AS BIGINT) AS gid, (file_id % 4096) & 2048 <> 0 AS setuid, (file_id % 4096) & 1024 <> 0 AS setgid,
+  (file_id % 4096) & 512 <> 0 AS sticky, CASE WHEN file_id % 13 = 0 THEN 'symlink' ELSE 'file' END AS file_type,
+  CASE WHEN file_id % 13 = 0 THEN concat('to/', path) END AS symlink_target, NULL::VARCHAR AS xxhash3, NULL::VARCHAR AS blake3 FROM src_inventory""",
             "src_inventory",
         ),
     ),
@@ -288,7 +296,8 @@ FROM (SELECT path, h, unnest(range((length(h) + 8191) // 8192)) AS i FROM (SELEC
     "manifest_range": (
         lambda t: footers.entries_between(t.spark, _manifest(t), "p2/", "p3/O").select("path", "size", "permissions", "file_type"),
         oracle(
-            """SELECT path, size, file_id % 4096 AS permissions, 'file' AS file_type FROM src_inventory WHERE path BETWEEN 'p2/' AND 'p3/O'""", "src_inventory"
+            """SELECT path, size, file_id % 4096 AS permissions, CASE WHEN file_id % 13 = 0 THEN 'symlink' ELSE 'file' END AS file_type
+FROM src_inventory WHERE path BETWEEN 'p2/' AND 'p3/O'""", "src_inventory"
         ),
     ),
     "manifest_head": (
@@ -297,7 +306,13 @@ FROM (SELECT path, h, unnest(range((length(h) + 8191) // 8192)) AS i FROM (SELEC
     ),
     "manifest_json_round_trip": (
         _manifest_json,
-        oracle("SELECT path, size, CAST(floor(epoch(mtime)) AS BIGINT) AS mtime FROM src_inventory", "src_inventory"),
+        oracle(
+            """SELECT path, CASE WHEN file_id % 7 = 0 THEN lower(concat(hex(encode(path)), 'FF')) END AS path_bytes, size,
+  CAST(floor(epoch(mtime)) AS BIGINT) AS mtime, sha256(path) AS hash, 'sha256' AS hash_algorithm, CAST(file_id % 512 AS INT) AS permissions,
+  1 AS version, '/src' AS source_root, '/dst' AS dest_root, 1700000000 AS created, 1700000000 AS updated,
+  count(*) OVER () AS total_files, CAST(sum(size) OVER () AS BIGINT) AS total_size FROM src_inventory""",
+            "src_inventory",
+        ),
     ),
     "manifest_log": (
         _manifest_log,

@@ -63,7 +63,7 @@ def _sync_lines(t: Tables):
     return t.src_inventory().select(line.alias("value"))
 
 
-def _states(t: Tables):
+def _raw_states(t: Tables):
     """Scheduler and raw state of every order and line, in the schedulers' own words."""
     raw = {
         "slurm": ["PENDING", "configuring", "RUNNING", " COMPLETING", "COMPLETED", "NODE_FAIL", "TIMEOUT", "CANCELLED", "PREEMPTED"],
@@ -74,12 +74,14 @@ def _states(t: Tables):
     names = F.array(*[F.lit(n) for n in raw])
     words = F.array(*[F.array(*[F.lit(w) for w in v]) for v in raw.values()])
     kind = (F.col("l_orderkey") % 4).cast("int")
-    lines = t.read("lineitem").select(
+    return t.read("lineitem").select(
         F.get(names, kind).alias("scheduler"), F.get(F.get(words, kind), (F.col("l_partkey") % 9).cast("int")).alias("raw")
     )
-    return lines.select("scheduler", "raw", accounting.normalize_state("scheduler", "raw").alias("state")).groupBy(
-        "scheduler", "raw", "state"
-    ).agg(F.count("*").alias("n"))
+
+
+def _states(t: Tables):
+    named = _raw_states(t).withColumn("state", accounting.normalize_state("scheduler", "raw"))
+    return named.groupBy("scheduler", "raw", "state").agg(F.count("*").alias("n"))
 
 
 STATES = """SELECT scheduler, raw, CASE scheduler

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quayside.catalog.tables import Tables, oracle
+from quayside.functions.sizes import MIB
 from quayside.operators import transfers
 from quayside.plans import bandwidth, transfer
 
@@ -155,12 +156,10 @@ FROM (SELECT path, size, size >= 104857600 AS big, unnest(range(CASE WHEN size >
     "multipart_plan": (
         lambda t: _parts(t),
         oracle(
-            """SELECT path, count(part_number) AS parts, max(part_number) AS last_number, max("offset") AS last_offset,
-  CAST(sum(size) AS BIGINT) AS bytes, min(size) AS smallest FROM (
-  SELECT path, CASE WHEN big THEN part * 8388608 END AS "offset",
-    CASE WHEN big THEN least(8388608, size - part * 8388608) ELSE size END AS size, CASE WHEN big THEN part + 1 END AS part_number
-  FROM (SELECT path, size, size > 104857600 AS big, unnest(range(CASE WHEN size > 104857600 THEN (size + 8388607) // 8388608 ELSE 1 END)) AS part
-    FROM src_inventory)) GROUP BY path""",
+            """SELECT path, size AS file_size, CASE WHEN big THEN part * 67108864 END AS "offset",
+  CASE WHEN big THEN least(67108864, size - part * 67108864) ELSE size END AS size, CASE WHEN big THEN part + 1 END AS part_number
+FROM (SELECT path, size, size > 104857600 AS big, unnest(range(CASE WHEN size > 104857600 THEN (size + 67108863) // 67108864 ELSE 1 END)) AS part
+  FROM src_inventory)""",
             "src_inventory",
         ),
     ),
@@ -429,11 +428,8 @@ GROUP BY job_id, s""",
 
 
 def _parts(t: Tables):
-    """Parts summed up per file: the plan itself has millions of rows."""
-    return transfer.multipart_plan(t.src_inventory()).groupBy("path").agg(
-        F.count("part_number").alias("parts"), F.max("part_number").alias("last_number"),
-        F.max("offset").alias("last_offset"), F.sum("size").alias("bytes"), F.min("size").alias("smallest"),
-    )
+    """Every part of every upload, in parts of 64 MiB."""
+    return transfer.multipart_plan(t.src_inventory(), chunk=64 * MIB)
 
 
 def _plan(t: Tables):
