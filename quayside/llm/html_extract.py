@@ -7,7 +7,9 @@ surge from nothing a stretch of text begins, where they dive to nothing it ends;
 border of a marked article (``article``, ``main`` or the role) is cut there. The stretch with the most text is the main one,
 where text of a marked article weighs ``IN_ARTICLE`` times. The text is the main stretch and all stretches in keeping with it: their
 fullest window holds ``IN_KEEPING`` of the usual window of the main one, or, if both are in a marked article, that part of it divided by
-``IN_ARTICLE``. If the main one is in a marked article, stretches outside are not text.
+``IN_ARTICLE``. If the main one is in a marked article, all stretches of that article are text, and stretches outside articles are not.
+Inside an article a line goes by the name of its element only if that is an advert, notice, form or the like as a whole: each
+part of the name says so or says nothing (``ad-box``), while ``price-alert`` is text.
 
 A marked article inside an element named as boilerplate, a form or a header is read, but weighs as other text; one inside a menu,
 ``aside``, footer or hidden element is not.
@@ -37,7 +39,7 @@ _TOKEN = re.compile(
 )
 #: Elements of HTML by what they do to the text.
 BLOCK = set(
-    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td "
     "tfoot th thead tr ul".split()
 )
@@ -45,7 +47,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 ASIDE = set("nav aside footer menu dialog button fieldset head".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Elements that end an open paragraph, and elements whose end tag closes what is open inside.
-CLOSES_P = BLOCK - {"br", "body", "html", "head"}
+CLOSES_P = BLOCK - {"body", "html", "head"}
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 #: Names of areas of a page; only as a whole class, id or role, since with-sidebar or entry-header name no such area.
 _HEAD = re.compile(r"(?:(?:site|global|main|top)[_-])?(?:header|masthead|banner)", re.I)
@@ -62,9 +64,13 @@ _BOILERPLATE = re.compile(
     r"share|sharing|signup|skip|social|sponsor\w*|subscribe|subscription|alert)(?:$|[_-])",
     re.I,
 )
+#: The same words, and those that say nothing beside them; in an article a name must consist of such parts.
+_WORD = re.compile(_BOILERPLATE.pattern[len("(?:^|[_-])") : -len("(?:$|[_-])")], re.I)
+_BESIDE = re.compile(r"(?:box|container|wrapper?|inner|outer|section|area|list|banner|bar|block|form|buttons?|links?|thread|reply|policy|content|item|slot|unit|\d+)", re.I)
 #: What a class says about the state of an element is not its name.
 _STATE = re.compile(r"(?:with|without|has|have|no|is|show|hide)[_-]", re.I)
 _ARTICLE = re.compile(r"\brole\s*=\s*[\"']?(?:main|article)\b", re.I)
+_ARTICLE_ROLE = re.compile(r"\brole\s*=\s*[\"']?article\b", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 #: How much more text of a marked article weighs, and which part of the main stretch's usual window others must reach.
 IN_ARTICLE, IN_KEEPING = 10, 0.25
@@ -76,7 +82,7 @@ NAMED_HEAD, NAMED, FIRM = 1, 2, 3
 class Line:
     text: str
     weight: int  # characters that count
-    article: bool  # in a marked article
+    article: int  # number of the marked article it is in, 0 for none
 
 
 def _firmness(name: str, attributes: str, inside: bool) -> int:
@@ -88,18 +94,25 @@ def _firmness(name: str, attributes: str, inside: bool) -> int:
     if not attributes or name in ("html", "body", "article", "main"):
         return 0
     names = [x for value in _NAMES.findall(attributes) for x in value.strip("\"'").split() if not _STATE.match(x)]
-    if any(_AREA.fullmatch(x) or _BOILERPLATE.search(x) for x in names):
+    if any(_AREA.fullmatch(x) or (_wholly(x) if inside else _BOILERPLATE.search(x)) for x in names):
         return NAMED
     return NAMED_HEAD if any(_HEAD.fullmatch(x) for x in names) else 0
 
 
+def _wholly(name: str) -> bool:
+    parts = re.split("[_-]+", name.strip("_-"))
+    return any(map(_WORD.fullmatch, parts)) and all(_WORD.fullmatch(x) or _BESIDE.fullmatch(x) for x in parts)
+
+
 def lines(page: str) -> list[Line]:
     """The blocks of a page as lines, in page order."""
     out: list[Line] = []
     parts: list[str] = []
     linked = 0  # characters in links
-    stack: list[tuple[str, int, bool, bool, int]] = []  # element, and for all down to it: firmness, in an article, in a marked one, open links
-    root = ("", 0, False, False, 0)
+    # element, and for all down to it: firmness, in an article, number of the marked one (less than 0 for main areas), open links
+    stack: list[tuple[str, int, bool, int, int]] = []
+    root = ("", 0, False, 0, 0)
+    n_marked = 0
 
     def flush() -> None:
         nonlocal linked
@@ -126,6 +139,8 @@ def lines(page: str) -> list[Line]:
         block = name in BLOCK
         if block:
             flush()
+        elif name == "br":  # white space of its block
+            parts.append(" ")
         if m[2]:  # end tag: closes down to its own element, but nothing beyond an article or table around it
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
@@ -148,7 +163,10 @@ def lines(page: str) -> list[Line]:
         _, firm, inside, marked, links = stack[-1] if stack else root
         own = _firmness(name, m[4], inside)
         if name in ("article", "main") or _ARTICLE.search(m[4]):
-            marked = marked or firm == 0
+            whole = name == "article" or _ARTICLE_ROLE.search(m[4]) is not None
+            if firm == 0 and (marked == 0 or (whole and marked < 0)):  # an article in a main area is an article of its own
+                n_marked += 1
+                marked = n_marked if whole else -n_marked
             firm = firm if firm == FIRM else own if own == FIRM else 0
             inside = True
         elif name in HEADINGS and inside and firm == NAMED_HEAD:
@@ -192,7 +210,13 @@ def main_text(page: str | None, window: int = 3) -> str:
     main = max(places, key=lambda p: (int(weights[p[0] : p[1]].sum()) * (IN_ARTICLE if found[p[0]].article else 1), -p[0]))
     marked = found[main[0]].article
     least = IN_KEEPING * float(np.median(sums(main))) / (IN_ARTICLE if marked else 1)
-    kept = [p for p in places if p == main or ((found[p[0]].article or not marked) and sums(p).max() >= least)]
+
+    def stays(p: tuple[int, int]) -> bool:
+        if p == main or (marked and found[p[0]].article == marked):
+            return True
+        return bool((found[p[0]].article or not marked) and sums(p).max() >= least)
+
+    kept = [p for p in places if stays(p)]
     return "\n".join(x.text for first, last in kept for x in found[first:last] if x.weight)
 
 

@@ -33,6 +33,8 @@ from quayside.llm.common import stored
 
 LENGTH, GRAM = 400, 250
 CHUNK = 2_000_000
+#: Tasks that share the entries of one kind.
+SALTS = 32
 ENTRIES = "g long, nh long, d long, t long, p int, lo int, span int"
 WINDOWS = "g long, d long, t long, first int, offset int, hashes array<long>, many boolean"
 MARKS = "d long, t long, first int, last int"
@@ -209,7 +211,10 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch
     one = F.min(F.struct("d", "t", "p")).alias("one")
     groups = stored(matched.groupBy(*kind).agg(F.count("*").alias("c"), one))
     begin = F.col("p") - F.col("lo")
-    whole = matched.join(stored(groups.where("c > 1").select(*kind)), kind, "left_semi")
+    # a passage of every document is one kind: its entries are spread over salts, its kind stands there once for each
+    salted = groups.where("c > 1").select(*kind, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = matched.withColumn("salt", F.pmod(F.xxhash64("d", "t", "p"), F.lit(SALTS)).cast("int"))
+    whole = own.join(salted, [*kind, "salt"], "left_semi")
     whole = whole.select("d", "t", begin.alias("first"), (begin + F.col("span") + length).alias("last"))
     # classes with several surroundings: one entry of each kind shows its windows
     open_classes = stored(groups.groupBy("g").agg(F.count("*").alias("k")).where("k > 1"))

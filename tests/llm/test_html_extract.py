@@ -17,7 +17,7 @@ def test_page_parts():
     text</b> here.<p>Second &lt;one&gt; &eacute;<br>third line<!-- <p>gone</p> --><div class="ad">Buy!</div><ul><li>item a<li>item b</ul>
     <form><input value=x>Name</form><p>Last. </p><section class="comments"><p>I disagree with this at great length, says a reader.</p></section></article>
     <aside>Related stories of great length that nobody asked for, with many words in one line.</aside><footer>&copy; me</footer></body></html>"""
-    assert main_text(page) == "The title & more\nFirst bold text here.\nSecond <one> é\nthird line\nitem a\nitem b\nLast."
+    assert main_text(page) == "The title & more\nFirst bold text here.\nSecond <one> é third line\nitem a\nitem b\nLast."
 
 
 def test_without_marked_article():
@@ -48,7 +48,7 @@ def paragraphs(texts):
 def test_stretches_decide_pages_with_an_article():
     teaser = "<article><p>A short card.</p></article>"
     assert main_text(f"{teaser}{LIST}<div>{paragraphs(PROSE)}</div>") == "\n".join(PROSE)
-    assert main_text(f"<article>{paragraphs(PROSE)}{LIST}<p>Up</p></article>{LIST}<p>{PROSE[0]}</p>") == "\n".join(PROSE)
+    assert main_text(f"<article>{paragraphs(PROSE)}{LIST}<p>Up</p></article>{LIST}<p>{PROSE[0]}</p>") == "\n".join([*PROSE, "Up"])
     assert main_text(f"<p>{PROSE[7]}</p><article>{paragraphs(PROSE[:4])}{LIST}{paragraphs(PROSE[4:6])}</article>") == "\n".join(PROSE[:6])
 
 
@@ -74,12 +74,31 @@ def test_links_inside_an_article():
     assert main_text(page) == "\n".join(PROSE[1:4])
 
 
+def test_article_text_stays():
+    """All of the main article is text, unless its element is named, as a whole, as something else."""
+    text = "\n".join(PROSE)
+    for name in ("price-alert", "privacy-law", "social-history", "ads-and-politics", "share-prices", "notice-of-motion"):
+        assert main_text(f'<article>{paragraphs(PROSE)}<p class="{name}">Real text.</p></article>') == f"{text}\nReal text."
+    for name in ("ad", "ad-box", "notice", "cookie-notice", "newsletter signup", "comments", "comment-list", "social_share", "advertisement"):
+        assert main_text(f'<article>{paragraphs(PROSE)}<p class="{name}">Real text.</p></article>') == text
+        assert main_text(f'<article>{paragraphs(PROSE)}<p id="{name.split()[0]}">Real text.</p></article>') == text
+    related = "<ul class=related>" + "<li><a href=x>One of the others</a></li>" * 4 + "</ul>"
+    assert main_text(f"<article>{paragraphs(PROSE)}{related}<p>End.</p></article>") == f"{text}\nEnd."
+    adverts = "<div class=ad>Buy</div>" * 3
+    assert main_text(f"<article>{paragraphs(PROSE)}{adverts}<h2>Ok</h2></article>") == f"{text}\nOk"
+    assert main_text(f"<main>{paragraphs(PROSE)}{adverts}<h2>Ok</h2></main>") == f"{text}\nOk"
+    # cards beside the article, in one main area
+    cards = f"{related}<article><p>Card</p></article>"
+    assert main_text(f"<main><article>{paragraphs(PROSE)}{adverts}<p>End.</p></article>{cards}</main>") == f"{text}\nEnd."
+    assert main_text("<article><p>One<br>two<br/>\n three</p><p>four</p></article>") == "One two three\nfour"
+
+
 def test_query(spark):
-    """The pages have one form, so that a plain pattern can tell what stands in the article."""
+    """The pages have one form, so that a plain pattern can tell what stands in the article. Line breaks end blocks there."""
     raw = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = queries.op4_line_blocks(spark, SF).collect()
     assert {r.page_id for r in rows} == raw.keys() and len(rows) == len(raw)
     for r in rows:
         article = re.search("<article>(.*)</article>", raw[r.page_id], re.S)[1]
-        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?p>|</?h1>|<br>|</?div[^>]*>", article)]
+        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?p>|</?h1>|</?div[^>]*>", article)]
         assert r.text == "\n".join(x for x in blocks if x) and r.n_chars == len(r.text)
