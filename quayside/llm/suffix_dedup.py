@@ -2,11 +2,16 @@
 
 Every byte covered by a string of ``length`` bytes that starts anywhere else, too, is removed. Not all suffixes need an index entry: each
 window of ``length`` bytes elects the place in it whose next ``gram`` bytes have the least hash, so windows with equal bytes elect equal places
-(winnowing; about one place in seventy with the defaults). Only suffixes at elected places are indexed, ordered by the hash of their first ``gram``
-bytes. An entry also knows which windows elected it, an unbroken run, and a hash of all bytes those windows cover.
+(winnowing; about one place in seventy with the defaults). Only suffixes at elected places are indexed. An entry has the first 16 bytes of the suffix
+as two words, a hash of its first ``gram`` bytes, which windows elected it (an unbroken run), and a hash of all bytes those windows cover.
+
+A suffix array has one row for all suffixes that begin with the same ``gram`` bytes, in the order of the first bytes (and of the hash, where those
+agree), cut into ranges of first bytes at borders that all arrays of a family share. New documents come in batches. A batch's array is merge-scanned
+with each level of the family, range by range: where two rows that become neighbours have equal beginnings, their common prefix is ``gram`` bytes
+or longer. Then the batch becomes a level; two levels of one size merge into one of the double size, so there are logarithmically many. Levels,
+entries and what was found are stored tables in the family's folder, with a list of them, so a family can be opened again and
+goes on with further batches.
 
-New documents come in batches. A batch's suffix array is scanned against each level of the family (and itself) for entries whose first bytes
-are equal, and then becomes a level; two levels of one size merge into one of the double size, so there are logarithmically many.
 Entries without a match cannot be part of a repetition. Of the others, those that agree with another one in all
 bytes of their windows are repeated as a whole. Where a class of equal first bytes has different surroundings, the windows of one entry
 of each kind are compared one by one, by hashes of all their bytes. Positions are judged on the input, never on what is left.
@@ -19,6 +24,8 @@ length are read whole, as UTF-8; extra columns do not matter.
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,16 +33,24 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.llm.common import stored
+from quayside.session import shared_dir
+from quayside.sources.stores import open_store
 
 LENGTH, GRAM = 400, 250
 CHUNK = 2_000_000
 #: Tasks that share the entries of one kind.
 SALTS = 32
-ENTRIES = "g long, nh long, d long, t long, p int, lo int, span int"
+#: Order of suffixes: by the first 16 bytes as two words (shifted to signed numbers), then by the hash of the gram.
+ORDER = ("h1", "h2", "g")
+ENTRIES = "h1 long, h2 long, g long, nh long, d long, t long, p int, lo int, span int"
+#: Rows of the first batch for each range of an array.
+RANGE = 50_000
 WINDOWS = "g long, d long, t long, first int, offset int, hashes array<long>, many boolean"
 MARKS = "d long, t long, first int, last int"
 _PLACE_BITS = np.uint64(30)
@@ -130,7 +145,7 @@ def _joined(chunk: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def entries(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Stored index entries: hash of the gram, hash of the surroundings, document, place, windows before it and their number - 1."""
+    """Index entries: first words, hash of the gram, hash of the surroundings, document, place, windows before it and their number - 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
@@ -138,42 +153,169 @@ def entries(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             text, p, a, b, g, nh = elected(raw, ends, length, gram)
             begin = np.concatenate([[0], ends[:-1]])[text] if len(text) else text
             take = pa.array(text)
+            head = np.zeros((len(p), 16), dtype=np.uint8)
+            head[:, : min(16, gram)] = raw[p[:, None] + np.arange(min(16, gram))]
+            first = head.view(">u8").astype(np.uint64) ^ np.uint64(1 << 63)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(g.view(np.int64)), pa.array(nh.view(np.int64)), chunk["d"].combine_chunks().take(take), chunk["t"].combine_chunks().take(take),
+                    pa.array(np.ascontiguousarray(first[:, 0]).view(np.int64)), pa.array(np.ascontiguousarray(first[:, 1]).view(np.int64)), pa.array(g.view(np.int64)), pa.array(nh.view(np.int64)), chunk["d"].combine_chunks().take(take), chunk["t"].combine_chunks().take(take),
                     pa.array((p - begin).astype(np.int32)), pa.array((p - a).astype(np.int32)), pa.array((b - a).astype(np.int32)),
                 ],
-                names=["g", "nh", "d", "t", "p", "lo", "span"],
+                names=["h1", "h2", "g", "nh", "d", "t", "p", "lo", "span"],
             )
 
-    return stored(docs.select(*_doc_key(), _bytes()).mapInArrow(run, ENTRIES))
+    return docs.select(*_doc_key(), _bytes()).mapInArrow(run, ENTRIES)
 
 
 class SuffixFamily:
-    """Levels of sorted suffix classes, of sizes 1, 2, 4 ... batches; ``found`` collects the classes met twice."""
-
-    def __init__(self) -> None:
-        self.levels: dict[int, DataFrame] = {}
-        self.found: list[DataFrame] = []
-
-    def add(self, batch: DataFrame) -> None:
-        """Scan the entries of a batch against themselves and every level, then make them a level."""
-        array = stored(batch.groupBy("g").agg(F.count("*").alias("n")).sortWithinPartitions("g"))
-        self.found.append(array.where("n > 1").select("g"))
-        for level in self.levels.values():
-            self.found.append(array.join(level, "g", "left_semi").select("g"))
-        size, merged = 0, array.select("g")
-        while size in self.levels:
-            merged, size = stored(merged.unionByName(self.levels.pop(size)).distinct().sortWithinPartitions("g")), size + 1
-        self.levels[size] = merged
+    """Stored levels of suffix arrays, of sizes 1, 2, 4 ... batches, all entries, and the beginnings that were met twice.
+
+    ``levels`` maps a size (its logarithm) to the name of an array; ``borders`` are first words at which ranges begin."""
+
+    def __init__(self, spark: SparkSession, path: str, known: dict):
+        self.spark, self.path, self.known = spark, path, known
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, length: int = LENGTH, gram: int = GRAM) -> SuffixFamily:
+        return cls(spark, path, {"length": length, "gram": gram, "borders": None, "levels": {}, "arrays": [], "found": [], "entries": []})
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> SuffixFamily:
+        place, base = open_store(path)
+        with place.open_input_stream(f"{base}/family.json") as source:
+            return cls(spark, path, json.loads(source.read()))
+
+    def _save(self) -> None:
+        place, base = open_store(self.path)
+        place.create_dir(base, recursive=True)
+        with place.open_output_stream(f"{base}/family.json") as out:
+            out.write(json.dumps(self.known).encode())
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    def add(self, docs: DataFrame, batches: int = 1) -> None:
+        """Indexes documents and scans them against all that is in the family."""
+        name = f"entries-{len(self.known['entries'])}"
+        entries(docs, self.known["length"], self.known["gram"]).write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        self.known["entries"].append(name)
+        index = self._table(name, ENTRIES)
+        for k in range(batches):
+            self._add(index.where(F.pmod(F.xxhash64("d", "t"), F.lit(batches)) == k))
+        self._save()
+
+    def _add(self, batch: DataFrame) -> None:
+        classes = stored(batch.groupBy(*ORDER).agg(F.count("*").alias("n")))
+        if self.known["borders"] is None:
+            ranges = max(8, classes.count() // RANGE)
+            cuts = classes.approxQuantile("h1", [k / ranges for k in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
+            self.known["borders"] = sorted({max(-(2**63), min(int(x), 2**63 - 1)) for x in cuts})
+        array = self._write(classes)
+        self.known["found"].append(self._scan([array], 1))  # beginnings that the batch itself has twice
+        for level in self.known["levels"].values():
+            self.known["found"].append(self._scan([array, level], 2))
+        size, merged = 0, array
+        while str(size) in self.known["levels"]:
+            other = self.known["levels"].pop(str(size))
+            merged, size = self._merge([merged, other]), size + 1
+        self.known["levels"][str(size)] = merged
+
+    def _name(self, kind: str) -> str:
+        name = f"{kind}-{len(self.known['arrays'])}"
+        self.known["arrays"].append(name)
+        return name
+
+    def _write(self, classes: DataFrame) -> str:
+        """The rows as an array: a folder per range, sorted."""
+        borders = F.array(*[F.lit(x) for x in self.known["borders"]]).cast("array<long>")
+        ranged = classes.withColumn("range", F.size(F.filter(borders, lambda x: x <= F.col("h1"))))
+        name = self._name("array")
+        spread = ranged.repartitionById(len(self.known["borders"]) + 1, "range").sortWithinPartitions("range", *ORDER)
+        spread.write.option("compression", "zstd").partitionBy("range").parquet(f"{self.path}/{name}")
+        return name
+
+    def _ranges(self) -> DataFrame:
+        n = len(self.known["borders"]) + 1
+        return self.spark.range(n).select(F.col("id").cast("int").alias("range")).repartitionById(n, "range")
+
+    def _scan(self, arrays: list[str], least: int) -> str:
+        """Stored beginnings (g) that stand in both arrays, or twice in one."""
+        path = self.path
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for number in batch.column("range").to_pylist():
+                    order, rows = _merged([_read_range(path, name, number) for name in arrays])
+                    if len(arrays) == 1:
+                        hit = rows["n"] > 1
+                    else:  # neighbours with equal beginnings are from both: an array has each but once
+                        hit = np.concatenate([_common(rows, order), [False]])[: len(order)]
+                        rows = {c: v[order] for c, v in rows.items()}
+                    yield pa.RecordBatch.from_arrays([pa.array(rows["g"][hit])], names=["g"])
+
+        name = self._name("found")
+        self._ranges().mapInArrow(run, "g long").write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        return name
+
+    def _merge(self, arrays: list[str]) -> str:
+        """One array of two, range by range; no row leaves its range."""
+        path = self.path
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for number in batch.column("range").to_pylist():
+                    order, rows = _merged([_read_range(path, name, number) for name in arrays])
+                    first = np.concatenate([[True], ~_common(rows, order)])[: len(order)]
+                    at = np.flatnonzero(first)
+                    sums = np.add.reduceat(rows["n"][order], at) if len(at) else rows["n"]
+                    columns = [pa.array(rows[c][order[at]]) for c in ORDER] + [pa.array(sums), pa.array(np.full(len(at), number, dtype=np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*ORDER, "n", "range"])
+
+        name = self._name("array")
+        merged = self._ranges().mapInArrow(run, "h1 long, h2 long, g long, n long, range int")
+        merged.write.option("compression", "zstd").partitionBy("range").parquet(f"{self.path}/{name}")
+        return name
+
+    def entries(self) -> DataFrame:
+        """All entries of all batches."""
+        out = self._table(self.known["entries"][0], ENTRIES)
+        for name in self.known["entries"][1:]:
+            out = out.unionByName(self._table(name, ENTRIES))
+        return out
 
     def repeated(self) -> DataFrame:
-        out = self.found[0]
-        for more in self.found[1:]:
-            out = out.unionByName(more)
+        """Beginnings that two suffixes of the family have."""
+        out = self._table(self.known["found"][0], "g long")
+        for name in self.known["found"][1:]:
+            out = out.unionByName(self._table(name, "g long"))
         return stored(out.distinct())
 
 
+def _read_range(path: str, name: str, number: int) -> dict[str, np.ndarray]:
+    """One range of a stored array, in order."""
+    place, base = open_store(path)
+    folder = f"{base}/{name}/range={number}"
+    files = sorted(f.path for f in place.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.path.endswith(".parquet"))
+    if not files:
+        return {c: np.zeros(0, dtype=np.int64) for c in (*ORDER, "n")}
+    table = pa.concat_tables([pq.read_table(f, columns=[*ORDER, "n"], filesystem=place, partitioning=None) for f in files])
+    return {c: table[c].to_numpy() for c in (*ORDER, "n")}
+
+
+def _merged(arrays: list[dict[str, np.ndarray]]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """All rows, and their order as suffixes. Sorted runs are what a stable sort merges."""
+    rows = {c: np.concatenate([a[c] for a in arrays]) for c in arrays[0]}
+    return np.lexsort([rows[c] for c in reversed(ORDER)]), rows
+
+
+def _common(rows: dict[str, np.ndarray], order: np.ndarray) -> np.ndarray:
+    """Whether each row and the next have a common prefix of a whole gram."""
+    same = np.ones(max(0, len(order) - 1), dtype=bool)
+    for c in ORDER:
+        same &= rows[c][order][1:] == rows[c][order][:-1]
+    return same
+
+
 def _equal_windows(group: pd.DataFrame, length: int) -> pd.DataFrame:
     """Of the windows of some classes those with an equal one of their class at the same offset from the elected place."""
     hashes = np.concatenate([np.asarray(h) for h in group["hashes"]])
@@ -200,12 +342,9 @@ def _equal_windows(group: pd.DataFrame, length: int) -> pd.DataFrame:
     )
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = 4, most_in_task: int = 20_000) -> DataFrame:
-    """(d, t, first, last): stretches of bytes to remove, some overlapping."""
-    index = entries(docs, length, gram)
-    family = SuffixFamily()
-    for k in range(batches):
-        family.add(index.where(F.pmod(F.xxhash64("d", "t"), F.lit(batches)) == k))
+def repeated_runs(docs: DataFrame, family: SuffixFamily, most_in_task: int = 20_000) -> DataFrame:
+    """(d, t, first, last): stretches of bytes to remove, some overlapping. ``docs`` are all documents that the family was given."""
+    length, index = family.known["length"], family.entries()
     matched = stored(index.join(family.repeated(), "g", "left_semi").select(*index.columns))
     kind = ["g", "nh", "lo", "span"]
     one = F.min(F.struct("d", "t", "p")).alias("one")
@@ -247,9 +386,16 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch
     return whole.unionByName(few).unionByName(many)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = 4, most_in_task: int = 20_000) -> DataFrame:
-    """(doc_id, kept, n_bytes, n_removed, n_spans, kept_sha256) of every document; ``kept`` has the remaining bytes."""
-    runs = repeated_runs(docs, length, gram, batches, most_in_task).select("d", "t", F.struct("first", "last").alias("run"))
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = 4, most_in_task: int = 20_000, family: SuffixFamily | None = None
+) -> DataFrame:
+    """(doc_id, kept, n_bytes, n_removed, n_spans, kept_sha256) of every document; ``kept`` has the remaining bytes.
+
+    With a ``family`` ``docs`` are all documents that it was given so far; without one they make up a family of their own."""
+    if family is None:
+        family = SuffixFamily.create(docs.sparkSession, f"{shared_dir(docs.sparkSession)}/suffixes-{uuid.uuid4().hex}", length, gram)
+        family.add(docs, batches)
+    runs = repeated_runs(docs, family, most_in_task).select("d", "t", F.struct("first", "last").alias("run"))
     by_doc = stored(runs.groupBy("d", "t").agg(F.array_sort(F.collect_set("run")).alias("runs")))  # at most a document's places
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_doc_key(), _bytes())
 

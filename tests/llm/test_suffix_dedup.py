@@ -48,12 +48,42 @@ def test_query(spark):
     assert rows(queries.op5_suffix_family(spark, SF)) == expected and sum(r[2] for r in expected) > 0
 
 
-def test_levels(spark):
-    family = suffix_dedup.SuffixFamily()
+def _texts(k):
+    rng = random.Random(k)
+    text = lambda n, seed: "".join(random.Random(seed).choice("abcdef é") for _ in range(n))
+    return [(10 * k + j, text(60, rng.random()) + (text(45, 7 + j % 2) if k % 2 == 0 else "") + text(50, rng.random())) for j in range(3)]
+
+
+def test_levels_and_order(spark, tmp_path):
+    schema = "doc_id long, text string"
+    family = suffix_dedup.SuffixFamily.create(spark, str(tmp_path / "family"), 30, 12)
     for k in range(5):
-        family.add(spark.createDataFrame([(10 * k,), (10 * k + 1,), (7,)], "g long"))
-        assert sorted(family.levels) == [i for i in range(3) if (k + 1) >> i & 1]
-    assert [r.g for r in family.repeated().collect()] == [7]
+        family.add(spark.createDataFrame(_texts(k), schema))
+        assert sorted(map(int, family.known["levels"])) == [i for i in range(3) if (k + 1) >> i & 1]
+    # a level has the beginnings of its batches in the order of the suffixes themselves
+    array = family.known["levels"]["2"]
+    rows_of = [suffix_dedup._read_range(family.path, array, n) for n in range(len(family.known["borders"]) + 1)]
+    keys = [x for r in rows_of for x in zip(*(r[c].tolist() for c in suffix_dedup.ORDER))]
+    assert keys == sorted(set(keys)) and len(keys) > 10
+    suffixes = {}
+    for k in range(4):
+        for d, t in _texts(k):
+            raw = t.encode()
+            suffixes |= {(int.from_bytes((raw[p : p + 12] + bytes(4))[:8], "big") - 2**63, int.from_bytes((raw[p : p + 12] + bytes(4))[8:], "big") - 2**63): raw[p : p + 12] for p in range(len(raw) - 11)}
+    heads = [suffixes[k[:2]] for k in keys]
+    assert heads == sorted(heads)
+
+
+def test_second_table_added_to_a_stored_family(spark, tmp_path):
+    schema = "doc_id long, text string"
+    first, second = ([r for k in ks for r in _texts(k)] for ks in ((0, 1, 2), (3, 4)))
+    family = suffix_dedup.SuffixFamily.create(spark, str(tmp_path / "family"), 30, 12)
+    family.add(spark.createDataFrame(first, schema), 2)
+    assert rows(suffix_dedup.remove_repeats(spark.createDataFrame(first, schema), family=family)) == brute(first, 30)
+    opened = suffix_dedup.SuffixFamily.open(spark, str(tmp_path / "family"))
+    opened.add(spark.createDataFrame(second, schema))
+    both = spark.createDataFrame(first + second, schema)
+    assert rows(suffix_dedup.remove_repeats(both, family=opened)) == brute(first + second, 30) == rows(suffix_dedup.remove_repeats(both, 30, 12))
 
 
 def test_empty(spark):
