@@ -55,9 +55,13 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def nearest(parts: np.ndarray, to_pivots: np.ndarray, codebook: np.ndarray, entry_pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(index of the nearest entry, exact squared distance) of each part, and how many distances were evaluated."""
     n, k = len(parts), len(codebook)
-    bounds = np.zeros((n, k), dtype=np.float32)
+    most = max(int(np.abs(parts).max(initial=0)), int(np.abs(codebook).max(initial=0)))
+    if codebook.shape[1] * (2 * most) ** 2 < 2**31:  # exact in half the memory
+        parts, codebook = parts.astype(np.int32), codebook.astype(np.int32)
+    bounds, difference = np.zeros((n, k), dtype=np.float32), np.empty((n, k), dtype=np.float32)
     for p in range(to_pivots.shape[1]):
-        np.maximum(bounds, np.abs(to_pivots[:, p, None] - entry_pivots[None, :, p]), out=bounds)
+        np.subtract(to_pivots[:, p, None], entry_pivots[None, :, p], out=difference)
+        np.maximum(bounds, np.abs(difference, out=difference), out=bounds)
     # what rounding to single precision can add to a difference
     slack = np.float32(2.0**-22) * max(to_pivots.max(initial=0), entry_pivots.max(initial=0))
     bounds -= slack
@@ -73,8 +77,8 @@ def nearest(parts: np.ndarray, to_pivots: np.ndarray, codebook: np.ndarray, entr
         wanted = bounds[open_rows, done:end] <= radius[open_rows, None]
         row, column = np.nonzero(wanted)
         entry = order[open_rows[row], column + done]
-        difference = parts[open_rows[row]] - codebook[entry]
-        squares = np.einsum("ij,ij->i", difference, difference)
+        apart = parts[open_rows[row]] - codebook[entry]
+        squares = np.einsum("ij,ij->i", apart, apart)
         evaluated += len(squares)
         begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))  # every open row has its next entry here
         least = np.minimum.reduceat(squares, begin)
