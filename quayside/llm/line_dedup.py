@@ -44,22 +44,23 @@ def positions(docs: DataFrame, doc_id: str, text: str, min_lines: int, min_words
     counted = lines.withColumn(
         "lines", F.transform("lines", lambda line: F.struct(line.alias("line"), _words_in(line).alias("w")))
     )
-    at = counted.select("d", "t", "lines", F.posexplode("lines").alias("i", "own"))
 
+    def at(own: Column, i: Column) -> Column:
+        """What a line is, worked out inside the row, so that exploded rows do not each drag all lines along."""
 
-    def words(start: int, n: int) -> Column:
-        """Words of n lines from ``start`` lines ahead on; null where the text ends before."""
-        return sum((F.get("lines", F.col("i") + start + k)["w"] for k in range(1, n)), F.get("lines", F.col("i") + start)["w"])
+        def words(start: int, n: int) -> Column:
+            """Words of n lines from ``start`` lines ahead on; null where the text ends before."""
+            return sum((F.get("lines", i + start + k)["w"] for k in range(1, n)), F.get("lines", i + start)["w"])
 
-    lengths = []
-    for n in range(1, min_lines + 1):
-        enough = words(0, n).isNotNull() & (F.lit(n == min_lines) | (words(0, n) >= min_words))
-        shorter = (words(0, n - 1) < min_words) | (words(1, n - 1) < min_words) if n > 1 else F.lit(True)
-        lengths.append(F.when(enough & shorter, n))
-    m = F.filter(F.array(*lengths), lambda x: x.isNotNull())
-    return at.select(
-        "d", "t", "i", F.xxhash64("own.line").alias("a"), F.xxhash64(F.lit(7), F.col("own.line")).alias("b"), m.alias("m")
-    )
+        lengths = []
+        for n in range(1, min_lines + 1):
+            enough = words(0, n).isNotNull() & (F.lit(n == min_lines) | (words(0, n) >= min_words))
+            shorter = (words(0, n - 1) < min_words) | (words(1, n - 1) < min_words) if n > 1 else F.lit(True)
+            lengths.append(F.when(enough & shorter, n))
+        m = F.filter(F.array(*lengths), lambda x: x.isNotNull())
+        return F.struct(i.alias("i"), F.xxhash64(own["line"]).alias("a"), F.xxhash64(F.lit(7), own["line"]).alias("b"), m.alias("m"))
+
+    return counted.select("d", "t", F.explode(F.transform("lines", at)).alias("p")).select("d", "t", "p.*")
 
 
 def _words_in(line: Column) -> Column:
@@ -111,21 +112,22 @@ def delete_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     """``docs`` without the lines of later copies; all other columns as they are.
 
     With ``facts`` a struct column of that name is added: n_lines, n_deleted and n_runs of the text."""
-    deleted, row = later_copies(docs, doc_id, text, min_lines, min_words), fresh(docs, "_row")
+    deleted = later_copies(docs, doc_id, text, min_lines, min_words)
+    row, gone, lines = (fresh(docs, c) for c in ("_row", "_gone", "_lines"))  # names of results may refer to none of these
     lines_of = deleted.select("d", "t", F.explode(F.sequence("i", F.col("i") + F.col("m") - 1)).alias("i"))
-    gone = lines_of.groupBy("d", "t").agg(F.sort_array(F.collect_set("i")).alias("gone"))  # at most the lines of a document
-    keyed = docs.select(F.struct("*").alias(row), *_doc_key(doc_id, text)).join(gone, DOC, "left")
-    lines = keyed.select(row, "gone", F.split(F.col(row)[text], "\n").alias("lines"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
-    new_text = F.when(F.col("gone").isNull(), F.col(row)[text]).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
+    left_out = lines_of.groupBy("d", "t").agg(F.sort_array(F.collect_set("i")).alias(gone))  # at most the lines of a document
+    keyed = docs.select(F.struct("*").alias(row), *_doc_key(doc_id, text)).join(left_out, DOC, "left")
+    split = keyed.select(row, gone, F.split(F.col(row)[text], "\n").alias(lines))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    new_text = F.when(F.col(gone).isNull(), F.col(row)[text]).otherwise(
+        F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
     )
     none = F.array().cast("array<int>")
-    runs = F.size(F.filter(F.coalesce("gone", none), lambda x, k: (k == 0) | (F.get("gone", k - 1) != x - 1)))
+    runs = F.size(F.filter(F.coalesce(gone, none), lambda x, k: (k == 0) | (F.get(gone, k - 1) != x - 1)))
     counts = F.struct(
-        F.when(F.col(row)[text].isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
-        F.size(F.coalesce("gone", none)).cast("long").alias("n_deleted"),
+        F.when(F.col(row)[text].isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.size(F.coalesce(gone, none)).cast("long").alias("n_deleted"),
         runs.cast("long").alias("n_runs"),
     )
     columns = [new_text.alias(c) if c == text else F.col(row)[c].alias(c) for c in docs.columns]
-    return lines.select(*columns, *([counts.alias(facts)] if facts else []))
+    return split.select(*columns, *([counts.alias(facts)] if facts else []))

@@ -9,7 +9,8 @@ values stay distinct. Numbers that fail validation are left alone.
 
 Dates move within 1900-2099, those with one-digit parts among dates with one-digit parts; months may be names in English, German, French
 or Spanish. One date in two forms gets two pseudonyms. E-mail local parts, keys with a known prefix and secrets of mixed case are
-permuted character class by character class, hexadecimal secrets as numbers.
+permuted character class by character class, as are the values of passwords (``password=...``); hexadecimal secrets and the digits of IPv6
+addresses are permuted as numbers. National telephone numbers are those with a leading 0 and an area code set apart.
 
 Defined cases: a null text stays null; texts of any length are read whole; repeated rows are treated alike; an empty table gives
 an empty result; extra columns are carried through, whatever their names.
@@ -18,6 +19,7 @@ an empty result; extra columns are carried through, whatever their names.
 from __future__ import annotations
 
 import datetime
+import ipaddress
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
@@ -138,6 +140,9 @@ class Pseudonyms:
             ("phone", re.compile(r"(?<![\w.+-])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|(?:1[ .-])?(?:\(\d{3}\) ?\d{3}[ .-]|\d{3}[.-]\d{3}[.-])\d{4}|(?<!\d )(?:1[ .-])?\d{3} \d{3}[ .-]\d{4}(?! \d))(?!\w|[.-]\d)"), self._phone),
             ("foreign phone", re.compile(r"(?<![\w.+-])\+(?:7|[2-9]\d)(?:[ .-]?\(?\d\)?){6,12}(?!\w|[.-]\d)"), self._foreign),
             ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w|[.-]\d)"), self._card),
+            ("ipv6", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)"), self._ipv6),
+            ("national phone", re.compile(r"(?<![\w.+/-])0[1-9]\d{1,3}(?: ?[/-] ?| )\d{3}(?: ?\d){2,6}(?!\w|[.:/-]\d| \d)"), self._national),
+            ("password", re.compile(r"(?<![\w-])(?:password|passwd|passphrase|pwd|secret|api[_-]?key|access[_-]?key|access[_-]?token|auth[_-]?token)(?:=|\s*[=:]\s*(?=[\"']))([\"']?)([^\s\"'<>&,;]{6,128})\1", re.I), self._password),
         ]
 
     def _permute(self, kind: str, size: int, x: int) -> int:
@@ -240,6 +245,34 @@ class Pseudonyms:
         code = 1 if digits[0] == "7" else 2
         return _refill(m[0], digits[:code] + self._digits("foreign phone", digits[code:]))
 
+    def _ipv6(self, m: re.Match) -> str | None:
+        """The digits that are written stay as many; two ways to write an address give two pseudonyms."""
+        try:
+            ipaddress.IPv6Address(m[0])
+        except ValueError:
+            return None
+        digits = m[0].replace(":", "")
+        if len(digits) < 4 or not re.search("[0-9]", digits):
+            return None
+        x = int(digits, 16)
+        while True:  # an address is told from words by a decimal digit
+            x = self._permute("ipv6", 16 ** len(digits), x)
+            new = f"{x:0{len(digits)}x}"
+            if re.search("[0-9]", new):
+                break
+        new = iter(new.upper() if m[0].isupper() else new)
+        return "".join(c if c == ":" else next(new) for c in m[0])
+
+    def _national(self, m: re.Match) -> str | None:
+        """A number with a leading 0 and an area code; both zeros and the first digit's not being one stay."""
+        digits = re.sub(r"\D", "", m[0])[1:]
+        least = 10 ** (len(digits) - 1)
+        return _refill(m[0], f"0{least + self._permute('national phone', 9 * least, int(digits) - least)}")
+
+    def _password(self, m: re.Match) -> str | None:
+        new = self._by_class("password", m[2], self._permute)
+        return None if new is None else m[0][: m.start(2) - m.start()] + new + m[0][m.end(2) - m.start() :]
+
     def _secret(self, m: re.Match) -> str | None:
         if m[0].isdigit():
             return None
@@ -291,7 +324,7 @@ class Pseudonyms:
         taken: list[tuple[int, int, str, str]] = []
         digits = bool(_DIGIT.search(text))
         for kind, pattern, new in self.kinds:
-            if not (("@" in text) if kind == "email" else _YEAR.search(text) if kind == "named date" else digits or kind == "token"):
+            if not (("@" in text) if kind == "email" else _YEAR.search(text) if kind == "named date" else digits or kind in ("token", "password")):
                 continue
             for m in pattern.finditer(text):
                 if any(a < m.end() and m.start() < b for a, b, *_ in taken):
