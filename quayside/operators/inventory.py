@@ -71,8 +71,11 @@ def duplicate_paths(df: DataFrame) -> DataFrame:
 
 
 def dedup_paths(df: DataFrame) -> DataFrame:
-    """One row per path."""
-    return df.dropDuplicates(["path"])
+    """One row per path; of several the one that is greatest by its other columns, in their order."""
+    rest = [c for c in df.columns if c != "path"]
+    if not rest:
+        return df.distinct()
+    return df.groupBy("path").agg(F.max(F.struct(*rest)).alias("_r")).select("path", "_r.*").select(*df.columns)
 
 
 def sorted_paths(df: DataFrame) -> DataFrame:
