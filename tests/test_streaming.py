@@ -173,7 +173,12 @@ def test_state_of_ended_jobs_goes(spark, tmp_path):
 
 def test_partial_sums_send_a_row_per_bucket(spark):
     rows = [(7, START + dt.timedelta(milliseconds=k), k) for k in range(5000)] + [(8, START, None), (None, START, 1), (7, None, 5)]
-    sums = live.partial_sums(spark.createDataFrame(rows, EVENTS).coalesce(1), 60_000).collect()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        sums = live.partial_sums(spark.createDataFrame(rows, EVENTS).coalesce(1), 60_000).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert sorted(((r.job_id, r["bytes"], r.files) for r in sums), key=repr) == sorted([(7, sum(range(5000)), 5000), (8, 0, 1), (None, 1, 1)], key=repr)
 
 
