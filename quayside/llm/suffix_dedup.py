@@ -205,8 +205,9 @@ class SuffixFamily:
         self._save()
 
     def _add(self, batch: DataFrame) -> None:
-        classes = stored(batch.groupBy(*ORDER).agg(F.count("*").alias("n")))
+        classes = batch.groupBy(*ORDER).agg(F.count("*").alias("n"))
         if self.known["borders"] is None:
+            classes = stored(classes)
             ranges = max(8, classes.count() // RANGE)
             cuts = classes.approxQuantile("h1", [k / ranges for k in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
             self.known["borders"] = sorted({max(-(2**63), min(int(x), 2**63 - 1)) for x in cuts})
@@ -217,7 +218,11 @@ class SuffixFamily:
         size, merged = 0, array
         while str(size) in self.known["levels"]:
             other = self.known["levels"].pop(str(size))
-            merged, size = self._merge([merged, other]), size + 1
+            both, size = [merged, other], size + 1
+            merged = self._merge(both)
+            for name in both:  # all that they had is in the merged one
+                place, base = open_store(self.path)
+                place.delete_dir(f"{base}/{name}")
         self.known["levels"][str(size)] = merged
 
     def _name(self, kind: str) -> str:
