@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import BLANK_CLASS, fresh, stored, words_of
+from quayside.llm.common import BLANK_CLASS, stored, words_of
 
 #: Fixed value: characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -240,8 +240,9 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, all columns as they are.
 
-    Facts are computed for the fit and again for the filter, so that no text is shuffled."""
-    out = fresh(docs, "_facts")
-    facts = with_facts(docs, text, out)
+    Rows are stored once with their facts: the fit reads the facts alone, the filter the rows; no text is shuffled."""
+    row, out = "row", "facts"
+    wrapped = docs.select(F.struct("*").alias(row), F.col(f"`{text}`").alias("text"))
+    facts = stored(with_facts(wrapped, "text", out).select(row, out))
     p = fit(facts.select(out), out).probability(out)
-    return facts.where(~base_failed(out) & (p >= threshold)).drop(out)
+    return facts.where(~base_failed(out) & (p >= threshold)).select(f"{row}.*")
