@@ -13,10 +13,21 @@ dw AS (SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS s
 m AS (SELECT dw.r, dw.i, dw.k, bw.item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.s = bw.s),
 hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT r, i, k FROM m)) GROUP BY r),
 it AS (SELECT r, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
-  FROM (SELECT DISTINCT r, item_id FROM m) GROUP BY r)
+  FROM (SELECT DISTINCT r, item_id FROM m) GROUP BY r),
+wi AS (SELECT row_number() OVER () AS v, * FROM bw),
+wt AS (SELECT v, k, o - 1 AS o, string_split(s, ' ')[o] AS term FROM (SELECT *, unnest(range(1, k + 1)) AS o FROM wi)),
+dp AS (SELECT r, p - 1 AS p, w[p] AS term FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d)
+  WHERE w[p] IN (SELECT term FROM wt)),
+f AS (SELECT term, count(*) AS f FROM dp GROUP BY term),
+rarest AS (SELECT v, k, o, term FROM wt LEFT JOIN f USING (term)
+  QUALIFY row_number() OVER (PARTITION BY v ORDER BY coalesce(f, 0), o) = 1),
+cand AS (SELECT DISTINCT r, v, k, p - o + x AS s FROM dp JOIN rarest USING (term), (SELECT unnest([-1, 0, 1]) AS x)),
+around AS (SELECT DISTINCT r, p + x AS q, term FROM dp, (SELECT unnest([-1, 0, 1]) AS x)),
+near AS (SELECT r, v FROM cand JOIN wt USING (v, k) JOIN around USING (r, term) WHERE q = s + o GROUP BY r, v, s, k HAVING count(*) = k),
+ni AS (SELECT r, count(DISTINCT item_id) AS n FROM near JOIN wi USING (v) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(it.n, 0) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)"""
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated, coalesce(ni.n, 0) AS n_near_items
+FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r) LEFT JOIN ni USING (r)"""
 
 
 LINE_RUNS = r"""WITH l AS (

@@ -72,8 +72,8 @@ def op7_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontamination.build_index(documents(spark, sf_dir))
-    hits = decontamination.search(index, table(spark, sf_dir, "benchmark"), size=10)
-    return decontamination.verdicts(hits).drop("n_near_items")
+    hits = decontamination.search(index, table(spark, sf_dir, "benchmark"), size=10, slop=1)
+    return decontamination.verdicts(hits)
 
 
 def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

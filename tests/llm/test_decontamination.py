@@ -58,6 +58,18 @@ def test_against_brute_force(spark):
     assert {r.doc_id: r.n_near_items for r in near if r.doc_id != 52} == expected_near
 
 
+def test_swapped_and_left_out_words(spark):
+    """A place off is near; two places off, or a word that is missing, is not."""
+    item = "one two three four five six seven eight nine ten"
+    w = item.split()
+    texts = [item, " ".join([*w[:4], w[5], w[4], *w[6:]]), " ".join([*w[:4], w[6], w[5], w[4], *w[7:]]), " ".join([*w[:5], "x", *w[6:]]),
+             " ".join([*w[:5], "x", *w[5:]]), " ".join([*w[:5], "x", "y", "z", *w[5:]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(None, item), (7, item), (7, item)], "item_id long, text string").selectExpr("*", "1 as segment", "2 as term")
+    rows = {r.doc_id: (r.contaminated, r.n_near_items) for r in verdicts(search(build_index(docs), items, slop=1)).collect()}
+    assert rows == {0: (True, 1), 1: (False, 1), 2: (False, 0), 3: (False, 0), 4: (False, 1), 5: (False, 0)}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, "c")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
