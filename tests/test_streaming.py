@@ -206,5 +206,16 @@ def test_closed_sessions(spark, tmp_path):
     assert max(kept[len(kept) // 2 :]) <= 1.3 * max(kept[: len(kept) // 2])
 
 
+def test_closed_sessions_of_a_busy_job_and_ties(spark, tmp_path):
+    """Events a gap apart are two sessions, and rows become sessions before the shuffle, with no Python state per key."""
+    pairs = [(0, 1), (599, 1), (1199, 1), (0, None), (0, 2)] + [(s, 3) for s in range(500)]
+    query, rows = _run_stream(spark, tmp_path, live.stream_closed_sessions(_parts(spark, tmp_path, [_at_many(pairs), _at_many([(99_000, 9)])], EVENTS), 600, "10 seconds"))
+    base = int(START.timestamp())
+    found = {(r.job_id, r.start_us // 10**6 - base, r.end_us // 10**6 - base, r.events) for r in rows.collect()}
+    assert found == {(1, 0, 1199, 2), (1, 1199, 1799, 1), (None, 0, 600, 1), (2, 0, 600, 1), (3, 0, 1099, 500)}
+    names = {op.operatorName for p in query.recentProgress for op in p.stateOperators}
+    assert names and not any("transformWithState" in n for n in names)
+
+
 def _at_many(pairs):
     return [(job, START + dt.timedelta(seconds=s), 10) for s, job in pairs]
