@@ -86,6 +86,20 @@ def test_second_table_added_to_a_stored_family(spark, tmp_path):
     assert rows(suffix_dedup.remove_repeats(both, family=opened)) == brute(first + second, 30) == rows(suffix_dedup.remove_repeats(both, 30, 12))
 
 
+def test_own_family_keeps_no_arrays(spark, tmp_path):
+    """Without a further batch the arrays only take disk; what was found and the entries stay."""
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame([r for k in range(4) for r in _texts(k)], schema)
+    family = suffix_dedup.SuffixFamily.create(spark, str(tmp_path / "family"), 30, 12)
+    family.add(docs, 4)
+    want = rows(suffix_dedup.remove_repeats(docs, family=family))
+    family.end()
+    assert not list((tmp_path / "family").glob("array-*")) and list((tmp_path / "family").glob("entries-*"))
+    assert rows(suffix_dedup.remove_repeats(docs, family=family)) == want
+    with pytest.raises(ValueError):
+        suffix_dedup.SuffixFamily.open(spark, str(tmp_path / "family")).add(docs)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.remove_repeats(none).collect() == []
