@@ -7,6 +7,7 @@ import hashlib
 import json
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,3 +231,28 @@ def test_balanced_pieces(spark):
     sums = spread.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
     assert sum(r.n for r in sums) == 100 and spread.rdd.getNumPartitions() == 4
     assert max(r.s for r in sums) <= 53_000
+
+
+def test_python_batches_are_bounded_by_bytes(spark):
+    """What a Python worker is given at a time does not grow with texts or tasks, and texts are hashed once."""
+    from conftest import SF
+
+    import __spark_entry__ as spark_entry
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1))
+    hashed = spark_entry.queries()["hash_xxhash64"](spark, SF)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+    assert "EvalPython" not in hashed._jdf.queryExecution().executedPlan().toString()
+    rows = spark.range(64).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    seen = rows.select(F.col("text").cast("binary").alias("b")).mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in it), "n long")
+    assert seen.agg(F.max("n")).first()[0] <= 8
+
+
+def test_weak_checksums_of_batches():
+    import os
+
+    from quayside.functions.hashing import weak_checksum_bytes, weak_checksums
+
+    values = [os.urandom(n) for n in (0, 1, 3, 256, 5000, 70_000)] * 3
+    for step in (7, 300, 1 << 20):
+        assert weak_checksums(pa.array(values)[1:], step).tolist() == [weak_checksum_bytes(v) for v in values[1:]]
