@@ -219,3 +219,28 @@ def test_closed_sessions_of_a_busy_job_and_ties(spark, tmp_path):
 
 def _at_many(pairs):
     return [(job, START + dt.timedelta(seconds=s), 10) for s, job in pairs]
+
+
+def test_limiter_sends_results_by_slices(monkeypatch):
+    import pandas as pd
+
+    class State:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    monkeypatch.setattr(live, "SLICE", 3, raising=False)
+    bucket = live._Bucket(100)
+    bucket.state = State()
+    rows = [pd.DataFrame({"us": [5, 1], "event_id": [1, 2], "bytes": [60, 60]}), pd.DataFrame({"us": [5, 9, 2], "event_id": [0, 4, 3], "bytes": [40, 1, 7]})]
+    out = list(bucket.handleInputRows(("k",), iter(rows), None))
+    assert [len(o) for o in out] == [3, 2]
+    both = pd.concat(out)
+    assert both["event_id"].tolist() == [2, 3, 0, 1, 4] and both["granted"].tolist() == [True, True, False, False, True]
