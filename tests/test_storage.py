@@ -256,3 +256,25 @@ def test_weak_checksums_of_batches():
     values = [os.urandom(n) for n in (0, 1, 3, 256, 5000, 70_000)] * 3
     for step in (7, 300, 1 << 20):
         assert weak_checksums(pa.array(values)[1:], step).tolist() == [weak_checksum_bytes(v) for v in values[1:]]
+
+
+def test_files_are_written_from_the_batch_itself(spark, tmp_path):
+    df = spark.createDataFrame([("a/b.txt", "é" * 1000), ("c", ""), ("a/d", "x")], "path string, content string")
+    written = copying.write_files(df, str(tmp_path))
+    assert "MapInArrow" in written._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, written.collect())) == [("a/b.txt", 2000), ("a/d", 1), ("c", 0)]
+    assert (tmp_path / "a/b.txt").read_text() == "é" * 1000 and not list(tmp_path.glob("**/*.part-*"))
+
+
+def test_blocks_are_read_by_slices(spark, tmp_path, monkeypatch):
+    """A file is dealt out in slices of many blocks, not in a row per block."""
+    from quayside.sources import scan
+
+    monkeypatch.setattr(scan, "SLICE", 1000, raising=False)
+    body = os.urandom(5003)
+    (tmp_path / "f").write_bytes(body)
+    blocks = scan.read_blocks(spark.createDataFrame([("f", 5003), ("none", 0)], "path string, size long"), 256, str(tmp_path))
+    assert "Generate" in (plan := blocks._jdf.queryExecution().executedPlan().toString()) and "MapInArrow" in plan
+    found = blocks.orderBy("block_index").collect()
+    assert [(r.block_index, r.offset, r.size) for r in found] == [(k, k * 256, min(256, 5003 - k * 256)) for k in range(20)]
+    assert b"".join(bytes(r.data) for r in found) == body
