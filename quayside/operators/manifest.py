@@ -29,6 +29,14 @@ def manifest_from_scan(inventory: DataFrame) -> DataFrame:
     )
 
 
+def dealt_by_path(rows: DataFrame) -> DataFrame:
+    """Rows shuffled by path into as many partitions as the session has, which adaptive execution does not bring together.
+
+    Sorted in memory, rows of entries take many times their shuffled bytes, so partitions that were put together by those
+    make tasks that grow with the table; this many share it evenly. A join with them is cut the same way. For rows with few of a path."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+
+
 def newest_per_path(rows: DataFrame, order: list[str | Column], keys: list[str] | None = None) -> DataFrame:
     """The row of each path that is greatest by ``order``; of rows that agree in it the greatest by all columns."""
     keys = keys or ["path"]
@@ -43,12 +51,13 @@ def upsert(manifest: DataFrame, changes: DataFrame, order: list[str] | None = No
     """Manifest with the rows of ``changes`` added or put in place of old ones; of doubled paths in ``changes``
     the row that is greatest by ``order`` counts (``mtime`` first, if there is one)."""
     single = newest_per_path(changes, order or [c for c in ("mtime", "mtime_secs") if c in changes.columns])
-    kept = manifest.join(single.select("path"), "path", "left_anti")
+    # whether a path is in the changes does not depend on which of its rows counts: bare paths, not sorted once more for the join
+    kept = manifest.join(dealt_by_path(changes.select("path")), "path", "left_anti")
     return kept.unionByName(single, allowMissingColumns=True)
 
 
 def remove(manifest: DataFrame, gone: DataFrame) -> DataFrame:
-    return manifest.join(gone.select("path"), "path", "left_anti")
+    return manifest.join(dealt_by_path(gone.select("path")), "path", "left_anti")
 
 
 def manifest_totals(manifest: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from quayside.operators.manifest import newest_per_path, upsert
+from quayside.operators.manifest import newest_per_path, remove, upsert
 from quayside.sources.manifest_log import ManifestLog, stream_manifest
 
 SCHEMA = "path string, size long, mtime long"
@@ -98,3 +98,21 @@ def test_doubled_paths(spark):
     changes = spark.createDataFrame([("a", 5, 7), ("a", 9, 3), ("c", 1, None), ("c", 2, None), ("d", None, 1)], SCHEMA)
     assert sorted(map(tuple, upsert(manifest, changes).collect()), key=repr) == sorted([("a", 5, 7), ("b", 1, 1), ("c", 2, None), ("d", None, 1)], key=repr)
     assert rows_of(newest_per_path(changes.where("path = 'a'"), ["size"])) == [("a", 9, 3)]
+
+
+def test_a_join_by_path_keeps_the_partitions_of_the_session(spark):
+    manifest = spark.createDataFrame([(f"p{k}", k, 1) for k in range(40)], SCHEMA)
+    changes = spark.createDataFrame([(f"p{k % 50}", k, k) for k in range(30, 90)], SCHEMA)
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = upsert(manifest, changes)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        # the changes are reduced to a row per path once, not for the join as well, and the join's tasks are not put together
+        assert plan.count("max(struct") == 2 and "REPARTITION_BY_NUM" in plan
+        assert rows_of(found) == sorted((f"p{k % 50}", k, k) for k in range(40, 90))
+        rest = remove(manifest, changes)
+        assert "REPARTITION_BY_NUM" in rest._jdf.queryExecution().executedPlan().toString() and rows_of(rest) == []
+        assert rows_of(remove(manifest, changes.where("path > 'p2'"))) == [("p0", 0, 1), ("p1", 1, 1), *[(f"p{k}", k, 1) for k in range(10, 20)], ("p2", 2, 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
