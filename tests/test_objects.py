@@ -162,3 +162,33 @@ def test_one_archive_is_read_by_several_tasks(spark, tmp_path):
         tar.add(root / "f001", "one")
     (tmp_path / "a/batch-00000000-0000.tar.index").write_text('[1]\n["other", 512, 50]\n')
     assert {r.path: bytes(r.content) for r in archives.read_archives(spark, str(tmp_path / "a")).collect()} == {"one": files["f001"]}
+
+
+def test_one_archive_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    import tarfile
+
+    from quayside.sources import archives
+
+    monkeypatch.setattr(archives, "SLICE", 700)
+    monkeypatch.setattr(archives, "INDEX_SLICE", 100)  # shorter than the longest line
+    root = tmp_path / "in"
+    root.mkdir()
+    files = {f"f{k:03d}": bytes([k]) * (k * 50) for k in range(60)} | {"é" * 90: b"long name", "empty": b"", "exact": b"x" * 1400}
+    for name, data in files.items():
+        (root / name).write_bytes(data)
+    os.symlink("f001", root / "link")
+    rows = [(n, 0, 0) for n in [*files, "link", "gone", "f007"]] + [("none", 0, 1)]
+    batches = spark.createDataFrame(rows, "path string, size long, batch long")
+    out = {r.archive: r for r in archives.write_archives(batches, str(root), str(tmp_path / "a")).collect()}
+    one, two = out["batch-00000000-0000.tar"], out["batch-00000001-0000.tar"]
+    assert (one.files, one.missing, one.bytes) == (len(files) + 2, 1, sum(map(len, files.values())) + len(files["f007"]) + len(files["f001"]))
+    assert (two.files, two.missing, two.bytes) == (0, 1, 0) and len(os.listdir(tmp_path / "a")) == 4
+    # byte for byte what one writer makes of the same files
+    with tarfile.open(tmp_path / "plain.tar", "w") as tar:
+        for name in sorted([*files, "link", "f007"]):
+            tar.add(root / name, name)
+    assert (tmp_path / "a/batch-00000000-0000.tar").read_bytes() == (tmp_path / "plain.tar").read_bytes()
+    index = archives.archive_members(spark, str(tmp_path / "a")).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in index}) > 1 and len(index) == len(files) + 1
+    back = archives.read_archives(spark, str(tmp_path / "a")).collect()
+    assert {r.path: bytes(r.content) for r in back} == files and len(back) == len(files) + 1
