@@ -1,10 +1,10 @@
 """A manifest that takes steady upserts: sorted runs in levels, merged as levels fill.
 
-Every change set is written as a run: one file per bucket of paths, sorted by path, with a number that grows from set to set. Deleted
+Every change set is written as a run: buckets of paths, sorted by path and cut into ranges of paths where a bucket is large, with a number that grows from set to set. Deleted
 paths are rows of their own kind (tombstones). When a level has ``fanout`` runs they are merged into one run of the next level,
 newest row per path; a merge that reaches the oldest run drops the tombstones. So a path is rewritten once per level, there
-are at most ``(fanout - 1) * levels`` runs, and levels grow with the logarithm of the number of change sets: that many files of a bucket are
-opened to read the state or to look a path up.
+are at most ``(fanout - 1) * levels`` runs, and levels grow with the logarithm of the number of change sets. A task writes one range of
+(bucket, path), whose size adaptive execution bounds, so it does not grow with the manifest; small runs have one file per bucket.
 
 Which runs make up the manifest is said by numbered version files. A version file can be created once only, so of two writers one fails and
 repeats, and a reader that has opened a version keeps it; files that no version needs any more are deleted by :meth:`vacuum`.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from quayside.operators.manifest import newest_per_path
+from quayside.operators.manifest import dealt_by_path, newest_per_path
 
 
 @dataclass(frozen=True)
@@ -100,7 +100,7 @@ class ManifestLog:
         return out
 
     def _write(self, version: Version, rows: DataFrame, level: int, first: int, last: int) -> Run:
-        """Rows (one per path and bucket) as a run; they come partitioned by bucket."""
+        """Rows (one per path and bucket) as a run; they come in ranges of (bucket, path)."""
         run = Run(f"{first}-{last}-{uuid.uuid4().hex[:12]}", level, first, last)
         rows.sortWithinPartitions("bucket", "path").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/runs/{run.name}")
         return run
@@ -120,7 +120,7 @@ class ManifestLog:
             nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in fields if f.name != "path"]
             parts.append(gone.select("path", *nothing).select(*[f.name for f in fields], F.lit(True).alias("_gone")))
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        spread = rows.withColumn("bucket", self._bucket(version)).repartition(version.buckets, "bucket")
+        spread = rows.withColumn("bucket", self._bucket(version)).repartitionByRange("bucket", "path")
         kept = newest_per_path(spread, [F.col("_gone").cast("int") * -1, *(order or [f.name for f in fields if f.name != "path"])], ["bucket", "path"])
         version.runs.append(self._write(version, kept.withColumn("_set", F.lit(version.next_set).cast("long")), 0, version.next_set, version.next_set))
         version.number, version.next_set = version.number + 1, version.next_set + 1
@@ -135,7 +135,7 @@ class ManifestLog:
             full = [r for r in version.runs if r.level == level]
             if len(full) >= version.fanout:
                 rest = [r for r in version.runs if r.level != level]
-                merged = newest_per_path(self._read(version, full).repartition(version.buckets, "bucket"), ["_set"], ["bucket", "path"])
+                merged = newest_per_path(self._read(version, full).repartitionByRange("bucket", "path"), ["_set"], ["bucket", "path"])
                 if not any(r.level > level for r in rest):
                     merged = merged.where("NOT _gone")
                 version.runs = [*rest, self._write(version, merged, level + 1, min(r.first for r in full), max(r.last for r in full))]
@@ -149,7 +149,7 @@ class ManifestLog:
     def state(self, number: int | None = None) -> DataFrame:
         """All rows of the latest version (or an earlier one that was not vacuumed)."""
         version = self.version(number)
-        return self._newest(self._read(version, version.runs))
+        return self._newest(dealt_by_path(self._read(version, version.runs)))
 
     def find(self, path: str) -> DataFrame:
         """The row of a path, from one bucket of each run."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quayside.operators.manifest import newest_per_path, remove, upsert
 from quayside.sources.manifest_log import ManifestLog, stream_manifest
@@ -116,3 +117,21 @@ def test_a_join_by_path_keeps_the_partitions_of_the_session(spark):
         assert rows_of(remove(manifest, changes.where("path > 'p2'"))) == [("p0", 0, 1), ("p1", 1, 1), *[(f"p{k}", k, 1) for k in range(10, 20)], ("p2", 2, 1)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    log = ManifestLog.create(spark, folder(tmp_path), spark.createDataFrame([], SCHEMA).schema, buckets=1, fanout=2)
+    rows = spark.range(4000).selectExpr("concat('p', id % 3000) AS path", "id AS size", "id AS mtime")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        log.apply(rows, order=["mtime"])
+        log.apply(rows.where("mtime < 10"), rows.where("size >= 2990").select("path"), order=["mtime"])
+        (run,) = log.version().runs
+        found = spark.read.parquet(f"{log.path}/runs/{run.name}").groupBy(F.input_file_name()).agg(F.min("path").alias("low"), F.max("path").alias("high"))
+        spans = sorted((r.low, r.high) for r in found.collect())
+        assert len(spans) > 4  # one file of the bucket, and one task, before
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))  # ranges of paths that do not overlap
+        assert rows_of(log.state()) == sorted([(f"p{k}", k, k) for k in range(10)] + [(f"p{k}", k, k) for k in range(1000, 2990)])  # p0 to p999 are rows 3000 to 3999, too, which went
+        assert rows_of(log.find("p1500")) == [("p1500", 1500, 1500)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
