@@ -201,9 +201,10 @@ def _write_plain(parts: DataFrame, source_root: str, out_dir: str) -> DataFrame:
                         os.replace(f"{target}.part-{token}{place}", target + place)
             yield pdf.assign(archive=names)[["archive", "files", "missing", "bytes"]]
 
-    measured = parts.repartition(n).mapInPandas(
+    # stored, as cutting it into segments reads it twice
+    measured = persist_shared(parts.repartition(n).mapInPandas(
         measure, "batch bigint, part bigint, path string, _at bigint, there boolean, size bigint, head bigint, space bigint, line bigint, counted bigint"
-    )
+    ))
     laid = running(
         measured, ["batch", "part"], ["path", "_at"], {"space_end": "space", "line_end": "line"}, totals={"space_end": "all_space", "line_end": "all_lines"}
     )
