@@ -2,12 +2,16 @@ from __future__ import annotations
 
 import hashlib
 import random
+import uuid
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from quayside.llm import queries, suffix_dedup
+from quayside.session import shared_dir
 
 
 def brute(docs, length):
@@ -100,6 +104,34 @@ def test_own_family_keeps_no_arrays(spark, tmp_path):
         suffix_dedup.SuffixFamily.open(spark, str(tmp_path / "family")).add(docs)
 
 
+def test_own_family_is_deleted(spark):
+    """Its entries are of no use once the matched ones are stored; before, they stayed on the disk beside all that follows."""
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("suffixes-*"))
+    docs = [r for k in range(4) for r in _texts(k)]
+    assert rows(suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), 30, 12)) == brute(docs, 30)
+    assert set(folder.glob("suffixes-*")) == before
+
+
+def test_only_frequent_kinds_get_salts(spark, monkeypatch):
+    """Before, each kind that occurs twice was written once for each of 32 salts."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdef é漢") for _ in range(n))
+    everywhere, twice = text(45), [text(45) for _ in range(40)]
+    docs = [(k, text(20) + everywhere + text(20) + twice[k % 40] + text(20)) for k in range(80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", 10)
+    family = suffix_dedup.SuffixFamily.create(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", 30, 12)
+    family.add(df)
+    matched, kind = family.matched(), ["g", "nh", "lo", "span"]
+    groups = matched.groupBy(*kind).agg(F.count("*").alias("c"))
+    more = [r.more for r in suffix_dedup._repeated_kinds(groups, kind).collect()]
+    assert more.count(0) >= 40 and 1 <= sum(more) <= 10
+    whole = suffix_dedup._whole(matched, groups, kind)
+    assert whole.count() == groups.where("c > 1").agg(F.sum("c")).first()[0]
+    assert rows(suffix_dedup.remove_repeats(df, family=family)) == brute(docs, 30)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.remove_repeats(none).collect() == []
