@@ -5,13 +5,12 @@ The filter stores word-pair counts without storing the pairs: a pair seen c time
 arrays of hashes. A word w behind h has probability (c(h w) + s p(w)) / (c(h) + s) with the add-0.1 word probability p(w), so pairs not
 seen fall back to words. Texts begin and end with the same mark, which is counted as a word.
 
-Counts come from all training documents: each batch of texts sends the hashes of its distinct words and pairs, in blocks by hash range, and
-each range is summed up in one task that also builds its segment of the filter. Ranges get more with the number of documents, so that
-a task has the words of some thousand documents. The model stays a stored table; workers are told (by broadcast) which hash ranges
-they need and load those once, so it never passes through the driver. A part
-has the words of two hash blocks (for h and for w) and the pairs between them, or a share of those, and is at most about ``part_bytes``
-long, whatever the corpus; every part scores the pairs it is for in one pass over the texts, and the sums are added up. Corpora whose model
-fits one part, some hundred million distinct pairs, need one pass.
+Texts are first stored as chunks of codes: the hashes of a chunk's distinct words, and for each token which of them it is. A chunk has
+training texts or held out ones. It sends the hashes of its distinct words and pairs, with their counts if it is learnt from, to the tasks of
+their hash ranges. The task of a range sums them up, builds the range's part of the model (word counts and a segment of the filter), asks
+it for all that was sent and returns the answers to the chunks, which then have all they need for their texts. So every token is moved a fixed
+number of times whatever the size of the model, no task holds more of the model than one range, and nothing of it passes
+through the driver, which sees two sums. There are as many ranges as keep one within about ``part_bytes`` of working memory.
 
 Defined cases: a null or empty text consists of the end mark; null ids count as held out; repeated rows are scored each and
 learnt from each; an empty table gives an empty result; texts of any length are scored whole; extra columns do not matter.
@@ -21,26 +20,33 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.dataset as ds
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import range_bits_of, stored_at
+from quayside.llm.common import stored, stored_at
 from quayside.sources.stores import open_store
 
 END = np.uint64(0x1F83D9ABFB41BD6B)
 #: Bits of the hash ranges of small corpora.
 RANGE_BITS = 10
 HASHES, BITS_PER_ENTRY = 6, 10
-CHARS = 3_000_000
-BLOCKS = "kind int, part int, keys binary, times binary"
-SUMMED = "kind int, part int, keys binary, times binary, entries long, total long"
+#: Bytes of text in a chunk, and of working memory for a token in the task of its range.
+CHARS, TOKEN_BYTES = 8_000_000, 64
+CHUNKS = "chunk long, held_out boolean, n_tokens long, doc_ids array<long>, sizes binary, words binary, codes binary"
+BLOCKS = "chunk long, part int, words binary, word_times binary, pairs binary, pair_times binary"
+ANSWERS = "chunk long, part int, words binary, pairs binary, entries long"
+#: ``CHUNKS`` as Arrow has it.
+STORED = pa.schema({
+    "chunk": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "doc_ids": pa.list_(pa.int64()),
+    "sizes": pa.binary(), "words": pa.binary(), "codes": pa.binary(),
+})
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -55,49 +61,60 @@ def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
         return mix(h * np.uint64(0x9E3779B97F4A7C15) + mix(w))
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, an END behind each text; the hash before each (END at the start); and where texts begin."""
-    lists = pc.split_pattern_regex(pc.ascii_lower(texts), r"[\x20\x09-\x0D]+")
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, END last; all words as places there, an END behind each text; and the number of tokens of each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     flat = lists.flatten()
-    full = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    coded = flat.filter(pa.array(full)).dictionary_encode()
-    owner = owner[full]
-    of_word = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False)
-    words = of_word[coded.indices.to_numpy()] if len(owner) else np.zeros(0, dtype=np.uint64)
-    counts = np.bincount(owner, minlength=len(texts))
-    begin = np.concatenate([[0], np.cumsum(counts + 1)[:-1]]).astype(np.int64)
-    out = np.full(len(words) + len(texts), END, dtype=np.uint64)
-    out[np.arange(len(words)) + owner] = words
-    before = np.concatenate([[END], out[:-1]]).astype(np.uint64)
-    before[begin] = END
-    return out, before, begin
+    full = pc.not_equal(pc.binary_length(flat), 0)  # a blank at the begin or end of a text leaves an empty piece
+    owner = owner[full.to_numpy(zero_copy_only=False)]
+    found = flat.filter(full).dictionary_encode()
+    of_word = pd.util.hash_array(found.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+    codes = np.full(len(owner) + len(texts), len(of_word), dtype="<u4")
+    codes[np.arange(len(owner)) + owner] = found.indices.to_numpy()
+    return np.append(of_word, END).astype("<u8"), codes, np.bincount(owner, minlength=len(texts)) + 1
 
 
 def _in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    held: list[pa.RecordBatch] = []
-    chars = 0
+    """Tables of about CHARS bytes of text, each of texts held out or of others."""
+    held: dict[bool, list[pa.RecordBatch]] = {False: [], True: []}
+    chars = {False: 0, True: 0}
     for batch in batches:
         for at in range(0, batch.num_rows, 100):
-            held.append(batch.slice(at, 100))
-            chars += pc.sum(pc.binary_length(held[-1].column("text"))).as_py() or 0
-            if chars >= CHARS:
-                yield pa.Table.from_batches(held)
-                held, chars = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _counted(keys: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and how often each is there."""
-    if times is None:
-        keys = np.sort(keys)
-    else:
-        order = np.argsort(keys, kind="stable")
-        keys, times = keys[order], times[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-    sums = np.diff(np.append(first, len(keys))) if times is None else np.add.reduceat(times, first) if len(first) else times
-    return keys[first], sums.astype(np.int64)
+            some = batch.slice(at, 100)
+            for out in held:
+                own = some.filter(pc.equal(some.column("held_out"), out))
+                if own.num_rows:
+                    held[out].append(own)
+                    chars[out] += pc.sum(pc.binary_length(own.column("text"))).as_py()
+                if chars[out] >= CHARS:
+                    yield pa.Table.from_batches(held[out])
+                    held[out], chars[out] = [], 0
+    for rest in held.values():
+        if rest:
+            yield pa.Table.from_batches(rest)
+
+
+def _counted(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the sum of their times, and the place of each given key among them."""
+    order = np.argsort(keys, kind="stable")
+    keys, times = keys[order], times[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    first = np.flatnonzero(new)
+    place = np.empty(len(keys), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return keys[first], np.add.reduceat(times, first) if len(first) else times, place
+
+
+def _pieces(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary value for each stretch of ``values``: the first begins at 0, each ends where ``ends`` says."""
+    cuts = np.concatenate([[0], ends]).astype("<i4") * np.int32(values.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
 
 
 def held_out(doc_id: str, folds: int = 10) -> Column:
@@ -105,42 +122,124 @@ def held_out(doc_id: str, folds: int = 10) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def count(training: DataFrame, range_bits: int = RANGE_BITS) -> str:
-    """Path of the stored (kind, part, keys, times, entries, total): kind 1 words with 64-bit keys, kind 2 pairs as filter segments (times has the bits)."""
+def chunks(docs: DataFrame) -> str:
+    """Path of the stored chunks of ``docs``, a row each, in row groups of their own."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _in_chunks(batches):
-            w, h, _ = tokens(chunk["text"].combine_chunks())
-            for kind, keys in ((1, mix(w)), (2, pair_keys(h, w))):
-                keys, times = _counted(keys)
-                cuts = np.searchsorted(keys, np.arange(1, 1 << range_bits, dtype=np.uint64) << np.uint64(64 - range_bits))
-                cuts = np.concatenate([[0], cuts, [len(keys)]])
-                parts = np.flatnonzero(np.diff(cuts))
-                if kind == 2:  # the range and 32 bits more tell pairs apart
-                    keys = (keys >> np.uint64(32 - range_bits) & np.uint64(0xFFFFFFFF)).astype("<u4")
-                times = times.astype("<u4")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(parts), kind, dtype=np.int32)),
-                        pa.array(parts.astype(np.int32)),
-                        pa.array([keys[cuts[p] : cuts[p + 1]].tobytes() for p in parts], pa.binary()),
-                        pa.array([times[cuts[p] : cuts[p + 1]].tobytes() for p in parts], pa.binary()),
-                    ],
-                    names=["kind", "part", "keys", "times"],
-                )
-
-    def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        kind = int(key[0])
-        keys = np.frombuffer(b"".join(group["keys"]), dtype="<u8" if kind == 1 else "<u4")
-        keys, times = _counted(keys, np.frombuffer(b"".join(group["times"]), dtype="<u4").astype(np.int64))
-        row = {"kind": kind, "part": int(key[1]), "entries": len(keys), "total": int(times.sum())}
-        if kind == 1:
-            return pd.DataFrame([row | {"keys": keys.tobytes(), "times": times.astype("<u8").tobytes()}])
-        return pd.DataFrame([row | {"keys": b"", "times": segment(keys.astype(np.uint64), times)}])
-
-    texts = training.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    summed = texts.mapInArrow(run, BLOCKS).groupBy("kind", "part").applyInPandas(add, SUMMED)
-    return stored_at(summed)
+            words, codes, sizes = coded(chunk["text"].combine_chunks())
+            row = {"chunk": chunk["row"][0].as_py(), "held_out": chunk["held_out"][0].as_py(), "n_tokens": len(codes), "doc_ids": chunk["doc_id"].to_pylist()}
+            row |= {"sizes": sizes.astype("<i8").tobytes(), "words": words.tobytes(), "codes": _planes(codes)}
+            yield pa.RecordBatch.from_pylist([row], schema=STORED)
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    narrow = docs.select(F.monotonically_increasing_id().alias("row"), doc_id, held_out("doc_id").alias("held_out"), text)
+    return stored_at(narrow.mapInArrow(run, CHUNKS), **{"parquet.block.row.count.limit": "1"})
+
+
+def _planes(codes: np.ndarray) -> bytes:
+    """All lowest bytes, then all second ones and so on, which packs better."""
+    return codes.view("u1").reshape(-1, codes.itemsize).T.tobytes()
+
+
+@dataclass
+class Chunk:
+    """A chunk of texts as it is stored, and what it asks: distinct words and pairs in the order of their hashes."""
+
+    doc_ids: pa.Array
+    sizes: np.ndarray
+    words: np.ndarray
+    codes: np.ndarray
+
+    @staticmethod
+    def read(path: str, name: str, at: int) -> Chunk:
+        place, base = open_store(path)
+        with place.open_input_file(f"{base}/{name}") as source:
+            file = pq.ParquetFile(source)
+            group = 0
+            while at >= file.metadata.row_group(group).num_rows:
+                at -= file.metadata.row_group(group).num_rows
+                group += 1
+            row = file.read_row_group(group, columns=["doc_ids", "sizes", "words", "codes"]).slice(at, 1)
+        sizes, words = (_joined(row[c], kind) for c, kind in (("sizes", "<i8"), ("words", "<u8")))
+        codes = np.ascontiguousarray(_joined(row["codes"], "u1").reshape(4, -1).T).view("<u4").ravel()
+        return Chunk(row["doc_ids"].combine_chunks().flatten(), sizes, words, codes)
+
+    @property
+    def before(self) -> np.ndarray:
+        """The word before each token; END before a text."""
+        return np.concatenate([[len(self.words) - 1], self.codes[:-1]])
+
+    def word_keys(self) -> np.ndarray:
+        return mix(self.words)
+
+    def token_pairs(self) -> np.ndarray:
+        return pair_keys(self.words[self.before], self.words[self.codes])
+
+
+def _blocks(path: str, range_bits: int):
+    """Rows that tell where chunks are stored to blocks of words and pairs by hash range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for place in (place for batch in batches for place in batch.to_pylist()):
+            chunk = Chunk.read(path, place["file"], place["at"])
+            words, pairs = chunk.word_keys(), np.sort(chunk.token_pairs())
+            order = np.argsort(words, kind="stable")
+            words, word_times = words[order], np.bincount(chunk.codes, minlength=len(words))[order]
+            first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+            pairs, pair_times = pairs[first], np.diff(np.append(first, len(pairs)))
+            cuts = np.arange(1, 1 << range_bits, dtype=np.uint64) << np.uint64(64 - range_bits)
+            word_ends, pair_ends = (np.append(np.searchsorted(x, cuts), len(x)) for x in (words, pairs))
+            parts = np.flatnonzero((np.diff(word_ends, prepend=0) > 0) | (np.diff(pair_ends, prepend=0) > 0))
+            word_ends, pair_ends = word_ends[parts], pair_ends[parts]
+            rest = (pairs >> np.uint64(32 - range_bits) & np.uint64(0xFFFFFFFF)).astype("<u4")  # the range and 32 bits more tell pairs apart
+            if place["held_out"]:
+                none = pa.array([b""] * len(parts), pa.binary())
+                times = (none, none)
+            else:
+                times = (_pieces(word_times.astype("<u4"), word_ends), _pieces(pair_times.astype("<u4"), pair_ends))
+            id_ = np.full(len(parts), place["chunk"])
+            columns = [pa.array(id_), pa.array(parts.astype(np.int32)), _pieces(words, word_ends), times[0], _pieces(rest, pair_ends), times[1]]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "part", "words", "word_times", "pairs", "pair_times"])
+
+    return run
+
+
+def _sent(group: pa.Table, name: str, kind: str) -> tuple[np.ndarray, ...]:
+    """Keys and times of all blocks of a range, nothing for those not learnt from, and where blocks end."""
+    sizes = pc.binary_length(group[f"{name}s"]).to_numpy() // np.dtype(kind).itemsize
+    learnt = np.repeat(pc.binary_length(group[f"{name}_times"]).to_numpy() > 0, sizes)
+    times = np.zeros(len(learnt), dtype=np.int64)
+    times[learnt] = _joined(group[f"{name}_times"], "<u4")
+    return _joined(group[f"{name}s"], kind), times, np.cumsum(sizes)
+
+
+def _answer(range_bits: int):
+    """All blocks of a range to the answers of its part of the model, and a row without chunk that has the number of its words."""
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        number = key[0].as_py()
+        words, word_times, word_ends = _sent(group, "word", "<u8")
+        words, word_times, word_place = _counted(words, word_times)
+        pairs, pair_times, pair_ends = _sent(group, "pair", "<u4")
+        pairs, pair_times, pair_place = _counted(pairs, pair_times)
+        part = Part.of(number, range_bits, words, word_times, pairs.astype(np.uint64), pair_times)
+        whole = np.uint64(number) << np.uint64(64 - range_bits) | pairs.astype(np.uint64) << np.uint64(32 - range_bits)
+        counts = part.look_up(part.w_keys, part.w_times, words).astype("<u8")
+        levels = part.pair_levels(whole).astype("u1")
+        return pa.table(
+            [
+                pa.chunked_array([group["chunk"].combine_chunks(), pa.nulls(1, pa.int64())]),
+                pa.array(np.full(len(group) + 1, number, dtype=np.int32)),
+                _pieces(counts[word_place], np.append(word_ends, word_ends[-1])),
+                _pieces(levels[pair_place], np.append(pair_ends, pair_ends[-1])),
+                pa.array([None] * len(group) + [part.n_words], pa.int64()),
+            ],
+            names=["chunk", "part", "words", "pairs", "entries"],
+        )
+
+    return run
 
 
 def _bit(keys: np.ndarray, level: int, k: int, size: np.ndarray | int) -> np.ndarray:
@@ -164,7 +263,7 @@ def segment(keys: np.ndarray, times: np.ndarray) -> bytes:
 
 @dataclass
 class Part:
-    """What a worker needs for the pairs (h, w) of some hash ranges: words that may be h, words that may be w, filter segments."""
+    """The model of some hash ranges: words that may be h of a pair (h, w), words that may be w, filter segments."""
 
     histories: tuple[int, int]  # word ranges, first and last + 1
     words: tuple[int, int]
@@ -180,6 +279,14 @@ class Part:
     smoothing: float = field(default=200.0)
     range_bits: int = field(default=RANGE_BITS)
 
+    @staticmethod
+    def of(number: int, range_bits: int, words: np.ndarray, word_times: np.ndarray, pairs: np.ndarray, pair_times: np.ndarray) -> Part:
+        """The part of one range, of the words and pairs that were learnt."""
+        own, known, seen = (number, number + 1), word_times > 0, pair_times > 0
+        bits = np.frombuffer(segment(pairs[seen], pair_times[seen]), dtype=np.uint8)
+        words, word_times = words[known], word_times[known]
+        return Part(own, own, own, words, word_times, words, word_times, bits, np.array([0, len(bits)]), int(word_times.sum()), len(words), range_bits=range_bits)
+
     @staticmethod
     def look_up(keys: np.ndarray, times: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         if not len(keys):
@@ -189,6 +296,10 @@ class Part:
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts as the filter tells them: the middle of the highest level it has."""
+        return count_of(self.pair_levels(keys))
+
+    def pair_levels(self, keys: np.ndarray) -> np.ndarray:
+        """The highest level that the filter has of each pair, 0 for none."""
         part = (keys >> np.uint64(64 - self.range_bits)).astype(np.int64) - self.pairs[0]
         rest = keys >> np.uint64(32 - self.range_bits) & np.uint64(0xFFFFFFFF)
         begin, size = self.begins[part], (self.begins[part + 1] - self.begins[part]) * 8
@@ -201,124 +312,51 @@ class Part:
                 at = _bit(rest[alive], level, k, size[alive]).astype(np.int64)
                 alive = alive[(self.bits[begin[alive] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1]
             levels[alive] = level
-        return np.where(levels == 0, 0.0, np.where(levels == 1, 1.0, 1.5 * 2.0 ** (levels - 1) - 0.5))
-
-    def score(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
-        """Per text: words, known words, base score and score, of those tokens and pairs that this part is for."""
-        w, h, begin = tokens(texts)
-        w_hash, h_hash = mix(w), mix(h)
-        distinct, code = np.unique(np.concatenate([w_hash, h_hash]), return_inverse=True)
-        c_of = {}
-        for name, keys, times in (("w", self.w_keys, self.w_times), ("h", self.h_keys, self.h_times)):
-            c_of[name] = self.look_up(keys, times, distinct)
-        c_w, c_h = c_of["w"][code[: len(w)]], c_of["h"][code[len(w) :]]
-        shift = np.uint64(64 - self.range_bits)
-        range_w, range_h = (w_hash >> shift).astype(np.int64), (h_hash >> shift).astype(np.int64)
-        mine_w = (range_w >= self.words[0]) & (range_w < self.words[1])
-        mine = mine_w & (range_h >= self.histories[0]) & (range_h < self.histories[1])
-        keys = pair_keys(h, w)
-        range_p = (keys >> shift).astype(np.int64)
-        mine &= (range_p >= self.pairs[0]) & (range_p < self.pairs[1])
-        p_word = (c_w + 0.1) / (self.n_tokens + 0.1 * (self.n_words + 1))
-        pairs = np.zeros(len(w))
-        asked = np.flatnonzero(mine & (c_w > 0) & (c_h > 0))
-        pairs[asked] = np.minimum(self.pair_counts(keys[asked]), np.minimum(c_w, c_h)[asked])
-        p = (pairs + self.smoothing * p_word) / (c_h + self.smoothing)
-        words_here = mine_w if self.histories[0] == 0 and self.pairs[0] == 0 else np.zeros(len(w), dtype=bool)
-        total = lambda x: np.add.reduceat(x, begin) if len(begin) else x
-        return (
-            total(words_here.astype(np.int64)),
-            total((words_here & (c_w > 0)).astype(np.int64)),
-            total(np.where(words_here, np.log10(p_word), 0.0)),
-            total(np.where(mine, np.log10(p), 0.0)),
-        )
-
-
-def _cuts(ranges: int, size: float, most: float) -> list[tuple[int, int]]:
-    """All hash ranges, of ``size`` bytes together, in even runs of at most about ``most``. Hashes fill ranges evenly."""
-    n = min(ranges, max(1, -(-int(size) // max(1, int(most)))))
-    return [(ranges * k // n, ranges * (k + 1) // n) for k in range(n)]
-
+        return levels
+
+
+def count_of(levels: np.ndarray) -> np.ndarray:
+    """The middle of a level."""
+    return np.where(levels == 0, 0.0, np.where(levels == 1, 1.0, 1.5 * 2.0 ** (levels - 1.0) - 0.5))
+
+
+def _score(path: str, n_tokens: int, n_words: int, smoothing: float):
+    """The answers to a chunk, and the row that tells where it is stored, to the scores of its texts."""
+
+    def run(group: pa.Table) -> pa.Table:
+        place = group.filter(pc.is_valid(group["file"])).to_pylist()[0]
+        answers = group.filter(pc.is_valid(group["part"])).sort_by("part")
+        chunk = Chunk.read(path, place["file"], place["at"])
+        counts = np.empty(len(chunk.words), dtype=np.int64)
+        counts[np.argsort(chunk.word_keys(), kind="stable")] = _joined(answers["words"], "<u8")
+        c_w, c_h = counts[chunk.codes], counts[chunk.before]
+        keys = chunk.token_pairs()
+        distinct, _, at = _counted(keys, np.zeros(len(keys), dtype=np.int64))
+        levels = _joined(answers["pairs"], "u1")
+        if len(levels) != len(distinct):
+            raise ValueError(f"chunk {place['chunk']} asked for {len(distinct)} pairs and was told {len(levels)}")
+        p_word = (c_w + 0.1) / (n_tokens + 0.1 * (n_words + 1))
+        pairs = np.minimum(count_of(levels)[at], np.minimum(c_w, c_h))
+        p = (pairs + smoothing * p_word) / (c_h + smoothing)
+        begin = np.cumsum(chunk.sizes) - chunk.sizes
+        found = [np.add.reduceat(x, begin) for x in ((c_w > 0).astype(np.int64), np.log10(p_word), np.log10(p))]
+        columns = [chunk.doc_ids, pa.array([place["held_out"]] * len(begin)), pa.array(chunk.sizes), *map(pa.array, found)]
+        return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-@dataclass(frozen=True)
-class Share:
-    """Where a part of the model is stored, and which hash ranges it has."""
-
-    path: str
-    range_bits: int
-    histories: tuple[int, int]
-    words: tuple[int, int]
-    pairs: tuple[int, int]
-    n_tokens: int
-    n_words: int
-    smoothing: float
-
-
-def shares(spark: SparkSession, path: str, range_bits: int, part_bytes: int = 400_000_000, smoothing: float = 200.0) -> list[Share]:
-    """The parts of the model. The driver sees two rows of totals."""
-    totals = spark.read.parquet(path).groupBy("kind").agg(
-        F.sum(F.length("keys") + F.length("times")).alias("bytes"), F.sum("entries").alias("entries"), F.sum("total").alias("total")
-    )
-    found = {r["kind"]: r for r in totals.collect()}
-    words, pairs = (found[k]["bytes"] if k in found else 0 for k in (1, 2))
-    n_words, n_tokens = (found[1]["entries"], found[1]["total"]) if 1 in found else (0, 0)
-    word_cuts = _cuts(1 << range_bits, words, part_bytes / 4)
-    pair_cuts = _cuts(1 << range_bits, pairs, part_bytes / 2)
-    return [Share(path, range_bits, h, w, p, n_tokens, n_words, smoothing) for h in word_cuts for w in word_cuts for p in pair_cuts]
-
-
-@lru_cache(maxsize=1)
-def loaded(share: Share) -> Part:
-    """The part itself, read once by each worker that scores with it."""
-    place, base = open_store(share.path)
-    stored_rows = ds.dataset(base, filesystem=place, format="parquet")
-
-    def rows(kind: int, own: tuple[int, int], columns: list[str]) -> pa.Table:
-        wanted = (ds.field("kind") == kind) & (ds.field("part") >= own[0]) & (ds.field("part") < own[1])
-        return stored_rows.to_table(columns=["part", *columns], filter=wanted).sort_by("part")
-
-    def words(own: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        found = rows(1, own, ["keys", "times"])
-        return tuple(np.frombuffer(b"".join(found[c].to_pylist()), dtype="<u8") for c in ("keys", "times"))
-
-    h = words(share.histories)
-    w = h if share.words == share.histories else words(share.words)
-    found = rows(2, share.pairs, ["times"])
-    sizes = np.zeros(share.pairs[1] - share.pairs[0], dtype=np.int64)
-    sizes[found["part"].to_numpy() - share.pairs[0]] = pc.binary_length(found["times"]).to_numpy()
-    bits = np.frombuffer(b"".join(found["times"].to_pylist()), dtype=np.uint8)
-    begins = np.concatenate([[0], np.cumsum(sizes)])
-    return Part(share.histories, share.words, share.pairs, *h, *w, bits, begins, share.n_tokens, share.n_words, share.smoothing, share.range_bits)
+    return run
 
 
 def score(docs: DataFrame, part_bytes: int = 400_000_000, smoothing: float = 200.0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document, learnt from those not held out."""
-    out = held_out("doc_id")
     spark = docs.sparkSession
-    range_bits = range_bits_of(docs, RANGE_BITS)
-    path = count(docs.where(~out), range_bits)
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), text)
-    found: DataFrame | None = None
-    n = 0
-    train_tokens = 0
-    for share in shares(spark, path, range_bits, part_bytes, smoothing):
-        train_tokens = share.n_tokens
-        scored = narrow.mapInArrow(_scorer(spark.sparkContext.broadcast(share)), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-        found, n = scored if found is None else found.unionByName(scored), n + 1
-    if n > 1:  # the same scan in each pass gives a row the same number
-        sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
-        found = found.groupBy("row", "doc_id", "held_out").agg(*sums)
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _scorer(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _in_chunks(batches):
-            found = loaded(model.value).score(chunk["text"].combine_chunks())
-            columns = [chunk[c].combine_chunks() for c in ("row", "doc_id", "held_out")]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, *map(pa.array, found)], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-            )
-
-    return run
+    path = chunks(docs)
+    places = spark.read.schema(CHUNKS).parquet(path).select(
+        "chunk", "held_out", "n_tokens", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")
+    )
+    all_tokens, train_tokens = places.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("n_tokens"), F.expr("if(held_out, 0, n_tokens)")))).first()
+    range_bits = max(RANGE_BITS, min(24, (all_tokens * TOKEN_BYTES // part_bytes).bit_length()))
+    answers = stored(places.mapInArrow(_blocks(path, range_bits), BLOCKS).groupBy("part").applyInArrow(_answer(range_bits), ANSWERS))
+    n_words = answers.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
+    asked = answers.where("chunk is not null").drop("entries").unionByName(places, allowMissingColumns=True)
+    scored = asked.groupBy("chunk").applyInArrow(_score(path, train_tokens, n_words, smoothing), SCORED)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

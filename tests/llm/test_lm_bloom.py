@@ -6,6 +6,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import SF
 
@@ -74,3 +76,43 @@ def test_parts_and_odd_rows(spark, part_bytes):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert lm_bloom.score(none).collect() == []
+
+
+@pytest.mark.parametrize("part_bytes", [400_000_000, 3000])
+def test_texts_are_read_once_whatever_the_parts(spark, part_bytes):
+    """A model of many parts costs no pass over the texts for each."""
+    read = spark.sparkContext.accumulator(0)
+
+    def same(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = [(k, " ".join(f"w{k * 31 % 97}x{j}" for j in range(50))) for k in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    rows = lm_bloom.score(df.mapInArrow(same, df.schema), part_bytes).collect()
+    assert read.value == len(docs)
+    verify(rows, docs)
+
+
+def test_ranges(spark):
+    """More ranges than the least."""
+    docs = [(k, f"a w{k % 50} b w{k} w{k % 7} the the \t") for k in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(1)
+    rows = lm_bloom.score(df, part_bytes=1000).collect()
+    exact = verify(rows, docs)
+    assert np.mean([abs(r.score - exact[r.doc_id]) / r.n_tokens for r in rows]) < 0.03
+
+
+def test_stored_chunks(tmp_path):
+    texts = ["A b  a\x0b", "", " é\x1cé ", "a"]
+    words, codes, sizes = lm_bloom.coded(pa.array(texts))
+    assert sizes.tolist() == [4, 1, 2, 2] and words[-1] == lm_bloom.END and len(words) == 4
+    row = {"chunk": 5, "held_out": False, "n_tokens": 9, "doc_ids": [1, None, 3, 4], "sizes": sizes.astype("<i8").tobytes()}
+    row |= {"words": words.tobytes(), "codes": lm_bloom._planes(codes)}
+    table = pa.Table.from_pylist([row | {"codes": b""}, row], schema=lm_bloom.STORED)
+    for size in (1, 2):
+        pq.write_table(table, tmp_path / "part", row_group_size=size)
+        chunk = lm_bloom.Chunk.read(f"file:{tmp_path}", "part", 1)
+        assert chunk.doc_ids.to_pylist() == [1, None, 3, 4] and chunk.codes.tolist() == codes.tolist() == [0, 1, 0, 3, 3, 2, 3, 0, 3]
+        assert chunk.before.tolist() == [3, 0, 1, 0, 3, 3, 2, 3, 0]
